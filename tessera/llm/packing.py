@@ -211,7 +211,7 @@ def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int
                 a[c - 1, j] += 1
         weight = np.arange(1, classes + 1, dtype=float)[:, None]  # a long piece left over costs more than a short one
         fitted = np.floor(nnls(a * weight, total * weight[:, 0]) + 1e-6).astype(int)
-        left = total.astype(int)
+        left = [int(x) for x in total]
         for j in sorted(range(len(shapes)), key=lambda j: (-max(shapes[j]), shapes[j])):
             shape = shapes[j]
             n = min(int(fitted[j]), *(left[c - 1] // shape.count(c) for c in shape))

@@ -98,7 +98,7 @@ def js_distance(a: Column, b: Column) -> Column:
 
 
 def judge_quality(
-    docs: DataFrame, max_class_distance: float = 0.4, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 50, top: int = 20, max_languages: int = 10_000
+    docs: DataFrame, max_class_distance: float = 0.27, max_word_distance: float = 0.45, min_chars: int = 200, min_words: int = 50, top: int = 20, max_languages: int = 10_000
 ) -> DataFrame:
     """Base counts of every document, and whether it is kept.
 
