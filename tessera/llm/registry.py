@@ -47,3 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_divergence_quality": _documents(judge_quality),
     "op10_seed_extend": _documents(drop_repeats),
 }
+
+#: SQL for the queries that DuckDB can express.
+ORACLE: dict[str, str] = {}
