@@ -162,13 +162,6 @@ def _block_pairs(batches):
         )
 
 
-def _tile_docs(batches):
-    """(tile, document) once for each row of pairs."""
-    for b in batches:
-        rows = [(one, two, int(d)) for one, two, x, y in arrow_rows([b], "one", "two", "a", "b") for d in np.unique(np.frombuffer(x + y, np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["one", "two", "doc_id"])
-
-
 def _verify(width: int, threshold: float):
     """Exact similarities of a tile's pairs. Out: each document's verified partners as a number of documents, and a
     spanning forest of the links inside the tile."""
@@ -176,7 +169,7 @@ def _verify(width: int, threshold: float):
     def run(batches):
         fields = ("one", "two", "pairs_a", "pairs_b", "doc_id", "size", "text")
         for _, rows in runs_of(arrow_rows(batches, *fields), 2):
-            members = [r for r in rows if r[4] is not None]
+            members = [r for r in rows if r[4] is not None]  # all documents of both blocks
             pairs = [(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64)) for r in rows if r[4] is None]
             ids = np.array([r[4] for r in members], np.int64)
             order = np.argsort(ids)
@@ -240,7 +233,7 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     signed = stash(ids.mapInArrow(_sign(width), "doc_id long, mark binary, n_shingles long, signature binary"), "signatures")
-    sets = signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"))
+    sets = stash(signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies")), "sets")
     classes = stash(signed.select("doc_id", "mark", "n_shingles").join(sets, "mark", "left").select(
         "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_shingles"), "copies")
     firsts = classes.filter("doc_id = copy_id AND n_shingles > 0").select("doc_id", "copies").distinct()
@@ -255,7 +248,7 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     crowd = stash(members.join(counts, "node"), "members")
     homes = crowd.groupBy("doc_id").agg(F.min("least").alias("home"))
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
-    tiles = homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / TILE_BLOCK).cast("long"))).alias("block"))
+    tiles = stash(homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / TILE_BLOCK).cast("long"))).alias("block")), "blocks")
     known = heads.mapInArrow(_with_keys(depths), "doc_id long, nodes binary").join(tiles, "doc_id")
     rows = crowd.join(known, "doc_id").withColumn("parts", F.ceil(F.col("n") / NODE_BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -263,11 +256,10 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     dealt = rows.repartition("node", "one", "two").sortWithinPartitions("node", "one", "two")
     pairs = stash(dealt.mapInArrow(_block_pairs, "one long, two long, a binary, b binary"), "pairs")
 
-    wanted = pairs.mapInArrow(_tile_docs, "one long, two long, doc_id long").distinct()
-    wanted = stash(wanted, "tiles")
-    some = wanted.select("doc_id").distinct().join(heads.select("doc_id", "copies"), "doc_id")
-    texts = stash(ids.join(some, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.col("copies").alias("size"), "text"), "texts")
-    load = wanted.join(texts, "doc_id").select("one", "two", F.lit(None).cast("binary").alias("pairs_a"), F.lit(None).cast("binary").alias("pairs_b"), "doc_id", "size", "text")
+    meets = pairs.select("one", "two").distinct().withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    some = tiles.join(heads.select("doc_id", "copies"), "doc_id")
+    texts = stash(ids.join(some, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", F.col("copies").alias("size"), "text"), "texts")
+    load = meets.join(texts, "block").select("one", "two", F.lit(None).cast("binary").alias("pairs_a"), F.lit(None).cast("binary").alias("pairs_b"), "doc_id", "size", "text")
     work = pairs.select("one", "two", F.col("a").alias("pairs_a"), F.col("b").alias("pairs_b"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("text"))
     tiled = load.unionByName(work).repartition("one", "two").sortWithinPartitions("one", "two")
     found = stash(tiled.mapInArrow(_verify(width, threshold), "doc_id long, links long, other long"), "links")
