@@ -141,7 +141,10 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("bad header line")
-        head[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in head and name in ("warc-record-id", "content-length"):
+            raise ValueError("two headers in one")
+        head[name] = value.strip()
     if not head.get("content-length", "").isdigit():
         raise ValueError("no content length")
     begin = stop + len(END)
