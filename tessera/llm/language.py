@@ -56,6 +56,16 @@ def _grams(raw: np.ndarray, width: int) -> np.ndarray:
     return code
 
 
+def _padded(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts joined by PAD, which gives each a context to begin in, and which n-grams end in a byte of a text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(sizes + ORDER)  # in the joined bytes
+    step = np.zeros(int(end[-1]) + 1 if len(end) else ORDER + 1, np.int8)
+    np.add.at(step, end - sizes, 1)
+    np.add.at(step, end, -1)
+    return np.frombuffer(PAD + PAD.join(texts) if len(texts) else PAD, np.uint8), np.cumsum(step[:-1])[ORDER:] > 0
+
+
 class PpmModel:
     """Frozen byte statistics of several languages, contexts of up to ORDER bytes.
 
@@ -66,13 +76,13 @@ class PpmModel:
 
     def __init__(self, samples: dict[str, Sequence[bytes]]):
         self.langs = sorted(samples)
-        raws = [np.frombuffer(PAD + PAD.join(samples[k]), np.uint8) for k in self.langs]
+        raws = [_padded(samples[k]) for k in self.langs]
         self.symbols: list[_Table] = []
         self.escapes: list[_Table] = []
         for order in range(ORDER + 1):
             counts, contexts = [], []
-            for raw in raws:
-                gram, n = np.unique(_grams(raw, order + 1), return_counts=True) if len(raw) > ORDER else (np.zeros(0, np.uint32), np.zeros(0, int))
+            for raw, own_byte in raws:
+                gram, n = np.unique(_grams(raw, order + 1)[own_byte], return_counts=True)
                 context = gram >> np.uint32(8) if order else np.zeros(len(gram), np.uint32)
                 own, first = np.unique(context, return_index=True)
                 total = np.add.reduceat(n, first) if len(own) else n
@@ -204,11 +214,11 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, model: PpmModel | None = None) -> DataFrame:
+def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_bytes: int = 50, model: PpmModel | None = None) -> DataFrame:
     """The documents that have a language, all columns as they were, without a shuffle.
 
-    A row goes if it is `und`, or if its best language needs over `most_bits_per_byte` for the whole text: bytes that
-    none of the learned languages explains. Where nothing could be learned, only texts without a letter go.
+    A row goes if it is `und`, or if its best language needs over `most_bits_per_byte` for the whole text of at least
+    `least_bytes`: bytes that none of the learned languages explains. Shorter texts are too little to tell. Where nothing could be learned, only texts without a letter go.
     """
     model = model or train(docs)
     lettered = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -222,7 +232,8 @@ def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, model: Pp
             mask: list[bool] = []
             for held in batched(iter([(t,) for t in texts]), 0):
                 part = [t for t, in held]
-                mask += (shared.value.code_lengths(part).min(1) <= most_bits_per_byte * np.array([len(t) for t in part])).tolist()
+                size = np.array([len(t) for t in part])
+                mask += ((size < least_bytes) | (shared.value.code_lengths(part).min(1) <= most_bits_per_byte * size)).tolist()
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return lettered.mapInArrow(keep, docs.schema)
