@@ -62,3 +62,9 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, bl
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows as one struct `row` beside working columns, so that no column of the input can clash with them; undo
+    with select("row.*")."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

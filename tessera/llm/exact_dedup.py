@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import packed, stash
 from tessera.llm.wordcodes import arrow_rows
 
 SLOTS = 4
@@ -179,9 +179,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows with other texts are untouched, whatever their ids. Texts travel through one shuffle, by doc_id.
     """
     report = dedup_report(docs)
-    lost = stash(report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__repeat")).distinct(), "copies")
-    marked = docs.withColumn("__sha256", text_digest())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha256") == F.col("__sha"))
+    lost = stash(report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("kept").alias("repeat")).distinct(), "copies")
+    marked = packed(docs, doc_id=F.col("doc_id").cast("long"), sha256=text_digest())
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("sha"))
     whole = marked.join(lost, same, "left_anti")
-    repeats = marked.join(lost.filter("__repeat"), same, "left_semi").dropDuplicates(["doc_id", "__sha256"])
-    return whole.unionByName(repeats).drop("__sha256")
+    repeats = marked.join(lost.filter("repeat"), same, "left_semi").dropDuplicates(["doc_id", "sha256"])
+    return whole.unionByName(repeats).select("row.*")

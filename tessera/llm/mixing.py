@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import packed, stash
 
 _UP = (Window.unboundedPreceding, Window.currentRow)
 
@@ -138,10 +138,8 @@ def mix_documents(docs: DataFrame, budget_ratio: float = 0.9, max_epochs: int =
     levels = tree()
     names = list(levels)
     _, plan = plan_mix(docs, levels, WEIGHTS, budget_ratio, max_epochs)
-    inner = {n: f"__mix_{n}" for n in names}
-    rows = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(inner[n]) for n, c in levels.items()])
-    plan = plan.select(*[F.col(n).alias(inner[n]) for n in names], *[F.col(c) for c in ("budget", "full_epochs", "cut_place", "cut_id")])
-    taken = epochs_of(rows, plan, list(inner.values()), max_epochs).filter("epochs > 0")
+    rows = packed(docs, doc_id=F.col("doc_id"), **{n: F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()})
+    taken = epochs_of(rows, plan, names, max_epochs).filter("epochs > 0")
     if max_epochs > 1:
-        taken = taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
-    return taken.select(*docs.columns)
+        taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
+    return taken.select("row.*")

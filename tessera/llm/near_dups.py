@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import packed, stash
 from tessera.llm.graph import components
 from tessera.llm.wordcodes import U, arrow_rows, batched, mix, runs_of, windows, word_codes
 
@@ -285,5 +285,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents with one of each class (the least doc_id), all columns as they were; rows without doc_id stay."""
-    lost = stash(near_duplicates(docs, width, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__lost")).distinct(), "near")
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost"), "left_anti")
+    lost = stash(near_duplicates(docs, width, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("lost")).distinct(), "near")
+    return packed(docs, id=F.col("doc_id").cast("long")).join(lost, F.col("id") == F.col("lost"), "left_anti").select("row.*")
