@@ -127,4 +127,4 @@ def means_with_total(rows: DataFrame, group: str, values: list[str], total: str
     """Means of each group and of all rows, in one pass over grouping sets."""
     sets = rows.groupingSets([[F.col(group)], []], F.col(group))
     means = [F.round(F.avg(v), digits).alias(v) for v in values]
-    return sets.agg(*means, F.count(F.lit(1)).alias("n"), F.grouping(group).alias("g")).select(F.when(F.col("g") == 1, F.lit(total)).otherwise(F.col(group)).alias(group), *values, "n")
+    return sets.agg(*means, F.count(F.lit(1)).alias("n"), F.grouping(group).alias("__total")).select(F.when(F.col("__total") == 1, F.lit(total)).otherwise(F.col(group)).alias(group), *values, "n")
