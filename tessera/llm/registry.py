@@ -10,6 +10,7 @@ from tessera.llm.exact_dedup import dedup_report
 from tessera.llm.language import predict_languages
 from tessera.llm.mixing import mix_report
 from tessera.llm.near_dups import near_duplicates
+from tessera.llm.oracle import ORACLE as ORACLE
 from tessera.llm.packing import pack_documents
 from tessera.llm.privacy import pseudonymize
 from tessera.llm.quality import judge_quality
@@ -47,6 +48,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_divergence_quality": _documents(judge_quality),
     "op10_seed_extend": _documents(drop_repeats),
 }
-
-#: SQL for the queries that DuckDB can express.
-ORACLE: dict[str, str] = {}
