@@ -113,7 +113,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, Data
     holds it; windows that follow each other merge into the maximal repeats. A repeat of `least` words has equal
     anchors in all documents, so none is missed, and no pairs of documents are made: a passage that a third of all
     documents share costs each of them its own windows. Minima are summed up in each task before they are shuffled,
-    and the joins on an anchor or window are inner equi-joins, which adaptive execution splits when hot.
+    and written, so that the joins on an anchor or window are plain inner equi-joins, which adaptive execution splits
+    where a key is hot.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seeds = stash(rows.mapInArrow(_seeds(least), "doc_id long, digest binary, n_words long, whole_sha256 string, anchors array<long>"), "seeds")
@@ -122,11 +123,11 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, Data
     heads = firsts.select(F.col("first_id").alias("doc_id"), "digest")
     anchors = seeds.select("doc_id", "digest", F.explode("anchors").alias("anchor")).join(heads, ["doc_id", "digest"], "left_semi").select("doc_id", "anchor")
     anchors = stash(anchors, "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    shared = stash(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "shared")
     marked = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     texts = stash(rows.join(marked, "doc_id").dropDuplicates(["doc_id", "text"]), "passages")
     spots = texts.mapInArrow(_windows_at_seeds(least), "window long, doc_id long, place int")
-    first = spots.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
+    first = stash(spots.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low"), "windows")
     hits = spots.join(first, "window").filter("doc_id > low").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     cuts = texts.select("doc_id", "text").join(hits, "doc_id")
     return known, cuts
