@@ -59,7 +59,7 @@ def _js(own: str, ref: str) -> str:
 
 _HELD = ", ".join(f"(length(t) - length(regexp_replace(t, '{p}', '', 'g')))::DOUBLE" for p in (c.replace("'", "''") for c in CLASSES.values()))
 _QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-    f AS (SELECT *, [{_HELD}] AS held, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_filter(list_transform(w, lambda x: lower(x)), lambda x: length(x) <= 4) AS short FROM d),
+    f AS (SELECT *, [{_HELD}] AS held, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(list_filter(w, lambda x: length(x) <= 4), lambda x: lower(x)) AS short FROM d),
     k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
     twice AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1), rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY doc_id),
     c AS (SELECT doc_id, lang, w, short, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

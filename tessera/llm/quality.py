@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, stash
 
-#: Character classes of the histogram; what none of them holds is a last class.
-CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "space": r"[\x20\x09-\x0D]+", "point": r"[.,;:!?'()\-]+"}
+#: Character classes of the histogram. Lower-case letters, most of any text, are counted as what none of the others holds.
+CLASSES = {"upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "space": r"[\x20\x09-\x0D]+", "point": r"[.,;:!?'()\-]+", "rest": r"[^\p{Ll}\p{Lu}\p{Nd}\x20\x09-\x0D.,;:!?'()\-]+"}
+SPACE = list(CLASSES).index("space")
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -19,7 +20,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def _sum(values: Column) -> Column:
@@ -30,40 +31,41 @@ def _after(values: Column, places: int) -> Column:
     return F.slice(values, places + 1, F.greatest(F.size(values) - places, F.lit(0)))
 
 
-def window_codes(codes: Column) -> Column:
-    """A code for each 5-word window, from the words' codes."""
-    two = F.zip_with(codes, _after(codes, 1), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(two, _after(two, 2), lambda a, b: F.xxhash64(a, b))
-    five = F.zip_with(four, _after(codes, 4), lambda a, b: F.xxhash64(a, b))
-    return F.slice(five, 1, F.greatest(F.size(codes) - 4, F.lit(0)))
+def window_codes(words: Column) -> Column:
+    """A code for each 5-word window. `words` must be a column that is already there: the function looks into it once
+    a window."""
+    codes = F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))
+    return F.when(F.size(words) >= 5, codes).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words in windows that occur twice or more: the windows are sorted by code, equal neighbours give their places,
-    and the places' five words are counted once each."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def with_repeated_words(rows: DataFrame, windows: str, out: str) -> DataFrame:
+    """Add the words in windows that occur twice or more: only where two codes are equal, the windows are sorted by
+    code, equal neighbours give their places, and the places' five words are counted once each."""
     none = F.array().cast("array<int>")
-    pairs = F.zip_with(placed, _after(placed, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none))
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.coalesce(p, none)))))
-    covered = F.zip_with(places, _after(places, 1), lambda a, b: F.coalesce(F.least(F.lit(5), b - a), F.lit(5)))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_sum(covered))
+    w = F.col(windows)
+    placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = once(rows, placed=F.when(F.size(F.array_distinct(w)) < F.size(w), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    p = F.col("placed")
+    pairs = F.zip_with(p, _after(p, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none))
+    rows = once(rows.drop(windows), places=F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.coalesce(x, none))))))
+    covered = F.zip_with("places", _after(F.col("places"), 1), lambda a, b: F.coalesce(F.least(F.lit(5), b - a), F.lit(5)))
+    return rows.withColumn(out, _sum(covered)).drop("placed", "places")
 
 
 def features(docs: DataFrame, short: int = 4) -> DataFrame:
-    """doc_id, lang, the base counts, the class histogram and the short lower-cased words of every whole text."""
+    """doc_id, lang, the base counts, the class histogram and the short words, lower-cased, of every whole text."""
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = once(rows, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
-    rows = once(rows, windows=window_codes(F.transform("words", lambda w: F.xxhash64(w))))
     held = [(F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("double") for p in CLASSES.values()]
+    rows = once(rows, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)), held=F.array(*held))
     rows = rows.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), _sum(F.transform("words", F.length)).alias("word_chars"),
+        "doc_id", "lang", "words", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).alias("n_repeat_words"), F.length("text").cast("double").alias("n_chars"), F.array(*held).alias("held"),
-        F.filter(F.transform("words", F.lower), lambda w: F.length(w) <= short).alias("short"),
     )
-    rest = F.greatest(F.col("n_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    return rows.withColumn("classes", F.concat("held", F.array(rest))).drop("held")
+    rows = once(rows, windows=window_codes(F.col("words")), short=F.transform(F.filter("words", lambda w: F.length(w) <= short), F.lower)).drop("words")
+    lower = F.greatest(F.col("n_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    rows = with_repeated_words(rows, "windows", "n_repeat_words")
+    return rows.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("held")[SPACE]).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", F.concat("held", F.array(lower)).alias("classes"), "short")
 
 
 def references(rows: DataFrame, top: int = 20) -> DataFrame:
