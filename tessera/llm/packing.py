@@ -148,7 +148,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
     return x
 
 
-def patterns(classes: int, depth: int = 3) -> list[tuple[int, ...]]:
+def patterns(classes: int, depth: int = 2) -> list[tuple[int, ...]]:
     """Non-increasing tuples of at most `depth` length classes that fill a sequence of `classes` classes exactly."""
     found = []
     for k in range(1, depth + 1):
@@ -177,7 +177,7 @@ class _Runs:
         return got
 
 
-def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int = 64, depth: int = 3) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int = 256, depth: int = 2) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Placements (length, first rank, last rank + 1, pieces a sequence, first sequence, offset), and the sequences used.
 
     Lengths are rounded up to `classes` classes; the repeat counts of all patterns of at most `depth` pieces are fitted
