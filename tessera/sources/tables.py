@@ -16,6 +16,23 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def checked(rows: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The rows, stopping the job at a value outside its fixed set (null passes)."""
+    for name, values in allowed.items():
+        if name in rows.columns:
+            rows = rows.withColumn(name, F.when(F.col(name).isNull() | F.col(name).isin(*values), F.col(name)).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), F.col(name)))))
+    return rows
+
+
+def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, footnotes) of pages in JSON lines, one row each, in reading order by (page, y, x)."""
+    from tessera.schemas import PAGE
+
+    pages = read_json_lines(spark, path, PAGE)
+    lines = pages.select(F.explode("lines").alias("l")).select("l.*")
+    return lines, pages.select(F.explode("footnotes").alias("f")).select("f.*")
+
+
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of terms: lists are split on | (roman lower-cased), section ids on white space, search is yes or not."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -177,3 +177,20 @@ def test_ask(spark):
     assert reason == {1: None, 2: None, 3: None, 4: "SECTION_NOT_FOUND", 5: "NO_RELEVANT_SOURCES", 6: "TAX_YEAR_NOT_COVERED"}
     first = {r["question_id"]: r["chunk_id"] for r in sources.filter("rank = 1").collect()}
     assert first[1] == "c2" and first[2] == "c1" and first[3] == "c3"
+
+
+def test_json_lines(spark, tmp_path):
+    from tessera import schemas
+    from tessera.sources.tables import checked, read_json_lines, read_pages
+
+    (tmp_path / "pages.jsonl").write_text('{"page": 1, "lines": [{"page": 1, "y": 2.0, "text": "a", "fn_refs": ["1"]}], "footnotes": [{"page": 1, "marker": "1", "text": "note"}]}\n\n{"page": 2, "lines": [], "footnotes": []}\n')
+    lines, notes = read_pages(spark, f"file://{tmp_path}/pages.jsonl")
+    assert [(r["text"], r["fn_refs"]) for r in lines.collect()] == [("a", ["1"])] and [r["marker"] for r in notes.collect()] == ["1"]
+    (tmp_path / "votes.jsonl").write_text('{"ask_id": "a", "rating": "up"}\n{"ask_id": "b", "rating": "sideways"}\n')
+    votes = read_json_lines(spark, f"file://{tmp_path}/votes.jsonl", schemas.FEEDBACK)
+    assert votes.count() == 2
+    with pytest.raises(Exception, match="rating: sideways"):
+        checked(votes, {"rating": schemas.ALLOWED["rating"]}).collect()
+    (tmp_path / "bad.jsonl").write_text('{"ask_id": "a", "id": "no number"}\n')
+    with pytest.raises(Exception):
+        read_json_lines(spark, f"file://{tmp_path}/bad.jsonl", schemas.FEEDBACK).collect()
