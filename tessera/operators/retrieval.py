@@ -35,7 +35,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: i
     stats = term_stats(docs, doc_key, "text")
     asked = queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
     total = stats.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
-    postings = stats.select(doc_key, "doc_len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # the outer form keeps the optimizer from testing each word array, and so making it, a second time
+    postings = stats.select(doc_key, "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi")
     tf = postings.groupBy("term", doc_key, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
@@ -87,7 +88,7 @@ def md5_mod(word: Column, modulus: int) -> Column:
 
 def sparse_postings(docs: DataFrame, key: str, text: str, dims: int = 10_000) -> DataFrame:
     """key, slot, weight: words hashed into `dims` slots and counted, the default encoder that needs no model."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("w")).select(key, md5_mod(F.col("w"), dims).alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
+    return docs.select(key, F.explode_outer(tokens(F.col(text))).alias("w")).filter("w IS NOT NULL").select(key, md5_mod(F.col("w"), dims).alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int) -> DataFrame:

@@ -19,7 +19,7 @@ def doc_term_stats(spark: SparkSession, d: str) -> DataFrame:
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and idf of every term."""
     docs = table(spark, d, "documents")
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(idf_of(F.col("n"), F.col("df")), 6).alias("idf"))
 
