@@ -314,3 +314,38 @@ def arrow_reranker(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", F.col("text").alias("p"))
     return q.join(c, "item_id").select("item_id", "turn", _keyword_score("q", "p").alias("score"))
+
+
+LAW_TEXTS = Fixture("ord int, chunk_id string, text string", [
+    (1, "s2-1", '(12) “company” means a company as defined in section 80; (10) "business" includes any trade; [(59AB)] “Small  Company” means more'), (2, "s2-2", "(13) “Company” means another; (29A) ‘imputable income’ in relation to tax"), (3, "s3", "no definition"),
+])
+
+
+@book.query("SELECT * FROM (VALUES ('company', '12', 's2-1', '80'), ('business', '10', 's2-1', NULL), ('small company', '59AB', 's2-1', NULL), ('imputable income', '29A', 's2-2', NULL)) t(term, clause, chunk_id, points_to)")
+def definition_index(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that a law defines, and where definitions point."""
+    return lookup.defined_terms(LAW_TEXTS.spark(spark))
+
+
+@book.query("""SELECT site, laws FROM (VALUES ('a', ['Finance Act, 2025', 'SRO 389(I)/2009']), ('b', ['Finance Act, 2022'])) t(site, laws)""")
+def amendments_union(spark: SparkSession, d: str) -> DataFrame:
+    """All laws that a section's notes name, newest first."""
+    rows = Fixture("site string, text string", [("a", "S.R.O. 389(I)/2009"), ("a", "by Finance Act, 2025"), ("a", "again the Finance Act, 2025"), ("b", "Finance Act, 2022")]).spark(spark)
+    laws = rows.select("site", F.explode(t.amending_laws(F.col("text"))).alias("law")).distinct()
+    aged = F.array_sort(F.collect_list(F.struct((-F.right("law", F.lit(4)).cast("int")).alias("age"), "law")))
+    return laws.groupBy("site").agg(F.transform(aged, lambda x: x["law"]).alias("laws"))
+
+
+_COMMON = ", ".join(f"'{w}'" for w in lookup.COMMON)
+
+
+@book.query(f"""WITH q AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '[a-z]{{4,}}')), lambda w: w NOT IN ({_COMMON})) AS ws FROM benchmark WHERE item_id < 3),
+    w AS (SELECT d.doc_id, text, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin FROM documents d, range(1500, 200000, 500) r(s) WHERE length(text) > 2500 AND s < length(text) - 250),
+    h AS (SELECT doc_id, begin, substr(text, begin + 1, 1000) AS win, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, begin + 1, 1000)), '[a-z]{{4,}}')), (SELECT ws FROM q))) AS n FROM w),
+    b AS (SELECT * FROM h WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, begin) = 1)
+    SELECT doc_id, md5(CASE WHEN length(text) <= 2500 THEN text WHEN b.begin >= 2000 THEN substr(text, 1, 1500) || ' … ' || win || ' …' ELSE substr(text, 1, 2500) || ' …' END) AS fitted_md5 FROM documents LEFT JOIN b USING (doc_id)""")
+def fit_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Long documents cut to their head and the window nearest to the first benchmark items."""
+    focus = table(spark, d, "benchmark").filter("item_id < 3").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return lookup.fitted(docs, "doc_id", "text", focus, 2500).select("doc_id", F.md5(F.col("text").cast("binary")).alias("fitted_md5"))
