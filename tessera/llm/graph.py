@@ -11,7 +11,7 @@ from tessera.llm.common import stash
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours (larger ones in a large step, smaller ones in a small step) to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     linked = both.join(least, "u")
     if large:
         new = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,8 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); a component is named by its least node.
 
     Each round halves the depth of the trees that the links form, so the rounds grow with the logarithm of the longest
-    chain. Every round is written to the shared folder. Minima are summed up in each task first, and the joins on a
-    node with very many neighbours are inner equi-joins, which adaptive execution splits.
+    chain. Every round is written to the shared folder. Minima are summed up in each task first and written, so that
+    the join back is a plain inner equi-join, which adaptive execution splits at a node with very many neighbours.
     """
     now = stash(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None

@@ -141,11 +141,12 @@ class PpmModel:
         return total
 
 
-def training_sample(docs: DataFrame, docs_per_language: int, bytes_per_language: int) -> dict[str, list[bytes]]:
-    """Whole texts of a bounded hash sample for each language: at most `docs_per_language` documents, and none is begun
-    beyond `bytes_per_language`. The sample depends on the doc_ids alone, and does not grow with the corpus."""
+def training_sample(docs: DataFrame, docs_per_language: int, bytes_per_language: int, max_languages: int = 200) -> dict[str, list[bytes]]:
+    """Whole texts of a bounded hash sample for each of the (at most `max_languages`, the most frequent) languages: at
+    most `docs_per_language` documents, and none is begun beyond `bytes_per_language`. The sample depends on the
+    doc_ids alone, and does not grow with the corpus."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return {}
     span = 1 << 30

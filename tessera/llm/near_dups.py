@@ -244,10 +244,10 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     depths = choose_depths({(r["tree"], r["depth"]): r["pairs"] for r in costs}, threshold, recall)
 
     members = heads.mapInArrow(_members(depths), "doc_id long, tree int, node long")
-    counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    counts = stash(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "nodes")
     crowd = stash(members.join(counts, "node"), "members")
-    homes = crowd.groupBy("doc_id").agg(F.min("least").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
+    homes = stash(crowd.groupBy("doc_id").agg(F.min("least").alias("home")), "homes")
+    sizes = stash(homes.groupBy("home").agg(F.count(F.lit(1)).alias("m")), "home-sizes")
     tiles = stash(homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / TILE_BLOCK).cast("long"))).alias("block")), "blocks")
     known = heads.mapInArrow(_with_keys(depths), "doc_id long, nodes binary").join(tiles, "doc_id")
     rows = crowd.join(known, "doc_id").withColumn("parts", F.ceil(F.col("n") / NODE_BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts").cast("long")).cast("int"))
