@@ -263,7 +263,7 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     work = pairs.select("one", "two", F.col("a").alias("pairs_a"), F.col("b").alias("pairs_b"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("text"))
     tiled = load.unionByName(work).repartition("one", "two").sortWithinPartitions("one", "two")
     found = stash(tiled.mapInArrow(_verify(width, threshold), "doc_id long, links long, other long"), "links")
-    links = found.filter("other IS NULL").groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links"))
+    links = stash(found.filter("other IS NULL").groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links")), "link-sums")
     edges = found.filter("other IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("other").alias("v"))
     return classes, links, edges
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     doc_id with other texts, each is reported. An empty table gives an empty result.
     """
     classes, links, edges = similarity_links(docs, width, threshold, recall)
-    groups = components(edges)
+    groups = stash(components(edges), "components")  # written, as the links are: joins with hot copies can then be split
     joined = classes.join(links, "copy_id", "left").join(groups.withColumnRenamed("node", "copy_id"), "copy_id", "left")
     return joined.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
 
