@@ -248,9 +248,9 @@ def resolved_models(spark: SparkSession, d: str) -> DataFrame:
     return MODELS.spark(spark).select("role", F.get(F.array_except("chain", "unavailable"), F.lit(0)).alias("model"))
 
 
-@book.query("""SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n, round(avg(CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END), 4) AS with_lines FROM (SELECT CASE WHEN source = 'src1' THEN 'fbr' ELSE lang END AS source, text FROM documents) GROUP BY GROUPING SETS ((source), ())""")
+@book.query("""SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n, round(avg(CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END), 4) AS with_lines FROM (SELECT CASE WHEN source = 'src1' THEN 'own' ELSE lang END AS source, text FROM documents) GROUP BY GROUPING SETS ((source), ())""")
 def report_groups(spark: SparkSession, d: str) -> DataFrame:
     """Report groups, one source on its own, with a total."""
-    g = table(spark, d, "documents").select(F.when(F.col("source") == "src1", "fbr").otherwise(F.col("lang")).alias("source"), F.contains("text", F.lit("\n")).cast("int").alias("x"))
+    g = table(spark, d, "documents").select(F.when(F.col("source") == "src1", "own").otherwise(F.col("lang")).alias("source"), F.contains("text", F.lit("\n")).cast("int").alias("x"))
     sets = g.groupingSets([[F.col("source")], []], F.col("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("with_lines"), F.grouping("source").alias("__total"))
     return sets.select(F.when(F.col("__total") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "with_lines")
