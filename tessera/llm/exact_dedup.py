@@ -182,8 +182,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     lost = stash(report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("kept").alias("repeat")).distinct(), "copies")
     marked = packed(docs, doc_id=F.col("doc_id").cast("long"), sha256=text_digest())
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("sha"))
-    whole = marked.join(lost, same, "left_anti")
+    whole = marked.join(lost.hint("merge"), same, "left_anti")  # one way at every size: a table of copies has no bound
     twice = lost.filter("repeat")
     if twice.head(1):  # rows that repeat doc_id and text are rare: without them the texts are shuffled once
-        whole = whole.unionByName(marked.join(twice, same, "left_semi").dropDuplicates(["doc_id", "sha256"]))
+        whole = whole.unionByName(marked.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "sha256"]))
     return whole.select("row.*")

@@ -258,7 +258,7 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
 
     meets = pairs.select("one", "two").distinct().withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
     some = tiles.join(heads.select("doc_id", "copies"), "doc_id")
-    texts = stash(ids.join(some, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", F.col("copies").alias("size"), "text"), "texts")
+    texts = stash(ids.join(some.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", F.col("copies").alias("size"), "text"), "texts")
     load = meets.join(texts, "block").select("one", "two", F.lit(None).cast("binary").alias("pairs_a"), F.lit(None).cast("binary").alias("pairs_b"), "doc_id", "size", "text")
     work = pairs.select("one", "two", F.col("a").alias("pairs_a"), F.col("b").alias("pairs_b"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("text"))
     tiled = load.unionByName(work).repartition("one", "two").sortWithinPartitions("one", "two")
@@ -286,4 +286,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents with one of each class (the least doc_id), all columns as they were; rows without doc_id stay."""
     lost = stash(near_duplicates(docs, width, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("lost")).distinct(), "near")
-    return packed(docs, id=F.col("doc_id").cast("long")).join(lost, F.col("id") == F.col("lost"), "left_anti").select("row.*")
+    return packed(docs, id=F.col("doc_id").cast("long")).join(lost.hint("merge"), F.col("id") == F.col("lost"), "left_anti").select("row.*")
