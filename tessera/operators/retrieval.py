@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,8 @@ def idf_of(n: Column, df: Column) -> Column:
     return F.ln(F.lit(1) + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_key, doc_key, score (6 digits), rank: the k best documents of each query.
+def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, k1: float = 1.5, b: float = 0.75, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_key, doc_key, score (6 digits), rank: the k best documents of each query, of those pairs that `keep` leaves.
 
     A query term counts as often as it occurs. Only postings of query terms leave the scan: lengths are sizes of the
     word arrays, and terms are joined with the queries' terms before anything is shuffled by document.
@@ -42,7 +44,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: i
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     part = F.col("qtf") * idf_of(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored.filter("score > 0"), [query_key], F.col("score"), [doc_key], k)
+    scored = scored.filter("score > 0")
+    return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
 
 
 def _packed(vectors: DataFrame, key: str, vector: str, per_block: int, n_rows: int) -> DataFrame:
@@ -91,12 +94,13 @@ def sparse_postings(docs: DataFrame, key: str, text: str, dims: int = 10_000) ->
     return docs.select(key, F.explode_outer(tokens(F.col(text))).alias("w")).filter("w IS NOT NULL").select(key, md5_mod(F.col("w"), dims).alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int) -> DataFrame:
-    """The k best documents of each query by the dot product over shared slots; queries without words give no rows."""
+def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The k best documents of each query by the dot product over shared slots, of those pairs that `keep` leaves;
+    queries without words give no rows."""
     asked = sparse_postings(queries, query_key, "text").withColumnRenamed("weight", "qw")
     stored = sparse_postings(docs, doc_key, "text")
     scored = stored.join(asked, "slot").groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("qw")).cast("double").alias("score"))
-    return top_k(scored, [query_key], F.col("score"), [doc_key], k)
+    return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
 
 
 def fuse(rankings: list[DataFrame], query_key: str, doc_key: str, k: int, constant: int = 60) -> DataFrame:

@@ -36,15 +36,20 @@ def ask(questions: DataFrame, chunks: DataFrame, sections: DataFrame, current_ye
 
     decisions: question_id, language, tax_year, reason (null where answered), top. sources: question_id, chunk_id,
     score, rank of the `answered` best. Named sections are pinned ahead of what search finds; only the `reranked`
-    fused candidates of a question reach the scorer, since the cheap ranking is cut before the costly one begins.
+    fused candidates of a question reach the scorer, since the cheap ranking is cut before the costly one begins. Both
+    searches rank only chunks of the question's year, so chunks of other years take no place; word statistics are of all.
     chunks: chunk_id, section_id, text, tax_year_from, tax_year_to; sections: kind, number, section_id.
     """
     plan = plan_questions(questions, current_year)
     docs = chunks.select("chunk_id", "text")
-    lists = [f(docs, questions, "chunk_id", "question_id", candidates) for f in (sparse_search, bm25)]
     years = plan.select("question_id", "tax_year")
     valid = chunks.select("chunk_id", "section_id", "tax_year_from", "tax_year_to")
-    found = fuse(lists, "question_id", "chunk_id", 2 * candidates).join(valid, "chunk_id").join(years, "question_id").filter(in_year(F.col("tax_year")))
+
+    def of_year(pairs: DataFrame) -> DataFrame:
+        return pairs.join(valid, "chunk_id").join(years, "question_id").filter(in_year(F.col("tax_year"))).select(*pairs.columns)
+
+    lists = [f(docs, questions, "chunk_id", "question_id", candidates, keep=of_year) for f in (sparse_search, bm25)]
+    found = fuse(lists, "question_id", "chunk_id", 2 * candidates)
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).filter(F.col("n") <= reranked)
     refs = named_sections(questions, sections)
     pieces = refs.filter("section_id IS NOT NULL").join(valid, "section_id").join(years, "question_id").filter(in_year(F.col("tax_year")))

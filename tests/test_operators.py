@@ -179,6 +179,19 @@ def test_ask(spark):
     assert first[1] == "c2" and first[2] == "c1" and first[3] == "c3"
 
 
+def test_ask_ranks_only_the_year(spark):
+    from tessera.plans.answering import ask
+
+    old = [(f"a{i:02d}", "L-s1", "salary income of employers", 2010, 2020) for i in range(40)]
+    chunks = spark.createDataFrame([*old, ("z1", "L-s1", "salary income is taxed monthly by employers, says this section", 2021, None)], "chunk_id string, section_id string, text string, tax_year_from int, tax_year_to int")
+    sections = spark.createDataFrame([("section", "1", "L-s1")], "kind string, number string, section_id string")
+    questions = spark.createDataFrame([(1, "salary income of employers"), (2, "salary income of employers tax year 2015")], "question_id int, text string")
+    decisions, sources = ask(questions, chunks, sections, 2027, 2003, 2027)
+    assert {r["question_id"]: r["reason"] for r in decisions.collect()} == {1: None, 2: None}
+    found = {(r["question_id"], r["chunk_id"]) for r in sources.collect()}
+    assert {c for q, c in found if q == 1} == {"z1"} and len({c for q, c in found if q == 2}) == 6 and (2, "z1") not in found
+
+
 def test_json_lines(spark, tmp_path):
     from tessera import schemas
     from tessera.sources.tables import checked, read_json_lines, read_pages
