@@ -10,10 +10,11 @@ from pyspark.sql.types import DoubleType
 from tessera.functions import text as t
 from tessera.functions.numbers import calculate_udf, numbers_udf
 from tessera.operators import lookup
-from tessera.operators.retrieval import md5_mod
+from tessera.operators.retrieval import bm25, md5_mod
 from tessera.operators.serving import flagged, refusal
 from tessera.plans.fixtures import Fixture
 from tessera.plans.registering import Book
+from tessera.plans.retrieval_queries import _BM25
 from tessera.plans.summary_queries import _LANG
 from tessera.sources.tables import table
 
@@ -349,3 +350,44 @@ def fit_sources(spark: SparkSession, d: str) -> DataFrame:
     focus = table(spark, d, "benchmark").filter("item_id < 3").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     return lookup.fitted(docs, "doc_id", "text", focus, 2500).select("doc_id", F.md5(F.col("text").cast("binary")).alias("fitted_md5"))
+
+
+_CANDIDATES = 30
+_SHARED = """pair AS (SELECT item_id, doc_id FROM bmr WHERE rank <= {k}),
+    iw AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS w FROM benchmark),
+    starts AS (SELECT doc_id, text, unnest(range({first}, length(text) - {rest}, {step})) AS s FROM documents WHERE {long}),
+    win AS (SELECT DISTINCT doc_id, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin, text FROM starts),
+    hw AS (SELECT doc_id, begin, unnest(list_distinct(regexp_extract_all(lower(substr(text, begin + 1, {size})), '[a-z]{{4,}}'))) AS w FROM win)"""
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, the candidate documents of every benchmark item, and the words of every item."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    return docs, bm25(docs, items, "doc_id", "item_id", _CANDIDATES).select("item_id", "doc_id"), items.select("item_id", F.explode(words).alias("w"))
+
+
+@book.query(f"""WITH {_BM25}, {_SHARED.format(k=_CANDIDATES, first=600, rest=200, step=600, size=800, long='true')},
+    idf AS (SELECT w, ln((SELECT count(*) FROM documents) / count(*)) AS v FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS w FROM documents) GROUP BY w),
+    sc AS (SELECT item_id, doc_id, begin, round(sum(v), 6) AS score FROM pair JOIN iw USING (item_id) JOIN hw USING (doc_id, w) JOIN idf USING (w) GROUP BY ALL)
+    SELECT item_id, doc_id, CAST(begin AS INTEGER) AS begin, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, begin) = 1""")
+def best_window_per_item(spark: SparkSession, d: str) -> DataFrame:
+    """For every benchmark item, the window of each of its candidate documents with the most rare words of the item."""
+    docs, pairs, asked = _asked(spark, d)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    df = docs.select(F.explode(words).alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).select("w", F.ln(F.col("n") / F.col("df")).alias("v"))
+    hits = lookup.shared_words(docs, "doc_id", "text", pairs, asked, "item_id", 800).join(idf, "w")
+    scores = hits.groupBy("item_id", "doc_id", "begin").agg(F.round(F.sum("v"), 6).alias("score")).filter("score > 0")
+    return scores.withColumn("k", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("score"), "begin"))).filter("k = 1").drop("k")
+
+
+@book.query(f"""WITH {_BM25}, {_SHARED.format(k=_CANDIDATES, first=1500, rest=250, step=500, size=1000, long='length(text) > 2500')},
+    cn AS (SELECT item_id, doc_id, begin, count(*) AS n FROM pair JOIN iw USING (item_id) JOIN hw USING (doc_id, w) WHERE w NOT IN ({_COMMON}) GROUP BY ALL),
+    b AS (SELECT * FROM cn QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, begin) = 1)
+    SELECT item_id, doc_id, md5(CASE WHEN length(text) <= 2500 THEN text WHEN b.begin >= 2000 THEN substr(text, 1, 1500) || ' … ' || substr(text, b.begin + 1, 1000) || ' …' ELSE substr(text, 1, 2500) || ' …' END) AS fitted_md5
+    FROM pair JOIN documents USING (doc_id) LEFT JOIN b USING (item_id, doc_id)""")
+def fit_sources_per_item(spark: SparkSession, d: str) -> DataFrame:
+    """For every benchmark item, its candidate documents cut to their head and the window nearest to the item."""
+    docs, pairs, asked = _asked(spark, d)
+    return lookup.fitted_pairs(docs, "doc_id", "text", pairs, asked, "item_id", 2500).select("item_id", "doc_id", F.md5(F.col("text").cast("binary")).alias("fitted_md5"))

@@ -192,6 +192,26 @@ def test_ask_ranks_only_the_year(spark):
     assert {c for q, c in found if q == 1} == {"z1"} and len({c for q, c in found if q == 2}) == 6 and (2, "z1") not in found
 
 
+def test_windows_are_chosen_for_each_question(spark):
+    from tessera.operators.lookup import fitted_pairs, shared_words
+
+    text = " ".join(["filler"] * 500 + ["zebra"] + ["filler"] * 500 + ["quagga"] + ["filler"] * 300)
+    docs = spark.createDataFrame([(1, text), (2, "zebra quagga")], "doc_id int, text string")
+    pairs = spark.createDataFrame([(7, 1), (8, 1), (8, 2)], "item_id int, doc_id int")
+    asked = spark.createDataFrame([(7, "zebra"), (8, "quagga"), (9, "filler")], "item_id int, w string")
+    found = {(r["item_id"], r["doc_id"], r["w"]) for r in shared_words(docs, "doc_id", "text", pairs, asked, "item_id", 800).collect()}
+    assert found == {(7, 1, "zebra"), (8, 1, "quagga")}
+    fit = {(r["item_id"], r["doc_id"]): r["text"] for r in fitted_pairs(docs, "doc_id", "text", pairs, asked, "item_id", 2500).collect()}
+    assert "zebra" in fit[7, 1] and "quagga" not in fit[7, 1] and "quagga" in fit[8, 1] and "zebra" not in fit[8, 1] and fit[8, 2] == "zebra quagga"
+
+
+def test_windows_cover_every_item(spark):
+    from tessera.plans.registry import QUERIES
+
+    items = {r["item_id"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+    assert {r["item_id"] for r in QUERIES["fit_sources_per_item"](spark, "/root/testdata/sf0.001").collect()} == items
+
+
 def test_json_lines(spark, tmp_path):
     from tessera import schemas
     from tessera.sources.tables import checked, read_json_lines, read_pages
