@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 KINDS = ("email", "ip", "phone", "card", "iban", "ssn", "date", "token")
+TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,12 +85,37 @@ def _ip(m, key):
     return ".".join(map(str, v.to_bytes(4, "big")))
 
 
+def _country(digits: str) -> int:
+    """How many digits the country code at the start of an international number has."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_COUNTRIES else 3
+
+
 def _phone(m, key):
     digits = _digits(m)
-    if not 10 <= len(digits) <= 15:
+    n = len(digits)
+    if m[0] == "+" or digits.startswith("00"):
+        zeros = 0 if m[0] == "+" else 2
+        if not 8 <= n - zeros <= 15:
+            return None
+        head = zeros + _country(digits[zeros:])
+        head += m.count("(0)") if digits[head] == "0" else 0
+    elif digits[0] == "0":
+        if not 9 <= n <= 15:
+            return None
+        low = 10 ** (n - 2)  # after the trunk 0 no other one
+        return _refill(m, f"0{low + permute(int(digits) - low, 9 * low, key, f'phone0{n}')}")
+    elif n == 9 and digits[0] in "6789":
+        return _refill(m, str(6 * 10**8 + permute(int(digits) - 6 * 10**8, 4 * 10**8, key, "phone9")))
+    elif 10 <= n <= 15:
+        head = n - 10
+    else:
         return None
-    own = digits[-10:]
-    return _refill(m, digits[:-10] + _permuted(own, key, "phone"))
+    return _refill(m, digits[:head] + _permuted(digits[head:], key, "phone"))
+
+
+def _local(m, key):
+    """A phone number in three groups, without + or leading 0."""
+    return _phone(m, key) if len(_digits(m)) >= 10 else None
 
 
 def _card(m, key):
@@ -147,20 +173,27 @@ def _token(m, key):
     return text.upper() if m.isupper() else text
 
 
+#: What after a blank is a value of its own and no part of the phone number before it: an address, a date, an SSN, a card.
+_OTHER = r"(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[0-9]{13}|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9a-fA-F]{32})"
+_NEXT = rf"(?:(?:[./-]| (?!{_OTHER}))?\(?[0-9]\)?)"
 #: Where each kind may stand; the makers validate what is found there.
 _FOUND = re.compile(
     r"(?P<email>[A-Za-z0-9À-ÿ._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})"
     r"|(?<![A-Za-z0-9.])(?:"
     r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9]|\.[0-9])"
-    r"|(?P<date>(?:\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{1,2}([-/.])\d{1,2}\5\d{4}))(?![0-9A-Za-z])"
+    r"|(?P<date>(?:\d{4}([-/.])\d{1,2}\4\d{1,2}|\d{1,2}([-/.])\d{1,2}\5\d{4}))(?:(?![0-9A-Za-z])|(?=[Tt][0-9]{2}(?![A-Za-z])|Z(?![0-9A-Za-z])))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![-0-9A-Za-z])"
     r"|(?P<token>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
-    r"|(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ ]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{10,15})(?![0-9A-Za-z])"
+    r"|(?P<card>(?!00[1-9][0-9]{7,12}(?![0-9]))\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z])"
+    r"|(?P<phone>(?:\+|00 ?)1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}"
+    rf"|\+[0-9]{_NEXT}{{7,14}}|00 ?[1-9]{_NEXT}{{7,14}}"
+    rf"|(?<![0-9],)(?:0[1-9](?:[ .-][0-9]{{2}}){{4}}|0 8[0-9]{{2}}(?: [0-9]{{3}}){{2}}|\(?0\)?[1-9]\)?{_NEXT}{{7,10}})"
+    r"|(?<![0-9][ -])[6-9][0-9]{2}(?: [0-9]{3} [0-9]{3}|-[0-9]{3}-[0-9]{3}|(?: [0-9]{2}){3}|(?:-[0-9]{2}){3})(?![ -]?[0-9]))(?![0-9A-Za-z])"
+    r"|(?P<local>(?:\(\d{2,4}\)[ ]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})(?![0-9A-Za-z])"
     r")"
 )
-_MAKERS = {"email": _email, "ip": _ip, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "date": _date, "token": _token}
+_MAKERS = {"email": _email, "ip": _ip, "phone": _phone, "local": _local, "card": _card, "iban": _iban, "ssn": _ssn, "date": _date, "token": _token}
 
 
 class Pseudonymizer:
@@ -188,7 +221,7 @@ class Pseudonymizer:
             new = self.value(kind, found)
             if new is None:
                 return found
-            counts[kind] += 1
+            counts["phone" if kind == "local" else kind] += 1
             return new
 
         return _FOUND.sub(put, text), counts
@@ -215,7 +248,9 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     Valid e-mail names, IPv4 addresses, phone and card numbers (Luhn), IBANs (mod 97), social security numbers, dates
     from 1900 to 2099 and hexadecimal tokens of 32 to 64 digits are permuted within
     their kind and form, so the result is valid again and equal values stay equal in all documents, for one key. What
-    is not valid stays. A text without digit or @ is passed on unread; a null text stays null. Rows are independent.
+    is not valid stays. Phone numbers are international ones (+ or 00) of 8 to 15 digits, national ones of 9 to 12 with
+    a leading 0, of 10 to 15 in three groups, and of 9 from 6 to 9 in groups of 3 or 2; country codes and the leading 0
+    stay. Numbers without +, leading 0 or groups are not taken for phones. The time after a date stays. A text without digit or @ is passed on unread; a null text stays null. Rows are independent.
     """
     look = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", look.alias("look"))

@@ -255,6 +255,37 @@ def test_pseudonyms_keep_their_form():
     assert p.text(text)[0] == new and Pseudonymizer(b"other").text(text)[0] != new
 
 
+@pytest.mark.parametrize("phone", ["+49 30 1234567", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "0151 23456789", "030/1234567", "(030) 123 45 67", "612 345 678", "612 34 56 78", "+33 6 12 34 56 78", "+49 (0)30 1234567", "0049 30 1234567", "0049301234567", "+34 612 345 678", "+493012345678", "+44 20 7946 0958"])
+def test_phone_forms(phone):
+    p = Pseudonymizer(b"key")
+    new, n = p.text(f"Call {phone}, or (call {phone}).")
+    assert n["phone"] == 2 and sum(n.values()) == 2 and phone not in new
+    made = re.fullmatch(r"Call (.*), or \(call (.*)\)\.", new).groups()
+    assert made[0] == made[1] and re.sub("[0-9]", "9", made[0]) == re.sub("[0-9]", "9", phone)
+    assert p.text(f"Call {made[0]}.")[1]["phone"] == 1  # valid again
+
+
+def test_values_after_a_phone():
+    p = Pseudonymizer(b"key")
+    alone = [p.text(x)[0] for x in ("+1 (826) 555-4081", "+49 30 1234567", "06 12 34 56 78", "030 1234567")]
+    for phone, made in zip(("+1 (826) 555-4081", "+49 30 1234567", "06 12 34 56 78", "030 1234567"), alone, strict=True):
+        for other, kind in (("190.137.223.204", "ip"), ("2024-05-01", "date"), ("1.5.2024", "date"), ("123-45-6789", "ssn"), ("4111 1111 1111 1111", "card"), ("4111111111111111", "card"), ("0123456789" * 4, "token")):
+            new, n = p.text(f"{phone} {other}")
+            assert n["phone"] == 1 and n[kind] == 1 and new == f"{made} {p.text(other)[0]}", (phone, other)
+    assert p.text("+1 (826) 555-4081 2024")[0] == alone[0] + " 2024" and p.text("06 12 34 56 78 12 times")[0] == alone[2] + " 12 times"
+
+
+def test_numbers_that_are_no_phones():
+    text = "0 190.300.223.204, 0 12 345 678 91, 0.123456789, 3,0123456789, 00000000000, 1 612 345 678, 612 345 678 901, 12 345 6789, 123456789, 2019-2020, 1.234.567,89, v0.12.34, 1234567890123"
+    assert Pseudonymizer(b"key").text(text)[0] == text
+
+
+def test_dates_before_a_time():
+    new, n = Pseudonymizer(b"key").text("at 2024-05-01T10:00:00Z, 2024-05-01t1000, 2024-05-01Z and 2024-05-01, not 2024-05-01Tuesday")
+    assert n["date"] == 4 and sum(n.values()) == 4
+    assert re.fullmatch(r"at (\d{4}-\d\d-\d\d)T10:00:00Z, \1t1000, \1Z and \1, not 2024-05-01Tuesday", new) and "2024-05-01T10" not in new
+
+
 def test_pseudonymize_table(docs):
     found = by_id(pseudonymize(docs, b"k"))
     for doc, text in TEXTS:
