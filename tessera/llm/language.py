@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stash
 from tessera.llm.wordcodes import arrow_rows, batched
 
 ORDER = 3
@@ -141,58 +144,74 @@ class PpmModel:
         return total
 
 
-def training_sample(docs: DataFrame, docs_per_language: int, bytes_per_language: int, max_languages: int = 200) -> dict[str, list[bytes]]:
-    """Whole texts of a bounded hash sample for each of the (at most `max_languages`, the most frequent) languages: at
-    most `docs_per_language` documents, and none is begun beyond `bytes_per_language`. The sample depends on the
-    doc_ids alone, and does not grow with the corpus."""
+def training_sample(docs: DataFrame, docs_per_language: int, bytes_per_language: int, languages_per_block: int = 8, max_broadcast: int = 100_000) -> DataFrame:
+    """lang, block, text (bytes) of a bounded hash sample for every language: at most `docs_per_language` documents and
+    `bytes_per_language` bytes, the last text cut there. Languages by name are dealt to blocks of
+    `languages_per_block`. The sample depends on the doc_ids alone, and does not grow with the corpus; the languages
+    are one row each, broadcast up to `max_broadcast`."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not counts:
-        return {}
     span = 1 << 30
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    block = F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / languages_per_block).cast("int")  # over one row a language
+    limits = stash(counts.select("lang", block.alias("block"), F.least(F.lit(span), F.floor(F.lit(span * docs_per_language) / F.col("n"))).alias("below")), "languages")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span))
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(span, int(span * docs_per_language / n)))])
-    rows = labelled.filter(place < limits[F.col("lang")]).select("lang", "text", place.alias("place")).collect()
-    found: dict[str, list[bytes]] = {k: [] for k in counts}
-    size: dict[str, int] = dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
-        k = r["lang"]
-        if len(found[k]) < docs_per_language and size[k] < bytes_per_language:
-            found[k].append(r["text"].encode())
-            size[k] += len(found[k][-1])
-    return found
-
-
-def _score(shared, columns: list[str]):
+    rows = labelled.select("lang", F.substring(F.col("text").cast("binary"), 1, bytes_per_language).alias("text"), place.alias("place"))
+    rows = rows.join(F.broadcast(limits) if limits.count() <= max_broadcast else limits, "lang").filter(F.col("place") < F.col("below"))
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("left", (bytes_per_language - before).cast("int"))
+    return rows.filter((F.col("at") <= docs_per_language) & (F.col("left") > 0)).select("lang", "block", F.expr("substring(text, 1, left)").alias("text"))
+
+
+def _fit(rows: pa.Table) -> pa.Table:
+    """The model of one block of languages, as one row."""
+    samples: dict[str, list[bytes]] = {}
+    for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
+        samples.setdefault(lang, []).append(text)
+    return pa.table({"model": pa.array([pickle.dumps(PpmModel(samples))], pa.binary())})
+
+
+def _in_turn(shared: Sequence[Broadcast]) -> Iterator[PpmModel]:
+    """The models of all blocks; of several, only one is in memory at a time."""
+    for s in shared:
+        yield s.value
+        if len(shared) > 1 and getattr(s, "_path", None):
+            s.__dict__.pop("_value", None)
+
+
+def _score(shared: Sequence[Broadcast], columns: list[str]):
     def run(batches):
-        model: PpmModel = shared.value
-        names = np.array(model.langs)
         for held in batched(arrow_rows(batches, *columns, "text"), len(columns)):
             texts = [r[-1] for r in held]
-            bits = model.code_lengths(texts)
-            best = bits.argmin(1)
-            least = bits[np.arange(len(best)), best]
-            share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+            name, least, total = np.full(len(texts), "", object), np.full(len(texts), np.inf), np.zeros(len(texts))
+            for model in _in_turn(shared):
+                bits = model.code_lengths(texts)
+                best = bits.argmin(1)
+                own, low = np.array(model.langs, object)[best], bits[np.arange(len(best)), best]
+                name = np.where((low < least) | ((low == least) & (own < name)), own, name)
+                both = np.minimum(least, low)
+                total = total * np.exp2(np.maximum(both - least, -1000)) + np.exp2(np.maximum(both[:, None] - bits, -1000)).sum(1)
+                least = both
             rate = least / np.maximum(1, [len(t) for t in texts])
             own = [pa.array([r[j] for r in held]) for j in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(share, pa.float64()), pa.array(rate, pa.float64())], names=[*columns, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(name.tolist(), pa.string()), pa.array(1 / total, pa.float64()), pa.array(rate, pa.float64())], names=[*columns, "lang_pred", "score", "bits_per_byte"])
 
     return run
 
 
-def identify(docs: DataFrame, model: PpmModel | None, key: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, models: Sequence[Broadcast], key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score (0 to 1: the share of the likelihood), bits_per_byte for every whole text.
 
     `und` with score 0 where the text is null or has no letter, or where nothing was learned. Ties go to the first
-    language by name. Repeated rows are scored each; only `key` and the text are read.
+    language by name. Repeated rows are scored each; only `key` and the text are read. models: one of each block of
+    languages, as `train` gives them; a text keeps its least code length over all of them.
     """
     rows = docs.select(F.col(key).cast("long").alias(key), "text")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    if model is None or not model.langs:
+    if not models:
         return rows.select(key, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     schema = f"{key} long, letters boolean, lang_pred string, score double, bits_per_byte double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = rows.select(key, lettered.alias("letters"), "text").mapInArrow(_score(shared, [key, "letters"]), schema)
+    scored = rows.select(key, lettered.alias("letters"), "text").mapInArrow(_score(models, [key, "letters"]), schema)
     return scored.select(
         key, F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte",
@@ -203,10 +222,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, docs_per_language: int = 300, bytes_per_language: int = 1_000_000) -> PpmModel | None:
-    """A model of the labelled documents outside the held-out fold; None where there are none."""
-    samples = training_sample(docs.filter(~held_out()).select("doc_id", "lang", "text"), docs_per_language, bytes_per_language)
-    return PpmModel(samples) if samples else None
+def train(docs: DataFrame, docs_per_language: int = 300, bytes_per_language: int = 1_000_000) -> list[Broadcast]:
+    """Models of the labelled documents outside the held-out fold, one a block of languages; none where there are none.
+    They are fitted in tasks and written; the driver passes them on one by one."""
+    sample = training_sample(docs.filter(~held_out()).select("doc_id", "lang", "text"), docs_per_language, bytes_per_language)
+    fitted = stash(sample.groupBy("block").applyInArrow(_fit, "model binary"), "models")
+    return [docs.sparkSession.sparkContext.broadcast(pickle.loads(r["model"])) for r in fitted.toLocalIterator()]
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -215,17 +236,16 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_bytes: int = 50, model: PpmModel | None = None) -> DataFrame:
+def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_bytes: int = 50, models: Sequence[Broadcast] | None = None) -> DataFrame:
     """The documents that have a language, all columns as they were, without a shuffle.
 
     A row goes if it is `und`, or if its best language needs over `most_bits_per_byte` for the whole text of at least
     `least_bytes`: bytes that none of the learned languages explains. Shorter texts are too little to tell. Where nothing could be learned, only texts without a letter go.
     """
-    model = model or train(docs)
+    shared = train(docs) if models is None else models
     lettered = docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    if model is None:
+    if not shared:
         return lettered
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
         for b in batches:
@@ -234,7 +254,10 @@ def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_byt
             for held in batched(iter([(t,) for t in texts]), 0):
                 part = [t for t, in held]
                 size = np.array([len(t) for t in part])
-                mask += ((size < least_bytes) | (shared.value.code_lengths(part).min(1) <= most_bits_per_byte * size)).tolist()
+                least = np.full(len(part), np.inf)
+                for model in _in_turn(shared):
+                    least = np.minimum(least, model.code_lengths(part).min(1))
+                mask += ((size < least_bytes) | (least <= most_bits_per_byte * size)).tolist()
             yield b.filter(pa.array(mask, pa.bool_()))
 
     return lettered.mapInArrow(keep, docs.schema)

@@ -384,6 +384,40 @@ def test_languages_without_labels(spark):
     assert out[0]["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(spark):
+    from tessera.llm.language import held_out
+
+    letters = "abcdefghijklmnop"
+    ids = [r["id"] for r in spark.range(1200).filter(~held_out("id")).collect()]
+    rows = [(ids.pop(), f"{letters[k // 16]}{letters[k % 16]}{letters[k * 7 % 16]} " * 30, f"x{k:03d}") for k in range(205) for _ in range(2)]
+    rare = "qué wünscht zyx "
+    docs = spark.createDataFrame([*rows, (ids.pop(), rare * 30, "zz")], "doc_id long, text string, lang string")
+    found = predict_languages(docs)
+    assert [r["lang_pred"] for r in found.join(docs.filter("lang = 'zz'"), "doc_id").collect()] == ["zz"]
+    assert found.join(docs, "doc_id").filter("lang_pred <> lang").count() == 0
+    assert filter_languages(docs).count() == docs.count()
+
+
+def test_blocks_of_languages_score_as_one_model(spark):
+    from tessera.llm.language import identify
+
+    samples = {"en": [b"the cat sat", b"the hat"], "fr": ["le chat là".encode(), b"ou le"], "de": [b"die katze", b"und der hut"]}
+    docs = spark.createDataFrame([(1, "the hat and the cat"), (2, "le chat"), (3, "und die katze"), (4, "zzz"), (5, "")], "doc_id long, text string")
+    share = spark.sparkContext.broadcast
+    one = sorted(identify(docs, [share(PpmModel(samples))]).collect())
+    many = sorted(identify(docs, [share(PpmModel({k: v})) for k, v in samples.items()]).collect())
+    for a, b in zip(one, many, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+
+
+def test_training_sample_is_bounded_in_bytes(spark):
+    from tessera.llm.language import training_sample
+
+    docs = spark.createDataFrame([(i, "äb" * 2000, "de") for i in range(3)] + [(9, "short", "en")], "doc_id long, text string, lang string")
+    size = {r["lang"]: r["n"] for r in training_sample(docs, 300, 7001).selectExpr("lang", "octet_length(text) AS n").groupBy("lang").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert size == {"de": 7001, "en": 5}
+
+
 # --- 9 quality
 
 
