@@ -52,38 +52,47 @@ def with_repeated_words(rows: DataFrame, windows: str, out: str) -> DataFrame:
     return rows.withColumn(out, _sum(covered)).drop("placed", "places")
 
 
-def features(docs: DataFrame, short: int = 4) -> DataFrame:
-    """doc_id, lang, the base counts, the class histogram and the short words, lower-cased, of every whole text."""
+def common_words(docs: DataFrame, top: int) -> DataFrame:
+    """lang, ref_words: the `top` commonest words of each language, lower-cased, from all its words. Counts are summed in
+    each task before they are shuffled."""
+    words = F.explode_outer(F.transform(words_of(F.col("text")), F.lower)).alias("word")
+    counts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), words).filter("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("best"))
+    return best.select("lang", F.col("best.word").alias("ref_words"))
+
+
+def features(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id, lang, the base counts, the class histogram and the counts of the language's common words of every whole
+    text."""
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.join(common, "lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
     held = [(F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("double") for p in CLASSES.values()]
     rows = once(rows, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)), held=F.array(*held))
     rows = rows.select(
-        "doc_id", "lang", "words", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "ref_words", F.coalesce(F.array_max(F.transform("ref_words", F.length)), F.lit(0)).alias("longest"), "words", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    rows = once(rows, windows=window_codes(F.col("words")), short=F.transform(F.filter("words", lambda w: F.length(w) <= short), F.lower)).drop("words")
+    # no word is longer in capitals, so those over the longest common word are none of them
+    rows = once(rows, windows=window_codes(F.col("words")), near=F.transform(F.filter("words", lambda w: F.length(w) <= F.col("longest")), F.lower)).drop("words")
+    rows = once(rows, own=F.transform("ref_words", lambda w: (F.size("near") - F.size(F.array_remove(F.col("near"), w))).cast("double"))).drop("near", "longest")
     lower = F.greatest(F.col("n_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
     rows = with_repeated_words(rows, "windows", "n_repeat_words")
-    return rows.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("held")[SPACE]).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", F.concat("held", F.array(lower)).alias("classes"), "short")
+    return rows.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("held")[SPACE]).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", F.concat("held", F.array(lower)).alias("classes"), "own")
 
 
-def references(rows: DataFrame, top: int = 20) -> DataFrame:
-    """One row a language from all its documents: the summed class histogram, and its `top` commonest short words with
-    their counts, then the count of all its other words. Counts are summed in each task before they are shuffled."""
+def references(rows: DataFrame, top: int) -> DataFrame:
+    """One row a language from all its documents: the summed class histogram, and the counts of its common words, then
+    the count of all its other words. Counts are summed in each task before they are shuffled."""
     n = len(CLASSES) + 1
-    sums = rows.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)], F.sum("n_words").alias("all_words"))
-    counts = rows.select("lang", F.explode("short").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("best"))
-    joined = sums.join(best, "lang", "left")
-    common = F.coalesce(F.transform("best", lambda b: b["n"].cast("double")), F.array().cast("array<double>"))
-    known = F.aggregate(common, F.lit(0.0), lambda a, x: a + x)
-    return joined.select(
-        "lang", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"),
-        F.coalesce(F.col("best.word"), F.array().cast("array<string>")).alias("ref_words"),
-        F.concat(common, F.array(F.col("all_words") - known)).alias("ref_counts"),
+    sums = rows.groupBy("lang").agg(
+        *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.get("own", F.lit(i))).alias(f"w{i}") for i in range(top)],
+        F.sum("n_words").alias("all_words"), F.max(F.size("own")).alias("n_common"),
     )
+    common = F.slice(F.array(*[f"w{i}" for i in range(top)]), F.lit(1), F.col("n_common"))
+    known = F.aggregate(common, F.lit(0.0), lambda a, x: a + x)
+    return sums.select("lang", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"), F.concat(common, F.array(F.col("all_words") - known)).alias("ref_counts"))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -107,13 +116,13 @@ def judge_quality(
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word windows. Else a document goes if
     the Jensen-Shannon distance of its character classes (given min_chars characters) or of its common words (given
     min_words words) to those of its language is over the limit; a shorter text passes that test unmeasured. A null
-    lang is a language of its own, a null text has no words. Repeated rows are judged each. The references are one
+    lang is a language of its own, a null text has no words. Common words are the `top` of all words. Repeated rows are judged each. The references are one
     row a language and are broadcast up to max_languages, joined by shuffle beyond.
     """
-    rows = stash(features(docs), "quality")
+    common = stash(common_words(docs, top), "common")
+    rows = stash(features(docs, F.broadcast(common) if common.count() <= max_languages else common), "quality")
     refs = stash(references(rows, top), "references")
     joined = rows.join(F.broadcast(refs) if refs.count() <= max_languages else refs, "lang")
-    joined = once(joined, own=F.transform("ref_words", lambda w: (F.size("short") - F.size(F.array_remove(F.col("short"), w))).cast("double")))
     own_all = F.concat("own", F.array(F.col("n_words") - F.aggregate("own", F.lit(0.0), lambda a, x: a + x)))
     measured = once(
         joined,

@@ -446,6 +446,13 @@ def test_quality_distances(spark):
     assert all(0 <= r[c] <= 1 for r in out.values() for c in ("class_distance", "word_distance"))
 
 
+def test_quality_counts_long_words(spark):
+    usual = [(i, "nicht immer haben werden können " * 20 + f"wort{i}", "de") for i in range(10)]
+    odd = [(99, " ".join(f"{a}{b}ngelo" for a in "abcdefghij" for b in "abcdefghij"), "de")]
+    out = {r["doc_id"]: r["word_distance"] for r in judge_quality(spark.createDataFrame(usual + odd, "doc_id long, text string, lang string")).collect()}
+    assert out[99] > 0.45 > max(out[i] for i in range(10))
+
+
 # --- 10 substrings
 
 
