@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stash
-from tessera.llm.wordcodes import arrow_rows, batched
+from tessera.llm.wordcodes import arrow_rows, batched, release
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -126,8 +126,9 @@ class PpmModel:
             bits[miss] = lower
         return bits
 
-    def code_lengths(self, texts: list[bytes], slice_bytes: int = 400_000) -> np.ndarray:
-        """Bits of each text in each language; long texts are coded slice by slice."""
+    def code_lengths(self, texts: list[bytes], slice_bytes: int = 65_536) -> np.ndarray:
+        """Bits of each text in each language; the texts are coded slice by slice, so that besides them only a slice's
+        costs (slice_bytes for each language of this model) are in memory."""
         raw = np.frombuffer(PAD + PAD.join(texts) + PAD, np.uint8)
         total = np.zeros((len(texts), len(self.langs)))
         if not texts:
@@ -249,9 +250,9 @@ def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_byt
 
     def keep(batches):
         for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
+            texts = b.select(["text"])
             mask: list[bool] = []
-            for held in batched(iter([(t,) for t in texts]), 0):
+            for held in batched(arrow_rows([texts], "text"), 0):
                 part = [t for t, in held]
                 size = np.array([len(t) for t in part])
                 least = np.full(len(part), np.inf)
@@ -259,5 +260,6 @@ def filter_languages(docs: DataFrame, most_bits_per_byte: float = 7.0, least_byt
                     least = np.minimum(least, model.code_lengths(part).min(1))
                 mask += ((size < least_bytes) | (least <= most_bits_per_byte * size)).tolist()
             yield b.filter(pa.array(mask, pa.bool_()))
+        release()
 
     return lettered.mapInArrow(keep, docs.schema)

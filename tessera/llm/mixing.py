@@ -44,20 +44,24 @@ def share_out(children: DataFrame, parents: list[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], budget: Column, default_weight: float) -> DataFrame:
     """Budgets of the leaves (levels, `cap`), propagated down the tree one level at a time.
 
-    weights[level][value] is a node's weight among its siblings, default_weight where none is given.
+    weights[level][value] is a node's weight among its siblings, default_weight where none is given. A leaf of weight
+    0, or below a node of weight 0, gets nothing and is left out of the result, and its words count for no family's
+    cap, so that what it could have taken is shared among the others.
     """
     def weight(level: str) -> Column:
         given = weights.get(level) or {}
         pairs = [x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]
         return F.coalesce(F.create_map(*pairs)[F.col(level)], F.lit(default_weight)) if pairs else F.lit(default_weight)
 
+    for level in levels:
+        leaves = leaves.filter(weight(level) > 0)
     nodes = leaves.agg(F.sum("cap").alias("cap")).select(F.least("cap", budget).cast("double").alias("budget"), F.lit(0).alias("__root"))
     above = ["__root"]
     for depth in range(len(levels)):
         path = levels[: depth + 1]
         own = leaves.withColumn("__root", F.lit(0)).groupBy("__root", *path).agg(F.sum("cap").cast("double").alias("cap"))
         own = own.join(nodes.select(*above, "budget"), above).withColumn("weight", weight(levels[depth])).withColumn("node", F.col(levels[depth]))
-        nodes = share_out(own.filter(F.col("weight") > 0), above).drop("weight", "node", "cap")
+        nodes = share_out(own, above).drop("weight", "node", "cap")
         above = ["__root", *path]
     return nodes.drop("__root")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, stash
 from tessera.llm.graph import components
-from tessera.llm.wordcodes import U, arrow_rows, batched, mix, runs_of, windows, word_codes
+from tessera.llm.idfilter import may_hold
+from tessera.llm.wordcodes import U, arrow_rows, batched, mix, release, runs_of, windows, word_codes
 
 TREES, DEPTH = 20, 6
-#: Members of a trie node that meet in one task (ids only), and documents of a tile whose texts do.
-NODE_BLOCK, TILE_BLOCK = 512, 128
+#: Shingles of a block of texts, where a text counts as LEAST_LOAD at least: two blocks meet in a task. Blocks of a
+#: trie node that meet in one group.
+TILE_SHINGLES, LEAST_LOAD, NODE_BLOCKS = 300_000, 256, 64
+#: One in so many trie nodes is counted to estimate what a prefix length costs.
+COST_SAMPLE = 8
 _SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -34,16 +39,28 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
+def _record(columns, fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(f.split(" ") for f in fields.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+_SIGNED = "doc_id long, text_hash long, mark binary, sid long, n_shingles long, signature binary"
+
+
 def _sign(width: int):
+    """mark: 24 bytes that name a set of shingles; sid: 64 bits of them, its short name among candidates."""
+
     def run(batches):
-        for held in batched(arrow_rows(batches, "doc_id", "text"), 1):
-            codes, at, _ = word_codes([t for _, t in held])
+        for held in batched(arrow_rows(batches, "doc_id", "text_hash", "text"), 2):
+            codes, at, _ = word_codes([t for *_, t in held])
             rows = []
-            for j, (doc, _) in enumerate(held):
+            for j, (doc, text_hash, _) in enumerate(held):
                 s = shingles(codes[at[j] : at[j + 1]], width)
-                mark = np.array([s.sum(dtype=U), np.bitwise_xor.reduce(mix(s)) if len(s) else 0, len(s)], U).tobytes()
-                rows.append((doc, mark, len(s), minhashes(s).tobytes() if len(s) else b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "mark", "n_shingles", "signature"])
+                total, both = s.sum(dtype=U), np.bitwise_xor.reduce(mix(s)) if len(s) else U(0)
+                mark = np.array([total, both, len(s)], U)
+                rows.append((doc, text_hash, mark.tobytes(), int(mix(total + mix(both + U(len(s)))).view(np.int64)), len(s), minhashes(s).tobytes() if len(s) else b""))
+            yield _record(list(zip(*rows, strict=True)), _SIGNED)
 
     return run
 
@@ -59,25 +76,23 @@ def node_keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys_of(batches, names):
+def _keys_of(batches):
+    """(sids, node keys) of distinct shingle sets, some at a time."""
     for b in batches:
-        docs = np.array(b.column("doc_id").to_pylist(), np.int64)
-        for lo in range(0, len(docs), 2000):
-            raw = b"".join(b.column("signature").slice(lo, 2000).to_pylist())
-            part = b.slice(lo, 2000)
-            yield docs[lo : lo + 2000], node_keys(np.frombuffer(raw, np.uint32)), [part.column(n).to_pylist() for n in names]
+        sids, first = np.unique(b.column("sid").to_numpy(), return_index=True)
+        signatures = b.column("signature").take(pa.array(first))
+        for lo in range(0, len(sids), 1000):
+            raw = b"".join(signatures.slice(lo, 1000).to_pylist())
+            yield sids[lo : lo + 1000], node_keys(np.frombuffer(raw, np.uint32))
+    release()
 
 
-def _sampled_nodes(share: int):
-    """Nodes of all depths from 2 on whose key falls in 1 of `share`: the sample that estimates what a depth costs."""
-
-    def run(batches):
-        for _, keys, _ in _keys_of(batches, []):
-            for d in range(1, DEPTH):
-                rows, trees = np.nonzero(keys[:, :, d] % U(share) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(trees.astype(np.int32)), pa.array(np.full(len(rows), d + 1, np.int32)), pa.array(keys[rows, trees, d].view(np.int64))], names=["tree", "depth", "node"])
-
-    return run
+def _sampled_nodes(batches):
+    """Nodes of all depths from 2 on whose key falls in 1 of COST_SAMPLE: the sample that estimates what a depth costs."""
+    for sids, keys in _keys_of(batches):
+        for d in range(1, DEPTH):
+            rows, trees = np.nonzero(keys[:, :, d] % U(COST_SAMPLE) == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(trees.astype(np.int32)), pa.array(np.full(len(rows), d + 1, np.int32)), pa.array(keys[rows, trees, d].view(np.int64)), pa.array(sids[rows])], names=["tree", "depth", "node", "sid"])
 
 
 def choose_depths(pairs: dict[tuple[int, int], float], threshold: float, recall: float) -> list[int]:
@@ -105,85 +120,77 @@ def choose_depths(pairs: dict[tuple[int, int], float], threshold: float, recall:
 
 
 def _members(depths: list[int]):
+    """The node that each set reaches in each tree, at the prefix length of that tree."""
     at = np.array(depths) - 1
 
     def run(batches):
-        for docs, keys, _ in _keys_of(batches, []):
-            own = keys[:, np.arange(TREES), at]
-            n = len(docs)
-            flat = pa.array(own.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), flat], names=["doc_id", "tree", "node"])
+        for sids, keys in _keys_of(batches):
+            own = keys[:, np.arange(TREES), at].reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(sids, TREES))], names=["node", "sid"])
 
     return run
 
 
-def _with_keys(depths: list[int]):
-    at = np.array(depths) - 1
-
-    def run(batches):
-        for docs, keys, _ in _keys_of(batches, []):
-            own = np.ascontiguousarray(keys[:, np.arange(TREES), at])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([r.tobytes() for r in own], pa.binary())], names=["doc_id", "nodes"])
-
-    return run
+def candidates(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the left sets share a node with which of the right ones: (left, right) of bool. Each is given by its nodes."""
+    found = np.zeros((len(left), len(right)), bool)
+    sides = []
+    for nodes in (left, right):
+        flat, owner = np.concatenate(nodes), np.repeat(np.arange(len(nodes)), [len(x) for x in nodes])
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        sides.append((names, np.split(owner[order], first[1:])))
+    (names, members), (names_2, members_2) = sides
+    _, at, at_2 = np.intersect1d(names, names_2, assume_unique=True, return_indices=True)
+    for i, j in zip(at.tolist(), at_2.tolist(), strict=True):
+        found[members[i][:, None], members_2[j][None, :]] = True
+    return found
+
+
+def similar(own: list[np.ndarray], other: list[np.ndarray], wanted: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each own set, which of the wanted other sets have a Jaccard similarity of `threshold` or more."""
+    length = np.array([len(s) for s in other])
+    for x, s in enumerate(own):
+        near = np.flatnonzero(wanted[x])
+        near = near[np.minimum(len(s), length[near]) >= threshold * np.maximum(len(s), length[near])]
+        if not len(near):
+            continue
+        joined = np.concatenate([other[y] for y in near])
+        place = np.minimum(np.searchsorted(s, joined), len(s) - 1)
+        begin = np.concatenate(([0], np.cumsum(length[near])[:-1]))
+        common = np.add.reduceat((s[place] == joined).astype(np.int64), begin)
+        near = near[common >= threshold * (len(s) + length[near] - common) - 1e-9]
+        if len(near):
+            yield x, near
 
 
-def _block_pairs(batches):
-    """Candidate pairs inside a node (or between two blocks of a large one) that no earlier tree has found, grouped by
-    the tile of text blocks that will verify them: one row a tile, with the pairs as two lists."""
-    fields = ("node", "one", "two", "tree", "side", "doc_id", "block", "nodes")
-    for (_, one, two), rows in runs_of(arrow_rows(batches, *fields), 3):
-        tree = rows[0][3]
-        docs = np.array([r[5] for r in rows], np.int64)
-        blocks = np.array([r[6] for r in rows], np.int64)
-        keys = np.frombuffer(b"".join(r[7] for r in rows), U).reshape(len(rows), TREES)
-        left = np.flatnonzero([r[4] == one for r in rows])
-        right = left if one == two else np.flatnonzero([r[4] == two for r in rows])
-        if not len(left) or not len(right):
-            continue
-        fresh = np.ones((len(left), len(right)), bool)
-        for t in range(tree):
-            fresh &= keys[left, t][:, None] != keys[right, t][None, :]
-        if one == two:
-            fresh = np.triu(fresh, 1)
-        i, j = np.nonzero(fresh)
-        if not len(i):
-            continue
-        a, b = left[i], right[j]
-        swap = blocks[a] > blocks[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((blocks[b], blocks[a]))
-        a, b = a[order], b[order]
-        cut = np.flatnonzero((np.diff(blocks[a]) != 0) | (np.diff(blocks[b]) != 0)) + 1
-        parts = list(zip(np.split(a, cut), np.split(b, cut), strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(blocks[x[0]]) for x, _ in parts], pa.int64()), pa.array([int(blocks[y[0]]) for _, y in parts], pa.int64()), pa.array([docs[x].tobytes() for x, _ in parts], pa.binary()), pa.array([docs[y].tobytes() for _, y in parts], pa.binary())],
-            names=["one", "two", "a", "b"],
-        )
+_FOUND = "kind int, a binary, b binary, links long"
 
 
 def _verify(width: int, threshold: float):
-    """Exact similarities of a tile's pairs. Out: each document's verified partners as a number of documents, and a
-    spanning forest of the links inside the tile."""
+    """Exact similarities of the candidates of a tile, the texts of two blocks. Out: each set's verified partners as a
+    number of documents, and a spanning forest of the links inside the tile."""
 
     def run(batches):
-        fields = ("one", "two", "pairs_a", "pairs_b", "doc_id", "size", "text")
-        for _, rows in runs_of(arrow_rows(batches, *fields), 2):
-            members = [r for r in rows if r[4] is not None]  # all documents of both blocks
-            pairs = [(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64)) for r in rows if r[4] is None]
-            ids = np.array([r[4] for r in members], np.int64)
-            order = np.argsort(ids)
-            ids, sizes = ids[order], np.array([members[i][5] for i in order], np.int64)
-            sets: list[np.ndarray] = []
-            for held in batched(iter([(members[i][6],) for i in order]), 0):
-                codes, at, _ = word_codes([t for t, in held])
-                sets += [shingles(codes[at[j] : at[j + 1]], width) for j in range(len(held))]
-            length = np.array([len(s) for s in sets])
-            a = np.searchsorted(ids, np.concatenate([x for x, _ in pairs]))
-            b = np.searchsorted(ids, np.concatenate([y for _, y in pairs]))
-            links = np.zeros(len(ids), np.int64)
-            parent = list(range(len(ids)))
-            edges = []
+        fields = ("one", "two", "block", "mark", "copies", "nodes", "text")
+        for (one, two), rows in runs_of(arrow_rows(batches, *fields), 2):
+            sides = []
+            for block in (one, two) if one != two else (one,):
+                members = sorted((r[2:] for r in rows if r[2] == block), key=lambda r: r[1])
+                sets: list[np.ndarray] = []
+                for held in batched(iter([(m[4],) for m in members]), 0):
+                    codes, at, _ = word_codes([t for t, in held])
+                    sets += [shingles(codes[at[j] : at[j + 1]], width) for j in range(len(held))]
+                sides.append(([m[1] for m in members], [m[2] for m in members], [np.array(m[3], np.int64) for m in members], sets))
+            (marks, copies, nodes, sets), (marks_2, copies_2, nodes_2, sets_2) = sides[0], sides[-1]
+            if not marks or not marks_2:
+                continue
+            wanted = candidates(nodes, nodes_2)
+            if one == two:
+                wanted = np.triu(wanted, 1)
+            names = marks if one == two else marks + marks_2
+            shift = 0 if one == two else len(marks)
+            links, parent, edges = np.zeros(len(names), np.int64), list(range(len(names))), []
 
             def root(x, parent=parent):
                 while parent[x] != x:
@@ -191,99 +198,132 @@ def _verify(width: int, threshold: float):
                     x = parent[x]
                 return x
 
-            sort = np.argsort(a, kind="stable")
-            a, b = a[sort], b[sort]
-            for x, others in zip(np.unique(a), np.split(b, np.flatnonzero(np.diff(a)) + 1), strict=True):
-                low, high = np.minimum(length[x], length[others]), np.maximum(length[x], length[others])
-                others = others[low >= threshold * high]
-                if not len(others):
-                    continue
-                own = sets[x]
-                joined = np.concatenate([sets[y] for y in others])
-                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-                begin = np.concatenate(([0], np.cumsum(length[others])[:-1]))
-                common = np.add.reduceat((own[place] == joined).astype(np.int64), begin)
-                near = others[common >= threshold * (length[x] + length[others] - common) - 1e-9]
-                links[x] += sizes[near].sum()
-                links[near] += sizes[x]
-                for y in near:
-                    p, q = root(int(x)), root(int(y))
+            size, size_2 = np.array(copies), np.array(copies_2)
+            for x, near in similar(sets, sets_2, wanted, threshold):
+                links[x] += size_2[near].sum()
+                links[near + shift] += size[x]
+                for y in (near + shift).tolist():
+                    p, q = root(x), root(y)
                     if p != q:
                         parent[p] = q
-                        edges.append((int(ids[x]), int(ids[y])))
-            out = [(int(d), int(n), None) for d, n in zip(ids, links, strict=True) if n] + [(u, 0, v) for u, v in edges]
+                        edges.append((x, y))
+            out = [(0, names[i], None, int(n)) for i, n in enumerate(links) if n] + [(1, names[x], names[y], 0) for x, y in edges]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "links", "other"])
+                yield _record(list(zip(*out, strict=True)), _FOUND)
 
     return run
 
 
-def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, links, edges) of the self-join.
-
-    documents: doc_id, copy_id (the least doc_id with the same set of shingles), copies (how many share it),
-    n_shingles. links: for each copy_id, how many documents of other copy_ids have a Jaccard similarity of at least
-    `threshold`. edges: (u, v) pairs of copy_ids that connect exactly what the verified pairs connect.
+def _block_pairs(nodes: DataFrame) -> DataFrame:
+    """one, two: the distinct pairs of blocks (and each block with itself) that meet in a node, from distinct (node, block).
 
-    Only one document of each set of shingles goes on. Their signatures are read as a forest of prefix tries, one
-    prefix length a tree (choose_depths). Documents that share a node are candidates once, in the first tree where
-    they meet; large nodes are cut into blocks that meet pairwise, so no task holds a large node. The texts of the
-    candidates are dealt to tiles, pairs of blocks of related documents, where each candidate pair is verified on the
-    shingles themselves; a tile returns numbers and a forest, never its pairs. Nothing is capped.
+    A node's blocks are dealt to groups of NODE_BLOCKS, and two groups of a node meet by a key of their own, so that no
+    key holds more than NODE_BLOCKS squared pairs however large the node is.
+    """
+    size = stash(nodes.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE_BLOCKS).cast("int").alias("parts")), "node-parts")
+    dealt = stash(nodes.join(size, "node").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")), "node-groups")
+    left = dealt.select("node", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("block").alias("x"))
+    right = dealt.select("node", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("block").alias("y"))
+    return left.join(right, ["node", "p", "q"]).select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).distinct()
+
+
+def least_size(threshold: float) -> int:
+    """Smaller sets are never that similar to another set: at best one shingle is added to all of theirs."""
+    return math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 60
+
+
+def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, sets, links, edges) of the self-join.
+
+    documents: doc_id, text_hash, mark (the name of its set of shingles). sets: mark, copies (how many documents share
+    it), copy_id (the least doc_id that does) and first_hash (the text_hash of that row), n_shingles; texts without words
+    have none. links: for each mark, how many documents of other sets have a Jaccard similarity of at least
+    `threshold`. edges: (u, v) pairs of marks that connect exactly what the verified pairs connect.
+
+    Everything is keyed by the set of shingles, so a doc_id may stand for several texts. The sets' signatures are the
+    forest: in each of TREES trees they are the paths of a prefix trie, and a node is known by the key of its prefix. A
+    pair of similarity s shares a prefix of d values with probability s^d, so which prefixes reach the recall does not
+    depend on the document, only what they cost does. All prefixes begin at full depth and are shortened, the one
+    first that adds the fewest candidates for the recall it adds (choose_depths), until the recall at `threshold` is
+    reached; sets that then share a node of any tree are candidates.
+
+    Candidates meet as texts. Each set gets a home, the least set in any of its nodes, and a home's sets are dealt to
+    blocks of TILE_SHINGLES shingles. Two blocks that meet in any node are a tile; the tile finds the candidates itself,
+    verifies each on the shingles, and returns numbers and a forest, so pairs are never rows. Only texts that have a
+    candidate leave the scan, but for the false alarms of a Bloom filter of bounded size; they are shuffled by document
+    once and then by tile. Nothing is capped.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    signed = stash(ids.mapInArrow(_sign(width), "doc_id long, mark binary, n_shingles long, signature binary"), "signatures")
-    sets = stash(signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies")), "sets")
-    classes = stash(signed.select("doc_id", "mark", "n_shingles").join(sets, "mark", "left").select(
-        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_shingles"), "copies")
-    firsts = classes.filter("doc_id = copy_id AND n_shingles > 0").select("doc_id", "copies").distinct()
-    heads = stash(signed.filter("n_shingles > 0").join(firsts, "doc_id").dropDuplicates(["doc_id", "mark"]).select("doc_id", "signature", "copies"), "heads")
-
-    sampled = heads.mapInArrow(_sampled_nodes(8), "tree int, depth int, node long").groupBy("tree", "depth", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    costs = sampled.groupBy("tree", "depth").agg((F.sum(F.col("n") * (F.col("n") - 1)) * 4.0).alias("pairs")).collect()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    signed = stash(ids.mapInArrow(_sign(width), _SIGNED), "signatures")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    sets = signed.filter("n_shingles > 0").groupBy("mark", "sid", "n_shingles").agg(first, F.count(F.lit(1)).alias("copies"))
+    sets = stash(sets.select("mark", "sid", "n_shingles", "copies", F.col("first.doc_id").alias("copy_id"), F.col("first.text_hash").alias("first_hash")), "sets")
+
+    paths = signed.filter(F.col("n_shingles") >= least_size(threshold)).select("sid", "signature")
+    sampled = paths.mapInArrow(_sampled_nodes, "tree int, depth int, node long, sid long").distinct().groupBy("tree", "depth", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    costs = sampled.groupBy("tree", "depth").agg((F.sum(F.col("n").cast("double") * (F.col("n") - 1)) * COST_SAMPLE / 2).alias("pairs")).collect()
     depths = choose_depths({(r["tree"], r["depth"]): r["pairs"] for r in costs}, threshold, recall)
 
-    members = heads.mapInArrow(_members(depths), "doc_id long, tree int, node long")
-    counts = stash(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "nodes")
-    crowd = stash(members.join(counts, "node"), "members")
-    homes = stash(crowd.groupBy("doc_id").agg(F.min("least").alias("home")), "homes")
-    sizes = stash(homes.groupBy("home").agg(F.count(F.lit(1)).alias("m")), "home-sizes")
-    tiles = stash(homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / TILE_BLOCK).cast("long"))).alias("block")), "blocks")
-    known = heads.mapInArrow(_with_keys(depths), "doc_id long, nodes binary").join(tiles, "doc_id")
-    rows = crowd.join(known, "doc_id").withColumn("parts", F.ceil(F.col("n") / NODE_BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "node", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "tree", "side", "doc_id", "block", "nodes")
-    dealt = rows.repartition("node", "one", "two").sortWithinPartitions("node", "one", "two")
-    pairs = stash(dealt.mapInArrow(_block_pairs, "one long, two long, a binary, b binary"), "pairs")
-
-    meets = pairs.select("one", "two").distinct().withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
-    some = tiles.join(heads.select("doc_id", "copies"), "doc_id")
-    texts = stash(ids.join(some.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", F.col("copies").alias("size"), "text"), "texts")
-    load = meets.join(texts, "block").select("one", "two", F.lit(None).cast("binary").alias("pairs_a"), F.lit(None).cast("binary").alias("pairs_b"), "doc_id", "size", "text")
-    work = pairs.select("one", "two", F.col("a").alias("pairs_a"), F.col("b").alias("pairs_b"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("text"))
-    tiled = load.unionByName(work).repartition("one", "two").sortWithinPartitions("one", "two")
-    found = stash(tiled.mapInArrow(_verify(width, threshold), "doc_id long, links long, other long"), "links")
-    links = stash(found.filter("other IS NULL").groupBy(F.col("doc_id").alias("copy_id")).agg(F.sum("links").alias("links")), "link-sums")
-    edges = found.filter("other IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("other").alias("v"))
-    return classes, links, edges
+    members = paths.mapInArrow(_members(depths), "node long, sid long")
+    nodes = stash(members.groupBy("node").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most").select("node", "least"), "nodes")
+    crowd = stash(members.join(nodes.hint("merge"), "node"), "members")
+    homes = stash(crowd.groupBy("sid").agg(F.min("least").alias("home"), F.collect_set("node").alias("nodes")), "homes")
+    placed = stash(sets.join(homes, "sid"), "candidates")
+    load = F.sum(F.greatest(F.col("n_shingles"), F.lit(LEAST_LOAD)))
+    parts = stash(placed.groupBy("home").agg(F.ceil(load / TILE_SHINGLES).cast("long").alias("parts")), "home-sizes")
+    placed = placed.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts"))))
+    placed = stash(placed.select("mark", "sid", F.col("copy_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), "copies", "nodes", "block"), "blocks")
+
+    tiles = stash(_block_pairs(stash(crowd.join(placed.select("sid", "block"), "sid").select("node", "block").distinct(), "node-blocks")), "tiles")
+    meets = tiles.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    visits = stash(placed.join(meets, "block").drop("sid"), "visits")
+    some = ids.filter(may_hold(placed.select("doc_id").distinct(), "doc_id")).dropDuplicates(["doc_id", "text_hash"])
+    tiled = visits.hint("merge").join(some, ["doc_id", "text_hash"]).select("one", "two", "block", "mark", "copies", "nodes", "text")
+    tiled = tiled.repartition("one", "two").sortWithinPartitions("one", "two")
+    found = stash(tiled.mapInArrow(_verify(width, threshold), _FOUND), "links")
+    links = found.filter("kind = 0").groupBy(F.col("a").alias("mark")).agg(F.sum("links").alias("links"))
+    edges = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return signed.select("doc_id", "text_hash", "mark"), sets, stash(links, "link-sums"), edges
+
+
+def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """One row per document: doc_id, text_hash, class_id, copy_id, n_links as `near_duplicates` says, and `first`: whether
+    the row is the one that stands for its class."""
+    documents, sets, links, edges = similarity_links(docs, width, threshold, recall)
+    named = stash(components(edges).withColumnRenamed("node", "mark").join(sets.select("mark", "copy_id"), "mark"), "named")
+    least = stash(named.groupBy("component").agg(F.min(F.struct("copy_id", "mark")).alias("least")), "class-names")
+    classes = named.join(least, "component").select("mark", F.col("least.copy_id").alias("class_id"), F.col("least.mark").alias("class_mark")).join(links, "mark")
+    facts = stash(sets.join(classes, "mark", "left"), "classes")  # written: the join with hot copies can then be split
+    own = (F.col("doc_id") == F.col("copy_id")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("mark") == F.coalesce("class_mark", "mark"))
+    return documents.join(facts, "mark", "left").select(
+        "doc_id", "text_hash", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), (F.col("copy_id").isNull() | own).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row per document: doc_id, class_id, copy_id, n_links.
 
-    class_id is the least doc_id that the document is connected with by links of at least `threshold`, copy_id the
-    least one with the same set of shingles; n_links counts the other documents that it is linked with itself, copies
-    too. Words are runs without ASCII white space, unchanged; a text of fewer than `width` words is one shingle; a
-    text without words (null, empty) is linked with nothing. Rows without doc_id are left out; of rows that repeat a
-    doc_id with other texts, each is reported. An empty table gives an empty result.
+    class_id is the least doc_id among the texts that this one is connected with by links of at least `threshold`,
+    copy_id the least one with the same set of shingles; n_links counts the other documents that it is linked with
+    itself, copies too. Words are runs without ASCII white space, unchanged; a text of fewer than `width` words is one
+    shingle; a text without words (null, empty) is linked with nothing. Rows without doc_id are left out; of rows that
+    repeat a doc_id with other texts, each is reported with the links of its own text, and rows that repeat both are
+    copies of each other. Other columns are not read. An empty table gives an empty result.
     """
-    classes, links, edges = similarity_links(docs, width, threshold, recall)
-    groups = stash(components(edges), "components")  # written, as the links are: joins with hot copies can then be split
-    joined = classes.join(links, "copy_id", "left").join(groups.withColumnRenamed("node", "copy_id"), "copy_id", "left")
-    return joined.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    return similarity_classes(docs, width, threshold, recall).drop("text_hash", "first")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents with one of each class (the least doc_id), all columns as they were; rows without doc_id stay."""
-    lost = stash(near_duplicates(docs, width, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("lost")).distinct(), "near")
-    return packed(docs, id=F.col("doc_id").cast("long")).join(lost.hint("merge"), F.col("id") == F.col("lost"), "left_anti").select("row.*")
+    """The documents with one of each class, all columns as they were: the row with the class's least doc_id stays.
+
+    Texts without words and rows without doc_id stay. Rows are known by doc_id and text, so of a doc_id with several
+    texts each goes or stays by itself, and rows that repeat both go or stay together. Columns of any name pass
+    through. An empty table gives an empty result. Only rows that may go are shuffled: the others pass a Bloom filter
+    of bounded size.
+    """
+    lost = stash(similarity_classes(docs, width, threshold).filter("NOT first").select(F.col("doc_id").alias("lost"), "text_hash").distinct(), "near")
+    rows = packed(docs, id=F.col("doc_id").cast("long"))
+    may_go = may_hold(lost.select("lost").distinct(), "id")
+    named = rows.filter(may_go).withColumn("hash", F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))))
+    stay = named.join(lost.hint("merge"), (F.col("id") == F.col("lost")) & (F.col("hash") == F.col("text_hash")), "left_anti")
+    return rows.filter(~may_go).select("row.*").unionByName(stay.select("row.*"))

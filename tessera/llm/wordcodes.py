@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = U(0x100000001B3 * 2 + 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: list[np.ndarray] = []
-#: Texts are coded in batches of about this many bytes, so memory is bounded by this and the longest text.
-BATCH_BYTES = 1_000_000
+#: Texts are coded in batches of about this many bytes, so memory is bounded by this and the longest text. About forty
+#: bytes are at work for each.
+BATCH_BYTES = 256_000
+#: Power tables up to this length are kept for the next batch; longer ones, for a very long text, are made for it alone.
+KEPT_POWERS = 1 << 19
+#: Rows of an Arrow batch that become Python objects at a time.
+SLICE_ROWS = 256
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little of the last."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it has no such call
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,11 +39,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.full(size, b, U)) for b in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    inverse = U(pow(int(_BASE), -1, 1 << 64))
+    made = [np.cumprod(np.full(max(n, 1 << 16), b, U)) for b in (_BASE, inverse)]
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,19 +94,20 @@ def batched(rows: Iterator[tuple], text_at: int) -> Iterator[list[tuple]]:
 
 
 def arrow_rows(batches, *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches; texts as UTF-8 bytes (null: none)."""
-    import pyarrow as pa
-
+    """Rows of Arrow batches, a slice at a time; texts as UTF-8 bytes (null: none)."""
     for b in batches:
-        cols = []
-        for n in names:
-            c = b.column(n)
-            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
-                c = c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary())
-                cols.append([x or b"" for x in c.to_pylist()])
-            else:
-                cols.append(c.to_pylist())
-        yield from zip(*cols, strict=True)
+        columns = [b.column(n) for n in names]
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            cols = []
+            for c in columns:
+                part = c.slice(lo, SLICE_ROWS)
+                if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                    part = part.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary())
+                    cols.append([x or b"" for x in part.to_pylist()])
+                else:
+                    cols.append(part.to_pylist())
+            yield from zip(*cols, strict=True)
+    release()
 
 
 def runs_of(rows: Iterator[tuple], width: int) -> Iterator[tuple[tuple, list[tuple]]]:

@@ -18,7 +18,7 @@ from tessera.llm.privacy import Pseudonymizer, luhn, permute, pseudonymize
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import assign_shards, shard_documents
 from tessera.llm.substrings import drop_repeats
-from tests.llm.conftest import rows
+from tests.llm.conftest import rows, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [(r[0], r[1]) for r in rows()]
@@ -79,6 +79,48 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {("a", "x"): 10.0, ("a", "y"): 140.0, ("b", "x"): 30.0, ("b", "y"): 20.0}
 
 
+def fair_budgets(leaves, weights, budget):
+    """Budgets of a tree by the definition: at each node, find the level at which the children, each taking weight times
+    level but no more than all below them can use, take the node's budget."""
+    leaves = {path: cap for path, cap in leaves.items() if all(weights[i].get(v, 1.0) > 0 for i, v in enumerate(path))}
+    out = {}
+
+    def give(prefix, amount):
+        children = sorted({p[len(prefix)] for p in leaves if p[: len(prefix)] == prefix and len(p) > len(prefix)})
+        if not children:
+            out[prefix] = amount
+            return
+        caps = {c: sum(cap for p, cap in leaves.items() if p[: len(prefix) + 1] == (*prefix, c)) for c in children}
+        w = {c: weights[len(prefix)].get(c, 1.0) for c in children}
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(caps[c], w[c] * mid) for c in children) < amount else (lo, mid)
+        for c in children:
+            give((*prefix, c), min(caps[c], w[c] * lo))
+
+    give((), min(budget, sum(leaves.values())))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_of_trees_with_weight_zero(spark, seed):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(seed)
+    leaves = {(d, g, s): float(r.choice([0, 5, 40, 300])) for d in "abc" for g in "xy" for s in "pq" if r.random() < 0.8}
+    leaves |= {("a", "x", "p"): 10.0, ("a", "y", "p"): 90.0, ("b", "x", "p"): 100.0}
+    weights = [{"a": 1.0, "b": 2.0, "c": 0.0 if seed % 2 else 1.0}, {"x": 1.0, "y": 0.0 if seed < 2 else 3.0}, {"p": 1.0, "q": 0.0 if seed == 3 else 0.5}]
+    df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "d string, g string, s string, cap double")
+    for budget in (100.0, 50.0, 5000.0):
+        want = fair_budgets(leaves, weights, budget)
+        got = {(x["d"], x["g"], x["s"]): x["budget"] for x in leaf_budgets(df, ["d", "g", "s"], dict(zip("dgs", weights, strict=True)), F.lit(budget), 1.0).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-2) for k in want)
+        assert sum(got.values()) == pytest.approx(min(budget, sum(leaves[k] for k in want)), abs=0.1)
+
+
 def test_share_out_is_water_filling(spark):
     caps, weights, budget = [5.0, 100.0, 8.0, 40.0], [1.0, 2.0, 3.0, 1.0], 60.0
     df = spark.createDataFrame([("p", f"n{i}", c, w, budget) for i, (c, w) in enumerate(zip(caps, weights, strict=True))], "parent string, node string, cap double, weight double, budget double")
@@ -129,43 +171,86 @@ def jaccard_links(texts):
     return links
 
 
-def test_near_duplicates(docs):
-    unique = docs.dropDuplicates(["doc_id"])
-    links = jaccard_links(TEXTS)
-    degree = Counter(x for pair in links for x in pair)
-    parent = {i: i for i, _ in TEXTS}
+def brute_classes(rows, width=5, threshold=0.8):
+    """(doc_id, class_id, copy_id, n_links) of each row (doc_id, text), by comparing all pairs of rows."""
+    sets = []
+    for _, text in rows:
+        w = split(text)
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in sorted(links):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    out = {r["doc_id"]: r for r in near_duplicates(unique).collect()}
-    assert len(out) == len(parent)
-    for i, r in out.items():
-        assert (r["n_links"], r["class_id"]) == (degree[i], root(i)), i
-    kept = drop_near_duplicates(unique)
+    degree = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                degree[i] += 1
+                degree[j] += 1
+                parent[root(i)] = root(j)
+    least, copy = {}, {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+        copy[sets[i]] = min(copy.get(sets[i], doc), doc)
+    return sorted((doc, least[root(i)], copy[sets[i]] if sets[i] else doc, degree[i]) for i, (doc, _) in enumerate(rows))
+
+
+def test_near_duplicates(docs):
+    want = brute_classes(TEXTS)
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == want
+    kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {root(i) for i in parent}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(doc for doc, name, *_ in want if doc == name)
+
+
+def edited(words, *at):
+    w = list(words)
+    for i in at:
+        w[i] = f"new{i}"
+    return " ".join(w)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    x, y = words(120, 5, 9000), words(120, 6, 9000)
+    rows = [(1, edited(x)), (2, edited(y)), (7, edited(x, 119)), (7, edited(y, 0)), (7, edited(x, 119)), (9, "lone words that nobody else has at all"), (8, edited(y, 119)), (2, "another text of two without any double")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(table).collect())) == brute_classes(rows)
+    kept = sorted(map(tuple, drop_near_duplicates(table).collect()))
+    assert kept == sorted([rows[0], rows[1], rows[5], rows[7]])
+
+
+def test_null_ids_stay(spark):
+    x = edited(words(120, 5, 9000))
+    table = spark.createDataFrame([(None, x), (None, x), (3, x), (4, x), (5, None), (6, "")], "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(table).collect())) == [(3, 3, 3, 1), (4, 3, 3, 1), (5, 5, 5, 0), (6, 6, 6, 0)]
+    assert sorted((r["doc_id"] or 0) for r in drop_near_duplicates(table).collect()) == [0, 0, 3, 5, 6]
 
 
 def test_large_nodes_and_tiles_lose_no_link(spark, monkeypatch):
     from tessera.llm import near_dups
 
-    monkeypatch.setattr(near_dups, "NODE_BLOCK", 8)
-    monkeypatch.setattr(near_dups, "TILE_BLOCK", 5)
+    monkeypatch.setattr(near_dups, "TILE_SHINGLES", 1300)
+    monkeypatch.setattr(near_dups, "LEAST_LOAD", 1)
+    monkeypatch.setattr(near_dups, "NODE_BLOCKS", 3)
     base = [f"w{i}" for i in range(150)]
-    texts = []
-    for i in range(60):
-        w = list(base)
-        w[(7 * i) % 150] = f"x{i}"
-        texts.append((i, " ".join(w)))
-    out = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    degree = Counter(x for p in jaccard_links(texts) for x in p)
-    assert all(out[i]["n_links"] == degree[i] for i in range(60)) and len({r["class_id"] for r in out.values()}) == 1
+    rows = [(i, edited(base, (7 * i) % 150)) for i in range(120)] + [(500 + i, edited(base, i)) for i in (3, 70)]
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_classes(rows)
+
+
+def test_small_sets_at_the_threshold(spark):
+    rows = [(n, passage("s", n + 4)) for n in range(1, 14)] + [(20 + n, passage("s", n + 4) + " end") for n in range(1, 14)]
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999999).collect())) == brute_classes(rows)
+
+
+def test_components_of_a_long_chain(spark):
+    from tessera.llm.graph import components
+
+    edges = spark.createDataFrame([(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(200) if i != 99], "u binary, v binary")
+    found = {bytes(r["node"]): bytes(r["component"]) for r in components(edges).collect()}
+    assert found == {f"{i:03d}".encode(): b"000" if i < 100 else b"100" for i in range(201)}
 
 
 def test_depths_reach_the_recall():
@@ -456,23 +541,78 @@ def test_quality_counts_long_words(spark):
 # --- 10 substrings
 
 
-def test_repeats(docs):
-    unique = docs.dropDuplicates(["doc_id"])
-    texts = dict(TEXTS)
+def brute_repeats(rows, least=50):
+    """For each row (doc_id, text): the words, and the places that a window starting in a smaller doc_id covers."""
     low = {}
-    for doc, text in texts.items():
+    for doc, text in rows:
         w = split(text)
-        for i in range(len(w) - 49):
-            key = tuple(w[i : i + 50])
+        for i in range(len(w) - least + 1):
+            key = tuple(w[i : i + least])
             low[key] = min(low.get(key, doc), doc)
-    out = {r["doc_id"]: r for r in drop_repeats(unique).collect()}
-    assert len(out) == len(texts)
-    for doc, text in texts.items():
+    out = []
+    for doc, text in rows:
         w = split(text)
-        gone = {j for i in range(len(w) - 49) if low[tuple(w[i : i + 50])] < doc for j in range(i, i + 50)}
+        gone = {j for i in range(len(w) - least + 1) if low[tuple(w[i : i + least])] < doc for j in range(i, i + least)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        assert (out[doc]["n_words"], out[doc]["n_removed"], out[doc]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), doc
-    assert sum(r["n_removed"] for r in out.values()) > 200
+        out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats(docs):
+    out = drop_repeats(docs).collect()
+    assert sorted(map(tuple, out)) == brute_repeats(TEXTS)
+    assert sum(r["n_removed"] for r in out) > 200
+
+
+def passage(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_repeats_of_one_id_with_several_texts(spark):
+    p60, a40, b40 = passage("p", 60), passage("a", 40), passage("b", 40)
+    rows = [(1, p60), (5, f"{p60} {a40}"), (5, f"{b40} {p60}"), (5, f"{b40} {p60}"), (7, f"{a40} {b40} {p60}"), (5, passage("q", 70)), (8, passage("q", 70)), (9, "x " + passage("q", 55))]
+    out = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == brute_repeats(rows)
+
+
+def test_repeats_without_ids(spark):
+    rows = [(None, passage("p", 60)), (1, passage("p", 60)), (None, passage("p", 60)), (2, passage("p", 60))]
+    out = sorted(map(tuple, drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [(r[0], r[2]) for r in out] == [(1, 0), (2, 60), (None, 0), (None, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_mixed_passages(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    pool = [passage(t, 150) for t in "abc"]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            w = r.choice(pool).split()
+            lo = r.randrange(0, 90)
+            cut = w[lo : lo + r.randrange(30, 150)]
+            if r.random() < 0.3 and cut:
+                cut[r.randrange(len(cut))] = f"edit{i}"
+            parts += [*cut, *(f"own{i}-{r.randrange(9)}" for _ in range(r.randrange(0, 3)))]
+        rows.append((r.randrange(40), " ".join(parts)))
+    rows.append((99, passage("loop", 5) + " " + " ".join(["same"] * 200)))
+    rows.append((98, " ".join(["same"] * 120)))
+    out = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == brute_repeats(rows)
+
+
+def test_id_filter_lets_all_ids_pass(spark):
+    from tessera.llm.idfilter import may_hold
+
+    ids = spark.range(0, 30000, 3)
+    table = spark.range(30000).withColumnRenamed("id", "k")
+    for bits in (1 << 28, 1 << 16):
+        found = {r["k"] for r in table.filter(may_hold(ids, "k", most_bits=bits)).collect()}
+        assert set(range(0, 30000, 3)) <= found and (len(found) < 11000 or bits == 1 << 16)
+    assert table.filter(may_hold(ids.limit(0), "k")).count() == 0
 
 
 # --- empty tables
