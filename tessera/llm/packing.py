@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
 from collections import defaultdict
-from itertools import combinations_with_replacement
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import blocks_for, gapless_rank, stash
 from tessera.llm.wordcodes import arrow_rows
 
-#: Distinct chunks of text whose token ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 300_000
+#: Bytes of chunks and of words, with their token ids, that a Python worker remembers; beyond it the memory starts anew.
+CACHE_BYTES = 40_000_000
+#: What an entry takes besides its bytes, about.
+ENTRY_BYTES = 180
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -28,6 +31,27 @@ CACHE_ENTRIES = 300_000
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
+# The normalisation, word cutting and model of the tokenizers that _PLAIN and _WORDS follow.
+_CUT_AT_SPACE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+def cut_at_space(declared: dict) -> bool:
+    """Whether a tokenizer, by what its file declares, drops white space and never joins across it, in the way that
+    ChunkEncoder follows; its special tokens then hold `<|` and no white space."""
+    model = declared.get("model", {})
+    special = [t["content"] for t in declared.get("added_tokens", [])]
+    return (
+        all(declared.get(k) == v for k, v in _CUT_AT_SPACE.items()) and model.get("type") == "BPE" and not model.get("dropout")
+        and all("<|" in t and not any(c.isspace() for c in t) for t in special)
+    )
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes a printable byte as itself and the others as the code points from 256 on, in order."""
@@ -41,21 +65,23 @@ class _Words(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.tokenize, self.letters, self.size = model.tokenize, _byte_letters(), 0
 
     def __missing__(self, word: str) -> bytes:
         spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
         ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
+        self.size += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
 
 class ChunkEncoder(dict):
-    """Token ids of chunks of text between ASCII white space, as little-endian 32-bit numbers.
+    """Token ids of texts, as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so the chunks' ids joined are the text's ids. Chunks
-    and words that occur again are remembered, about CACHE_ENTRIES of each at most. A chunk of plain Latin letters,
-    digits and punctuation is lowered and cut into words here and each word is encoded by the tokenizer's model; any
-    other chunk, and any that may hold a special token, is encoded by the whole tokenizer.
+    Where the tokenizer drops white space and never joins across it (cut_at_space), a text's ids are the joined ids of
+    its chunks between ASCII white space. Chunks and words that occur again are remembered, CACHE_BYTES of each at most.
+    A chunk of plain Latin letters, digits and punctuation is lowered and cut into words here and each word is encoded
+    by the tokenizer's model; any other chunk, and any that may hold a special token, is encoded by the whole tokenizer.
+    With any other tokenizer whole texts go through it.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -63,20 +89,29 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(tokenizer_path)
-        self.words = _Words(self.whole.model)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.by_chunk = cut_at_space(json.load(f))
+        self.words, self.size = _Words(self.whole.model), 0
+
+    def _encode(self, text: bytes) -> bytes:
+        return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if _PLAIN.fullmatch(chunk) and b"<|" not in chunk:
             ids = b"".join(map(self.words.__getitem__, _WORDS.findall(chunk.decode().lower())))
         else:
-            ids = np.array(self.whole.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self._encode(chunk)
         self[chunk] = ids
+        self.size += ENTRY_BYTES + len(chunk) + len(ids)
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_chunk:
+            return self._encode(text)
         for memory in (self, self.words):
-            if len(memory) > CACHE_ENTRIES:
+            if memory.size > CACHE_BYTES:
                 memory.clear()
+                memory.size = 0
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -148,15 +183,52 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
     return x
 
 
-def patterns(classes: int, depth: int = 2) -> list[tuple[int, ...]]:
-    """Non-increasing tuples of at most `depth` length classes that fill a sequence of `classes` classes exactly."""
-    found = []
-    for k in range(1, depth + 1):
-        for head in combinations_with_replacement(range(classes, 0, -1), k - 1):
-            rest = classes - sum(head)
-            if rest >= 1 and (not head or rest <= head[-1]):
-                found.append((*head, rest))
-    return found
+def best_fills(values: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For up to `depth` pieces and each room of 0 .. classes classes: the most value that fits, and the class of the
+    piece to take first for it (0: none). values: the worth of a piece of class 1, 2, and so on."""
+    best, pick = np.zeros((depth + 1, classes + 1)), np.zeros((depth + 1, classes + 1), int)
+    for d in range(1, depth + 1):
+        best[d] = best[d - 1]
+        for c in np.flatnonzero(values > 0) + 1:
+            gain = best[d - 1, : classes + 1 - c] + values[c - 1]
+            more = gain > best[d, c:] + 1e-12
+            best[d, c:][more] = gain[more]
+            pick[d, c:][more] = c
+    return best, pick
+
+
+def fit_patterns(total: np.ndarray, depth: int, rounds: int) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns (tuples of at most `depth` length classes that fit a sequence of len(total) classes, longest first) and
+    how often to use each, fitted to the counts `total` of the classes by non-negative least squares.
+
+    There are too many patterns to list, so they are enumerated by what they are worth: in each round the residual of
+    the fit prices the classes, and for every class the pattern with a piece of it that is worth most (a knapsack
+    over the classes) joins. A long piece left over costs more than a short one.
+    """
+    classes = len(total)
+    weight = np.arange(1, classes + 1, dtype=float)
+    live = (np.flatnonzero(total) + 1).tolist()
+    found: dict[tuple[int, ...], int] = {}
+    x, residual = np.zeros(0), total * weight
+    for _ in range(rounds):
+        _, pick = best_fills(np.maximum(residual * weight, 0), classes, depth - 1)
+        before = len(found)
+        for c in live:
+            pattern, room = [c], classes - c
+            for d in range(depth - 1, 0, -1):
+                if pick[d, room]:
+                    pattern.append(int(pick[d, room]))
+                    room -= pattern[-1]
+            found.setdefault(tuple(sorted(pattern, reverse=True)), len(found))
+        if len(found) == before:
+            break
+        a = np.zeros((classes, len(found)))
+        for pattern, j in found.items():
+            for c in pattern:
+                a[c - 1, j] += 1
+        x = nnls(a * weight[:, None], total * weight)
+        residual = total * weight - (a * weight[:, None]) @ x
+    return [(p, float(x[j])) for p, j in found.items() if x[j] > 1e-9]
 
 
 class _Runs:
@@ -177,22 +249,48 @@ class _Runs:
         return got
 
 
-def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int = 256, depth: int = 2) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Placements (length, first rank, last rank + 1, pieces a sequence, first sequence, offset), and the sequences used.
+Placement = tuple[int, int, int, int, int, int]
+
+
+def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int = 32, depth: int = 6, rounds: int = 6, shorts: Sequence[float] = (0.3, 0.4, 0.5, 0.75, 1.0)) -> tuple[list[Placement], int, int]:
+    """Placements (length, first rank, last rank + 1, pieces a sequence, first sequence, offset), the sequences used, and
+    how many pieces are placed by patterns.
+
+    Patterns are for the longer pieces; of the plans that leave each share in `shorts` of the pieces, the shortest ones,
+    to best fit, the one with the fewest sequences is taken, of equal ones the one with the most pieces in patterns.
+    A share of 1 is best fit alone, so patterns never cost a sequence.
+    """
+    plans = [_plan(histogram, max_len, classes, depth, rounds, s) for s in shorts]
+    return min(plans, key=lambda p: (p[1], -p[2]))
+
+
+def _plan(histogram: dict[int, int], max_len: int, classes: int, depth: int, rounds: int, short: float) -> tuple[list[Placement], int, int]:
+    """A plan by patterns for all but the shortest pieces, a share of `short`.
 
-    Lengths are rounded up to `classes` classes; the repeat counts of all patterns of at most `depth` pieces are fitted
-    to the histogram, rounded down and cut to what is there. The pieces that remain go, longest first, where they
-    leave the least room: into the room that patterns left by rounding up, then into new sequences. Everything is done
-    on runs of equal lengths, so the work depends on the distinct lengths (at most max_len), not on the documents.
+    Lengths are rounded up to `classes` classes, and patterns of at most `depth` of them are fitted to the histogram
+    (fit_patterns); repeat counts are rounded and cut to what is there. The shortest pieces and what rounding leaves
+    over go, longest first, where they leave the least room: into the room that patterns leave by rounding lengths
+    up, then into new sequences. Everything is done on runs of equal lengths, so the work depends on the distinct
+    lengths (at most max_len), not on the documents.
     """
     unit = -(-max_len // classes)
+    passed, floor = 0, 0
+    for length in sorted(histogram):
+        passed += histogram[length]
+        if passed > short * sum(histogram.values()):
+            break
+        floor = length
     by_class: dict[int, _Runs] = defaultdict(_Runs)
+    short_runs: list[tuple[int, int, int]] = []
     total = np.zeros(classes)
     for length in sorted(histogram, reverse=True):
         c = -(-length // unit)
-        by_class[c].runs.append([length, 0, histogram[length]])
-        total[c - 1] += histogram[length]
-    placements: list[tuple[int, int, int, int, int, int]] = []
+        if length <= floor:
+            short_runs.append((length, 0, histogram[length]))
+        else:
+            by_class[c].runs.append([length, 0, histogram[length]])
+            total[c - 1] += histogram[length]
+    placements: list[Placement] = []
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> (first sequence, sequences)
     order: list[int] = []  # rooms, sorted
     used = 0
@@ -203,20 +301,15 @@ def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int
                 bisect.insort(order, room)
             rooms[room].append((first, n))
 
-    shapes = [p for p in patterns(classes, depth) if all(total[c - 1] for c in p)]
-    if shapes:
-        a = np.zeros((classes, len(shapes)))
-        for j, p in enumerate(shapes):
-            for c in p:
-                a[c - 1, j] += 1
-        weight = np.arange(1, classes + 1, dtype=float)[:, None]  # a long piece left over costs more than a short one
-        fitted = np.floor(nnls(a * weight, total * weight[:, 0]) + 1e-6).astype(int)
+    by_patterns = 0
+    if total.any():
+        fitted = fit_patterns(total, depth, rounds)
         left = [int(x) for x in total]
-        for j in sorted(range(len(shapes)), key=lambda j: (-max(shapes[j]), shapes[j])):
-            shape = shapes[j]
-            n = min(int(fitted[j]), *(left[c - 1] // shape.count(c) for c in shape))
+        for shape, times in sorted(fitted, key=lambda f: (-f[1] % 1, f[0])):
+            n = min(int(times + 0.5), *(left[c - 1] // shape.count(c) for c in shape))
             if n <= 0:
                 continue
+            by_patterns += n * len(shape)
             columns = []
             for c in shape:
                 left[c - 1] -= n
@@ -235,7 +328,8 @@ def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int
                         passed += k
                 leave(max_len - offset, used + lo, hi - lo)
             used += n
-    for length, rank, n in sorted((tuple(r) for runs in by_class.values() for r in runs.runs), reverse=True):
+    rest = [tuple(r) for runs in by_class.values() for r in runs.runs] + short_runs
+    for length, rank, n in sorted(rest, reverse=True):
         while n:
             at = bisect.bisect_left(order, length)
             if at < len(order):
@@ -254,7 +348,7 @@ def plan_sequences(histogram: dict[int, int], max_len: int = 4096, classes: int
             if count > take:
                 leave(room, first + take, count - take)
             rank, n = rank + take * each, n - take * each
-    return placements, used
+    return placements, used, by_patterns
 
 
 def pack_pieces(pieces: DataFrame, max_len: int = 4096, rows_per_block: int = 50_000) -> DataFrame:
@@ -265,7 +359,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = 4096, rows_per_block: int = 50
     length held by a third of all pieces is still spread.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    placements, _ = plan_sequences(histogram, max_len)
+    placements, _, _ = plan_sequences(histogram, max_len)
     plan = pieces.sparkSession.createDataFrame(placements or [(0,) * 6], "length long, __lo long, __hi long, __each long, __first long, __at long")
     blocks = blocks_for(sum(histogram.values()), max(1, len(histogram)), rows_per_block)
     ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "__rank", blocks).withColumnRenamed("length", "__length")
@@ -281,8 +375,10 @@ def pack_pieces(pieces: DataFrame, max_len: int = 4096, rows_per_block: int = 50
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 1) -> DataFrame:
     """Every piece of every document with its place in the packed sequences.
 
-    Null and empty texts are one piece holding end_id. Repeated rows are packed as often as they occur. An empty
-    table gives an empty result. Only documents longer than max_len are cut.
+    Null and empty texts are one piece holding end_id. Repeated rows are packed as often as they occur, rows without
+    doc_id too. Other columns are not read. An empty table gives an empty result. Only documents longer than max_len
+    are cut. Pieces of equal length are ranked by hash block, doc_id, piece and content, so rows that are equal in all
+    of these may change places with each other.
     """
     pieces = stash(token_pieces(docs, tokenizer_path, max_len, end_id), "pieces")
     return pack_pieces(pieces, max_len).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

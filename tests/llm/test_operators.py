@@ -13,7 +13,7 @@ from tessera.llm.exact_dedup import CuckooIndex, dedup_report, drop_copies
 from tessera.llm.language import PpmModel, filter_languages, predict_languages
 from tessera.llm.mixing import leaf_budgets, mix_documents, mix_report, share_out
 from tessera.llm.near_dups import choose_depths, drop_near_duplicates, near_duplicates
-from tessera.llm.packing import ChunkEncoder, nnls, pack_documents, plan_sequences
+from tessera.llm.packing import ChunkEncoder, best_fills, fit_patterns, nnls, pack_documents, plan_sequences, token_pieces
 from tessera.llm.privacy import Pseudonymizer, luhn, permute, pseudonymize
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import assign_shards, shard_documents
@@ -299,7 +299,8 @@ def test_plan_covers_the_histogram():
     rng = np.random.default_rng(3)
     for top in (300, 2000, 4096):
         h = Counter(int(x) for x in rng.integers(1, top + 1, 3000))
-        plan, used = plan_sequences(h)
+        plan, used, by_patterns = plan_sequences(h)
+        assert used <= plan_sequences(h, shorts=[1.0])[1] and 0 <= by_patterns <= sum(h.values())
         seen, room = Counter(), defaultdict(int)
         for length, lo, hi, each, first, at in plan:
             for r in range(lo, hi):
@@ -310,6 +311,52 @@ def test_plan_covers_the_histogram():
         assert used <= 1.03 * sum(k * n for k, n in h.items()) / 4096 + 2 or top == 4096
 
 
+def test_most_pieces_are_placed_by_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    h = {r["length"]: r["count"] for r in token_pieces(docs, registry.word_tokenizer()).groupBy("length").count().collect()}
+    _, used, by_patterns = plan_sequences(h)
+    assert by_patterns > 0.5 * sum(h.values())
+    assert used <= plan_sequences(h, shorts=[1.0])[1]
+
+
+def test_patterns_fit_and_hold_every_class():
+    total = np.random.default_rng(2).integers(0, 500, 32).astype(float)
+    fitted = fit_patterns(total, 6, 6)
+    assert all(1 <= len(p) <= 6 and sum(p) <= 32 and n > 0 for p, n in fitted)
+    made = np.zeros(32)
+    for p, n in fitted:
+        for c in p:
+            made[c - 1] += n
+    assert np.allclose(made, total, atol=1e-3)
+
+
+def test_best_fills_is_a_knapsack():
+    from itertools import combinations_with_replacement
+
+    values = np.random.default_rng(4).integers(-3, 20, 9).astype(float)
+    best, _ = best_fills(values, 9, 3)
+    for room in range(10):
+        want = max(sum(values[c - 1] for c in p) for k in range(4) for p in combinations_with_replacement(range(1, 10), k) if sum(p) <= room)
+        assert best[3, room] == max(want, 0)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    text = "Don't STOP  it's\n12ab é-È's ½x ǆ Straße <|endoftext|> twice  blank"
+    for path in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = ChunkEncoder(public_tokenizers.path(path))
+        assert encoder.by_chunk == (path == "word_bpe_49k.json")
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+    changed = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    changed["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(changed))
+    encoder = ChunkEncoder(str(tmp_path / "cased.json"))
+    assert not encoder.by_chunk and np.frombuffer(encoder.encode(b"Stop it"), "<u4").tolist() == encoder.whole.encode("Stop it", add_special_tokens=False).ids
+
+
 def test_nnls():
     rng = np.random.default_rng(1)
     a, x = rng.random((20, 8)), np.array([0, 1, 0, 2, 0, 0, 3, 0.5])
