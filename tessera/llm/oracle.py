@@ -59,16 +59,16 @@ def _js(own: str, ref: str) -> str:
 
 _HELD = ", ".join(f"(length(t) - length(regexp_replace(t, '{p}', '', 'g')))::DOUBLE" for p in (c.replace("'", "''") for c in CLASSES.values()))
 _QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-    f AS (SELECT *, [{_HELD}] AS held, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(list_filter(w, lambda x: length(x) <= 4), lambda x: lower(x)) AS short FROM d),
+    f AS (SELECT *, [{_HELD}] AS held, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(w, lambda x: lower(x)) AS low FROM d),
     k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
     twice AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1), rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY doc_id),
-    c AS (SELECT doc_id, lang, w, short, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    c AS (SELECT doc_id, lang, w, low, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) AS n_chars, list_append(held, greatest(length(t) - list_sum(held), 0)::DOUBLE) AS classes FROM f LEFT JOIN rep USING (doc_id)),
     sums AS (SELECT lang, [{', '.join(f'sum(classes[{i + 1}])' for i in range(len(CLASSES) + 1))}] AS ref_classes, sum(n_words) AS all_words FROM c GROUP BY lang),
-    top AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(short) AS word FROM c) GROUP BY lang, word) WHERE r <= 20),
+    top AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(low) AS word FROM c) GROUP BY lang, word) WHERE r <= 20),
     best AS (SELECT lang, list(word ORDER BY n DESC, word) AS ref_words, list(n::DOUBLE ORDER BY n DESC, word) AS known FROM top GROUP BY lang),
     refs AS (SELECT lang, ref_classes, coalesce(ref_words, []::VARCHAR[]) AS ref_words, list_append(coalesce(known, []::DOUBLE[]), (all_words - coalesce(list_sum(known), 0))::DOUBLE) AS ref_counts FROM sums LEFT JOIN best USING (lang)),
-    o AS (SELECT *, list_transform(ref_words, lambda x: len(list_filter(short, lambda y: y = x))::DOUBLE) AS own FROM c JOIN refs USING (lang)),
+    o AS (SELECT *, list_transform(ref_words, lambda x: len(list_filter(low, lambda y: y = x))::DOUBLE) AS own FROM c JOIN refs USING (lang)),
     m AS (SELECT *, list_append(own, (n_words - coalesce(list_sum(own), 0))::DOUBLE) AS own_all FROM o),
     j AS (SELECT *, CASE WHEN n_chars >= 200 THEN {_js('classes', 'ref_classes')} END AS cd, CASE WHEN n_words >= 50 THEN {_js('own_all', 'ref_counts')} END AS wd, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= 0.27 AND coalesce(wd, 0) <= 0.45 AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j"""
