@@ -31,18 +31,11 @@ def _after(values: Column, places: int) -> Column:
     return F.slice(values, places + 1, F.greatest(F.size(values) - places, F.lit(0)))
 
 
-def window_codes(words: Column) -> Column:
-    """A code for each 5-word window: of the codes of its words, which are made once a word."""
-    own = F.transform(words, lambda w: F.xxhash64(w))
-    beside = [_after(own, k) for k in range(5)]
-    zipped = F.arrays_zip(*[F.slice(x, F.lit(1), F.size(words) - 4) for x in beside])
-    return F.when(F.size(words) >= 5, F.transform(zipped, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
-
-
-def count_words(joined: Column, wanted: Column) -> Column:
-    """How often each wanted word is in a text whose words are joined by two blanks, with one at either end."""
-    held = F.octet_length(joined)
-    return F.transform(wanted, lambda w: ((held - F.octet_length(F.replace(joined, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
+def window_codes(codes: Column) -> Column:
+    """A code for each 5-word window, of the codes of its words. `codes` must be a column that is already there: the
+    function looks into it once a window."""
+    whole = F.transform(codes, lambda x, i: F.xxhash64(x, *[F.get(codes, i + k) for k in range(1, 5)]))
+    return F.slice(whole, F.lit(1), F.greatest(F.size(codes) - 4, F.lit(0)))
 
 
 def with_repeated_words(rows: DataFrame, windows: str, out: str) -> DataFrame:
@@ -63,7 +56,7 @@ def common_words(docs: DataFrame, top: int) -> DataFrame:
     """lang, ref_words: the `top` commonest words of each language, lower-cased, from all its words. Counts are summed in
     each task before they are shuffled."""
     words = F.explode_outer(words_of(F.lower("text"))).alias("word")
-    counts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), words).filter("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), words).filter("word IS NOT NULL").groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = counts.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("best"))
     return best.select("lang", F.col("best.word").alias("ref_words"))
@@ -76,12 +69,15 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     rows = rows.join(common, "lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
     held = [F.regexp_count("text", F.lit(p)).cast("double") for p in CLASSES.values()]
     rows = once(rows, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)), held=F.array(*held), n_symbols=F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long"))
-    rows = rows.select(
-        "doc_id", "lang", "ref_words", "words", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"), "n_symbols",
+    # no word is longer in capitals, so those over the longest common word are none of them
+    longest = F.coalesce(F.array_max(F.transform("ref_words", F.length)), F.lit(0))
+    rows = once(rows, longest=longest, codes=F.transform("words", lambda w: F.xxhash64(w))).select(
+        "doc_id", "lang", "ref_words", "codes", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform(F.filter("words", lambda w: F.length(w) <= F.col("longest")), F.lower).alias("near"),
     )
-    rows = once(rows, windows=window_codes(F.col("words")), joined=F.lower(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))).drop("words")
-    rows = once(rows, own=count_words(F.col("joined"), F.col("ref_words"))).drop("joined")
+    own = F.transform("ref_words", lambda w: (F.size("near") - F.size(F.array_remove(F.col("near"), w))).cast("double"))
+    rows = once(rows, windows=window_codes(F.col("codes")), own=own).drop("codes", "near")
     lower = F.greatest(F.col("n_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
     rows = with_repeated_words(rows, "windows", "n_repeat_words")
     return rows.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("held")[SPACE]).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", F.concat("held", F.array(lower)).alias("classes"), "own")
