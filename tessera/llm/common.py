@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables written by `stash` that are still there, by the application that wrote them.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) uses the
+    temporary folder; on a cluster a machine's own folder would lose tables, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessera-shared"
     return base.rstrip("/")
 
 
@@ -23,13 +33,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. The table stays
+    until `sweep`."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stashed(spark: SparkSession) -> int:
+    """How many tables are there: a mark for `sweep`."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that `stash` has written after the mark `since`, but the last one if keep_last. For use when
+    nothing reads them any more: the results that were made from them are written or collected."""
+    from pyarrow import fs
+
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - keep_last]
+    for path in gone:
+        store, folder = fs.FileSystem.from_uri(path)
+        store.delete_dir(folder)
+    paths[since : since + len(gone)] = []
+
+
 def blocks_for(n_rows: int, n_groups: int, rows_per_block: int) -> int:
     """How many hash blocks a group is cut into so that even a group with every row keeps small blocks."""
     return max(16, -(-n_rows // rows_per_block), -(-256 // max(1, n_groups)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, stash
+from tessera.llm.idfilter import may_hold
 from tessera.llm.wordcodes import arrow_rows
 
 SLOTS = 4
@@ -174,16 +175,19 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, all columns as they were; of rows that repeat the kept doc_id and text, one stays.
+    """The documents without exact copies, all columns as they were; of rows that repeat the kept doc_id and text, one
+    stays (any of them, if other columns differ).
 
-    Rows with other texts are untouched, whatever their ids. Texts travel through one shuffle, by doc_id.
+    Null counts as an empty text, a null doc_id is below every other. Rows with other texts are untouched, whatever
+    their ids; columns of any name pass through; an empty table gives an empty one. Only rows that may have a copy are
+    shuffled, by doc_id and digest: the others pass a Bloom filter of bounded size.
     """
     report = dedup_report(docs)
-    lost = stash(report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("kept").alias("repeat")).distinct(), "copies")
-    marked = packed(docs, doc_id=F.col("doc_id").cast("long"), sha256=text_digest())
+    more = report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("kept").alias("repeat")).distinct()
+    more = stash(more, "copies")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"))
+    may_go = may_hold(more.select("id").distinct(), "doc_id")
+    once = rows.filter(may_go).withColumn("sha256", text_digest("row.text")).dropDuplicates(["doc_id", "sha256"])  # a row without copies is there once
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha256") == F.col("sha"))
-    whole = marked.join(lost.hint("merge"), same, "left_anti")  # one way at every size: a table of copies has no bound
-    twice = lost.filter("repeat")
-    if twice.head(1):  # rows that repeat doc_id and text are rare: without them the texts are shuffled once
-        whole = whole.unionByName(marked.join(twice.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "sha256"]))
-    return whole.select("row.*")
+    stay = once.join(more.filter("NOT repeat").hint("merge"), same, "left_anti")
+    return rows.filter(~may_go).select("row.*").unionByName(stay.select("row.*"))

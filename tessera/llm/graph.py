@@ -25,15 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     that has an order. Loops are left out; repeated edges, and edges both ways, count once; no edges give no rows.
 
     Each round halves the depth of the trees that the links form, so the rounds grow with the logarithm of the longest
-    chain; they go on until a round changes nothing. Every round is written to the shared folder. Minima are summed up
-    in each task first and written, so that the join back is a plain inner equi-join, which adaptive execution splits
-    at a node with very many neighbours.
+    chain; they go on until all trees are stars, where no node's parent has a parent. Every round is written to the
+    shared folder. Minima are summed up in each task first and written, so that the join back is a plain inner
+    equi-join, which adaptive execution splits at a node with very many neighbours.
     """
     now = stash(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen, state = None, ()
-    while state != seen:
-        seen = state
+    while True:
         now = stash(_star(stash(_star(now, True), "edges"), False), "edges")
-        state = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").head(1):
+            break
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
 from tessera.llm.wordcodes import U, mix
 
 PAGE_BITS = 1 << 16
@@ -42,14 +41,14 @@ def may_hold(ids: DataFrame, column: str, bits_per_id: int = 12, most_bits: int
 
     The filter takes `bits_per_id` bits an id, at most `most_bits` in all (32 MB), which bounds what the driver holds
     and the broadcast at any size. Beyond that it lets more rows through, so it must be followed by the exact join.
-    Each page of 65,536 bits is filled in one task, from ids that stream in; the pages are written before they are sent.
+    Each page of 65,536 bits is filled in one task, from ids that stream in, and the driver collects the pages.
     """
     n = ids.count()
     pages = max(1, min(most_bits // PAGE_BITS, -(-n * bits_per_id // PAGE_BITS)))
     hashed = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("hash"))
     dealt = hashed.select("hash", F.pmod("hash", F.lit(pages)).cast("int").alias("page")).repartition("page").sortWithinPartitions("page")
     table = np.zeros((pages, PAGE_BITS // 8), np.uint8)
-    for r in stash(dealt.mapInArrow(_fill, "page int, bits binary"), "id-filter").toLocalIterator():
+    for r in dealt.mapInArrow(_fill, "page int, bits binary").collect():
         table[r["page"]] = np.frombuffer(r["bits"], np.uint8)
     shared = ids.sparkSession.sparkContext.broadcast(table)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, stash
@@ -220,8 +220,8 @@ def _block_pairs(nodes: DataFrame) -> DataFrame:
     A node's blocks are dealt to groups of NODE_BLOCKS, and two groups of a node meet by a key of their own, so that no
     key holds more than NODE_BLOCKS squared pairs however large the node is.
     """
-    size = stash(nodes.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE_BLOCKS).cast("int").alias("parts")), "node-parts")
-    dealt = stash(nodes.join(size, "node").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")), "node-groups")
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("node")) / NODE_BLOCKS).cast("int")
+    dealt = nodes.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
     left = dealt.select("node", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("block").alias("x"))
     right = dealt.select("node", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("p"), F.col("part").alias("q"), F.col("block").alias("y"))
     return left.join(right, ["node", "p", "q"]).select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")).distinct()
@@ -267,23 +267,23 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     members = paths.mapInArrow(_members(depths), "node long, sid long")
     nodes = stash(members.groupBy("node").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most").select("node", "least"), "nodes")
     crowd = stash(members.join(nodes.hint("merge"), "node"), "members")
-    homes = stash(crowd.groupBy("sid").agg(F.min("least").alias("home"), F.collect_set("node").alias("nodes")), "homes")
+    homes = crowd.groupBy("sid").agg(F.min("least").alias("home"), F.collect_set("node").alias("nodes"))
     placed = stash(sets.join(homes, "sid"), "candidates")
     load = F.sum(F.greatest(F.col("n_shingles"), F.lit(LEAST_LOAD)))
     parts = stash(placed.groupBy("home").agg(F.ceil(load / TILE_SHINGLES).cast("long").alias("parts")), "home-sizes")
     placed = placed.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts"))))
     placed = stash(placed.select("mark", "sid", F.col("copy_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), "copies", "nodes", "block"), "blocks")
 
-    tiles = stash(_block_pairs(stash(crowd.join(placed.select("sid", "block"), "sid").select("node", "block").distinct(), "node-blocks")), "tiles")
-    meets = tiles.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
-    visits = stash(placed.join(meets, "block").drop("sid"), "visits")
+    meets = _block_pairs(stash(crowd.join(placed.select("sid", "block"), "sid").select("node", "block").distinct(), "node-blocks"))
+    meets = meets.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    visits = placed.join(meets, "block").drop("sid")
     some = ids.filter(may_hold(placed.select("doc_id").distinct(), "doc_id")).dropDuplicates(["doc_id", "text_hash"])
     tiled = visits.hint("merge").join(some, ["doc_id", "text_hash"]).select("one", "two", "block", "mark", "copies", "nodes", "text")
     tiled = tiled.repartition("one", "two").sortWithinPartitions("one", "two")
     found = stash(tiled.mapInArrow(_verify(width, threshold), _FOUND), "links")
     links = found.filter("kind = 0").groupBy(F.col("a").alias("mark")).agg(F.sum("links").alias("links"))
     edges = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return signed.select("doc_id", "text_hash", "mark"), sets, stash(links, "link-sums"), edges
+    return signed.select("doc_id", "text_hash", "mark"), sets, links, edges
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:

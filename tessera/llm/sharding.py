@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks_for, gapless_rank, stash, utf8_bytes
+from tessera.llm.common import blocks_for, gapless_rank, packed, stash, utf8_bytes
 
 
 def rendezvous_scores(key: Column, weights: Sequence[float]) -> list[Column]:
@@ -30,17 +30,17 @@ def winner(scores: Column, n: int) -> Column:
 def assign_shards(rows: DataFrame, key: str, n_shards: int, weights: Sequence[float] | None = None, grown: bool = True, out: str = "shard") -> DataFrame:
     """Add `out` (and `grown_<out>`: the shard after one more of mean weight joins); no shuffle, any columns pass through.
 
-    Null keys share one shard, as any other equal keys do. Empty tables give empty tables.
+    Null keys share one shard, as any other equal keys do; repeated rows go to the same one. Empty tables give empty
+    tables. Columns of other names pass through unchanged; a column that is already called `out` or grown_<out> is
+    replaced.
     """
     weights = list(weights or [1.0] * n_shards)
     if len(weights) != n_shards or n_shards < 1 or min(weights) < 0 or sum(weights) <= 0:
         raise ValueError("n_shards weights of 0 or more are needed, at least one above 0")
     more = [*weights, sum(weights) / n_shards] if grown else weights
-    scored = rows.withColumn("__scores", F.array(*rendezvous_scores(F.col(key), more)))
-    placed = scored.withColumn(out, winner(F.col("__scores"), n_shards))
-    if grown:
-        placed = placed.withColumn(f"grown_{out}", winner(F.col("__scores"), n_shards + 1))
-    return placed.drop("__scores")
+    made = [out, f"grown_{out}"][: 1 + grown]
+    scored = packed(rows.drop(*[c for c in made if c != key]), scores=F.array(*rendezvous_scores(F.col(key), more)))
+    return scored.select("row.*", *[winner(F.col("scores"), n_shards + k).alias(c) for k, c in enumerate(made)])
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None, rows_per_block: int = 50_000) -> DataFrame:

@@ -53,6 +53,30 @@ def test_shards(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_are_the_least_scores(spark):
+    """The winning shard again, from the hashes alone."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    weights = [1.0, 3.0, 0.0, 0.5, 2.0]
+    keys = spark.createDataFrame([(str(i),) for i in range(300)] + [(None,)], "k string")
+    hashed = keys.select("k", F.array(*[F.xxhash64(F.xxhash64(F.coalesce("k", F.lit("\0null"))), F.lit(j).cast("long")) for j in range(6)]).alias("h"))
+    want = {}
+    for r in hashed.collect():
+        unit = [((h % (1 << 64) >> 11) + 0.5) / 2**53 for h in r["h"]]
+        score = [-math.log(u) / w if w else math.inf for u, w in zip(unit, [*weights, sum(weights) / 5], strict=True)]
+        want[r["k"]] = (score.index(min(score[:5])), score.index(min(score)))
+    got = assign_shards(keys, "k", 5, weights).collect()
+    assert {r["k"]: (r["shard"], r["grown_shard"]) for r in got} == want
+
+
+def test_shards_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "doc_id long, `__scores` string, kept int")
+    out = assign_shards(rows, "doc_id", 4, out="place")
+    assert out.columns == ["doc_id", "__scores", "kept", "place", "grown_place"] and {r["__scores"] for r in out.collect()} == {"a", "b"}
+
+
 def test_shards_follow_weights(spark):
     keys = spark.range(20000).withColumnRenamed("id", "k")
     n = Counter(r["shard"] for r in assign_shards(keys, "k", 3, [1.0, 2.0, 0.0]).collect())
@@ -457,6 +481,25 @@ def test_dedup(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(max(g) for g in groups.values())
 
 
+def test_drop_copies_of_repeated_rows(spark):
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 3), (2, "b", 4), (2, "b", 4), (None, "c", 5), (None, "c", 6), (None, "d", 7), (3, "d", 8), (4, None, 9), (5, "", 10), (None, "e", 11)]
+    kept = drop_copies(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (5, ""), (None, "e")])
+
+
+def test_tables_are_swept(spark):
+    import os
+
+    from tessera.llm.common import stash, stashed, sweep
+
+    mark = stashed(spark)
+    paths = [stash(spark.range(3), "swept").inputFiles()[0][7:] for _ in range(3)]
+    sweep(spark, mark, keep_last=True)
+    assert [os.path.exists(p) for p in paths] == [False, False, True] and stashed(spark) == mark + 1
+    sweep(spark, mark)
+    assert not os.path.exists(paths[2])
+
+
 def test_dedup_null_ids(spark):
     out = dedup_report(spark.createDataFrame([(None, "a"), (3, "a"), (None, "b"), (None, "b")], "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out) == Counter({(None, 3, 2, False): 1, (3, 3, 2, True): 1, (None, None, 2, True): 2})
