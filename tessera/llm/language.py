@@ -232,7 +232,13 @@ def train(docs: DataFrame, docs_per_language: int = 300, bytes_per_language: int
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """Train outside the held-out fold and score every document."""
+    """Train outside the held-out fold and score every document: doc_id, held_out, lang_pred, score, bits_per_byte.
+
+    held_out is false for a row without doc_id, which is scored but never learned from, like one without lang or text.
+    Nulls, empty texts, ties and repeated rows are as `identify` says; other columns are not read, so their names can't
+    clash. An empty table gives an empty result, and one without labels `und` for every row. Whole texts are scored,
+    very long ones slice by slice.
+    """
     scored = identify(docs, train(docs))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 

@@ -18,9 +18,12 @@ TWO_DIGIT_COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0 .. size-1: a balanced Feistel network on the next even number of bits, walked along its
-    cycle until it is back in range. Equal values give equal results for one key and tweak."""
+def _half(value: int, n: int, i: int, key: bytes, tweak: str, mask: int) -> int:
+    mac = blake2b(b"%d/" % i + value.to_bytes(n, "big"), digest_size=min(64, n), key=key, person=tweak.encode()[:16]).digest()
+    return int.from_bytes(mac, "big") & mask
+
+
+def _walk(value: int, size: int, key: bytes, tweak: str, back: bool) -> int:
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -28,13 +31,26 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = value >> half, value & mask
         for i in range(ROUNDS):
-            mac = blake2b(b"%d/" % i + right.to_bytes(n, "big"), digest_size=min(64, n), key=key, person=tweak.encode()[:16]).digest()
-            left, right = right, left ^ (int.from_bytes(mac, "big") & mask)
+            if back:
+                left, right = right ^ _half(left, n, ROUNDS - 1 - i, key, tweak, mask), left
+            else:
+                left, right = right, left ^ _half(right, n, i, key, tweak, mask)
         value = left << half | right
         if value < size:
             return value
 
 
+def permute(value: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of 0 .. size-1: a balanced Feistel network on the next even number of bits, walked along its
+    cycle until it is back in range. Equal values give equal results for one key and tweak."""
+    return _walk(value, size, key, tweak, False)
+
+
+def unpermute(value: int, size: int, key: bytes, tweak: str) -> int:
+    """The value that `permute` turns into this one: the rounds backwards, along the same cycle."""
+    return _walk(value, size, key, tweak, True)
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 if d > "4" else 2 * int(d)) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -250,7 +266,10 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     their kind and form, so the result is valid again and equal values stay equal in all documents, for one key. What
     is not valid stays. Phone numbers are international ones (+ or 00) of 8 to 15 digits, national ones of 9 to 12 with
     a leading 0, of 10 to 15 in three groups, and of 9 from 6 to 9 in groups of 3 or 2; country codes and the leading 0
-    stay. Numbers without +, leading 0 or groups are not taken for phones. The time after a date stays. A text without digit or @ is passed on unread; a null text stays null. Rows are independent.
+    stay. Numbers without +, leading 0 or groups are not taken for phones. The time after a date stays. A text without
+    digit or @ is passed on unread; a null text stays null, an empty one empty. Rows are independent, so repeated rows and
+    rows without doc_id are rewritten each, and a text is at work whole. Other columns are not read. Empty tables give
+    empty results. The key is the caller's: it belongs in a secret store.
     """
     look = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", look.alias("look"))

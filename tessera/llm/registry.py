@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,11 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
-#: The key of the registered privacy query; a real run takes its key from a secret store.
-DEMO_KEY = b"tessera demonstration key"
+def privacy_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms, from spark.tessera.privacyKey; a new one for each call where that is unset."""
+    given = spark.conf.get("spark.tessera.privacyKey", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_shards": _documents(shard_documents),
@@ -42,7 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": _documents(near_duplicates),
     "op4_pattern_packing": _documents(lambda docs: pack_documents(docs, word_tokenizer())),
     "op5_warc_roundtrip": lambda spark, sf_dir: archive_pages(table(spark, sf_dir, "pages")),
-    "op6_pii_pseudonyms": _documents(lambda docs: pseudonymize(docs, DEMO_KEY)),
+    "op6_pii_pseudonyms": _documents(lambda docs: pseudonymize(docs, privacy_key(docs.sparkSession))),
     "op7_cuckoo_dedup": _documents(lambda docs: dedup_report(docs).drop("keep_rows")),
     "op8_ppm_language": _documents(predict_languages),
     "op9_divergence_quality": _documents(judge_quality),

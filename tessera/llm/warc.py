@@ -112,17 +112,29 @@ def write_warc(pages: DataFrame, base: str, least: int = 1000, roll_bytes: int =
 # --- reading --------------------------------------------------------------------------------------------------------
 
 
+#: A member that inflates to more than this is not read on: its bytes are a gap.
+MOST_INFLATED = 256_000_000
+
+
 def _member(data: memoryview, at: int, step: int = 65_536) -> tuple[bytes, int]:
-    """The gzip member that begins at `at`, and where it ends; ValueError if it is cut or fails its check."""
+    """The gzip member that begins at `at`, and where it ends; ValueError if it is cut, fails its check or inflates to
+    over MOST_INFLATED bytes."""
     z = zlib.decompressobj(31)
-    out, pos = [], at
+    out, pos, size = [], at, 0
     try:
         while not z.eof:
-            if pos >= len(data):
+            if z.unconsumed_tail:
+                got = z.decompress(z.unconsumed_tail, 16 * step)
+            elif pos >= len(data):
                 raise ValueError("cut member")
-            piece = data[pos : pos + step]
-            out.append(z.decompress(piece))
-            pos += len(piece)
+            else:
+                piece = data[pos : pos + step]
+                pos += len(piece)
+                got = z.decompress(piece, 16 * step)
+            out.append(got)
+            size += len(got)
+            if size > MOST_INFLATED:
+                raise ValueError("member too large")
     except zlib.error as e:
         raise ValueError(f"bad member: {e}") from None
     return b"".join(out), pos - len(z.unused_data)
@@ -276,7 +288,15 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Write all pages to archives in the shared folder, read them back, and tell each page's record."""
+    """Write all pages to archives in the shared folder, read them back, and tell each page's record: page_id,
+    payload_bytes, payload_digest, record_type, refers_to.
+
+    Of records with equal payloads of at least `least` bytes the one with the largest page_id is the response, and
+    the others revisit it; smaller payloads are all responses. Rows that repeat the largest page_id with the payload
+    are responses too. Null html is an empty payload, a null url an empty one; a row without page_id revisits a larger
+    payload's page, and comes back without one. Repeated rows are recorded each. Other columns are not read. An empty
+    table gives an empty result.
+    """
     spark = pages.sparkSession
     base = shared_path(spark, "warc")
     archives = write_warc(pages, base, least)

@@ -14,7 +14,7 @@ from tessera.llm.language import PpmModel, filter_languages, predict_languages
 from tessera.llm.mixing import leaf_budgets, mix_documents, mix_report, share_out
 from tessera.llm.near_dups import choose_depths, drop_near_duplicates, near_duplicates
 from tessera.llm.packing import ChunkEncoder, best_fills, fit_patterns, nnls, pack_documents, plan_sequences, token_pieces
-from tessera.llm.privacy import Pseudonymizer, luhn, permute, pseudonymize
+from tessera.llm.privacy import Pseudonymizer, luhn, permute, pseudonymize, unpermute
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import assign_shards, shard_documents
 from tessera.llm.substrings import drop_repeats
@@ -442,12 +442,99 @@ def test_dates_before_a_time():
     assert re.fullmatch(r"at (\d{4}-\d\d-\d\d)T10:00:00Z, \1t1000, \1Z and \1, not 2024-05-01Tuesday", new) and "2024-05-01T10" not in new
 
 
-def test_pseudonymize_table(docs):
+def test_unpermute_turns_back():
+    for size in (1, 2, 37, 1000, 10**15):
+        for value in (0, size // 3, size - 1):
+            assert unpermute(permute(value, size, b"k", "t"), size, b"k", "t") == value
+
+
+def test_pseudonymize_leaves_texts_without_personal_data(docs):
     found = by_id(pseudonymize(docs, b"k"))
     for doc, text in TEXTS:
         assert all(r["text"] == text for r in found[doc])
 
 
+#: Valid values by kind, and values that look like some kind and are not valid for it.
+PLANTED = {
+    "email": ["ana.lopez@mail.example.com", "j_doe+x@host.org"],
+    "ip": ["10.0.0.255", "192.168.17.4"],
+    "phone": ["+1 (415) 555-0134", "+49 30 1234567", "06 12 34 56 78"],
+    "card": ["4111 1111 1111 1111", "5500005555555559", "3782 822463 10005"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "ssn": ["123-45-6789", "856-45-6789"],
+    "date": ["29.02.2000", "2001-12-30", "12/31/1999"],
+    "token": ["0123456789abcdef0123456789abcdef"],
+}
+REFUSED = ["4111111111111112", "300.1.1.1", "2001-02-30", "000-12-3456", "DE89370400440532013001", "12.13.1850"]
+
+
+def valid(kind, value):
+    """Whether a value is valid for its kind, by a plain check."""
+    import datetime as dt
+
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "card":
+        total = 0
+        for i, d in enumerate(map(int, reversed(digits))):
+            total += d if i % 2 == 0 else sum(map(int, str(2 * d)))
+        return total % 10 == 0
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "date":
+        for form in ("%d.%m.%Y", "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y"):
+            try:
+                return 1900 <= dt.datetime.strptime(value, form).year <= 2099
+            except ValueError:
+                pass
+        return False
+    if kind == "ip":
+        return all(int(x) < 256 for x in value.split("."))
+    if kind == "ssn":
+        a, g, n = map(int, value.split("-"))
+        return 0 < a < 900 and a != 666 and g > 0 and n > 0
+    return True
+
+
+def test_pseudonymize_planted_values(spark):
+    """Each value alone, several in a text, the same value in many documents and places, and invalid ones."""
+    key, rows = b"a test key", []
+    values = [(k, v) for k, vs in PLANTED.items() for v in vs]
+    for i, (_, v) in enumerate(values):
+        rows += [(i, f"Start {v}, and (again {v}) end."), (100 + i, f"über {v}\nnext line")]
+    everything = " | ".join(v for _, v in values)
+    rows += [(300, everything), (301, "keep " + " | ".join(REFUSED)), (302, None), (303, ""), (303, everything), (None, everything)]
+    out = {}
+    for r in pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), key).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, out.values())) == len(rows)
+    made = {}
+    for i, (kind, v) in enumerate(values):
+        new = re.fullmatch(r"Start (.*), and \(again (.*)\) end\.", out[i][0]["text"]).groups()
+        assert new[0] == new[1] != v and out[100 + i][0]["text"] == f"über {new[0]}\nnext line"
+        assert out[i][0][f"n_{kind}"] == 2 and sum(out[i][0][f"n_{k}"] for k in PLANTED) == 2
+        assert valid(kind, v) and valid(kind, new[0])
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", new[0]))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v))) or kind in ("ip", "email", "token")
+        made[kind, v] = new[0]
+    assert len(set(made.values())) == len(made)
+    whole = " | ".join(made[x] for x in values)
+    assert out[300][0]["text"] == whole == out[None][0]["text"] and {r["text"] for r in out[303]} == {"", whole}
+    assert out[301][0]["text"] == "keep " + " | ".join(REFUSED) and out[302][0]["text"] is None
+    p = Pseudonymizer(key)
+    v = int.from_bytes(bytes(map(int, made["ip", "10.0.0.255"].split("."))), "big")
+    assert unpermute(v, 1 << 32, p.key, "ip") == int.from_bytes(bytes([10, 0, 0, 255]), "big")
+    body = made["card", "5500005555555559"][:-1]
+    assert unpermute(int(body), 10**15, p.key, "card15") == int("550000555555555")
+
+
+def test_equal_numbers_stay_equal_in_other_forms(spark):
+    p = Pseudonymizer(b"key")
+    spaced, plain, dashed = (p.text(x)[0] for x in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"))
+    assert spaced.replace(" ", "") == plain == dashed.replace("-", "")
+    days = [p.text(x)[0] for x in ("29.02.2000", "2000-02-29", "2000/02/29")]
+    assert days[0].split(".")[::-1] == days[1].split("-") == days[2].split("/")
+
+
 # --- 7 exact dedup
 
 

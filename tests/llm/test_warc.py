@@ -28,6 +28,15 @@ def test_gzip_salvage():
     assert list(salvage(b"")) == []
 
 
+def test_a_member_that_inflates_too_far_is_a_gap(monkeypatch):
+    from tessera.llm import warc
+
+    monkeypatch.setattr(warc, "MOST_INFLATED", 3_000_000)
+    bomb = gzip_member(page(1, 50_000_000))
+    assert len(bomb) < 300_000
+    assert kinds(gzip_member(page(0, 2_000_000)) + bomb + gzip_member(page(2, 500))) == ["<urn:page:0>", "gap", "<urn:page:2>"]
+
+
 def test_plain_salvage():
     records = [page(i, 300) for i in range(5)]
     assert kinds(b"".join(records)) == [f"<urn:page:{i}>" for i in range(5)]
