@@ -180,7 +180,9 @@ def _in_turn(shared: Sequence[Broadcast]) -> Iterator[PpmModel]:
             s.__dict__.pop("_value", None)
 
 
-def _score(shared: Sequence[Broadcast], columns: list[str]):
+def _score(shared: Sequence[Broadcast], columns: dict[str, pa.DataType]):
+    kinds = list(columns.values())
+
     def run(batches):
         for held in batched(arrow_rows(batches, *columns, "text"), len(columns)):
             texts = [r[-1] for r in held]
@@ -194,7 +196,7 @@ def _score(shared: Sequence[Broadcast], columns: list[str]):
                 total = total * np.exp2(np.maximum(both - least, -1000)) + np.exp2(np.maximum(both[:, None] - bits, -1000)).sum(1)
                 least = both
             rate = least / np.maximum(1, [len(t) for t in texts])
-            own = [pa.array([r[j] for r in held]) for j in range(len(columns))]
+            own = [pa.array([r[j] for r in held], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(name.tolist(), pa.string()), pa.array(1 / total, pa.float64()), pa.array(rate, pa.float64())], names=[*columns, "lang_pred", "score", "bits_per_byte"])
 
     return run
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, models: Sequence[Broadcast], key: str = "doc_id")
     if not models:
         return rows.select(key, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     schema = f"{key} long, letters boolean, lang_pred string, score double, bits_per_byte double"
-    scored = rows.select(key, lettered.alias("letters"), "text").mapInArrow(_score(models, [key, "letters"]), schema)
+    scored = rows.select(key, lettered.alias("letters"), "text").mapInArrow(_score(models, {key: pa.int64(), "letters": pa.bool_()}), schema)
     return scored.select(
         key, F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte",

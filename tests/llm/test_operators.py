@@ -641,6 +641,14 @@ def test_languages(docs):
     assert {r["doc_id"] for r in kept.collect()} == lettered - {30}  # its bytes are in none of the languages learned here
 
 
+def test_languages_of_rows_without_ids(spark):
+    rows = [(None, "la casa es grande y la calle es larga", "es"), (None, "123", "es"), (1, "la calle", "es"), (2, "the house", "en"), (3, "la casa", "es"), (4, "the street", "en")]
+    out = predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect()
+    assert len(out) == 6 and sorted((r["lang_pred"], r["held_out"]) for r in out if r["doc_id"] is None) == [("es", False), ("und", False)]
+    nameless = predict_languages(spark.createDataFrame([(None, "x", "es"), (None, "y z", "es")], "doc_id long, text string, lang string")).collect()
+    assert [r["lang_pred"] for r in nameless] == ["und", "und"]  # nothing to learn from
+
+
 def test_languages_without_labels(spark):
     out = predict_languages(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string")).collect()
     assert out[0]["lang_pred"] == "und"
