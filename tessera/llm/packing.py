@@ -27,9 +27,9 @@ ENTRY_BYTES = 180
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
-#: Chunks of these characters alone are cut into words here as the tokenizer cuts them; all others go through the whole tokenizer.
-_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts of these characters alone are cut into words here as the tokenizer cuts them.
+_PLAIN = re.compile(rb"[\x20-\x7e\x09-\x0d]*(?:(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[\x20-\x7e\x09-\x0d]*)*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 # The normalisation, word cutting and model of the tokenizers that _PLAIN and _WORDS follow.
 _CUT_AT_SPACE = {
@@ -78,10 +78,10 @@ class ChunkEncoder(dict):
     """Token ids of texts, as little-endian 32-bit numbers.
 
     Where the tokenizer drops white space and never joins across it (cut_at_space), a text's ids are the joined ids of
-    its chunks between ASCII white space. Chunks and words that occur again are remembered, CACHE_BYTES of each at most.
-    A chunk of plain Latin letters, digits and punctuation is lowered and cut into words here and each word is encoded
-    by the tokenizer's model; any other chunk, and any that may hold a special token, is encoded by the whole tokenizer.
-    With any other tokenizer whole texts go through it.
+    its chunks between ASCII white space. Text of plain Latin letters, digits and punctuation is lowered and cut into
+    words here, and each word is encoded by the tokenizer's model; any other chunk, and any that may hold a special
+    token, is encoded by the whole tokenizer. Words, and such chunks, that occur again are remembered, CACHE_BYTES of
+    each at most. With any other tokenizer whole texts go through it.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -97,14 +97,16 @@ class ChunkEncoder(dict):
         return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if _PLAIN.fullmatch(chunk) and b"<|" not in chunk:
-            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(chunk.decode().lower())))
-        else:
-            ids = self._encode(chunk)
-        self[chunk] = ids
+        ids = self[chunk] = self._encode(chunk)
         self.size += ENTRY_BYTES + len(chunk) + len(ids)
         return ids
 
+    def _plain(self, text: bytes) -> bytes | None:
+        """The ids of a text of plain characters; None for any other."""
+        if b"<|" in text or not _PLAIN.fullmatch(text):
+            return None
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text.decode().lower())))
+
     def encode(self, text: bytes) -> bytes:
         if not self.by_chunk:
             return self._encode(text)
@@ -112,7 +114,14 @@ class ChunkEncoder(dict):
             if memory.size > CACHE_BYTES:
                 memory.clear()
                 memory.size = 0
-        return b"".join(map(self.__getitem__, text.split()))
+        ids = self._plain(text)
+        if ids is not None:
+            return ids
+        parts = []
+        for chunk in text.split():
+            own = self._plain(chunk)
+            parts.append(self[chunk] if own is None else own)
+        return b"".join(parts)
 
 
 def _pieces_of(tokenizer_path: str, max_len: int, end_id: int):
