@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scope
-from tessera.functions.text import QUOTE, estimate_tokens
+from tessera.functions.phrases import near_pattern, phrase_pattern, token_line
+from tessera.functions.text import QUOTES, estimate_tokens, note_head
 from tessera.operators.ordered import sessions
-from tessera.plans.fixtures import Fixture
-from tessera.plans.registering import Book
+from tessera.plans.fixtures import NUMBERED, Fixture, Made
+from tessera.plans.question_queries import ASKED, asked_rows
+from tessera.plans.registering import Book, duck_line, quoted
 from tessera.sources.tables import newest_report, table
 
 book = Book()
@@ -27,18 +29,18 @@ def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
     return both.select("page_id", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "gone").otherwise("changed").alias("state"))
 
 
-CARD_ROWS = Fixture("page int, ord int, section string, description string, reference string, rate string", [(1, 1, "149", "salary", "r1", "5%"), (1, 2, None, None, None, "or more"), (1, 3, None, "bonus", "r2", "7%"), (2, 4, None, None, None, "top of page"), (2, 5, "150", "dividend", None, "15%"), (2, 6, None, None, None, "(final)")])
+CARD_ROWS = Made("""SELECT conv_id AS card, CAST(floor(turn / 3.0) AS INT) AS page, turn AS ord, CASE WHEN turn % 4 = 0 THEN 's' || turn END AS section, CASE WHEN turn % 3 <> 1 THEN role END AS description, CASE WHEN conv_id % 5 = turn % 5 THEN 'r' END AS reference, substring(md5(text), 1, 4) AS rate FROM {conversations}""")
 
 
-@book.query(f"""WITH s AS (SELECT *, last_value(section IGNORE NULLS) OVER (ORDER BY ord) AS sec, sum(CASE WHEN description IS NULL AND reference IS NULL AND lag_page = page THEN 0 ELSE 1 END) OVER (ORDER BY ord) AS rec FROM (SELECT *, lag(page) OVER (ORDER BY ord) AS lag_page FROM {CARD_ROWS.duck()}))
-    SELECT CAST(rec AS INTEGER) AS record, min(sec) AS section, string_agg(rate, ' ' ORDER BY ord) AS rate FROM s GROUP BY rec""")
+@book.query(f"""WITH s AS (SELECT *, last_value(section IGNORE NULLS) OVER (PARTITION BY card ORDER BY ord) AS sec, sum(CASE WHEN description IS NULL AND reference IS NULL AND lag_page = page THEN 0 ELSE 1 END) OVER (PARTITION BY card ORDER BY ord) AS rec FROM (SELECT *, lag(page) OVER (PARTITION BY card ORDER BY ord) AS lag_page FROM {CARD_ROWS.duck()}))
+    SELECT card, CAST(rec AS INTEGER) AS record, min(sec) AS section, string_agg(rate, ' ' ORDER BY ord) AS rate FROM s GROUP BY card, rec""")
 def wrapped_card_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows without description and reference continue the row above on their page; sections are filled down."""
-    rows = CARD_ROWS.spark(spark).withColumn("card", F.lit(1))
+    rows = CARD_ROWS.spark(spark, d)
     w = Window.partitionBy("card").orderBy("ord")
     rows = rows.withColumn("above", F.lag("page").over(w)).withColumn("sec", F.last("section", ignorenulls=True).over(w))
     rows = sessions(rows, ["card"], ["ord"], ~(F.col("description").isNull() & F.col("reference").isNull() & (F.col("above") == F.col("page"))), "record")
-    return rows.groupBy("record").agg(F.min("sec").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rate"))), lambda x: x["rate"]), " ").alias("rate"))
+    return rows.groupBy("card", "record").agg(F.min("sec").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rate"))), lambda x: x["rate"]), " ").alias("rate"))
 
 
 @book.query("""SELECT conv_id, turn, coalesce(list(CASE WHEN role = 'user' THEN turn END) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS context FROM conversations""")
@@ -48,24 +50,28 @@ def table_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).over(w).alias("context"))
 
 
-NOTES = Fixture("note_id int, text string", [(1, "Substituted by Finance Act, 2025. Earlier it read as follows: - old words"), (2, "Inserted: "), (3, "x" * 320), (4, "Reads as follows - nothing before")])
+NOTES = Made("""SELECT doc_id AS note_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 400) || ' - It reads  as under: ' || text WHEN doc_id % 3 = 1 THEN 'Read as follows ' || lang ELSE text END AS text FROM {documents}""")
 
 
-@book.query(f"""SELECT note_id, CASE WHEN length(h) <= 300 THEN h ELSE rtrim(substr(h, 1, 299)) || '…' END AS summary FROM (SELECT note_id, regexp_replace(trim(string_split_regex(text, '(?i)reads?\\s+as\\s+(?:follows|under)')[1]), '[-:–— ]+$', '') AS h FROM {NOTES.duck()})""")
+_FLAT = "regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
+_AT = "least(" + ", ".join(f"nullif(instr(lower(f), '{q}'), 0)" for q in QUOTES) + ")"
+
+
+@book.query(f"""SELECT note_id, CASE WHEN length(h) <= 300 THEN h ELSE rtrim(substr(h, 1, 299)) || '…' END AS summary FROM (SELECT note_id, regexp_replace(trim(coalesce(substr(f, 1, {_AT} - 1), f)), '[-:–— ]+$', '') AS h FROM (SELECT note_id, {_FLAT} AS f FROM {NOTES.duck()}))""")
 def note_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Amendment notes without the old text they quote, cut at 300 characters."""
-    h = F.regexp_replace(F.trim(F.element_at(F.split("text", QUOTE, 2), 1)), "[-:–— ]+$", "")
-    return NOTES.spark(spark).select("note_id", h.alias("h")).select("note_id", F.when(F.length("h") <= 300, F.col("h")).otherwise(F.concat(F.rtrim(F.substring("h", 1, 299)), F.lit("…"))).alias("summary"))
+    h = F.regexp_replace(F.trim(note_head(F.col("text"))), "[-:–— ]+$", "")
+    return NOTES.spark(spark, d).select("note_id", h.alias("h")).select("note_id", F.when(F.length("h") <= 300, F.col("h")).otherwise(F.concat(F.rtrim(F.substring("h", 1, 299)), F.lit("…"))).alias("summary"))
 
 
-GRID = Fixture("table_id int, row_no int, cells array<string>", [(1, 0, ["Slab", "Rate"]), (1, 1, ["0-600|000", "0%"]), (1, 2, ["above"]), (2, 0, ["a"])])
+GRID = Made("""SELECT l_orderkey AS table_id, k - 1 AS row_no, CASE WHEN l_suppkey % 2 = 0 THEN array(l_returnflag || '|' || l_linestatus, CAST(l_partkey AS STRING)) ELSE array(CAST(l_suppkey AS STRING), l_linestatus, l_returnflag) END AS cells FROM """ + NUMBERED)
 
 
 @book.query(f"""WITH w AS (SELECT *, max(len(cells)) OVER (PARTITION BY table_id) AS n FROM {GRID.duck()}), r AS (SELECT table_id, row_no, n, '| ' || array_to_string(list_transform(range(1, n + 1), lambda i: replace(coalesce(cells[i], ''), '|', '/')), ' | ') || ' |' AS line FROM w)
     SELECT table_id, string_agg(CASE WHEN row_no = 0 THEN line || chr(10) || '|' || repeat(' --- |', n::INT) ELSE line END, chr(10) ORDER BY row_no) AS markdown FROM r GROUP BY table_id""")
 def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
     """Grids as Markdown: rows padded, bars escaped, a rule under the header."""
-    rows = GRID.spark(spark).withColumn("n", F.max(F.size("cells")).over(Window.partitionBy("table_id")))
+    rows = GRID.spark(spark, d).withColumn("n", F.max(F.size("cells")).over(Window.partitionBy("table_id")))
     cells = F.transform(F.sequence(F.lit(1), "n"), lambda i: F.replace(F.coalesce(F.get("cells", i - 1), F.lit("")), F.lit("|"), F.lit("/")))
     line = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     rows = rows.select("table_id", "row_no", F.when(F.col("row_no") == 0, F.concat(line, F.lit("\n|"), F.expr("repeat(' --- |', n)"))).otherwise(line).alias("line"))
@@ -80,23 +86,26 @@ def text_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p.select("conv_id", "turn", F.ceil(F.size("p") / 4).alias("n_pieces"), F.md5(F.array_join(F.slice("p", 1, 4), "").cast("binary")).alias("first_md5"))
 
 
-CLIENTS = Fixture("req int, forwarded string, peer string, hops int", [(1, "1.1.1.1, 2.2.2.2, 3.3.3.3", "9.9.9.9", 1), (2, "1.1.1.1, 2.2.2.2", "9.9.9.9", 2), (3, None, "8.8.8.8", 1), (4, "1.1.1.1", "7.7.7.7", 3)])
+CLIENTS = Made("""SELECT c_custkey AS req, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey || '.1, ' || c_nationkey || '.2, 3.3' END AS forwarded, c_name AS peer, CAST(c_custkey % 4 + 1 AS INT) AS hops FROM {customer}""")
 
 
 @book.query(f"SELECT req, coalesce(trim(string_split(forwarded, ',')[-hops]), peer) AS client FROM {CLIENTS.duck()}")
 def client_keys(spark: SparkSession, d: str) -> DataFrame:
     """The n-th forwarded address from the right, else the peer."""
-    return CLIENTS.spark(spark).select("req", F.coalesce(F.trim(F.try_element_at(F.split("forwarded", ","), -F.col("hops"))), "peer").alias("client"))
+    return CLIENTS.spark(spark, d).select("req", F.coalesce(F.trim(F.try_element_at(F.split("forwarded", ","), -F.col("hops"))), "peer").alias("client"))
 
 
-OUTPUTS = Fixture("q int, output string", [(1, '```json\n{"answerable": true, "answer": " Five [1] ", "citations": ["1", "x", 2], "confidence": "sure"}\n```'), (2, '{"answerable": true, "answer": "", "confidence": "high"}'), (3, "no json"), (4, '{"answerable": false, "answer": "n", "citations": [], "confidence": "medium"}')])
+_CONFIDENCE = "CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'sure' END"
+OUTPUTS = Made(f"""SELECT event_id AS q, CASE WHEN event_id % 7 = 0 THEN 'no json' ELSE CASE WHEN event_id % 2 = 0 THEN '```json\n' ELSE '' END || '{{{{"answerable": ' || CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END
+    || ', "answer": "' || CASE WHEN event_id % 5 = 0 THEN ' ' ELSE ' ' || event_type || ' [1] ' END || '", "citations": ["' || user_id || '", "x", 2], "confidence": "' || {_CONFIDENCE} || '"}}}}' || CASE WHEN event_id % 2 = 0 THEN '\n```' ELSE '' END END AS output FROM {{events}}""")
 
 
-@book.query("SELECT * FROM (VALUES (1, true, 'Five [1]', [1, 2], 'low'), (2, false, '', []::INTEGER[], 'high'), (3, false, '', []::INTEGER[], 'low'), (4, false, 'n', []::INTEGER[], 'medium')) t(q, answerable, answer, citations, confidence)")
+@book.query(f"""SELECT event_id AS q, event_id % 7 <> 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 AS answerable, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN '' ELSE event_type || ' [1]' END AS answer,
+    CASE WHEN event_id % 7 = 0 THEN [] ELSE [user_id::INTEGER, 2] END AS citations, CASE WHEN event_id % 7 = 0 OR event_id % 4 = 3 THEN 'low' ELSE {_CONFIDENCE} END AS confidence FROM events""")
 def parsed_drafts(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs as JSON, fences removed: citations that are no numbers are dropped, an unknown confidence is low."""
     plain = F.regexp_replace(F.trim("output"), r"^```(?:json)?\s*|\s*```$", "")
-    j = OUTPUTS.spark(spark).select("q", F.from_json(plain, "answerable BOOLEAN, answer STRING, citations ARRAY<STRING>, confidence STRING").alias("j"))
+    j = OUTPUTS.spark(spark, d).select("q", F.from_json(plain, "answerable BOOLEAN, answer STRING, citations ARRAY<STRING>, confidence STRING").alias("j"))
     answer = F.trim(F.coalesce("j.answer", F.lit("")))
     cited = F.transform(F.filter(F.coalesce("j.citations", F.array().cast("array<string>")), lambda c: c.rlike("^[0-9]+$")), lambda c: c.cast("int"))
     known = F.col("j.confidence").isin("high", "medium", "low")
@@ -109,23 +118,23 @@ def rerank_cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat("source", F.lit("\0"), "text"), 256), 1, 24).alias("key"))
 
 
-FIXES = Fixture("fix_id int, text string, old string, new string", [(1, "the rate five per cent is", "rate five per cent", "five per cent rate"), (2, "a b c", "b c", "b d"), (3, "x y", "absent", "absent")])
+FIXES = Made("""SELECT p_partkey AS fix_id, 'the ' || p_name || ' is the ' || p_name AS text, p_name AS old, CASE p_partkey % 3 WHEN 0 THEN p_type || ' ' || p_name WHEN 1 THEN p_name ELSE substring(p_name, 1, 3) END AS new FROM {part}""")
 
 
 @book.query(f"""SELECT fix_id, CASE WHEN list_sort(string_split(old, ' ')) = list_sort(string_split(new, ' ')) THEN replace(text, old, new) END AS fixed FROM {FIXES.duck()}""")
 def layout_fixes(spark: SparkSession, d: str) -> DataFrame:
     """Replacements that only move words; others are refused (null)."""
     same = F.array_sort(F.split("old", " ")) == F.array_sort(F.split("new", " "))
-    return FIXES.spark(spark).select("fix_id", F.when(same, F.replace("text", F.col("old"), F.col("new"))).alias("fixed"))
+    return FIXES.spark(spark, d).select("fix_id", F.when(same, F.replace("text", F.col("old"), F.col("new"))).alias("fixed"))
 
 
-SETUPS = Fixture("setup string, ord int, hit double, pairs double", [("a", 1, 0.9, 30.0), ("b", 2, 0.95, 15.0), ("c", 3, 0.95, 10.0), ("d", 4, 0.95, 10.0)])
+SETUPS = Made("""SELECT event_type AS setup, min(event_id) AS ord, round(avg(value) / 50) AS hit, CAST(count(*) AS DOUBLE) AS pairs FROM {events} GROUP BY event_type""")
 
 
 @book.query(f"SELECT setup FROM {SETUPS.duck()} ORDER BY hit DESC, pairs, ord LIMIT 1")
 def best_setup(spark: SparkSession, d: str) -> DataFrame:
     """The setup with the most hits, then the fewest pairs, then the first."""
-    return SETUPS.spark(spark).agg(F.max_by("setup", F.struct("hit", -F.col("pairs"), -F.col("ord"))).alias("setup"))
+    return SETUPS.spark(spark, d).agg(F.max_by("setup", F.struct("hit", -F.col("pairs"), -F.col("ord"))).alias("setup"))
 
 
 @book.query("""SELECT conv_id, min(turn) AS turn_from, max(turn) AS turn_to, coalesce(arg_min(text, turn) FILTER (role = 'assistant' AND text <> ''), 'none') AS first_answer FROM conversations GROUP BY conv_id""")
@@ -156,7 +165,7 @@ def pairs_per_question(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("per_question", F.round(F.col("pairs") / F.col("questions"), 4))
 
 
-REASONS = Fixture("q int, reason string, language string, year int", [(1, "TAX_YEAR_NOT_COVERED", "en", 2030), (2, "TAX_YEAR_NOT_COVERED", "ur", 2001), (3, "OUT_OF_SCOPE", "en", 2026), (4, "NO_RELEVANT_SOURCES", "xx", 2026)])
+REASONS = Made("""SELECT event_id AS q, CASE WHEN event_type = 'purchase' THEN 'OUT_OF_SCOPE' ELSE 'TAX_YEAR_NOT_COVERED' END AS reason, CASE user_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ur' ELSE 'xx' END AS language, CAST(1995 + event_id % 40 AS INT) AS year FROM {events}""")
 TEXTS = Fixture("kind string, language string, message string", [("future", "en", "Year {year} comes after {last}."), ("past", "ur", "{year} is before {first}"), ("future", "ur", "later than {last}"), ("any", "en", "Not covered.")])
 _KIND = "CASE WHEN reason <> 'TAX_YEAR_NOT_COVERED' THEN 'any' WHEN year > 2027 THEN 'future' ELSE 'past' END"
 
@@ -164,7 +173,7 @@ _KIND = "CASE WHEN reason <> 'TAX_YEAR_NOT_COVERED' THEN 'any' WHEN year > 2027
 @book.query(f"SELECT q, replace(replace(replace(message, '{{year}}', year::VARCHAR), '{{last}}', '2027'), '{{first}}', '2003') AS message FROM (SELECT *, {_KIND} AS kind FROM {REASONS.duck()}) LEFT JOIN {TEXTS.duck()} USING (kind, language)")
 def refusal_texts(spark: SparkSession, d: str) -> DataFrame:
     """Messages by reason and language, with the years filled in."""
-    rows = REASONS.spark(spark).withColumn("kind", F.expr(_KIND)).join(F.broadcast(TEXTS.spark(spark)), ["kind", "language"], "left")
+    rows = REASONS.spark(spark, d).withColumn("kind", F.expr(_KIND)).join(F.broadcast(TEXTS.spark(spark, d)), ["kind", "language"], "left")
     filled = F.replace(F.replace(F.replace("message", F.lit("{year}"), F.col("year").cast("string")), F.lit("{last}"), F.lit("2027")), F.lit("{first}"), F.lit("2003"))
     return rows.select("q", filled.alias("message"))
 
@@ -191,61 +200,70 @@ def validation_rules(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-SCOPE = Fixture("q int, text string, property boolean, sales boolean, budget boolean, filer boolean", [
-    (1, "How much property tax on my house?", True, False, False, False), (2, "property tax when I sell a plot", False, False, False, False), (3, "UIPT rates", True, False, False, False),
-    (4, "SRB sales tax on services", False, True, False, False), (5, "income tax withholding by SRB", False, False, False, False), (6, "sales tax on restaurant in Punjab", False, True, False, False),
-    (7, "what will the next federal budget change?", False, False, True, False), (8, "non-filer rate for aglay saal ka budget", False, False, True, True), (9, "نئے مالی سال کے بجٹ", False, False, True, False),
-])
+_SCOPE = f"(SELECT question_id, text, {duck_line('text')} AS w, lower({duck_line('text')}) AS l, regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g') AS z FROM {ASKED})"
+
+
+def _said(phrases: list[str], line: str = "l") -> str:
+    return f"regexp_matches({line}, {quoted(phrase_pattern(phrases))})"
+
+
+def _held(parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(z, '{p.replace(' ', '')}')" for p in parts) + ")"
 
 
-@book.query(f"SELECT q, property, sales, budget, filer FROM {SCOPE.duck()}")
+@book.query(f"""SELECT question_id, {_said(scope.LEVY)} OR (({_said(scope.PROPERTY_TAX)} OR {_held(scope.PROPERTY_TAX_URDU)}) AND NOT {_said(scope.DEALING)} AND NOT {_held(scope.DEALING_URDU)}) AS property,
+    NOT {_said(scope.INCOME_TAX)} AND NOT {_held(scope.INCOME_TAX_URDU)} AND ({_said(scope.AUTHORITY_SHORT, 'w')} OR {_said(scope.AUTHORITY)} OR {_held(scope.AUTHORITY_URDU)}
+      OR (({_said(scope.SALES_TAX)} OR {_held(scope.SALES_TAX_URDU)}) AND ({_said(scope.SERVICES)} OR {_held(scope.SERVICES_URDU)}))) AS sales,
+    regexp_matches(l, {quoted(near_pattern(scope.COMING, scope.BUDGET, 2))}) OR regexp_matches(l, {quoted(near_pattern(scope.COMING_URDU, scope.BUDGET_URDU, 3))}) AS budget,
+    {_said(scope.FILER)} OR {_held(scope.FILER_URDU)} AS filer FROM {_SCOPE}""")
 def scope_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Provincial taxes, future budgets and filer status, by rule."""
+    """Provincial taxes, future budgets and filer status of questions, by rule."""
     text = F.col("text")
-    return SCOPE.spark(spark).select("q", scope.provincial_property_tax(text).alias("property"), scope.provincial_sales_tax(text).alias("sales"), scope.future_budget(text).alias("budget"), scope.filer_question(text).alias("filer"))
+    return asked_rows(spark, d).select("question_id", scope.provincial_property_tax(text).alias("property"), scope.provincial_sales_tax(text).alias("sales"), scope.future_budget(text).alias("budget"), scope.filer_question(text).alias("filer"))
 
 
-DIVISIONS = Fixture("card string, ord int, text string", [("149", 1, "Division-I of Part-I of First Schedule"), ("150", 2, "Division I, Part-III of the First Schedule and Division-IA of Part-III of First Schedule"), ("151", 3, "Division-IA of Part III of the First Schedule"), ("152", 4, "none")])
-_DIV = r"Division[\s-]*([IVXl]+[A-C]*)\s*,?\s*(?:of\s+)?Part[\s-]*([IVX]+)\s+of\s+(?:the\s+)?First"
+DIVISIONS = Made("""SELECT o_orderkey AS card, o_orderkey AS ord, CASE o_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'Division-I' || substring('ABC', CAST(o_custkey % 3 + 1 AS INT), 1) || ' of Part-III of First Schedule and Division l, Part-I of the First Schedule' WHEN 2 THEN 'Division-IV, Part ' || substring('IVX', CAST(o_custkey % 3 + 1 AS INT), 1) || ' of the First Schedule' ELSE 'Division V of Part-II of the Second Schedule' END AS text FROM {orders}""")
+#: A division and its part of the First Schedule, in a lower-cased token line; a small l stands for a one.
+_DIV = " division  (?:-  )?([ivxl]+[a-c]?)  (?:,  )?(?:of  )?part  (?:-  )?([ivx]+)  of  (?:the  )?first "
 
 
-@book.query(f"""WITH x AS (SELECT card, ord, unnest(regexp_extract_all(text, '{_DIV}', 1)) AS div, unnest(regexp_extract_all(text, '{_DIV}', 2)) AS part FROM {DIVISIONS.duck()})
-    SELECT 'p' || part || '-div' || replace(div, 'l', 'I') AS division, arg_min(card, ord) AS card FROM x GROUP BY 1""")
+@book.query(f"""WITH x AS (SELECT card, ord, unnest(regexp_extract_all(lower({duck_line('text')}), '{_DIV}', 1)) AS div, unnest(regexp_extract_all(lower({duck_line('text')}), '{_DIV}', 2)) AS part FROM {DIVISIONS.duck()})
+    SELECT 'p' || upper(part) || '-div' || upper(replace(div, 'l', 'i')) AS division, arg_min(card, ord) AS card FROM x GROUP BY 1""")
 def division_cards(spark: SparkSession, d: str) -> DataFrame:
     """The first rate card that names each rate division."""
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(_DIV), F.lit(1)).alias("div"), F.regexp_extract_all("text", F.lit(_DIV), F.lit(2)).alias("part"))
-    x = DIVISIONS.spark(spark).select("card", "ord", F.explode(pairs).alias("x"))
-    return x.groupBy(F.concat(F.lit("p"), "x.part", F.lit("-div"), F.replace("x.div", F.lit("l"), F.lit("I"))).alias("division")).agg(F.min_by("card", "ord").alias("card"))
+    pairs = F.arrays_zip(*[F.regexp_extract_all(F.lower(token_line(F.col("text"))), F.lit(_DIV), F.lit(i)).alias(n) for i, n in ((1, "div"), (2, "part"))])
+    x = DIVISIONS.spark(spark, d).select("card", "ord", F.explode(pairs).alias("x"))
+    return x.groupBy(F.concat(F.lit("p"), F.upper("x.part"), F.lit("-div"), F.upper(F.replace("x.div", F.lit("l"), F.lit("i")))).alias("division")).agg(F.min_by("card", "ord").alias("card"))
 
 
-REPORTS = Fixture("name string, path string", [("bm25", "2026-09-26-bm25.json"), ("bm25", "2026-10-02-bm25.json"), ("dense", "2026-09-26-dense.json")])
+REPORTS = Made("""SELECT lang AS name, source || '-' || doc_id || '.json' AS path FROM {documents} WHERE lang IS NOT NULL""")
 
 
 @book.query(f"SELECT name, max(path) AS path FROM {REPORTS.duck()} GROUP BY name")
 def newest_reports(spark: SparkSession, d: str) -> DataFrame:
     """The newest report of each name."""
-    return newest_report(REPORTS.spark(spark))
+    return newest_report(REPORTS.spark(spark, d))
 
 
-LINES = Fixture("ord int, y0 double, y1 double, text string", [(1, 0.0, 10.0, "5%"), (2, 12.0, 22.0, "of the amount"), (3, 40.0, 50.0, "10% if"), (4, 51.0, 61.0, "15% otherwise"), (5, 90.0, 99.0, "Rs. 500")])
+LINES = Made("""SELECT l_orderkey AS page, k AS ord, k * 12.0 + l_quantity / 5 AS y0, k * 12.0 + l_quantity / 5 + 8 AS y1, CASE l_returnflag WHEN 'R' THEN CAST(k AS STRING) || '% if' WHEN 'A' THEN 'of the amount if' ELSE 'Rs. 500' END AS text FROM """ + NUMBERED)
 
 
-@book.query(f"SELECT ord, coalesce(y0 - lag(y1) OVER (ORDER BY ord) > 5, true) AS starts_row, regexp_matches(text, '^(?:[0-9.]+%|Rs)') AND NOT coalesce(y0 - lag(y1) OVER (ORDER BY ord) < 2 AND regexp_matches(lag(text) OVER (ORDER BY ord), 'if$'), false) AS starts_rate FROM {LINES.duck()}")
+@book.query(f"SELECT page, ord, coalesce(y0 - lag(y1) OVER w > 5, true) AS starts_row, regexp_matches(text, '^(?:[0-9.]+%|Rs)') AND NOT coalesce(y0 - lag(y1) OVER w < 2 AND regexp_matches(lag(text) OVER w, 'if$'), false) AS starts_rate FROM {LINES.duck()} WINDOW w AS (PARTITION BY page ORDER BY ord)")
 def rate_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Lines that begin a row (a gap above), and lines that begin a rate and don't continue the one above."""
-    w = Window.partitionBy(F.lit(1)).orderBy("ord")
+    w = Window.partitionBy("page").orderBy("ord")
     gap = F.col("y0") - F.lag("y1").over(w)
     tail = (gap < 2) & F.lag("text").over(w).rlike("if$")
-    return LINES.spark(spark).select("ord", F.coalesce(gap > 5, F.lit(True)).alias("starts_row"), (F.col("text").rlike("^(?:[0-9.]+%|Rs)") & ~F.coalesce(tail, F.lit(False))).alias("starts_rate"))
+    return LINES.spark(spark, d).select("page", "ord", F.coalesce(gap > 5, F.lit(True)).alias("starts_row"), (F.col("text").rlike("^(?:[0-9.]+%|Rs)") & ~F.coalesce(tail, F.lit(False))).alias("starts_rate"))
 
 
-MODELS = Fixture("role string, chain array<string>, unavailable array<string>", [("rewrite", ["m1", "m2", "m3"], ["m1"]), ("answer", ["m4"], ["m4"]), ("judge", ["m5", "m6"], [])])
+MODELS = Made("""SELECT l_orderkey AS role, LIST('m' || l_suppkey % 5 BY k) AS chain, LISTN(CASE WHEN l_returnflag = 'R' THEN 'm' || l_suppkey % 5 END BY k) AS unavailable FROM """ + NUMBERED + " GROUP BY l_orderkey")
 
 
 @book.query(f"SELECT role, list_filter(chain, lambda m: NOT list_contains(unavailable, m))[1] AS model FROM {MODELS.duck()}")
 def resolved_models(spark: SparkSession, d: str) -> DataFrame:
     """The first model of each fallback chain that is available."""
-    return MODELS.spark(spark).select("role", F.get(F.array_except("chain", "unavailable"), F.lit(0)).alias("model"))
+    return MODELS.spark(spark, d).select("role", F.get(F.array_except("chain", "unavailable"), F.lit(0)).alias("model"))
 
 
 @book.query("""SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n, round(avg(CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END), 4) AS with_lines FROM (SELECT CASE WHEN source = 'src1' THEN 'own' ELSE lang END AS source, text FROM documents) GROUP BY GROUPING SETS ((source), ())""")

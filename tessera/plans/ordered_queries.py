@@ -9,21 +9,21 @@ from tessera.functions.text import estimate_tokens, section_key
 from tessera.operators import ordered as o
 from tessera.operators.serving import daily_quota as quota
 from tessera.operators.serving import sliding_limit
-from tessera.plans.fixtures import Fixture
+from tessera.plans.fixtures import NUMBERED, Fixture, Made
 from tessera.plans.registering import Book
 from tessera.sources.tables import table
 
 book = Book()
 QUERIES, ORACLE = book.QUERIES, book.ORACLE
 
-HEADINGS = Fixture("block string, ord int, number string", [("a", i, n) for i, n in enumerate(["1", "2", "2A", "5", "3", "5A", "10", "9", "10A", "10A", "11"])] + [("b", i, n) for i, n in enumerate(["3", "1", "4", "4B", "4A", "7"])])
+HEADINGS = Made("""SELECT CAST(l_orderkey AS STRING) AS block, k AS ord, (l_partkey % 12 + 1) || CASE l_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE '' END AS number FROM """ + NUMBERED)
 
 
 @book.query(f"""SELECT block, ord, number, coalesce(k > max(k) OVER (PARTITION BY block ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted
     FROM (SELECT *, lpad(regexp_extract(number, '^[0-9]+'), 6, '0') || regexp_extract(number, '[A-Z]*$') AS k FROM {HEADINGS.duck()})""")
 def running_max_headings(spark: SparkSession, d: str) -> DataFrame:
     """Headings that go up."""
-    return o.monotone(HEADINGS.spark(spark), ["block"], ["ord"], section_key(F.col("number")))
+    return o.monotone(HEADINGS.spark(spark, d), ["block"], ["ord"], section_key(F.col("number")))
 
 
 @book.query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events""")
@@ -68,7 +68,7 @@ def greedy_pack_chunks(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("conv_id", F.explode(F.arrays_zip(F.col("t.turn").alias("turn"), of.alias("piece"))).alias("x")).select("conv_id", "x.turn", "x.piece")
 
 
-EDGES = Fixture("page int, xs array<double>", [(1, [10.0, 11.5, 12.9, 14.0, 30.0, 33.0, 33.5]), (2, [5.0, 8.0, 11.0, 14.0]), (3, [7.0])])
+EDGES = Made("""SELECT l_orderkey AS page, LIST(l_quantity BY l_linenumber) AS xs FROM {lineitem} GROUP BY l_orderkey""")
 
 
 @book.query(f"""WITH RECURSIVE s AS (SELECT page, list_sort(xs) AS xs FROM {EDGES.duck()}),
@@ -77,10 +77,10 @@ EDGES = Fixture("page int, xs array<double>", [(1, [10.0, 11.5, 12.9, 14.0, 30.0
     SELECT page, unnest(found) AS edge FROM f WHERE i = len(xs)""")
 def anchored_cluster_edges(spark: SparkSession, d: str) -> DataFrame:
     """Column edges: the first value of each cluster that is 3 wide."""
-    return EDGES.spark(spark).select("page", F.explode(o.anchored_clusters(F.col("xs"), 3.0)).alias("edge"))
+    return EDGES.spark(spark, d).select("page", F.explode(o.anchored_clusters(F.col("xs"), 3.0)).alias("edge"))
 
 
-CHAIN = Fixture("doc string, ns array<int>", [("a", [1, 4, 2, 2, 3, 9, 4]), ("b", [2, 1, 3]), ("c", [5, 1, 2, 1, 3, 5])])
+CHAIN = Made("""SELECT l_partkey AS doc, LIST(l_linenumber BY l_orderkey * 10 + l_linenumber) AS ns FROM {lineitem} GROUP BY l_partkey""")
 
 
 @book.query(f"""WITH RECURSIVE t AS (SELECT doc, unnest(ns) AS n, generate_subscripts(ns, 1) AS i FROM {CHAIN.duck()}),
@@ -89,30 +89,38 @@ CHAIN = Fixture("doc string, ns array<int>", [("a", [1, 4, 2, 2, 3, 9, 4]), ("b"
     SELECT doc, CAST(n AS INTEGER) AS rule FROM c WHERE i IS NOT NULL""")
 def rule_number_chain(spark: SparkSession, d: str) -> DataFrame:
     """Rule numbers that follow one another."""
-    return CHAIN.spark(spark).select("doc", F.explode(o.number_chain(F.col("ns"))).alias("rule"))
+    return CHAIN.spark(spark, d).select("doc", F.explode(o.number_chain(F.col("ns"))).alias("rule"))
 
 
-NOTES = Fixture("page int, pos int, marker string, text string", [(1, 0, "1", "first note"), (1, 1, "2", "second"), (2, 0, "", "goes on"), (2, 1, "3", "third"), (3, 0, "", "of three"), (4, 0, "", "stays: page 3 is empty"), (5, 0, "5", "fifth")])
+NOTES = Made("""SELECT conv_id AS law, turn AS page, n AS pos, CASE WHEN n = 0 AND (conv_id + turn) % 3 <> 0 THEN '' ELSE CAST(n + 1 AS STRING) END AS marker, 'note ' || turn || '.' || n AS text
+    FROM {conversations} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE n < (conv_id + turn * 2) % 4""")
+_TURNS = "(SELECT conv_id AS law, turn AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
 
 
-@book.query("""SELECT * FROM (VALUES (1, '1', 'first note'), (1, '2', 'second goes on'), (2, '3', 'third of three'), (4, '', 'stays: page 3 is empty'), (5, '5', 'fifth')) t(page, marker, text)""")
+@book.query(f"""WITH RECURSIVE n AS (SELECT * FROM {NOTES.duck()}), p AS (SELECT t.law, t.page, t.i, count(n.pos) AS n, coalesce(max(CASE WHEN n.pos = 0 THEN n.marker END) = '', false) AS bare FROM {_TURNS} t LEFT JOIN n USING (law, page) GROUP BY ALL),
+    c AS (SELECT law, page, i, n, false AS moved, n AS stays FROM p WHERE i = 1
+          UNION ALL SELECT p.law, p.page, p.i, p.n, p.bare AND c.stays > 0, p.n - CASE WHEN p.bare AND c.stays > 0 THEN 1 ELSE 0 END FROM c JOIN p ON p.law = c.law AND p.i = c.i + 1),
+    k AS (SELECT n.*, c.i, max(n.pos) OVER (PARTITION BY n.law, n.page) AS last FROM n JOIN c USING (law, page) WHERE NOT (n.pos = 0 AND c.moved)),
+    m AS (SELECT c.law, c.i - 1 AS i, n.text AS more FROM c JOIN n USING (law, page) WHERE c.moved AND n.pos = 0)
+    SELECT k.law, k.page, k.marker, CASE WHEN k.pos = k.last AND more IS NOT NULL THEN k.text || ' ' || more ELSE k.text END AS text FROM k LEFT JOIN m ON m.law = k.law AND m.i = k.i""")
 def footnote_carry_over(spark: SparkSession, d: str) -> DataFrame:
-    """Notes that continue on the next page; page 3 is left without notes, so page 4 keeps its own."""
-    pages = NOTES.spark(spark).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "marker", "text"))).alias("n"))
-    pages = pages.select("page", F.transform("n", lambda x: F.struct(x["marker"].alias("marker"), x["text"].alias("text"))).alias("n"))
-    law = pages.agg(F.array_sort(F.collect_list(F.struct("page", "n"))).alias("p"))
-    done = law.select(F.explode(F.arrays_zip(F.col("p.page").alias("page"), o.carried_notes(F.col("p.n")).alias("n"))).alias("x"))
-    return done.select("x.page", F.explode("x.n").alias("n")).select("page", "n.marker", "n.text")
+    """Notes that continue on the next page, law by law; a page that is left without notes stops the carry."""
+    notes = NOTES.spark(spark, d).groupBy("law", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "marker", "text"))).alias("n"))
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("law"), F.col("turn").alias("page")).join(notes, ["law", "page"], "left")
+    pages = pages.select("law", "page", F.transform(F.coalesce("n", F.array().cast("array<struct<pos:int,marker:string,text:string>>")), lambda x: F.struct(x["marker"].alias("marker"), x["text"].alias("text"))).alias("n"))
+    laws = pages.groupBy("law").agg(F.array_sort(F.collect_list(F.struct("page", "n"))).alias("p"))
+    done = laws.select("law", F.explode(F.arrays_zip(F.col("p.page").alias("page"), o.carried_notes(F.col("p.n")).alias("n"))).alias("x"))
+    return done.select("law", "x.page", F.explode("x.n").alias("n")).select("law", "page", "n.marker", "n.text")
 
 
-LABELS = Fixture("page int, y double, label string", [(1, 10.0, "149"), (1, 40.0, "150"), (2, 5.0, "151"), (2, 60.0, "152")])
-ROWS = Fixture("page int, y double, row_id int", [(1, 5.0, 1), (1, 10.0, 2), (1, 39.9, 3), (1, 90.0, 4), (2, 5.0, 5), (2, 59.0, 6), (2, 61.0, 7)])
+LABELS = Made("""SELECT user_id AS page, value AS y, CAST(min(event_id) AS STRING) AS label FROM {events} WHERE event_type = 'purchase' AND value IS NOT NULL GROUP BY user_id, value""")
+ROWS = Made("""SELECT user_id AS page, value AS y, event_id AS row_id FROM {events} WHERE event_type <> 'purchase' AND value IS NOT NULL""")
 
 
 @book.query(f"""SELECT r.row_id, r.page, r.y, l.label AS section FROM {ROWS.duck()} r ASOF LEFT JOIN {LABELS.duck()} l ON r.page = l.page AND r.y >= l.y""")
 def asof_label(spark: SparkSession, d: str) -> DataFrame:
     """The last section label at or above each row, not across pages."""
-    return o.as_of(ROWS.spark(spark), LABELS.spark(spark), ["page"], "y", "label", "section").select("row_id", "page", "y", "section")
+    return o.as_of(ROWS.spark(spark, d), LABELS.spark(spark, d), ["page"], "y", "label", "section").select("row_id", "page", "y", "section")
 
 
 @book.query("""SELECT e.event_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') e
@@ -130,28 +138,29 @@ BANDS = Fixture("page int, cell int, lo double, hi double", [(p, i, 12.5 * i, 12
 def band_join_cells(spark: SparkSession, d: str) -> DataFrame:
     """The grid cell that holds each line's quantity."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_linenumber") % 3).alias("page"))
-    return o.band_join(rows, BANDS.spark(spark), ["page"], "l_quantity", "lo", "hi", width=12.5).select("l_orderkey", "l_linenumber", "cell")
+    return o.band_join(rows, BANDS.spark(spark, d), ["page"], "l_quantity", "lo", "hi", width=12.5).select("l_orderkey", "l_linenumber", "cell")
 
 
-BOXES = Fixture("page int, top double, bottom double", [(1, 20.0, 50.0), (2, 0.0, 10.0)])
+BOXES = Made("""SELECT user_id AS page, value * 0.9 AS top, value * 1.1 AS bottom FROM {events} WHERE event_type = 'purchase' AND value IS NOT NULL""")
 
 
 @book.query(f"""SELECT row_id FROM {ROWS.duck()} r WHERE NOT EXISTS (SELECT 1 FROM {BOXES.duck()} b WHERE b.page = r.page AND r.y BETWEEN b.top AND b.bottom)""")
 def lines_outside_tables(spark: SparkSession, d: str) -> DataFrame:
     """Lines that no table box on their page holds."""
-    r, b = ROWS.spark(spark).alias("r"), BOXES.spark(spark).alias("b")
+    r, b = ROWS.spark(spark, d).alias("r"), BOXES.spark(spark, d).alias("b")
     return r.join(b, (F.col("r.page") == F.col("b.page")) & F.col("r.y").between(F.col("b.top"), F.col("b.bottom")), "left_anti").select("row_id")
 
 
-HEADS = Fixture("col int, h double", [(1, 100.0), (2, 180.0), (3, 300.0)])
-SEGMENTS = Fixture("x double", [(55.0,), (62.0,), (98.0,), (101.5,), (150.0,), (181.0,), (183.0,)])
+HEADS = Made("""SELECT s_nationkey AS page, s_suppkey AS col, s_acctbal AS h FROM {supplier}""")
+SEGMENTS = Made("""SELECT c_nationkey AS page, c_acctbal AS x FROM {customer}""")
 
 
-@book.query(f"""SELECT col, coalesce(max(x), h - 8) AS edge FROM {HEADS.duck()} c LEFT JOIN {SEGMENTS.duck()} s ON s.x BETWEEN h - 40 AND h + 2 GROUP BY col, h""")
+@book.query(f"""SELECT col, coalesce(max(x), h - 8) AS edge FROM {HEADS.duck()} c LEFT JOIN {SEGMENTS.duck()} s ON s.page = c.page AND s.x BETWEEN h - 40 AND h + 2 GROUP BY col, h""")
 def rightmost_edge_band(spark: SparkSession, d: str) -> DataFrame:
     """The right-most ruling segment near each column head, else a default."""
-    h, s = HEADS.spark(spark), SEGMENTS.spark(spark)
-    return h.join(F.broadcast(s), F.col("x").between(F.col("h") - 40, F.col("h") + 2), "left").groupBy("col", "h").agg(F.max("x").alias("x")).select("col", F.coalesce("x", F.col("h") - 8).alias("edge"))
+    h, s = HEADS.spark(spark, d).alias("h"), SEGMENTS.spark(spark, d).alias("s")
+    near = (F.col("h.page") == F.col("s.page")) & F.col("x").between(F.col("h") - 40, F.col("h") + 2)
+    return h.join(s, near, "left").groupBy("col", "h").agg(F.max("x").alias("x")).select("col", F.coalesce("x", F.col("h") - 8).alias("edge"))
 
 
 @book.query("""SELECT user_id, event_id, ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events""")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.functions import text as t
-from tessera.functions.numbers import calculate_udf, numbers_udf
+from tessera.functions.numbers import calculate_udf, missing_numbers_udf, numbers_udf
 from tessera.operators import lookup
 from tessera.operators.retrieval import bm25, md5_mod
 from tessera.operators.serving import flagged, refusal
-from tessera.plans.fixtures import Fixture
-from tessera.plans.registering import Book
+from tessera.plans.fixtures import NUMBERED, Fixture, Made
+from tessera.plans.registering import Book, duck_line, quoted
 from tessera.plans.retrieval_queries import _BM25
 from tessera.plans.summary_queries import _LANG
 from tessera.sources.tables import table
@@ -38,35 +38,53 @@ def language_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DIGITS = "translate(text, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789')"
-_SPAN = r"(?:^|[^\p{L}\p{N}_])(20[0-9][0-9])\s*[-–/]\s*([0-9][0-9])(?:[^\p{L}\p{N}_]|$)"
+#: The fixed questions, which hold the awkward cases, and every turn of the conversations.
+ASKED = f"(SELECT 'q' || question_id AS question_id, text FROM {QUESTIONS.duck()} UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)"
 
 
-@book.query(rf"""SELECT question_id, coalesce(try_cast(regexp_extract({_DIGITS}, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:tax\s*year|ty|tax\s*sa+l)\s*[-:]?\s*(20[0-9][0-9])(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS INTEGER),
-    try_cast(regexp_extract({_DIGITS}, 'ٹیکس\s*سال\s*(20[0-9][0-9])', 1) AS INTEGER),
-    CASE WHEN (try_cast(regexp_extract({_DIGITS}, '{_SPAN}', 1) AS INTEGER) + 1) % 100 = try_cast(regexp_extract({_DIGITS}, '{_SPAN}', 2) AS INTEGER) THEN try_cast(regexp_extract({_DIGITS}, '{_SPAN}', 1) AS INTEGER) + 1 END) AS tax_year FROM {QUESTIONS.duck()}""")
+def asked_rows(spark: SparkSession, d: str) -> DataFrame:
+    fixed = QUESTIONS.spark(spark).select(F.concat(F.lit("q"), "question_id").alias("question_id"), "text")
+    return fixed.unionByName(table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("question_id"), "text"))
+
+
+_LINE = f"lower({duck_line(_DIGITS)})"
+_FIRST, _SECOND = (f"try_cast(regexp_extract({_LINE}, {quoted(t._YEAR_SPAN)}, {i}) AS INTEGER)" for i in (1, 2))
+
+
+@book.query(f"""SELECT question_id, coalesce(try_cast(regexp_extract({_LINE}, {quoted(t._NAMED_YEAR)}, 1) AS INTEGER), try_cast(regexp_extract({_LINE}, {quoted(t._NAMED_YEAR_URDU)}, 1) AS INTEGER),
+    CASE WHEN ({_FIRST} + 1) % 100 = {_SECOND} THEN {_FIRST} + 1 END) AS tax_year FROM {ASKED}""")
 def tax_year_extract(spark: SparkSession, d: str) -> DataFrame:
     """The tax year that a question names."""
-    return QUESTIONS.spark(spark).select("question_id", t.tax_year(F.col("text")).alias("tax_year"))
+    return asked_rows(spark, d).select("question_id", t.tax_year(F.col("text")).alias("tax_year"))
+
 
+_YEARS = "|".join(t.YEAR_WORDS)
 
-# The references as RE2 can find them: without lookaround, a number must be followed by a character of no word or the end.
-_SEC = r"(?i)(?:(?:^|[^\p{L}\p{N}_])(?:sections?|sec\.?|s\.|u/s|daf(?:a|ah|''a|aa))|دفعہ|دفعه)\s*(?:no\.?\s*)?([0-9]{1,3}[A-Za-z]{0,3})(?:[^A-Za-z0-9]|$)"
-_RUL = r"(?i)(?:(?:^|[^\p{L}\p{N}_])(?:rules?|qa(?:a|e)?ida|qaeda)|قاعدہ|قاعده|رول)\s*(?:no\.?\s*)?([0-9]{1,3}[A-Za-z]{0,3})(?:[^A-Za-z0-9]|$)"
+
+@book.query(f"""WITH x AS (SELECT question_id, y, {_LINE} AS l, {_DIGITS} AS t FROM {ASKED}, (VALUES (2024), (2025), (2026)) v(y))
+    SELECT question_id, CAST(y AS INTEGER) AS year, regexp_matches(l, ' (?:{_YEARS})  (?:[^ ]+  )?' || y || ' ') OR regexp_matches(l, ' ' || y || '  (?:[^ ]+  )?(?:{_YEARS}) ') OR contains(t, (y - 1) || '-' || substr(y::VARCHAR, 3)) AS written FROM x""")
+def written_years(spark: SparkSession, d: str) -> DataFrame:
+    """Whether questions write a year as a tax year, for three years."""
+    years = spark.range(2024, 2027).select(F.col("id").cast("int").alias("year"))
+    return asked_rows(spark, d).crossJoin(F.broadcast(years)).select("question_id", "year", t.written_as_tax_year(F.col("text"), F.col("year")).alias("written"))
+
+
+_SEC, _RUL = quoted(t.named_number(t.SECTION_NAMES)), quoted(t.named_number(t.RULE_NAMES))
 _REFS = f"""(SELECT question_id, x.kind AS kind, x.number AS number, CAST(x.ord AS INTEGER) AS ord FROM (SELECT question_id, unnest(list_transform(refs, lambda r, i: {{'kind': split_part(r, '/', 1), 'number': split_part(r, '/', 2), 'ord': i - 1}})) AS x
-    FROM (SELECT question_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_concat(list_transform(regexp_extract_all({_DIGITS}, '{_SEC}', 1), lambda n: 'section/' || upper(n)), list_transform(regexp_extract_all({_DIGITS}, '{_RUL}', 1), lambda n: 'rule/' || upper(n))), lambda r: [r])),
-      lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS refs FROM {QUESTIONS.duck()})))"""
+    FROM (SELECT question_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(list_concat(list_transform(regexp_extract_all({_LINE}, {_SEC}, 1), lambda n: 'section/' || upper(n)), list_transform(regexp_extract_all({_LINE}, {_RUL}, 1), lambda n: 'rule/' || upper(n))), lambda r: [r])),
+      lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS refs FROM {ASKED})))"""
 
 
 @book.query(f"SELECT r.question_id, r.ord, r.kind, r.number, s.section_id FROM {_REFS} r LEFT JOIN {SECTIONS.duck()} s USING (kind, number)")
 def section_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The sections and rules that questions name."""
-    return lookup.named_sections(QUESTIONS.spark(spark), SECTIONS.spark(spark))
+    return lookup.named_sections(asked_rows(spark, d), SECTIONS.spark(spark))
 
 
 @book.query(f"SELECT r.question_id, r.kind || ' ' || r.number AS missing FROM {_REFS} r ANTI JOIN {SECTIONS.duck()} s USING (kind, number)")
 def missing_refs_anti(spark: SparkSession, d: str) -> DataFrame:
     """References to sections that the law doesn't have."""
-    found = lookup.named_sections(QUESTIONS.spark(spark), SECTIONS.spark(spark))
+    found = lookup.named_sections(asked_rows(spark, d), SECTIONS.spark(spark))
     return found.filter("section_id IS NULL").select("question_id", F.concat_ws(" ", "kind", "number").alias("missing"))
 
 
@@ -76,62 +94,107 @@ GLOSSARY = Fixture("ord int, roman array<string>, urdu array<string>, english st
 
 
 @book.query(rf"""WITH g AS (SELECT *, '(?:^|[^a-z])(' || list_aggregate(list_transform(roman, lambda x: regexp_replace(x, '([-.])', '\\\1', 'g') || CASE WHEN length(x) >= 5 AND regexp_matches(x, '[a-z]$') THEN '[a-z]{{0,3}}' ELSE '' END), 'string_agg', '|') || ')(?:[^a-z]|$)' AS p FROM {GLOSSARY.duck()}),
-    h AS (SELECT question_id, english, ord, coalesce(nullif(regexp_extract(lower(text), p, 1), ''), list_filter(urdu, lambda u: regexp_matches(text, '(?:^|[^؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿])' || u))[1]) AS term FROM {QUESTIONS.duck()}, g)
+    h AS (SELECT question_id, english, ord, coalesce(nullif(regexp_extract(lower(text), p, 1), ''), list_filter(urdu, lambda u: regexp_matches(text, '(?:^|[^؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿])' || u))[1]) AS term FROM {ASKED}, g)
     SELECT question_id, english, term, CAST(row_number() OVER (PARTITION BY question_id ORDER BY length(term) DESC, ord) AS INTEGER) AS rank FROM h WHERE term IS NOT NULL""")
 def glossary_regex_join(spark: SparkSession, d: str) -> DataFrame:
     """Glossary rows that questions match, longest first."""
-    return lookup.glossary_matches(QUESTIONS.spark(spark), GLOSSARY.spark(spark))
+    return lookup.glossary_matches(asked_rows(spark, d), GLOSSARY.spark(spark))
 
 
 TERMS = Fixture("term string, clause string", [("income", "29"), ("imputable income", "28A"), ("company", "12"), ("small company", "59AB"), ("business", "10"), ("tax", "63")])
 
 
-@book.query(r"""WITH a AS (SELECT question_id, regexp_replace(lower(regexp_extract(text, '(?i)\b(?:define[sd]?|definition\s+of|meaning\s+of|what\s+(?:is|are)|what\s+counts\s+as|who\s+(?:is|are)|what\s+does)\s+(?:the\s+|an?\s+)?(?:term\s+)?(.*)', 1)), '^["''“‘]+', '') AS rest FROM """ + QUESTIONS.duck() + r"""),
-    p AS (SELECT question_id, term, clause, row_number() OVER (PARTITION BY question_id ORDER BY length(term) DESC) AS n FROM a JOIN """ + TERMS.duck() + r""" ON starts_with(rest, term)
-      AND regexp_matches(substr(rest, length(term) + 1), '^\s*(?:$|[?.,;:!)"''”’]|(?:for|under|in|as|according|mean|means|defined|include|includes)\b)') WHERE rest <> '')
+@book.query(f"""WITH a AS (SELECT question_id, string_split_regex(translate(lower({duck_line('text')}), '’', chr(39)), {quoted(lookup.ASKED)}) AS parts FROM {ASKED}),
+    r AS (SELECT question_id, unnest(parts) AS rest, generate_subscripts(parts, 1) AS place FROM a),
+    p AS (SELECT question_id, term, clause, row_number() OVER (PARTITION BY question_id ORDER BY place, length(term) DESC, term) AS n FROM r JOIN {TERMS.duck()} ON starts_with(rest, replace(term, ' ', '  ') || ' ')
+      AND regexp_matches(substr(rest, length(replace(term, ' ', '  ')) + 2), {quoted(lookup.CLOSED)}) WHERE place > 1)
     SELECT question_id, term, clause FROM p WHERE n = 1""")
 def definition_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The defined term that a question asks for."""
-    return lookup.asked_definitions(QUESTIONS.spark(spark), TERMS.spark(spark))
+    return lookup.asked_definitions(asked_rows(spark, d), TERMS.spark(spark))
 
 
-ANSWERS = Fixture("answer_id int, text string, n_sources int", [(1, "The rate is 5% [1]. It applies to all [2, 7].", 3), (2, "Nothing cited here at all.", 2), (3, "Twice [3] and [3], then [1,2].", 3), (4, "Bad [0] [9].", 4), (5, "Mixed [2] then [5, 2, 4].", 4)])
+ANSWERS = Fixture("answer_id string, text string, n_sources int, declared array<int>, sections array<string>", [
+    ("a1", "The rate is 5% [1]. It applies to all [2, 7].", 3, [3, 9], ["149", "150", "151"]), ("a2", "Nothing cited here at all.", 2, [], ["1", "2"]), ("a3", "Twice [3] and [3], then [1,2] .", 3, [2], ["12", "13", "14"]),
+    ("a4", "Bad [0] [9].", 4, [], []), ("a5", "Mixed [2] then [5, 2, 4].", 4, [4, 1], ["a", "b"]), ("a6", "Under section 149 the employer deducts tax [1]. Section 236K also applies here.", 2, [], ["149", "155"]),
+    ("a7", "", 2, [], []), ("a8", "سوال کا جواب یہ ہے [1]۔ دوسرا جملہ بھی کافی لمبا ہے۔", 2, [], ["1", "2"]),
+])
+#: Besides the fixed answers: every turn of the conversations with markers written behind it.
+_ANSWERS = f"(SELECT * FROM {ANSWERS.duck()} UNION ALL SELECT 'c' || conv_id || '-' || turn, text || ' [' || turn || '] See section ' || conv_id % 300 || ' [9, 2].', 4, [3], ['7', '8', '9', '10'] FROM conversations)"
+_MARK = t._MARK
 
 
-@book.query(f"""WITH n AS (SELECT answer_id, n_sources, list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1), lambda m: string_split_regex(m, '\\s*,\\s*'))), lambda x: x::INTEGER) AS ns FROM {ANSWERS.duck()})
-    SELECT answer_id, coalesce((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(ns) AS x, generate_subscripts(ns, 1) AS i) WHERE x BETWEEN 1 AND n_sources GROUP BY x)), []) AS cited,
-      list_filter(ns, lambda x: x < 1 OR x > n_sources) AS invalid FROM n""")
-def citation_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Valid and invalid source numbers of answers, in order of first use."""
-    return ANSWERS.spark(spark).select("answer_id", t.citation_check(F.col("text"), F.col("n_sources")).alias("c")).select("answer_id", "c.cited", "c.invalid")
+def _distinct(items: str, kind: str) -> str:
+    """The distinct items of an SQL list in order of first use."""
+    return f"list_reduce(list_prepend([]::{kind}[], list_transform({items}, lambda x: [x])), lambda p, q: CASE WHEN list_contains(p, q[1]) THEN p ELSE list_concat(p, q) END)"
 
 
-AMENDMENTS = Fixture("note_id int, text string, laws array<string>", [
-    (1, "Substituted by the Finance Act, 2025. The earlier text read as follows: as inserted by Finance Act, 2010", ["Finance Act, 2025"]),
-    (2, "Added by the Finance Act 2019 and amended by S.R.O. 389(I)/2009", ["Finance Act, 2019", "SRO 389(I)/2009"]),
-    (3, "Inserted by the Tax Laws (Amendment) Ordinance, 2021", ["Tax Laws (Amendment) Ordinance, 2021"]),
-    (4, "See Income Tax Ordinance, 2001", []), (5, "", []), (6, "Finance Supplementary (Amendment) Act, 2018 then Finance Act, 2022 then Finance Act, 2022", ["Finance Act, 2022", "Finance Supplementary (Amendment) Act, 2018"]),
+@book.query(f"""WITH a AS (SELECT *, string_split_regex(text, '{_MARK}') AS parts, list_transform(regexp_extract_all(text, '{_MARK}', 1), lambda m: list_transform(string_split_regex(m, '\\s*,\\s*'), lambda x: x::INTEGER)) AS marks FROM {_ANSWERS}),
+    f AS (SELECT *, flatten(marks) AS ns, list_transform(marks, lambda m: list_filter(m, lambda x: x >= 1 AND x <= n_sources)) AS good FROM a),
+    j AS (SELECT *, regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i <= len(good) AND len(good[i]) > 0 THEN '[' || array_to_string(good[i], ', ') || ']' ELSE '' END), ''), '\\s+([.,;:۔])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS clean,
+      {_distinct("list_concat(flatten(good), list_filter(declared, lambda x: x >= 1 AND x <= n_sources))", "INTEGER")} AS cited FROM f),
+    k AS (SELECT *, list_filter(string_split(regexp_replace(clean, '([.!?۔؟])\\s+', '\\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: length(trim(x)) > 20) AS sentences,
+      list_transform(regexp_extract_all(lower({duck_line('clean')}), ' section  ([0-9]{{1,3}}[a-z]{{0,3}}) ', 1), lambda x: upper(x)) AS said, list_transform(list_filter(cited, lambda n: n <= len(sections)), lambda n: upper(sections[n])) AS own FROM j)
+    SELECT answer_id, clean AS text, cited, list_filter(ns, lambda x: x < 1 OR x > n_sources) AS invalid, CAST(len(list_filter(sentences, lambda x: NOT regexp_matches(x, '{_MARK}'))) AS INTEGER) AS uncited,
+      {_distinct("list_filter(said, lambda x: NOT list_contains(own, x))", "VARCHAR")} AS unsupported FROM k""")
+def citation_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their citations checked: the cleaned text, cited and invalid sources, sentences without a source, and
+    sections that no cited source is."""
+    turns = table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("answer_id"),
+        F.concat("text", F.lit(" ["), "turn", F.lit("] See section "), F.col("conv_id") % 300, F.lit(" [9, 2].")).alias("text"), F.lit(4).alias("n_sources"),
+        F.array(F.lit(3)).alias("declared"), F.array(*map(F.lit, ("7", "8", "9", "10"))).alias("sections"),
+    )
+    checked = t.citation_check(F.col("text"), F.col("n_sources"), F.col("declared"), F.col("sections"))
+    return ANSWERS.spark(spark).unionByName(turns).select("answer_id", checked.alias("c")).select("answer_id", "c.*")
+
+
+AMENDMENTS = Fixture("note_id string, text string", [
+    ("n1", "Substituted by the Finance Act, 2025. The earlier text read as follows: as inserted by Finance Act, 2010"),
+    ("n2", "Added by the Finance Act 2019 and amended by S.R.O. 389(I)/2009"),
+    ("n3", "Inserted by the Tax Law (second amendment) Ordinance, 2021"),
+    ("n4", "See Income Tax Ordinance, 2001"), ("n5", ""), ("n6", "Finance Supplementary (Amendment) Act, 2018 then Finance Act, 2022 then Finance Act, 2022"),
+    ("n7", "by Presidential Order No. 3 of 1990, then S.R.O.428(1)/2002 and SRO No. 516 (I)/2006"), ("n8", "Finance (Amendment) (Supplementary) Act 2017, Presidential Order"),
 ])
-
-
-@book.query(f"SELECT note_id, laws FROM {AMENDMENTS.duck()}")
+#: Besides the fixed notes: one for every order, with the acts of its year and status.
+_NOTES = f"""(SELECT * FROM {AMENDMENTS.duck()} UNION ALL SELECT 'o' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Substituted by the Finance Act, ' WHEN 'O' THEN 'Added by the Tax  Laws (Amendment) Act ' ELSE 'See S.R.O. ' || o_orderkey || '(I)/' END || year(o_orderdate)
+    || CASE WHEN o_orderkey % 3 = 0 THEN '. It read as under: Finance Act, 1999' ELSE ' and Finance Supplementary Act, 2018' END FROM orders)"""
+_HEAD = f"string_split_regex(lower({duck_line('text')}), ' (?:{'|'.join(q.replace(' ', '  ') for q in t.QUOTES)}) ')[1] || ' '"
+_LAWS = f"""WITH h AS (SELECT note_id, {_HEAD} AS h FROM {_NOTES}),
+    a AS (SELECT note_id, h, regexp_extract_all(h, {quoted(t._ACT)}, 1) AS names, regexp_extract_all(h, {quoted(t._ACT)}, 2) AS kinds, regexp_extract_all(h, {quoted(t._ACT)}, 3) AS years,
+      list_transform(regexp_extract_all(h, {quoted(t._ORDER)}), lambda m: 'SRO ' || regexp_extract(m, {quoted(t._ORDER)}, 1) || '(I)/' || regexp_extract(m, {quoted(t._ORDER)}, 2)) AS orders,
+      list_transform(regexp_extract_all(h, {quoted(t._PRESIDENT)}, 1), lambda n: 'Presidential Order' || CASE WHEN n <> '' THEN ' No. ' || n ELSE '' END) AS presidents FROM h),
+    z AS (SELECT *, list_filter(range(1, len(names) + 1), lambda i: contains(names[i], '(') OR (kinds[i] <> '' AND starts_with(names[i], 'finance'))) AS use FROM a),
+    l AS (SELECT note_id, list_concat(list_transform(use, lambda i: regexp_replace(replace(replace(array_to_string(list_transform(list_filter(string_split(names[i], ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' '), '( ', '('), ' )', ')'), '^Tax Law\\b', 'Tax Laws')
+      || CASE WHEN kinds[i] <> '' THEN ' ' || upper(kinds[i][1]) || kinds[i][2:] ELSE '' END || ', ' || years[i]), orders, presidents) AS laws FROM z)"""
+_AGE = "coalesce(-try_cast(right(x, 4) AS INTEGER), 0)"
+
+
+@book.query(f"{_LAWS} SELECT note_id, coalesce((SELECT list(x ORDER BY {_AGE}, x) FROM (SELECT DISTINCT unnest(laws) AS x)), []) AS laws FROM l")
 def amendment_laws(spark: SparkSession, d: str) -> DataFrame:
     """The laws that amendment notes name, newest first."""
-    return AMENDMENTS.spark(spark).select("note_id", t.amending_laws(F.col("text")).alias("laws"))
+    return _notes(spark, d).select("note_id", t.amending_laws(F.col("text")).alias("laws"))
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    head = F.when(F.col("o_orderstatus") == "F", "Substituted by the Finance Act, ").when(F.col("o_orderstatus") == "O", "Added by the Tax  Laws (Amendment) Act ").otherwise(F.concat(F.lit("See S.R.O. "), "o_orderkey", F.lit("(I)/")))
+    tail = F.when(F.col("o_orderkey") % 3 == 0, ". It read as under: Finance Act, 1999").otherwise(" and Finance Supplementary Act, 2018")
+    orders = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("note_id"), F.concat(head, F.year("o_orderdate"), tail).alias("text"))
+    return AMENDMENTS.spark(spark).unionByName(orders)
 
 
-PAGES = Fixture("site string, html string", [("a", '<a href="/x/1.pdf">Ordinance amended up to 30.06.2025</a> <a href="/x/2.pdf">Ordinance amended up to 30.6.2026</a> <a href="/x/3.pdf">Ordinance</a>'), ("b", '<a href="/y/9.pdf">amended up to 31.02.2024</a><a href="/y/8.pdf">amended up to 01.12.2023</a>')])
+PAGES = Made("""SELECT page_id AS site, html || '<a href=\"/x/' || page_id || '.pdf\">Ordinance amended up to ' || (page_id % 31 + 1) || '.' || (page_id % 13 + 1) || '.2024</a> <a href=\"/x/2.pdf\">amended up to ' || (page_id % 28 + 1) || '.02.20' || (page_id % 10 + 15) || '</a> <a href=\"/x/3.pdf\">Ordinance</a>' AS html FROM {pages}""")
 _LINK = r'(?i)<a href="([^"]+[.]pdf)">[^<]*amended up to ([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})'
 
 
 @book.query(f"""WITH l AS (SELECT site, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS day FROM {PAGES.duck()}),
     v AS (SELECT site, url, CAST(try_strptime(day, '%d.%m.%Y') AS DATE) AS version FROM l)
-    SELECT site, arg_max(url, version) AS url, max(version) AS version FROM v WHERE version IS NOT NULL GROUP BY site""")
+    SELECT site, arg_max(url, struct_pack(a := version, b := url)) AS url, max(version) AS version FROM v WHERE version IS NOT NULL GROUP BY site""")
 def version_links_latest(spark: SparkSession, d: str) -> DataFrame:
     """The newest version that an index page links; impossible dates are skipped."""
     links = F.arrays_zip(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)).alias("url"), F.regexp_extract_all("html", F.lit(_LINK), F.lit(2)).alias("day"))
-    rows = PAGES.spark(spark).select("site", F.explode(links).alias("l")).select("site", "l.url", F.expr("try_to_date(l.day, 'd.M.yyyy')").alias("version")).filter("version IS NOT NULL")
-    return rows.groupBy("site").agg(F.max_by("url", "version").alias("url"), F.max("version").alias("version"))
+    rows = PAGES.spark(spark, d).select("site", F.explode(links).alias("l")).select("site", "l.url", F.expr("try_to_date(l.day, 'd.M.yyyy')").alias("version")).filter("version IS NOT NULL")
+    return rows.groupBy("site").agg(F.max_by("url", F.struct("version", "url")).alias("url"), F.max("version").alias("version"))
 
 
 @book.query("""SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)', 1) AS heading, len(regexp_extract_all(html, 'href="')) AS n_links FROM pages""")
@@ -140,45 +203,45 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1).alias("heading"), F.regexp_count("html", F.lit('href="')).cast("long").alias("n_links"))
 
 
-PARAS = Fixture("para_id int, page int, markers array<string>", [(1, 1, ["1", "2"]), (2, 1, []), (3, 2, ["1"]), (4, 3, ["9"])])
-FOOT = Fixture("page int, marker string, note string", [(1, "1", "Finance Act, 2020"), (1, "2", "Finance Act, 2021"), (1, "2", "again"), (2, "1", "Finance Act, 2022"), (2, "2", "unused")])
+PARAS = Made("""SELECT event_id AS para_id, user_id AS page, array(CAST(event_id % 3 AS STRING), CAST(event_id % 4 AS STRING)) AS markers FROM {events}""")
+FOOT = Made("""SELECT user_id AS page, CAST(event_id % 5 AS STRING) AS marker, 'note ' || event_id AS note FROM {events} WHERE event_type = 'purchase'""")
 
 
 @book.query(f"SELECT p.para_id, p.marker, f.note FROM (SELECT para_id, page, unnest(markers) AS marker FROM {PARAS.duck()}) p LEFT JOIN {FOOT.duck()} f USING (page, marker)")
 def footnote_composite_join(spark: SparkSession, d: str) -> DataFrame:
     """Footnotes of each paragraph by page and marker, of which there may be none or several."""
-    return PARAS.spark(spark).select("para_id", "page", F.explode("markers").alias("marker")).join(FOOT.spark(spark), ["page", "marker"], "left").select("para_id", "marker", "note")
+    return PARAS.spark(spark, d).select("para_id", "page", F.explode("markers").alias("marker")).join(FOOT.spark(spark, d), ["page", "marker"], "left").select("para_id", "marker", "note")
 
 
-CARDS = Fixture("card string, text string", [("c1", "Division-I R.1 of the Tenth Schedule"), ("c2", "R. 10(a) of Tenth Schedule and R.1, Tenth Schedule"), ("c3", "no rule")])
+CARDS = Made("""SELECT o_orderkey AS card, CASE o_custkey % 4 WHEN 0 THEN 'Division-I R.' || o_custkey % 12 || ' of the Tenth Schedule' WHEN 1 THEN 'R. ' || o_custkey % 30 || '(a) of Tenth Schedule and R.1, Tenth Schedule' WHEN 2 THEN 'R.5 | Tenth Schedule' ELSE 'no rule, Tenth Schedule' END AS text FROM {orders}""")
 
 
-@book.query("SELECT * FROM (VALUES ('c1', 0, 1), ('c2', 0, 10), ('c2', 1, 1)) t(card, ord, rule)")
+@book.query("""SELECT o_orderkey AS card, CAST(i AS INTEGER) AS ord, CAST(r AS INTEGER) AS rule FROM orders, LATERAL (SELECT unnest(CASE o_custkey % 4 WHEN 0 THEN [o_custkey % 12] WHEN 1 THEN [o_custkey % 30, 1] END) AS r, unnest([0, 1]) AS i) WHERE r IS NOT NULL""")
 def card_schedule_rules(spark: SparkSession, d: str) -> DataFrame:
     """The schedule rules that rate cards point to."""
-    return lookup.card_rules(CARDS.spark(spark))
+    return lookup.card_rules(CARDS.spark(spark, d))
 
 
-PARTS = Fixture("question_id int, priority int, ord int, chunk_id string", [(1, 0, 0, "card-149"), (1, 1, 0, "rule-1"), (1, 1, 1, "rule-10"), (1, 2, 0, "card-150"), (1, 3, 0, "rule-1"), (2, 0, 0, "card-236K"), (2, 3, 0, "table-1"), (2, 1, 0, "rule-1")])
-PRESENT = Fixture("question_id int, chunk_id string", [(1, "rule-10"), (2, "card-236K")])
+PARTS = Made("""SELECT l_orderkey AS question_id, l_linenumber % 4 AS priority, l_linenumber AS ord, 'c' || l_partkey % 5 AS chunk_id FROM {lineitem}""")
+PRESENT = Made("""SELECT DISTINCT l_orderkey AS question_id, 'c' || l_suppkey % 5 AS chunk_id FROM {lineitem} WHERE l_returnflag = 'A'""")
 
 
 @book.query(f"""WITH f AS (SELECT question_id, chunk_id, min(priority * 100 + ord) AS place FROM {PARTS.duck()} GROUP BY ALL)
-    SELECT question_id, chunk_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS n FROM f ANTI JOIN {PRESENT.duck()} p USING (question_id, chunk_id)) WHERE n <= 3""")
+    SELECT question_id, chunk_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place, chunk_id) AS n FROM f ANTI JOIN {PRESENT.duck()} p USING (question_id, chunk_id)) WHERE n <= 3""")
 def companion_sources(spark: SparkSession, d: str) -> DataFrame:
     """Extra sources in order of priority, each once."""
-    return lookup.companions(PARTS.spark(spark), PRESENT.spark(spark))
+    return lookup.companions(PARTS.spark(spark, d), PRESENT.spark(spark, d))
 
 
-CANDIDATES = Fixture("question_id int, chunk_id string, via string, prior int", [(1, "a", "search", 1), (1, "b", "search", 2), (1, "c", "lookup", 0), (1, "d", "search", 3), (2, "a", "search", 1), (2, "e", "search", 2)])
-PASSAGES = Fixture("question_id int, chunk_id string, score double", [(1, "a", 0.2), (1, "b", 0.4), (1, "b", 0.7), (1, "c", 0.1), (1, "d", 0.7), (2, "a", -0.5), (2, "e", -0.1)])
+CANDIDATES = Made("""SELECT DISTINCT l_orderkey AS question_id, 'c' || l_linenumber AS chunk_id, CASE WHEN l_linenumber % 3 = 0 THEN 'lookup' ELSE 'search' END AS via, l_linenumber AS prior FROM {lineitem}""")
+PASSAGES = Made("""SELECT l_orderkey AS question_id, 'c' || (l_partkey % 4 + 1) AS chunk_id, round(l_discount * 10 - 0.3, 6) AS score FROM {lineitem}""")
 
 
 @book.query(f"""WITH b AS (SELECT question_id, chunk_id, max(score) AS best FROM {PASSAGES.duck()} GROUP BY ALL), s AS (SELECT c.*, greatest(coalesce(best, 0), 0) AS score FROM {CANDIDATES.duck()} c LEFT JOIN b USING (question_id, chunk_id))
     SELECT question_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY via = 'lookup' DESC, score DESC, prior) AS INTEGER) AS rank FROM s""")
 def rerank_final_order(spark: SparkSession, d: str) -> DataFrame:
     """Pinned chunks first, then by the best passage."""
-    return lookup.final_ranks(CANDIDATES.spark(spark), PASSAGES.spark(spark))
+    return lookup.final_ranks(CANDIDATES.spark(spark, d), PASSAGES.spark(spark, d))
 
 
 _WINDOWS = """(SELECT d.doc_id, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin, text FROM documents d, range(600, 200000, 600) r(s) WHERE s < length(text) - 200)"""
@@ -221,41 +284,48 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size(F.array_distinct(F.filter(pairs, lambda p: p.rlike("[a-z]{4,}")))).cast("long").alias("n_pairs"))
 
 
-NUMBERS = Fixture("ref_id int, wanted array<double>, have array<double>", [(1, [5.0, 10000.0, 0.35], [5.0000000001, 10000.0]), (2, [1.0], []), (3, [], [2.0]), (4, [0.1, 0.3], [0.1, 0.30000000000000004])])
+NUMBERS = Made("""SELECT l_orderkey AS ref_id, LIST(l_discount BY k) AS wanted, LIST(l_tax + 0.0000000001 BY k) AS have FROM """ + NUMBERED + " GROUP BY l_orderkey")
 
 
 @book.query(f"SELECT ref_id, w FROM (SELECT ref_id, have, unnest(wanted) AS w FROM {NUMBERS.duck()}) WHERE len(list_filter(have, lambda h: abs(h - w) < 1e-9)) = 0")
 def tolerance_anti_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of an answer that its sources don't have, within a tolerance."""
-    rows = NUMBERS.spark(spark).select("ref_id", "have", F.explode("wanted").alias("w"))
+    rows = NUMBERS.spark(spark, d).select("ref_id", "have", F.explode("wanted").alias("w"))
     return rows.filter(~F.exists("have", lambda h: F.abs(h - F.col("w")) < 1e-9)).select("ref_id", "w")
 
 
-SPELLED = Fixture("text_id int, text string, found array<double>", [
-    (1, "Rs. 10 million within fifteen days", [10.0, 15.0, 10000000.0]), (2, "one hundred and eighty-three days", [183.0]), (3, "one and a half million rupees", [1.5, 1500000.0]),
-    (4, "the first of two lakh and five thousand", [1.0, 2.0, 200005.0, 205000.0]), (5, "1,50,000 or 0.8%", [0.8, 150000.0]), (6, "nothing", []),
-])
+SPELLED = Fixture("text_id string, text string", [("s1", "Rs. 10 million within fifteen days"), ("s2", "one hundred and eighty-three days"), ("s3", "one and a half million rupees"), ("s4", "the first of two lakh and five thousand"), ("s5", "1,50,000 or 0.8%"), ("s6", "nothing")])
 
 
-@book.query("""SELECT * FROM (VALUES (1, [10.0, 15.0, 10000000.0]::DOUBLE[]), (2, [183.0]::DOUBLE[]), (3, [1.5, 1500000.0]::DOUBLE[]), (4, [1.0, 2.0, 200005.0, 205000.0]::DOUBLE[]), (5, [0.8, 150000.0]::DOUBLE[]), (6, []::DOUBLE[])) t(text_id, numbers)""")
+@book.query()
 def word_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities in digits and words."""
-    return SPELLED.spark(spark).select("text_id", numbers_udf("text").alias("numbers"))
+    """Quantities in digits and words, of the fixed texts and of every turn. No SQL says it; the tests hold what is found."""
+    turns = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("text_id"), "text")
+    return SPELLED.spark(spark).unionByName(turns).select("text_id", numbers_udf(F.col("text")).alias("numbers"))
 
 
-SUMS = Fixture("sum_id int, text string", [(1, "5% x 200,000"), (2, "Rs. 300,000 − 100,000"), (3, "(12 + 3) / 5"), (4, "__import__('os')"), (5, "4 / 0")])
+@book.query("""SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_custkey % 90 + 3) / 100.0 * round(o_totalprice::DECIMAL(18, 2)) - (o_custkey + 12.5) / 4 END::DOUBLE, 6) AS value FROM orders""")
+def written_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Written calculations, one for each order, evaluated without running text; every seventh is none."""
+    price = F.format_number(F.round(F.col("o_totalprice").cast("decimal(18,2)")), 0)
+    text = F.concat(F.lit("Rs. "), F.col("o_custkey") % 90 + 3, F.lit("% x "), price, F.lit(" − ("), F.col("o_custkey"), F.lit(" + 12.5) / 4"))
+    odd = F.when(F.col("o_orderkey") % 7 == 0, F.concat(text, F.lit(" + __import__('os')"))).otherwise(text)
+    return table(spark, d, "orders").select("o_orderkey", F.round(calculate_udf(odd), 6).alias("value"))
 
 
-@book.query("SELECT * FROM (VALUES (1, 10000.0::DOUBLE), (2, 200000.0::DOUBLE), (3, 3.0::DOUBLE), (4, NULL), (5, NULL)) t(sum_id, value)")
-def written_arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    """Written calculations, evaluated without running text."""
-    return SUMS.spark(spark).select("sum_id", calculate_udf("text").alias("value"))
+@book.query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN [] WHEN o_custkey * 2 + 7 = 5 THEN [] ELSE [(o_custkey * 2 + 7)::DOUBLE] END AS missing FROM orders""")
+def numbers_without_source(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of an answer that neither source nor question has: here results that every other answer works out
+    wrongly. The section's number and the question's tax year are no quantities."""
+    o = table(spark, d, "orders")
+    result = F.col("o_custkey") * 2 + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(7)
+    answer = F.concat(F.lit("Under section 149 or 150, for tax year 2026: 2 x "), F.col("o_custkey"), F.lit(" = Rs. "), F.format_number(result, 0), F.lit("."))
+    question = F.concat(F.lit("I have "), F.col("o_custkey"), F.lit(" rupees"))
+    return o.select("o_orderkey", missing_numbers_udf(answer, F.lit("two for every rupee over five"), question, F.lit(2026)).alias("missing"))
 
 
-STATES = Fixture("q int, scope string, year int, n_missing int, named boolean, n_candidates int, top double, guard double", [
-    (1, "income_tax", 2026, 0, False, 5, 0.9, 0.1), (2, "provincial_tax", 2026, 0, False, 5, 0.9, None), (3, "income_tax", 2001, 1, False, 0, None, 0.2), (4, "income_tax", 2026, 1, False, 3, 0.5, 0.2), (5, "income_tax", 2026, 1, True, 3, 0.0001, 0.2),
-    (6, "income_tax", 2026, 0, False, 0, None, 0.2), (7, "income_tax", 2026, 0, False, 3, 0.0001, 0.2), (8, "income_tax", 2030, 0, False, 3, 0.7, 0.2), (9, "income_tax", 2026, 0, False, 3, 0.7, 0.97),
-])
+STATES = Made("""SELECT event_id AS q, CASE WHEN event_type = 'purchase' THEN 'provincial_tax' ELSE 'income_tax' END AS scope, CAST(2000 + user_id % 32 AS INT) AS year, user_id % 2 AS n_missing, user_id % 3 = 0 AS named, event_id % 4 AS n_candidates,
+    CASE WHEN event_id % 4 > 0 THEN value / 100000 END AS top, CASE WHEN event_id % 5 > 0 THEN (event_id % 10) / 10.0 END AS guard FROM {events}""")
 
 
 @book.query(f"""SELECT q, CASE WHEN coalesce(guard >= 0.5, false) THEN 'PROMPT_INJECTION' WHEN scope <> 'income_tax' THEN 'OUT_OF_SCOPE' WHEN year < 2003 OR year > 2027 THEN 'TAX_YEAR_NOT_COVERED' WHEN n_missing > 0 AND NOT named THEN 'SECTION_NOT_FOUND'
@@ -263,25 +333,28 @@ STATES = Fixture("q int, scope string, year int, n_missing int, named boolean, n
 def refusal_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Why each question is refused, null where it is answered."""
     r = refusal(F.col("scope"), F.col("year"), 2003, 2027, F.col("n_missing"), F.col("named"), F.col("n_candidates"), F.col("top"), 0.0005)
-    return STATES.spark(spark).select("q", F.when(flagged(F.col("guard")), "PROMPT_INJECTION").otherwise(r).alias("reason"))
+    return STATES.spark(spark, d).select("q", F.when(flagged(F.col("guard")), "PROMPT_INJECTION").otherwise(r).alias("reason"))
 
 
-TITLES = Fixture("line_id int, text string, heading string, cleaned string", [(1, "HEAD OF INCOME", "Head of Income", "HEAD OF INCOME"), (2, "the  TAXPAYER’S return", "The Taxpayer’s Return", "the TAXPAYER’S return"), (3, "rate [ ] of [ ### ] tax\t", "Rate [ ] of [ ### ] Tax", "rate of tax"), (4, "", "", "")])
+_SMALL = ", ".join(f"'{w}'" for w in t.SMALL_WORDS)
 
 
-@book.query("SELECT * FROM (VALUES (1, 'Head of Income', 'HEAD OF INCOME'), (2, 'The Taxpayer’s Return', 'the TAXPAYER’S return'), (3, 'Rate [ ] of [ ### ] Tax', 'rate of tax'), (4, '', '')) t(line_id, heading, cleaned)")
+@book.query(f"""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split_regex(title, '\\s+'), lambda w: w <> ''), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ({_SMALL}) THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS heading,
+    regexp_replace(regexp_replace(regexp_replace(note, '\\[[\\s#*%]*\\]', '', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS cleaned FROM (SELECT p_partkey, upper(p_name) || ' OF  THE ' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' taxpayer’s' ELSE '' END AS title, ' [ ## ]' || p_name || '[]  [ x ]' || chr(9) || p_brand || ' [%*] ' AS note FROM part)""")
 def heading_and_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Headings in heading case, and texts without empty brackets."""
-    return TITLES.spark(spark).select("line_id", t.heading_case(F.col("text")).alias("heading"), t.clean(F.col("text")).alias("cleaned"))
+    """Headings in heading case, and texts without empty brackets, for every part."""
+    title = F.concat(F.upper("p_name"), F.lit(" OF  THE "), "p_type", F.when(F.col("p_partkey") % 5 == 0, " taxpayer’s").otherwise(""))
+    note = F.concat(F.lit(" [ ## ]"), "p_name", F.lit("[]  [ x ]\t"), "p_brand", F.lit(" [%*] "))
+    return table(spark, d, "part").select("p_partkey", t.heading_case(title).alias("heading"), t.clean(note).alias("cleaned"))
 
 
-SETS = Fixture("q int, list_a array<string>, list_b array<string>", [(1, ["s1", "s2", "s1"], ["s2", "s3"]), (2, [], ["s4"]), (3, ["s5"], [])])
+SETS = Made("""SELECT l_orderkey AS q, LISTN(CASE WHEN l_returnflag <> 'N' THEN l_suppkey % 7 END BY k) AS list_a, LISTN(CASE WHEN l_linestatus = 'F' THEN l_suppkey % 5 END BY k) AS list_b FROM """ + NUMBERED + " GROUP BY l_orderkey")
 
 
-@book.query("SELECT * FROM (VALUES (1, ['s1', 's2', 's3'], ['s2'], ['s1']), (2, ['s4'], []::VARCHAR[], []::VARCHAR[]), (3, ['s5'], []::VARCHAR[], ['s5'])) t(q, merged, shared, only_a)")
+@book.query(f"""SELECT q, {_distinct("list_concat(list_a, list_b)", "BIGINT")} AS merged, {_distinct("list_filter(list_a, lambda x: list_contains(list_b, x))", "BIGINT")} AS shared, {_distinct("list_filter(list_a, lambda x: NOT list_contains(list_b, x))", "BIGINT")} AS only_a FROM {SETS.duck()}""")
 def ordered_distinct_union(spark: SparkSession, d: str) -> DataFrame:
     """Ordered union, intersection and difference of id lists."""
-    return SETS.spark(spark).select("q", F.array_distinct(F.concat("list_a", "list_b")).alias("merged"), F.array_intersect("list_a", "list_b").alias("shared"), F.array_except("list_a", "list_b").alias("only_a"))
+    return SETS.spark(spark, d).select("q", F.array_distinct(F.concat("list_a", "list_b")).alias("merged"), F.array_intersect("list_a", "list_b").alias("shared"), F.array_except("list_a", "list_b").alias("only_a"))
 
 
 @book.query("SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -317,24 +390,35 @@ def arrow_reranker(spark: SparkSession, d: str) -> DataFrame:
     return q.join(c, "item_id").select("item_id", "turn", _keyword_score("q", "p").alias("score"))
 
 
-LAW_TEXTS = Fixture("ord int, chunk_id string, text string", [
-    (1, "s2-1", '(12) “company” means a company as defined in section 80; (10) "business" includes any trade; [(59AB)] “Small  Company” means more'), (2, "s2-2", "(13) “Company” means another; (29A) ‘imputable income’ in relation to tax"), (3, "s3", "no definition"),
+#: Fixed texts with the awkward cases, and one definition for every part.
+LAW_TEXTS = Fixture("ord bigint, chunk_id string, text string", [
+    (-3, "s2-1", '(12) “company” means a company as defined in section 80; (10) "business" includes any trade; [(59AB)] “Small  Company” means more'), (-2, "s2-2", "(13) “Company” means another; (29A) ‘imputable income’ in relation to tax; (54) [royalty] means any sum"), (-1, "s3", "no definition\n(7) [the] other\n(8) \"person’s share\" includes all"),
 ])
+_LAW = f"""(SELECT * FROM {LAW_TEXTS.duck()} UNION ALL SELECT p_partkey, 'p' || p_partkey, '(' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE '' END || ') ' || CASE WHEN p_partkey % 2 = 0 THEN '"' || p_name || '" means ' ELSE '[' || lower(p_name) || '] includes ' END || p_type
+    || CASE WHEN p_partkey % 4 < 2 THEN ' as defined in section ' || p_size || 'B' ELSE '' END || '; then (1) more' FROM part)"""
+_FOUND = ", ".join(f"regexp_extract_all(l, {quoted(p)}, {i}) AS {n}{k}" for k, p in enumerate((lookup.IN_QUOTES, lookup.IN_BRACKETS)) for i, n in ((1, "c"), (2, "t"), (3, "b")))
 
 
-@book.query("SELECT * FROM (VALUES ('company', '12', 's2-1', '80'), ('business', '10', 's2-1', NULL), ('small company', '59AB', 's2-1', NULL), ('imputable income', '29A', 's2-2', NULL)) t(term, clause, chunk_id, points_to)")
+@book.query(f"""WITH x AS (SELECT ord, chunk_id, {duck_line("replace(text, chr(10), ' ¶ ')")} AS l FROM {_LAW}), f AS (SELECT ord, chunk_id, {_FOUND} FROM x),
+    g AS (SELECT ord, chunk_id, unnest(list_concat(c0, c1)) AS clause, unnest(list_concat(t0, t1)) AS term, unnest(list_concat(b0, b1)) AS body, generate_subscripts(list_concat(c0, c1), 1) AS i FROM f),
+    h AS (SELECT ord, i, chunk_id, clause, regexp_replace(replace(regexp_replace(lower(translate(term, '’‘', chr(39) || chr(39))), ' +', ' ', 'g'), ' '' ', ''''), '^['' ]+|['' ]+$', '', 'g') AS term, length(trim(substr(regexp_replace(body, ' +', ' ', 'g'), 1, 300))) AS n, upper(regexp_extract(lower(body), {quoted(lookup.POINTS)}, 1)) AS target FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord, i) AS k FROM h WHERE length(term) BETWEEN 2 AND 80)
+    SELECT term, clause, chunk_id, CASE WHEN n < 160 AND target <> '' THEN target END AS points_to FROM r WHERE k = 1""")
 def definition_index(spark: SparkSession, d: str) -> DataFrame:
-    """The terms that a law defines, and where definitions point."""
-    return lookup.defined_terms(LAW_TEXTS.spark(spark))
+    """The terms that a law defines, in quotes or brackets, and where definitions point."""
+    pk = F.col("p_partkey")
+    opened = F.when(pk % 2 == 0, F.concat(F.lit('"'), "p_name", F.lit('" means '))).otherwise(F.concat(F.lit("["), F.lower("p_name"), F.lit("] includes ")))
+    text = F.concat(F.lit("("), pk, F.when(pk % 3 == 0, "A").otherwise(""), F.lit(") "), opened, "p_type", F.when(pk % 4 < 2, F.concat(F.lit(" as defined in section "), "p_size", F.lit("B"))).otherwise(""), F.lit("; then (1) more"))
+    parts = table(spark, d, "part").select(pk.alias("ord"), F.concat(F.lit("p"), pk).alias("chunk_id"), text.alias("text"))
+    return lookup.defined_terms(LAW_TEXTS.spark(spark).unionByName(parts))
 
 
-@book.query("""SELECT site, laws FROM (VALUES ('a', ['Finance Act, 2025', 'SRO 389(I)/2009']), ('b', ['Finance Act, 2022'])) t(site, laws)""")
+@book.query(f"""{_LAWS}, s AS (SELECT DISTINCT substr(note_id, 1, 2) AS site, unnest(laws) AS x FROM l) SELECT site, list(x ORDER BY {_AGE}, x) AS laws FROM s GROUP BY site""")
 def amendments_union(spark: SparkSession, d: str) -> DataFrame:
     """All laws that a section's notes name, newest first."""
-    rows = Fixture("site string, text string", [("a", "S.R.O. 389(I)/2009"), ("a", "by Finance Act, 2025"), ("a", "again the Finance Act, 2025"), ("b", "Finance Act, 2022")]).spark(spark)
-    laws = rows.select("site", F.explode(t.amending_laws(F.col("text"))).alias("law")).distinct()
-    aged = F.array_sort(F.collect_list(F.struct((-F.right("law", F.lit(4)).cast("int")).alias("age"), "law")))
-    return laws.groupBy("site").agg(F.transform(aged, lambda x: x["law"]).alias("laws"))
+    laws = _notes(spark, d).select(F.substring("note_id", 1, 2).alias("site"), F.explode(t.amending_laws(F.col("text"))).alias("law")).distinct()
+    age = F.coalesce(-F.right("law", F.lit(4)).try_cast("int"), F.lit(0)).alias("age")
+    return laws.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct(age, "law"))), lambda x: x["law"]).alias("laws"))
 
 
 _COMMON = ", ".join(f"'{w}'" for w in lookup.COMMON)

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tessera.functions.phrases import TOKEN
+
+
+def duck_line(text: str) -> str:
+    """The token line of an SQL expression, for DuckDB."""
+    return f"(' ' || array_to_string(regexp_extract_all({text}, '{TOKEN}'), '  ') || ' ')"
+
+
+def quoted(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
 
 class Book:
     """Queries of one module, and their SQL."""

@@ -9,7 +9,8 @@ from tessera.functions.text import ROMAN_URDU, estimate_tokens, language, normal
 from tessera.operators import aggregates as a
 from tessera.operators.retrieval import means_with_total
 from tessera.operators.serving import cache_hits, last_votes
-from tessera.plans.fixtures import Fixture
+from tessera.operators.sizes import small
+from tessera.plans.fixtures import Fixture, Made
 from tessera.plans.registering import Book
 from tessera.sources.tables import last_by_key, table, upsert
 
@@ -156,15 +157,15 @@ def answer_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return cache_hits(c, key, ["conv_id", "turn"]).select("key", (F.col("first.conv_id") * 1000 + F.col("first.turn")).alias("first"), "hits")
 
 
-ITEMS = Fixture("id string, source_id string, split string, gold array<string>, reference string", [("q1", None, "dev", ["s1"], "ten"), ("q2", None, "test", ["s2", "s3"], "five"), ("q1-ur", "q1", "dev", ["s1"], "das"), ("q2-ur", "q2", "dev", ["s2", "s3"], "panch"), ("q9-ur", "q9", "dev", ["s9"], "x")])
-CHANGES = Fixture("id string, gold array<string>, reference string", [("q1", ["s1", "s4"], None), ("q2", None, "six"), ("q1-ur", ["s7"], "rejected: a translation"), ("q0", ["s0"], "unknown")])
+ITEMS = Made("""SELECT 'q' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'q' || (o_orderkey - 1) END AS source_id, CASE WHEN o_custkey % 2 = 0 THEN 'dev' ELSE 'test' END AS split, array('s' || o_custkey % 2) AS gold, o_orderpriority AS reference FROM {orders}""")
+CHANGES = Made("""SELECT 'q' || o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN array('s1', 's4') END AS gold, CASE WHEN o_custkey % 4 = 0 THEN o_orderstatus END AS reference FROM {orders} WHERE o_orderkey % 2 = 0""")
 
 
 @book.query(f"""SELECT i.id, coalesce(CASE WHEN i.source_id IS NULL THEN c.gold END, i.gold) AS gold, coalesce(CASE WHEN i.source_id IS NULL THEN c.reference END, i.reference) AS reference,
     CASE WHEN i.source_id IS NULL AND coalesce(c.gold, i.gold) <> i.gold OR i.source_id IS NULL AND coalesce(c.reference, i.reference) <> i.reference THEN i.reference END AS before FROM {ITEMS.duck()} i LEFT JOIN {CHANGES.duck()} c USING (id)""")
 def merge_changes(spark: SparkSession, d: str) -> DataFrame:
     """Reviewed changes merged into the items, with the old answer kept; translations are not changed."""
-    i, c = ITEMS.spark(spark), CHANGES.spark(spark).select("id", F.col("gold").alias("new_gold"), F.col("reference").alias("new_ref"))
+    i, c = ITEMS.spark(spark, d), CHANGES.spark(spark, d).select("id", F.col("gold").alias("new_gold"), F.col("reference").alias("new_ref"))
     own = F.col("source_id").isNull()
     gold, ref = F.coalesce(F.when(own, F.col("new_gold")), F.col("gold")), F.coalesce(F.when(own, F.col("new_ref")), F.col("reference"))
     return i.join(c, "id", "left").select("id", gold.alias("gold"), ref.alias("reference"), F.when((gold != F.col("gold")) | (ref != F.col("reference")), F.col("reference")).alias("before"))
@@ -173,7 +174,7 @@ def merge_changes(spark: SparkSession, d: str) -> DataFrame:
 @book.query(f"""SELECT t.id, CASE WHEN s.id IS NULL THEN 'no source' WHEN s.split <> t.split THEN 'split differs' WHEN s.gold <> t.gold THEN 'gold differs' ELSE 'ok' END AS verdict FROM {ITEMS.duck()} t LEFT JOIN {ITEMS.duck()} s ON t.source_id = s.id WHERE t.source_id IS NOT NULL""")
 def translation_self_join(spark: SparkSession, d: str) -> DataFrame:
     """Translations checked against the questions they come from."""
-    t, s = ITEMS.spark(spark).alias("t"), ITEMS.spark(spark).alias("s")
+    t, s = ITEMS.spark(spark, d).alias("t"), ITEMS.spark(spark, d).alias("s")
     j = t.join(s, F.col("t.source_id") == F.col("s.id"), "left").filter("t.source_id IS NOT NULL")
     return j.select("t.id", F.when(F.col("s.id").isNull(), "no source").when(F.col("s.split") != F.col("t.split"), "split differs").when(F.col("s.gold") != F.col("t.gold"), "gold differs").otherwise("ok").alias("verdict"))
 
@@ -197,26 +198,31 @@ def tax_year_of_orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(tax_year_of(F.col("o_orderdate")).cast("long").alias("tax_year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-SNAPSHOTS = Fixture("law string, version string, tax_year_from int", [("ITO", "v1", 1994), ("ITO", "v2", 1998), ("ITO", "v3", 2000), ("ITR", "v1", 1997)])
+SNAPSHOTS = Made("""SELECT n_name AS law, 'v' || o_year AS version, o_year AS tax_year_from FROM (SELECT DISTINCT c_nationkey, CAST(year(o_orderdate) AS INT) AS o_year FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND c_nationkey < 4) JOIN {nation} ON n_nationkey = c_nationkey""")
 _CLOSED = f"(SELECT law, version, tax_year_from, lead(tax_year_from) OVER (PARTITION BY law ORDER BY tax_year_from) - 1 AS tax_year_to FROM {SNAPSHOTS.duck()})"
 
 
-def _closed(spark):
+def _closed(spark, d):
     following = F.lead("tax_year_from").over(Window.partitionBy("law").orderBy("tax_year_from"))
-    return SNAPSHOTS.spark(spark).withColumn("tax_year_to", following - 1)
+    return SNAPSHOTS.spark(spark, d).withColumn("tax_year_to", following - 1)
 
 
 @book.query(f"SELECT * FROM {_CLOSED}")
 def snapshot_close_out(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot is valid until the year before the next one."""
-    return _closed(spark)
+    return _closed(spark, d)
 
 
 @book.query(f"""SELECT o_orderkey, law, version FROM orders JOIN {_CLOSED} s ON year(o_orderdate + INTERVAL 6 MONTH) >= tax_year_from AND (tax_year_to IS NULL OR year(o_orderdate + INTERVAL 6 MONTH) <= tax_year_to)""")
 def tax_year_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """The snapshots in force for each order; the few years of a snapshot make it an equi-join."""
-    s = _closed(spark).withColumn("tax_year", F.explode(F.sequence("tax_year_from", F.coalesce("tax_year_to", F.lit(2035)))))
-    return table(spark, d, "orders").withColumn("tax_year", tax_year_of(F.col("o_orderdate"))).join(F.broadcast(s), "tax_year").select("o_orderkey", "law", "version")
+    """The snapshots in force for each order. Years before a snapshot's last one are an equi-join on the year; the one
+    open snapshot of each law is met by all orders from its first year on."""
+    closed = _closed(spark, d)
+    orders = table(spark, d, "orders").select("o_orderkey", tax_year_of(F.col("o_orderdate")).alias("tax_year"))
+    ended = closed.filter("tax_year_to IS NOT NULL").withColumn("tax_year", F.explode(F.sequence("tax_year_from", "tax_year_to")))
+    still = closed.filter("tax_year_to IS NULL").select("law", "version", "tax_year_from")
+    found = orders.join(small(ended), "tax_year").select("o_orderkey", "law", "version")
+    return found.unionByName(orders.join(small(still), F.col("tax_year") >= F.col("tax_year_from")).select("o_orderkey", "law", "version"))
 
 
 @book.query("""SELECT p_partkey AS key, 'no line' AS problem FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'no part' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
