@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sizes import small
 
-def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
-    """The value at place round(q (n-1)) of each group, halves rounded to even. Equal values are counted first, in
-    each task, and only distinct values are put in order."""
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(group).agg(F.sum("n").alias("all"))
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy(value))
-    placed = counts.withColumn("upto", upto).join(total, group)
-    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("all") - 1)), F.col(value))).alias(name) for name, q in qs.items()]
-    return placed.groupBy(group).agg(*picks)
+
+def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """The value at place round(q (n-1)) of each group, halves rounded to even; nulls are left out.
+
+    Equal values are counted first, in each task. A group's range is cut into buckets of equal width, whose counts tell
+    where each place lies; only the values of the buckets that are hit are put in order, each bucket by itself.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(group).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.sum("n").alias("all"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col(value).cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    dealt = counts.join(small(ends), group).withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    sums = dealt.groupBy(group, "all", "bucket").agg(F.sum("n").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(group).orderBy("bucket"))
+    places = F.array(*[F.bround(F.lit(q) * (F.col("all") - 1)).cast("long") for q in qs.values()])
+    hit = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("m")).withColumn("places", places)
+    hit = hit.filter(F.exists("places", lambda p: (p >= F.col("before")) & (p < F.col("upto")))).select(group, "bucket", "before", "places")
+    inside = F.sum("n").over(Window.partitionBy(group, "bucket").orderBy(value)) + F.col("before")
+    placed = dealt.join(small(hit), [group, "bucket"]).withColumn("end", inside).withColumn("begin", F.col("end") - F.col("n"))
+    at = [F.max(F.when((F.get("places", F.lit(i)) >= F.col("begin")) & (F.get("places", F.lit(i)) < F.col("end")), F.col(value))).alias(name) for i, name in enumerate(qs)]
+    return placed.groupBy(group).agg(*at)
 
 
 def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
@@ -47,7 +59,7 @@ def stratified_sample(rows: DataFrame, group: str, key: str, total: int, seed: i
     place = F.row_number().over(Window.partitionBy(group).orderBy("__order", key))
     # no share exceeds the total, so the first filter bounds each group's rows in every task before the shuffle
     ranked = rows.withColumn("__order", sample_order(F.col(key), seed)).withColumn("place", place).filter(F.col("place") <= total)
-    return ranked.join(F.broadcast(shares), group).filter(F.col("place") <= F.col("share")).drop("__order", "share")
+    return ranked.join(small(shares), group).filter(F.col("place") <= F.col("share")).drop("__order", "share")
 
 
 def dense_counts(rows: DataFrame, keys: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import WORDS, tokens
+from tessera.operators.sizes import small
 
 
 def top_k(rows: DataFrame, by: list[str], score: Column, ties: list[str], k: int) -> DataFrame:
@@ -32,18 +33,20 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: i
     """query_key, doc_key, score (6 digits), rank: the k best documents of each query, of those pairs that `keep` leaves.
 
     A query term counts as often as it occurs. Only postings of query terms leave the scan: lengths are sizes of the
-    word arrays, and terms are joined with the queries' terms before anything is shuffled by document.
+    word arrays, and where the queries' terms are few enough to be broadcast, words are met with them before anything is
+    shuffled; beyond that they are joined by shuffle.
     """
     stats = term_stats(docs, doc_key, "text")
-    asked = queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = small(queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf")))
     total = stats.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
     # the outer form keeps the optimizer from testing each word array, and so making it, a second time
-    postings = stats.select(doc_key, "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", doc_key, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    words = stats.select(doc_key, "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(doc_key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     part = F.col("qtf") * idf_of(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = asked.join(df, "term")  # no more rows than the queries have terms
+    scored = tf.join(small(weighed), "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
     scored = scored.filter("score > 0")
     return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
 
@@ -89,20 +92,44 @@ def md5_mod(word: Column, modulus: int) -> Column:
     return rest
 
 
-def sparse_postings(docs: DataFrame, key: str, text: str, dims: int = 10_000) -> DataFrame:
-    """key, slot, weight: words hashed into `dims` slots and counted, the default encoder that needs no model."""
-    return docs.select(key, F.explode_outer(tokens(F.col(text))).alias("w")).filter("w IS NOT NULL").select(key, md5_mod(F.col("w"), dims).alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
+def sparse_postings(docs: DataFrame, key: str, text: str, dims: int = 10_000, slots: DataFrame | None = None) -> DataFrame:
+    """key, slot, weight: words hashed into `dims` slots and counted, the default encoder that needs no model. slots: only
+    those slots, which are then dropped before the shuffle."""
+    rows = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("w")).filter("w IS NOT NULL").select(key, md5_mod(F.col("w"), dims).alias("slot"))
+    rows = rows if slots is None else rows.join(small(slots), "slot", "left_semi")
+    return rows.groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best documents of each query by the dot product over shared slots, of those pairs that `keep` leaves;
     queries without words give no rows."""
     asked = sparse_postings(queries, query_key, "text").withColumnRenamed("weight", "qw")
-    stored = sparse_postings(docs, doc_key, "text")
-    scored = stored.join(asked, "slot").groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("qw")).cast("double").alias("score"))
+    stored = sparse_postings(docs, doc_key, "text", slots=asked.select("slot").distinct())
+    scored = stored.join(small(asked), "slot").groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("qw")).cast("double").alias("score"))
     return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
 
 
+def documents_holding(docs: DataFrame, passages: DataFrame, doc_key: str, key: str) -> DataFrame:
+    """key, doc_key of the documents whose text holds a passage's text.
+
+    A passage's words between its first and its last are whole words of any text that holds it, so only documents with
+    its rarest one are searched. Passages without such a word are searched for everywhere.
+    """
+    def words(text: str) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+    inner = F.slice(words("text"), 2, F.greatest(F.size(words("text")) - 2, F.lit(0)))
+    marks = passages.select(key, F.explode(F.array_distinct(inner)).alias("w"))
+    held = docs.select(doc_key, F.explode(F.array_distinct(words("text"))).alias("w")).join(small(marks.select("w").distinct()), "w", "left_semi")
+    counts = held.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = marks.join(counts, "w", "left").groupBy(key).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    pairs = held.join(small(rarest), "w").join(small(passages.select(key, F.col("text").alias("passage"))), key).select(doc_key, key, "passage")
+    found = docs.select(doc_key, "text").join(small(pairs), doc_key).filter(F.contains("text", "passage"))
+    short = passages.filter(F.size(inner) == 0).select(key, F.col("text").alias("passage"))
+    everywhere = docs.select(doc_key, "text").join(small(short), F.contains("text", "passage"))
+    return found.select(key, doc_key).unionByName(everywhere.select(key, doc_key))
+
+
 def fuse(rankings: list[DataFrame], query_key: str, doc_key: str, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists; ties go to the earlier list, then the better rank in it."""
     rows = None

@@ -12,6 +12,7 @@ from tessera.functions.numbers import calculate_udf, missing_numbers_udf, number
 from tessera.operators import lookup
 from tessera.operators.retrieval import bm25, md5_mod
 from tessera.operators.serving import flagged, refusal
+from tessera.operators.sizes import small
 from tessera.plans.fixtures import NUMBERED, Fixture, Made
 from tessera.plans.registering import Book, duck_line, quoted
 from tessera.plans.retrieval_queries import _BM25
@@ -244,7 +245,7 @@ def rerank_final_order(spark: SparkSession, d: str) -> DataFrame:
     return lookup.final_ranks(CANDIDATES.spark(spark, d), PASSAGES.spark(spark, d))
 
 
-_WINDOWS = """(SELECT d.doc_id, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin, text FROM documents d, range(600, 200000, 600) r(s) WHERE s < length(text) - 200)"""
+_WINDOWS = """(SELECT d.doc_id, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin, text FROM (SELECT doc_id, text, unnest(range(600, length(text) - 200, 600)) AS s FROM documents) d)"""
 
 
 @book.query(f"""SELECT doc_id, CAST(begin AS INTEGER) AS begin, md5(substr(text, begin + 1, 800)) AS window_md5 FROM {_WINDOWS}""")
@@ -255,22 +256,22 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.query(f"""WITH n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT w, ln((SELECT n FROM n) / count(*)) AS v FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS w FROM documents) GROUP BY w),
-    q AS (SELECT list_distinct(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY item_id)), '[a-z]{{4,}}')) AS ws FROM benchmark WHERE item_id < 3),
+    q AS (SELECT list_distinct(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY item_id)), '[a-z]{{4,}}')) AS ws FROM benchmark),
     h AS (SELECT doc_id, begin, unnest(list_distinct(regexp_extract_all(lower(substr(text, begin + 1, 800)), '[a-z]{{4,}}'))) AS w FROM {_WINDOWS}),
     s AS (SELECT doc_id, begin, round(sum(v), 6) AS score FROM h JOIN idf USING (w) WHERE list_contains((SELECT ws FROM q), w) GROUP BY ALL)
     SELECT doc_id, CAST(begin AS INTEGER) AS begin, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, begin) AS n FROM s WHERE score > 0) WHERE n = 1""")
 def best_window_argmax(spark: SparkSession, d: str) -> DataFrame:
-    """The window of each document with the most rare words of the first three benchmark items."""
+    """The window of each document with the most rare words of all benchmark items."""
     docs = table(spark, d, "documents").select("doc_id", "text")
 
     def words(text):
         return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0)))
 
-    asked = table(spark, d, "benchmark").filter("item_id < 3").select(F.explode(words("text")).alias("w")).distinct()
+    asked = table(spark, d, "benchmark").select(F.explode(words("text")).alias("w")).distinct()
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = docs.select(F.explode(words("text")).alias("w")).join(F.broadcast(asked), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(F.explode(words("text")).alias("w")).join(small(asked), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("w", F.ln(F.col("n") / F.col("df")).alias("v"))
-    hits = lookup.windows_of(docs, "text", 800).select("doc_id", "begin", F.explode(words("window")).alias("w")).join(F.broadcast(idf), "w")
+    hits = lookup.windows_of(docs, "text", 800).select("doc_id", "begin", F.explode(words("window")).alias("w")).join(small(idf), "w")
     scores = hits.groupBy("doc_id", "begin").agg(F.round(F.sum("v"), 6).alias("score")).filter("score > 0")
     return scores.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "begin"))).filter("k = 1").drop("k")
 
@@ -424,14 +425,14 @@ def amendments_union(spark: SparkSession, d: str) -> DataFrame:
 _COMMON = ", ".join(f"'{w}'" for w in lookup.COMMON)
 
 
-@book.query(f"""WITH q AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '[a-z]{{4,}}')), lambda w: w NOT IN ({_COMMON})) AS ws FROM benchmark WHERE item_id < 3),
-    w AS (SELECT d.doc_id, text, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin FROM documents d, range(1500, 200000, 500) r(s) WHERE length(text) > 2500 AND s < length(text) - 250),
+@book.query(f"""WITH q AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '[a-z]{{4,}}')), lambda w: w NOT IN ({_COMMON})) AS ws FROM benchmark),
+    w AS (SELECT d.doc_id, text, CASE WHEN position(' ' IN substr(text, s + 1)) > 0 THEN s + position(' ' IN substr(text, s + 1)) ELSE s END AS begin FROM (SELECT doc_id, text, unnest(range(1500, length(text) - 250, 500)) AS s FROM documents WHERE length(text) > 2500) d),
     h AS (SELECT doc_id, begin, substr(text, begin + 1, 1000) AS win, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, begin + 1, 1000)), '[a-z]{{4,}}')), (SELECT ws FROM q))) AS n FROM w),
     b AS (SELECT * FROM h WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, begin) = 1)
     SELECT doc_id, md5(CASE WHEN length(text) <= 2500 THEN text WHEN b.begin >= 2000 THEN substr(text, 1, 1500) || ' … ' || win || ' …' ELSE substr(text, 1, 2500) || ' …' END) AS fitted_md5 FROM documents LEFT JOIN b USING (doc_id)""")
 def fit_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Long documents cut to their head and the window nearest to the first benchmark items."""
-    focus = table(spark, d, "benchmark").filter("item_id < 3").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    """Long documents cut to their head and the window nearest to the benchmark items."""
+    focus = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     return lookup.fitted(docs, "doc_id", "text", focus, 2500).select("doc_id", F.md5(F.col("text").cast("binary")).alias("fitted_md5"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOPWORDS, tokens
-from tessera.operators.retrieval import bm25, dense_knn, fuse, idf_of, means_with_total, ranking_metrics, sparse_search, term_stats
+from tessera.operators.retrieval import bm25, dense_knn, documents_holding, fuse, idf_of, means_with_total, ranking_metrics, sparse_search, term_stats
 from tessera.sources.tables import table
 
 
@@ -46,9 +46,8 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def _gold(spark, d):
     """Documents that hold an item's text, the natural answers."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return docs.join(items, F.contains("text", "item")).select("item_id", "doc_id", "lang")
+    docs = table(spark, d, "documents")
+    return documents_holding(docs, table(spark, d, "benchmark"), "doc_id", "item_id").join(docs.select("doc_id", "lang"), "doc_id").select("item_id", "doc_id", "lang")
 
 
 def hit_recall_mrr_by_lang(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under the local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared"
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local master (tests) uses the temporary folder; on a
+    cluster that is an error, since a machine's own folder would lose tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessera-shared"
     return f"{base.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
