@@ -34,7 +34,7 @@ def joined_in_order(rows: DataFrame, by: list[str], order: str, text: str, out:
     return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), glue).alias(out))
 
 
-def greedy_groups(sizes: Column, limit: int) -> Column:
+def greedy_groups(sizes: Column, limit: int | Column) -> Column:
     """A group number for each size in order: a group is closed before the size that would carry it over the limit.
 
     Where a group ends depends on where the one before it ended, so this is a fold and no window."""

@@ -25,7 +25,7 @@ def checked(rows: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, footnotes) of pages in JSON lines, one row each, in reading order by (page, y, x)."""
+    """(lines, footnotes) of pages in JSON lines, one row each. Rows carry their page, y and x: order by them to read."""
     from tessera.schemas import PAGE
 
     pages = read_json_lines(spark, path, PAGE)
@@ -70,3 +70,33 @@ def newest_report(files: DataFrame) -> DataFrame:
     """Of dated report files (name, path), the newest of each name: the last by file name."""
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("path")))
     return files.withColumn("n", rank).filter("n = 1").drop("n")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to a log of asks, by day: `created_at` names the folder."""
+    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def write_report(rows: DataFrame, path: str, name: str, date: str) -> str:
+    """Rows as one dated report in JSON lines; returns its folder. Reports of other dates stay."""
+    folder = f"{path}/{date}-{name}.json"
+    rows.write.mode("overwrite").json(folder)
+    return folder
+
+
+def read_reports(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of all dated reports under a folder, with `report`, the report's file name without its end."""
+    rows = spark.read.schema(schema).json(f"{path}/*.json")
+    return rows.withColumn("report", F.regexp_extract(F.input_file_name(), r"/([^/]+)[.]json/[^/]*$", 1))
+
+
+def to_fetch(known: DataFrame, offered: DataFrame, key: str) -> DataFrame:
+    """key, reason of the files to load: those not known, those whose bytes on disk differ from the manifest, and those whose
+    etag, date or length has changed. known: key, sha256, on_disk, etag, modified, length; offered: key, etag, modified, length."""
+    facts = ["etag", "modified", "length"]
+    both = offered.join(known.select(key, "sha256", "on_disk", *[F.col(f).alias(f"old_{f}") for f in facts]), key, "left")
+    same = F.lit(True)
+    for f in facts:
+        same = same & F.col(f).eqNullSafe(F.col(f"old_{f}"))
+    reason = F.when(F.col("sha256").isNull(), "new").when(~F.col("sha256").eqNullSafe(F.col("on_disk")), "damaged").when(~same, "changed")
+    return both.select(key, reason.alias("reason")).filter("reason IS NOT NULL")
