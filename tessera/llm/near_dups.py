@@ -57,9 +57,9 @@ def _sign(width: int):
             rows = []
             for j, (doc, text_hash, _) in enumerate(held):
                 s = shingles(codes[at[j] : at[j + 1]], width)
-                total, both = s.sum(dtype=U), np.bitwise_xor.reduce(mix(s)) if len(s) else U(0)
-                mark = np.array([total, both, len(s)], U)
-                rows.append((doc, text_hash, mark.tobytes(), int(mix(total + mix(both + U(len(s)))).view(np.int64)), len(s), minhashes(s).tobytes() if len(s) else b""))
+                mark = np.array([s.sum(dtype=U), np.bitwise_xor.reduce(mix(s)) if len(s) else 0, len(s)], U)
+                sid = mix(mark[:1] + mix(mark[1:2] + mark[2:])).view(np.int64)[0]
+                rows.append((doc, text_hash, mark.tobytes(), int(sid), len(s), minhashes(s).tobytes() if len(s) else b""))
             yield _record(list(zip(*rows, strict=True)), _SIGNED)
 
     return run
