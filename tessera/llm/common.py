@@ -50,13 +50,11 @@ def stashed(spark: SparkSession) -> int:
 def sweep(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
     """Delete the tables that `stash` has written after the mark `since`, but the last one if keep_last. For use when
     nothing reads them any more: the results that were made from them are written or collected."""
-    from pyarrow import fs
-
     paths = _written.get(spark.sparkContext.applicationId, [])
     gone = paths[since : len(paths) - keep_last]
-    for path in gone:
-        store, folder = fs.FileSystem.from_uri(path)
-        store.delete_dir(folder)
+    for path in gone:  # through the file system that wrote them, whatever it is
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     paths[since : since + len(gone)] = []
 
 
