@@ -10,7 +10,7 @@ from tessera.operators import layout, review
 from tessera.plans.fixtures import NUMBERED, Made
 from tessera.plans.registering import Book
 from tessera.sources.shared import shared_folder
-from tessera.sources.tables import append_log, read_reports, table, to_fetch, write_report
+from tessera.sources.tables import append_log, cached, read_glossary, read_pages, read_reports, table, to_fetch, write_report, write_snapshot
 
 book = Book()
 QUERIES, ORACLE = book.QUERIES, book.ORACLE
@@ -248,3 +248,51 @@ def first_asks(spark: SparkSession, d: str) -> DataFrame:
     """Which events of a user reach a model: the first of each key; later ones are replayed from its log."""
     first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) == 1
     return table(spark, d, "events").select("user_id", "event_id", F.array_compact(F.array("event_type", F.when(F.col("value") > 50, "high"))).alias("marks"), first.alias("asks"))
+
+
+TERMS = Made("SELECT p_partkey AS ord, upper(substring(p_name, 1, 6)) || '| Second ' || p_size || ' |' AS roman, CASE WHEN p_partkey % 3 = 0 THEN 'ا|ب' END AS urdu, ' ' || p_name || ' ' AS english, CASE WHEN p_partkey % 2 = 0 THEN 's1  s' || p_size END AS section_ids, CASE p_partkey % 4 WHEN 0 THEN ' Yes' WHEN 1 THEN 'no' END AS search, CASE WHEN p_partkey % 5 = 0 THEN 'a \"note\", with commas' END AS notes FROM {part}")
+
+
+@book.query(f"""SELECT list_filter(list_transform(string_split(lower(roman), '|'), lambda x: trim(x)), lambda x: x <> '') AS roman, list_filter(string_split(coalesce(urdu, ''), '|'), lambda x: x <> '') AS urdu, trim(english) AS english,
+    list_filter(string_split_regex(coalesce(section_ids, ''), '\\s+'), lambda x: x <> '') AS section_ids, coalesce(lower(trim(search)) = 'yes', false) AS search, coalesce(trim(notes), '') AS notes FROM {TERMS.duck()}""")
+def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A glossary, written as CSV and read with its lists taken apart."""
+    path = shared_folder(spark, "glossary")
+    TERMS.spark(spark, d).drop("ord").write.option("header", True).option("escape", '"').csv(path)
+    return read_glossary(spark, path)
+
+
+@book.query("""SELECT conv_id AS page, turn::DOUBLE AS y, text, role = 'user' AS bold_start FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, -1, 'note ' || min(turn), NULL FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and footnotes of pages, written as JSON lines and read with the declared schema."""
+    path = shared_folder(spark, "pages")
+    c = table(spark, d, "conversations").filter("text IS NOT NULL")
+    line = F.struct(F.col("conv_id").cast("int").alias("page"), F.col("turn").cast("double").alias("y"), F.lit(72.0).alias("x"), "text", (F.col("role") == "user").alias("bold_start"))
+    pages = c.groupBy(F.col("conv_id").cast("int").alias("page")).agg(F.collect_list(line).alias("lines"), F.min("turn").alias("t"))
+    note = F.struct("page", F.lit("1").alias("marker"), F.concat(F.lit("note "), "t").alias("text"))
+    pages.select("page", "lines", F.array(note).alias("footnotes")).write.json(path)
+    lines, notes = read_pages(spark, path)
+    lines = lines.select(F.col("page").cast("bigint").alias("page"), "y", "text", "bold_start")
+    return lines.unionByName(notes.select(F.col("page").cast("bigint").alias("page"), F.lit(-1.0).alias("y"), "text", F.lit(None).cast("boolean").alias("bold_start")))
+
+
+@book.query("""SELECT doc_id, lang AS law, 2020 + doc_id % 3 AS year, length(text) AS n FROM documents WHERE lang = 'en' AND doc_id % 3 = 1""")
+def snapshot_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """One law's snapshot of one version: written side by side with the others, read by its folders alone."""
+    path = shared_folder(spark, "snapshots")
+    docs = table(spark, d, "documents").filter("lang IS NOT NULL")
+    version = F.concat((F.col("doc_id") % 3 + 2020).cast("string"), F.lit("-06-30"))
+    write_snapshot(docs.select("doc_id", F.length("text").alias("n"), F.col("lang").alias("law"), version.alias("version_date")), path)
+    chosen = spark.read.parquet(path).filter((F.col("law") == "en") & (F.col("version_date") == F.lit("2021-06-30").cast("date")))
+    return chosen.select("doc_id", "law", F.year("version_date").cast("bigint").alias("year"), "n")
+
+
+OUTPUTS = Made("SELECT DISTINCT 'k' || user_id % 50 AS key, user_id % 50 AS output FROM {events} WHERE user_id % 50 < 30")
+
+
+@book.query("SELECT event_id, CASE WHEN user_id % 70 < 30 AND user_id % 70 IN (SELECT user_id % 50 FROM events) THEN user_id % 70 END AS output, NOT (user_id % 70 < 30 AND user_id % 70 IN (SELECT user_id % 50 FROM events)) AS asked FROM events")
+def replayed_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Model outputs from the log of earlier runs; only what it doesn't hold is asked."""
+    requests = table(spark, d, "events").select("event_id", F.concat(F.lit("k"), F.col("user_id") % 70).alias("key"))
+    known, new = cached(requests, OUTPUTS.spark(spark, d), "key")
+    return known.join(new.select("event_id", F.lit(True).alias("asked")), "event_id", "left").select("event_id", "output", F.coalesce("asked", F.lit(False)).alias("asked"))
