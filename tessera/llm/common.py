@@ -32,12 +32,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that make one file of some megabytes, and the least number of files.
+NARROW_ROWS, LEAST_FILES = 250_000, 16
+
+
+def stash(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. The table stays
-    until `sweep`."""
+    until `sweep`. rows: for a narrow table, about how many rows it has at most; it is then written in files of some
+    megabytes, however many partitions the shuffle before it has."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    fewer = df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // NARROW_ROWS)))
+    fewer.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -184,7 +184,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     report = dedup_report(docs)
     more = report.filter(~F.col("kept") | (F.col("keep_rows") > 1)).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("kept").alias("repeat")).distinct()
-    more = stash(more, "copies")
+    more = stash(more, "copies", docs.count())
     rows = packed(docs, doc_id=F.col("doc_id").cast("long"))
     may_go = may_hold(more.select("id").distinct(), "doc_id")
     once = rows.filter(may_go).withColumn("sha256", text_digest("row.text")).dropDuplicates(["doc_id", "sha256"])  # a row without copies is there once

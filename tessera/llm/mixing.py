@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, stash
 
+#: About how many leaves a tree has at most: for the number of files that their tables are written in, not a limit.
+LEAVES = 1_000_000
 _UP = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -79,13 +81,13 @@ def plan_mix(
     names = list(levels)
     rows = docs.select("doc_id", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"__{n}") for n, c in levels.items()], tokens_of(F.col("text")).alias("n_tokens"))
     rows = stash(rows.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names], "n_tokens"), "mix-rows")
-    leaves = stash(rows.groupBy(*names).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs")), "mix-leaves")
+    leaves = stash(rows.groupBy(*names).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs")), "mix-leaves", LEAVES)
     total = leaves.agg(F.sum("supply").alias("s"), F.sum("n_docs").alias("n")).first()
     wanted = F.lit(float(total["s"] or 0) * budget_ratio)
     given = leaf_budgets(leaves.withColumn("cap", F.col("supply") * max_epochs), names, weights, wanted, default_weight)
     plan = leaves.join(given, names, "left").withColumn("budget", F.coalesce("budget", F.lit(0.0)))
     plan = plan.withColumn("full_epochs", F.when(F.col("supply") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("supply")))).otherwise(0).cast("int"))
-    plan = stash(plan.withColumn("rest", F.col("budget") - F.col("full_epochs") * F.col("supply")), "mix-plan")
+    plan = stash(plan.withColumn("rest", F.col("budget") - F.col("full_epochs") * F.col("supply")), "mix-plan", LEAVES)
 
     n_buckets = max(64, -(-int(total["n"] or 0) // rows_per_bucket))
     width = -(-(1 << 48) // n_buckets)
@@ -103,7 +105,7 @@ def plan_mix(
         *names, "supply", "n_docs", "budget", "full_epochs",
         F.when(F.col("start").isNull(), F.lit(1 << 48)).otherwise(F.coalesce("cut.place", F.col("start") - 1)).alias("cut_place"), F.col("cut.doc_id").alias("cut_id"),
     )
-    return rows, stash(plan, "mix-cuts")
+    return rows, stash(plan, "mix-cuts", LEAVES)
 
 
 def epochs_of(rows: DataFrame, plan: DataFrame, names: list[str], max_epochs: int, seed: int = 17) -> DataFrame:

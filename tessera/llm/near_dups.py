@@ -255,9 +255,10 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     signed = stash(ids.mapInArrow(_sign(width), _SIGNED), "signatures")
+    n = signed.count()
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     sets = signed.filter("n_shingles > 0").groupBy("mark", "sid", "n_shingles").agg(first, F.count(F.lit(1)).alias("copies"))
-    sets = stash(sets.select("mark", "sid", "n_shingles", "copies", F.col("first.doc_id").alias("copy_id"), F.col("first.text_hash").alias("first_hash")), "sets")
+    sets = stash(sets.select("mark", "sid", "n_shingles", "copies", F.col("first.doc_id").alias("copy_id"), F.col("first.text_hash").alias("first_hash")), "sets", n)
 
     paths = signed.filter(F.col("n_shingles") >= least_size(threshold)).select("sid", "signature")
     sampled = paths.mapInArrow(_sampled_nodes, "tree int, depth int, node long, sid long").distinct().groupBy("tree", "depth", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -265,16 +266,16 @@ def similarity_links(docs: DataFrame, width: int = 5, threshold: float = 0.8, re
     depths = choose_depths({(r["tree"], r["depth"]): r["pairs"] for r in costs}, threshold, recall)
 
     members = paths.mapInArrow(_members(depths), "node long, sid long")
-    nodes = stash(members.groupBy("node").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most").select("node", "least"), "nodes")
-    crowd = stash(members.join(nodes.hint("merge"), "node"), "members")
+    nodes = stash(members.groupBy("node").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most").select("node", "least"), "nodes", 4 * n)
+    crowd = stash(members.join(nodes.hint("merge"), "node"), "members", 8 * n)
     homes = crowd.groupBy("sid").agg(F.min("least").alias("home"), F.collect_set("node").alias("nodes"))
-    placed = stash(sets.join(homes, "sid"), "candidates")
+    placed = stash(sets.join(homes, "sid"), "candidates", 4 * n)
     load = F.sum(F.greatest(F.col("n_shingles"), F.lit(LEAST_LOAD)))
-    parts = stash(placed.groupBy("home").agg(F.ceil(load / TILE_SHINGLES).cast("long").alias("parts")), "home-sizes")
+    parts = stash(placed.groupBy("home").agg(F.ceil(load / TILE_SHINGLES).cast("long").alias("parts")), "home-sizes", n)
     placed = placed.join(parts, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts"))))
-    placed = stash(placed.select("mark", "sid", F.col("copy_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), "copies", "nodes", "block"), "blocks")
+    placed = stash(placed.select("mark", "sid", F.col("copy_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), "copies", "nodes", "block"), "blocks", 4 * n)
 
-    meets = _block_pairs(stash(crowd.join(placed.select("sid", "block"), "sid").select("node", "block").distinct(), "node-blocks"))
+    meets = _block_pairs(stash(crowd.join(placed.select("sid", "block"), "sid").select("node", "block").distinct(), "node-blocks", 4 * n))
     meets = meets.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
     visits = placed.join(meets, "block").drop("sid")
     some = ids.filter(may_hold(placed.select("doc_id").distinct(), "doc_id")).dropDuplicates(["doc_id", "text_hash"])
@@ -290,10 +291,11 @@ def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     """One row per document: doc_id, text_hash, class_id, copy_id, n_links as `near_duplicates` says, and `first`: whether
     the row is the one that stands for its class."""
     documents, sets, links, edges = similarity_links(docs, width, threshold, recall)
-    named = stash(components(edges).withColumnRenamed("node", "mark").join(sets.select("mark", "copy_id"), "mark"), "named")
-    least = stash(named.groupBy("component").agg(F.min(F.struct("copy_id", "mark")).alias("least")), "class-names")
+    n = sets.count()
+    named = stash(components(edges, n).withColumnRenamed("node", "mark").join(sets.select("mark", "copy_id"), "mark"), "named", n)
+    least = stash(named.groupBy("component").agg(F.min(F.struct("copy_id", "mark")).alias("least")), "class-names", n)
     classes = named.join(least, "component").select("mark", F.col("least.copy_id").alias("class_id"), F.col("least.mark").alias("class_mark")).join(links, "mark")
-    facts = stash(sets.join(classes, "mark", "left"), "classes")  # written: the join with hot copies can then be split
+    facts = stash(sets.join(classes, "mark", "left"), "classes", n)  # written: the join with hot copies can then be split
     own = (F.col("doc_id") == F.col("copy_id")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("mark") == F.coalesce("class_mark", "mark"))
     return documents.join(facts, "mark", "left").select(
         "doc_id", "text_hash", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
@@ -321,7 +323,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8
     through. An empty table gives an empty result. Only rows that may go are shuffled: the others pass a Bloom filter
     of bounded size.
     """
-    lost = stash(similarity_classes(docs, width, threshold).filter("NOT first").select(F.col("doc_id").alias("lost"), "text_hash").distinct(), "near")
+    lost = stash(similarity_classes(docs, width, threshold).filter("NOT first").select(F.col("doc_id").alias("lost"), "text_hash").distinct(), "near", docs.count())
     rows = packed(docs, id=F.col("doc_id").cast("long"))
     may_go = may_hold(lost.select("lost").distinct(), "id")
     named = rows.filter(may_go).withColumn("hash", F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))))

@@ -67,20 +67,24 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     text."""
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.join(common, "lang", "left").withColumn("ref_words", F.coalesce("ref_words", F.array().cast("array<string>")))
-    held = [F.regexp_count("text", F.lit(p)).cast("double") for p in CLASSES.values()]
-    rows = once(rows, words=words_of(F.col("text")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)), held=F.array(*held), n_symbols=F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long"))
+    # white space is counted as what the words leave; a text of one line repeats none
+    held = [F.regexp_count("text", F.lit(p)).cast("double") for k, p in CLASSES.items() if k != "space"]
+    lines = F.when(F.contains("text", F.lit("\n")), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))).otherwise(F.array().cast("array<string>"))
+    rows = once(rows, words=words_of(F.col("text")), lines=lines, held=F.array(*held), n_symbols=F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long"))
     # no word is longer in capitals, so those over the longest common word are none of them
     longest = F.coalesce(F.array_max(F.transform("ref_words", F.length)), F.lit(0))
     rows = once(rows, longest=longest, codes=F.transform("words", lambda w: F.xxhash64(w))).select(
-        "doc_id", "lang", "ref_words", "codes", "held", F.length("text").cast("double").alias("n_chars"), F.size("words").cast("long").alias("n_words"), "n_symbols",
+        "doc_id", "lang", "ref_words", "codes", "held", F.length("text").cast("double").alias("n_chars"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.size("words").cast("long").alias("n_words"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform(F.filter("words", lambda w: F.length(w) <= F.col("longest")), F.lower).alias("near"),
     )
     own = F.transform("ref_words", lambda w: (F.size("near") - F.size(F.array_remove(F.col("near"), w))).cast("double"))
     rows = once(rows, windows=window_codes(F.col("codes")), own=own).drop("codes", "near")
-    lower = F.greatest(F.col("n_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    space = F.col("n_chars") - F.col("word_chars")
+    lower = F.greatest(F.col("word_chars") - F.aggregate("held", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    classes = F.concat(F.slice("held", 1, SPACE), F.array(space), F.slice("held", SPACE + 1, len(CLASSES)), F.array(lower))
     rows = with_repeated_words(rows, "windows", "n_repeat_words")
-    return rows.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.col("held")[SPACE]).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", F.concat("held", F.array(lower)).alias("classes"), "own")
+    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", classes.alias("classes"), "own")
 
 
 def references(rows: DataFrame, top: int) -> DataFrame:
@@ -120,9 +124,9 @@ def judge_quality(
     lang is a language of its own, a null text has no words. Common words are the `top` of all words. Repeated rows are judged each. The references are one
     row a language and are broadcast up to max_languages, joined by shuffle beyond.
     """
-    common = stash(common_words(docs, top), "common")
+    common = stash(common_words(docs, top), "common", max_languages)
     rows = stash(features(docs, F.broadcast(common) if common.count() <= max_languages else common), "quality")
-    refs = stash(references(rows, top), "references")
+    refs = stash(references(rows, top), "references", max_languages)
     joined = rows.join(F.broadcast(refs) if refs.count() <= max_languages else refs, "lang")
     own_all = F.concat("own", F.array(F.col("n_words") - F.aggregate("own", F.lit(0.0), lambda a, x: a + x)))
     measured = once(

@@ -203,26 +203,27 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, Data
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seeds = stash(rows.mapInArrow(_seeds(least), _SEEDS), "seeds")
+    n = seeds.count()
     own = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    firsts = stash(seeds.filter(F.col("n_words") >= least).groupBy("digest").agg(F.min("doc_id").alias("first_id")).filter("first_id IS NOT NULL"), "firsts")
+    firsts = stash(seeds.filter(F.col("n_words") >= least).groupBy("digest").agg(F.min("doc_id").alias("first_id")).filter("first_id IS NOT NULL"), "firsts", n)
     known = seeds.select("doc_id", "digest", "n_words", "whole_sha256").join(firsts, "digest", "left")
 
     # the mark tells apart the texts of one doc_id: 0 for one of them, a part of the digest for others
     several = firsts.select(F.col("first_id").alias("doc_id"), "digest", own.alias("mark"))
     least_mark = several.groupBy("doc_id").agg(F.min("mark").alias("least_mark"))
-    heads = stash(several.join(least_mark, "doc_id").select("doc_id", "digest", F.when(F.col("mark") == F.col("least_mark"), F.lit(0).cast("long")).otherwise(F.col("mark")).alias("mark")), "heads")
-    anchors = stash(seeds.select("doc_id", "digest", "anchors").join(heads, ["doc_id", "digest"]).select("doc_id", "mark", F.explode("anchors").alias("anchor")), "anchors")
-    shared = stash(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "shared")
+    heads = stash(several.join(least_mark, "doc_id").select("doc_id", "digest", F.when(F.col("mark") == F.col("least_mark"), F.lit(0).cast("long")).otherwise(F.col("mark")).alias("mark")), "heads", n)
+    anchors = stash(seeds.select("doc_id", "digest", "anchors").join(heads, ["doc_id", "digest"]).select("doc_id", "mark", F.explode("anchors").alias("anchor")), "anchors", 16 * n)
+    shared = stash(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"), "shared", 4 * n)
     marked = anchors.join(shared, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("seeds"))
-    marked = stash(marked.join(heads, ["doc_id", "mark"]), "marked")
+    marked = stash(marked.join(heads, ["doc_id", "mark"]), "marked", 4 * n)
     some = rows.filter(may_hold(marked.select("doc_id").distinct(), "doc_id")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     texts = stash(some.join(marked.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "mark", "digest", "seeds", "text"), "passages")
 
     spots = texts.select("doc_id", "mark", "seeds", "text").mapInArrow(_windows_at_seeds(least), "window long, doc_id long, mark long, place int")
     holders = spots.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("mark", "doc_id").alias("low_mark"), F.min_by("place", "doc_id").alias("low_place"))
-    holders = stash(holders.filter("low < high").drop("high"), "holders")
+    holders = stash(holders.filter("low < high").drop("high"), "holders", 64 * n)
     hits = spots.join(holders, "window").filter("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "low", "low_mark", "low_place")).alias("hits"))
-    matches = stash(hits.mapInArrow(_matches, _MATCHES), "matches")
+    matches = stash(hits.mapInArrow(_matches, _MATCHES), "matches", 16 * n)
 
     to_ends = F.sequence(F.greatest(F.col("low_place") - 1, F.lit(0)).cast("int"), F.col("low_place") + F.col("length") + least, F.lit(STRETCH))
     stretches = F.array_distinct(F.transform(F.concat(to_ends, F.array(F.col("low_place") + F.col("length") + least)), lambda p: F.floor(p / STRETCH).cast("int")))
