@@ -117,7 +117,7 @@ def definition_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 ANSWERS = Fixture("answer_id string, text string, n_sources int, declared array<int>, sections array<string>", [
     ("a1", "The rate is 5% [1]. It applies to all [2, 7].", 3, [3, 9], ["149", "150", "151"]), ("a2", "Nothing cited here at all.", 2, [], ["1", "2"]), ("a3", "Twice [3] and [3], then [1,2] .", 3, [2], ["12", "13", "14"]),
-    ("a4", "Bad [0] [9].", 4, [], []), ("a5", "Mixed [2] then [5, 2, 4].", 4, [4, 1], ["a", "b"]), ("a6", "Under section 149 the employer deducts tax [1]. Section 236K also applies here.", 2, [], ["149", "155"]),
+    ("a4", "Bad [0] [9].", 4, [], []), ("a5", "Mixed [2] then [5, 2, 4].", 4, [4, 1], ["a", "b"]), ("a6", "By section 12 each payer withholds a part [1]. Section 7B has another rule for that.", 2, [], ["12", "13"]),
     ("a7", "", 2, [], []), ("a8", "سوال کا جواب یہ ہے [1]۔ دوسرا جملہ بھی کافی لمبا ہے۔", 2, [], ["1", "2"]),
 ])
 #: Besides the fixed answers: every turn of the conversations with markers written behind it.

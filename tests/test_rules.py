@@ -14,20 +14,20 @@ def answers(spark, texts, column):
 
 
 def test_property_tax(spark):
-    yes = ["How much property tax do I have to pay every year on my flat in Karachi?", "What is the UIPT rate in Punjab for a rented house?", "urban immovable property tax on a shop in Multan?", "islamabad me apne ghar ka saalana property tax kitna hota hai?", "لاہور میں اپنے مکان پر سالانہ پراپرٹی ٹیکس کتنا دینا ہوتا ہے؟"]
-    no = ["plot bechne pe property tax kitna hai?", "How much property tax does the buyer pay on a house purchase?", "ghar ke kiraye pe property tax kitna katega?", "پراپرٹی بیچنے پر کتنا ٹیکس ہے؟", "My property. Tax rate?", ""]
+    yes = ["Which property tax falls due on a house that I live in?", "UIPT on a shop, even if rented", "Who collects urban immovable property tax in a town?", "ghar par property tax har saal kitna hai", "مکان کا جائیداد ٹیکس ہر سال", "پراپرٹی  ٹیکس کب دینا ہے"]
+    no = ["property tax when a plot is bech diya", "Does a buyer owe property tax on the purchase?", "property tax on kiraya of a flat", "پراپرٹی ٹیکس مکان بیچنے پر", "Our property. Tax or none?", "property tax under 236C", ""]
     assert answers(spark, yes + no, scope.provincial_property_tax) == [True] * len(yes) + [False] * len(no)
 
 
 def test_sales_tax(spark):
-    yes = ["sindh me services pe sales tax registration SRB me kaise hoti hai?", "How do I register with the Punjab Revenue Authority for sales tax on services?", "سندھ ریونیو بورڈ میں خدمات پر سیلز ٹیکس کی شرح کیا ہے؟", "KPRA telecom services pe kitna tax leti hai?", "خیبر پختونخوا ریونیو اتھارٹی کا ٹیکس"]
-    no = ["How is income tax deducted on payment for services under section 153?", "services pe kitna tax katta hai?", "Is the SRB sales tax I paid deductible for income tax?", "a bra shop's tax", "sales tax on goods"]
+    yes = ["Where do I file with SRB?", "forms of the Balochistan Revenue Authority", "a restaurant's sales tax", "salestax for services in a salon", "پنجاب ریونیو بورڈ کا فارم", "خدمات پر سیلز ٹیکس", "خیبر پختونخوا ریونیو اتھارٹی"]
+    no = ["withholding on services in Sindh with sales tax", "tax on services", "income tax on what PRA refunds", "a bra shop's levy", "sales tax on goods", "انکم ٹیکس اور سیلز ٹیکس خدمات پر"]
     assert answers(spark, yes + no, scope.provincial_sales_tax) == [True] * len(yes) + [False] * len(no)
 
 
 def test_future_budget(spark):
-    yes = ["What changes will the next federal budget make to income tax for salaried people?", "agle budget me salary walon ka tax barhega ya kam hoga?", "آنے والے بجٹ میں فائلرز کے لیے ٹیکس کی شرح کیا ہوگی؟", "نئے مالی سال کے بجٹ", "aane wale budget"]
-    no = ["What did the Finance Act 2025 budget change for salaries?", "nayi salary pe tax kitna hai?"]
+    yes = ["Will the upcoming national budget raise slabs?", "new budget and my pay", "aglay saal ka budget", "aane wale budget me kya hoga", "اگلے سال کے بجٹ میں", "نئے بجٹ"]
+    no = ["What did last year's budget change?", "nayi gaari, purana budget", "the budget is next", ""]
     assert answers(spark, yes + no, scope.future_budget) == [True] * len(yes) + [False] * len(no)
 
 
@@ -41,13 +41,13 @@ def test_tax_year(spark, text, year):
 
 
 def test_a_date_is_no_tax_year(spark):
-    texts = ["I sold a plot eight months after buying it in 2025. What is the tax rate?", "saal 2025 ka tax?", "2025 ki return", "for 2024-25", "ٹیکس 2025 کا"]
+    texts = ["We moved in March 2025 and sold the flat later", "budget of 2025", "2025 wali return", "the range 2024-25", "سال 2025 میں"]
     assert answers(spark, texts, lambda c: t.written_as_tax_year(c, F.lit(2025))) == [False, True, True, True, True]
 
 
 def test_references(spark):
-    texts = ["sections 149 and 150", "salary 149 hai", "u/s 236k, Sec. 4ab and Section 4AB", "section no. 7e with rule 5", "daf'a 12", "section149", "subsection 9", "section 1234"]
-    want = [["section 149"], [], ["section 236K", "section 4AB"], ["section 7E", "rule 5"], ["section 12"], ["section 149"], [], []]
+    texts = ["sections 31 and 32", "pay 31 hai", "u/s 236k, Sec. 4ab and Section 4AB", "section no. 9f with rule 8", "daf'a 12", "section149", "subsection 9", "section 1234"]
+    want = [["section 31"], [], ["section 236K", "section 4AB"], ["section 9F", "rule 8"], ["section 12"], ["section 149"], [], []]
     assert [[f"{r['kind']} {r['number']}" for r in x] for x in answers(spark, texts, t.references)] == want
 
 
@@ -65,31 +65,33 @@ def test_amending_laws(spark):
 
 
 def test_citations(spark):
-    rows = [("Tax is deducted monthly [1]. The rate is 5% [7].", 3, []), ("The rate is 5% [9].", 3, []), ("Under section 149 the employer deducts tax [1]. Section 236K also applies here.", 2, ["149", "155"])]
+    rows = [("Payers withhold it [2]. A fifth is due [8].", 3, []), ("A fifth is due [9].", 3, []), ("By section 12 each payer withholds a part [1]. Section 7B has another rule for that.", 2, ["12", "13"])]
     df = spark.createDataFrame(rows, "a string, n int, s array<string>")
     got = [r["c"] for r in df.select(t.citation_check(F.col("a"), F.col("n"), None, F.col("s")).alias("c")).collect()]
-    assert got[0]["cited"] == [1] and got[0]["invalid"] == [7] and got[0]["text"] == "Tax is deducted monthly [1]. The rate is 5%."
-    assert got[1]["cited"] == [] and got[1]["text"] == "The rate is 5%."
-    assert (got[2]["uncited"], got[2]["unsupported"]) == (1, ["236K"])
+    assert got[0]["cited"] == [2] and got[0]["invalid"] == [8] and got[0]["text"] == "Payers withhold it [2]. A fifth is due."
+    assert got[1]["cited"] == [] and got[1]["text"] == "A fifth is due."
+    assert (got[2]["uncited"], got[2]["unsupported"]) == (1, ["7B"])
 
 
 def test_numbers():
-    text = "Rs. 10 million; ten per cent; 0.8%; [fifty]million rupees; one hundred and [eighty-three] days; one [and a half]million; [hundred] million; Rs.300,000"
-    assert {10, 10_000_000, 0.8, 50_000_000, 183, 1_500_000, 100_000_000, 300_000} <= numbers.numbers_in(text)
-    cases = {"Rs. 10 million within fifteen days": [10, 15, 10_000_000], "the first of two lakh and five thousand": [1, 2, 200_005, 205_000], "1,50,000 or 0.8%": [0.8, 150_000], "1234,567 and 12.5.7": [12.5, 567, 1234], "twenty first, one million first": [1, 21, 1_000_000], "v2 a1b": [], "": []}
+    cases = {
+        "Rs. 20 million within twelve days": [12, 20, 20_000_000], "[sixty]million or two [and a half]million": [2.5, 60, 2_500_000, 60_000_000], "one hundred and [ninety-four] shares": [194], "Rs.450,000; nine per cent; 0.7%": [0.7, 9, 450_000], "[hundred] crore": [100, 1_000_000_000],
+        "the first of two lakh and five thousand": [1, 2, 200_005, 205_000], "1,50,000 or 0.8%": [0.8, 150_000], "1234,567 and 12.5.7": [12.5, 567, 1234], "twenty first, one million first": [1, 21, 1_000_000], "v2 a1b": [], "": [],
+    }
     for text, want in cases.items():
         assert sorted(numbers.numbers_in(text)) == want, text
-    assert numbers.numbers_in("in one or more periods", skip_lone_one=True) == set()
-    assert numbers.numbers_in("under section 22 or 24, clause (36) of section 2 and the Sixth Schedule, for 3 years", legal=False) == {3}
+    assert numbers.numbers_in("one or more of them", skip_lone_one=True) == set()
+    assert numbers.numbers_in("by rule 4, sections 7A and 8, item (c) of clause (12) and the Second Schedule, after 6 months", legal=False) == {6}
 
 
 def test_missing_numbers():
-    law, slab = "a surcharge at the rate of ten percent where taxable income exceeds rupees ten million", "where income exceeds Rs.300,000 the rate is 5%"
-    assert numbers.missing_numbers("10% where income exceeds Rs. 10 million (tax year 2027)", law, "", 2027) == []
-    assert numbers.missing_numbers("the rate is 12%", law, "", 2027) == [12]
-    for answer in ("5% of the amount above Rs. 300,000: 500,000 − 300,000 = 200,000; 5% x 200,000 = Rs. 10,000", "5% of the amount exceeding Rs. 300,000. 500,000 − 300,000 = 200,000; 5% x 200,000 = Rs. 10,000."):
-        assert numbers.missing_numbers(answer, slab, "rent of Rs. 500,000", 2027) == []
-    assert numbers.missing_numbers("5% x 200,000 = Rs. 12,000", slab, "", 2027) == [12_000, 200_000]
+    law, table = "eight percent of what exceeds twenty million", "over Rs.250,000 the rate is 4%"
+    assert numbers.missing_numbers("8% over Rs. 20 million (tax year 2026)", law, "", 2026) == []
+    assert numbers.missing_numbers("8% over Rs. 20 million (tax year 2025)", law, "", 2026) == [2025]
+    assert numbers.missing_numbers("it is 9%", law, "", 2026) == [9]
+    for answer in ("4% of what is over Rs. 250,000: 650,000 − 250,000 = 400,000; 4% x 400,000 = Rs. 16,000", "4% over Rs. 250,000. 650,000 − 250,000 = 400,000; 4% x 400,000 = Rs. 16,000."):
+        assert numbers.missing_numbers(answer, table, "I earn Rs. 650,000", 2026) == []
+    assert numbers.missing_numbers("4% x 400,000 = Rs. 17,000", table, "", 2026) == [17_000, 400_000]
 
 
 @pytest.mark.parametrize(("text", "value"), [("5% x 200,000", 10_000), ("Rs. 300,000 − 100,000", 200_000), ("(12 + 3) / 5", 3), ("-(2+3)*2%", -0.1), ("2 + 3 x 4", 14), ("8 - 3 - 2", 3), ("__import__('os')", None), ("4 / 0", None), ("(1", None), ("1 2", None), ("", None), ("2 ** 9", None)])
@@ -99,8 +101,8 @@ def test_calculations(text, value):
 
 def test_titles(spark):
     cases = {
-        "149. Salary.—(1) Every employer": "Salary", "[5AA. Tax on return on investment in sukuks.— (1) Subject": "Tax on return on investment in sukuks", "27H. (1) The country-by-country reports": "",
-        "12. Short title. The Rules may be called": "Short title", "[[4AB] Subject to this Ordinance, a surcharge": "", "7 Tax on shipping - a tax": "Tax on shipping", "8. " + "word " * 40 + "— text": "",
+        "31. Fees of agents.—(1) Each agent": "Fees of agents", "[6BB. Levy on gains from bonds.— (1) Where": "Levy on gains from bonds", "44K. (1) What an agent files": "",
+        "9. Short name. The Act may be called": "Short name", "[[3AC] An extra levy falls on": "", "5 Tax on boats - a levy": "Tax on boats", "8. " + "word " * 40 + "— text": "",
     }
     assert answers(spark, list(cases), chunking.title_of) == list(cases.values())
 
