@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WORDS, tokens
-from tessera.operators.sizes import small
+from tessera.operators.sizes import few, small
+from tessera.sources.shared import written
 
 
 def top_k(rows: DataFrame, by: list[str], score: Column, ties: list[str], k: int) -> DataFrame:
@@ -37,16 +38,16 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: i
     shuffled; beyond that they are joined by shuffle.
     """
     stats = term_stats(docs, doc_key, "text")
-    asked = small(queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    asked = queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    sent = F.broadcast if few(asked) else lambda df: df  # what has no more rows than the queries have terms
     total = stats.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
     # the outer form keeps the optimizer from testing each word array, and so making it, a second time
     words = stats.select(doc_key, "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy(doc_key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = words.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy(doc_key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     part = F.col("qtf") * idf_of(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    weighed = asked.join(df, "term")  # no more rows than the queries have terms
-    scored = tf.join(small(weighed), "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(sent(sent(asked).join(df, "term")), "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
     scored = scored.filter("score > 0")
     return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
 
@@ -122,8 +123,8 @@ def documents_holding(docs: DataFrame, passages: DataFrame, doc_key: str, key: s
     marks = passages.select(key, F.explode(F.array_distinct(inner)).alias("w"))
     held = docs.select(doc_key, F.explode(F.array_distinct(words("text"))).alias("w")).join(small(marks.select("w").distinct()), "w", "left_semi")
     counts = held.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rarest = marks.join(counts, "w", "left").groupBy(key).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
-    pairs = held.join(small(rarest), "w").join(small(passages.select(key, F.col("text").alias("passage"))), key).select(doc_key, key, "passage")
+    rarest = written(marks.join(counts, "w", "left").groupBy(key).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w")), "rarest")
+    pairs = written(held.join(small(rarest), "w").select(doc_key, key), "pairs").join(passages.select(key, F.col("text").alias("passage")), key)
     found = docs.select(doc_key, "text").join(small(pairs), doc_key).filter(F.contains("text", "passage"))
     short = passages.filter(F.size(inner) == 0).select(key, F.col("text").alias("passage"))
     everywhere = docs.select(doc_key, "text").join(small(short), F.contains("text", "passage"))

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A table of at most this many rows may be broadcast.
+FEW_ROWS = 100_000
 
-def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+
+def few(df: DataFrame, most_rows: int = FEW_ROWS) -> bool:
+    """Whether a table has at most `most_rows` rows; no more than those are counted."""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
+def small(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
     """The table with a broadcast hint if it has at most `most_rows` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if few(df, most_rows) else df

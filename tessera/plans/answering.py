@@ -11,6 +11,7 @@ from tessera.functions import text as t
 from tessera.operators.lookup import final_ranks, named_sections
 from tessera.operators.retrieval import bm25, fuse, sparse_search
 from tessera.operators.serving import refusal
+from tessera.sources.shared import written
 
 
 def plan_questions(questions: DataFrame, current_year: int) -> DataFrame:
@@ -51,6 +52,7 @@ def ask(questions: DataFrame, chunks: DataFrame, sections: DataFrame, current_ye
     lists = [f(docs, questions, "chunk_id", "question_id", candidates, keep=of_year) for f in (sparse_search, bm25)]
     found = fuse(lists, "question_id", "chunk_id", 2 * candidates)
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).filter(F.col("n") <= reranked)
+    found = written(found, "found")  # decisions and sources begin here
     refs = named_sections(questions, sections)
     pieces = refs.filter("section_id IS NOT NULL").join(valid, "section_id").join(years, "question_id").filter(in_year(F.col("tax_year")))
     pieces = pieces.join(found.select("question_id", "chunk_id", F.col("n").alias("found_at")), ["question_id", "chunk_id"], "left")
