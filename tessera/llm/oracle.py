@@ -72,6 +72,28 @@ _QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(t
     m AS (SELECT *, list_append(own, (n_words - coalesce(list_sum(own), 0))::DOUBLE) AS own_all FROM o),
     j AS (SELECT *, CASE WHEN n_chars >= 200 THEN {_js('classes', 'ref_classes')} END AS cd, CASE WHEN n_words >= 50 THEN {_js('own_all', 'ref_counts')} END AS wd, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= 0.27 AND coalesce(wd, 0) <= 0.45 AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j"""
+
+
+#: CRC-32 of a list of bytes `b`, with the table `tab` of its polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295)"
+_SPELLING = rf"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+    coded AS (SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + (ord(x) >> 6)::BIGINT, 128 + (ord(x) & 63)::BIGINT] END)) AS b FROM runs),
+    hashed AS (SELECT run, n, {_CRC} AS h FROM coded, crc),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    shorter AS (SELECT DISTINCT cut.word, v.word AS near FROM cut JOIN v ON v.word = l || r),
+    near AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word UNION SELECT word, near FROM shorter UNION SELECT near, word FROM shorter),
+    best AS (SELECT near.word, near, n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY n DESC, near) AS r FROM near JOIN v ON v.word = near.near),
+    f AS (SELECT v.word, v.n, CASE WHEN best.n >= 2 * v.n THEN near END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND best.r = 1),
+    walk AS (SELECT word, word AS here FROM f UNION ALL SELECT walk.word, form FROM walk JOIN f ON f.word = walk.here WHERE form IS NOT NULL),
+    ends AS (SELECT walk.word, here AS root FROM walk JOIN f ON f.word = walk.here WHERE form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
+
+#: The given pages hold one article element each, with a heading and paragraphs.
+_ARTICLES = r"""WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') AS blocks FROM pages),
+    b AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+    SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM b"""
 ORACLE = {
     "op2_mix_sources": _mix(1.0, 4, 17),
     "op3_ngram_jaccard_join": _JACCARD,
@@ -81,4 +103,6 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op9_divergence_quality": _QUALITY,
     "op10_seed_extend": _REPEATS,
+    "op12_spelling_variants": _SPELLING,
+    "op13_template_text": _ARTICLES,
 }

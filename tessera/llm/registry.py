@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import dedup_report
+from tessera.llm.htmltext import extract_text
 from tessera.llm.language import predict_languages
 from tessera.llm.mixing import mix_report
 from tessera.llm.near_dups import near_duplicates
@@ -16,8 +17,10 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.privacy import pseudonymize
 from tessera.llm.quality import judge_quality
 from tessera.llm.sharding import shard_documents
+from tessera.llm.spelling import group_variants
 from tessera.llm.substrings import drop_repeats
 from tessera.llm.warc import archive_pages
+from tessera.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,4 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_language": _documents(predict_languages),
     "op9_divergence_quality": _documents(judge_quality),
     "op10_seed_extend": _documents(drop_repeats),
+    "op11_embedding_whitening": lambda spark, sf_dir: whiten(table(spark, sf_dir, "embeddings")),
+    "op12_spelling_variants": _documents(group_variants),
+    "op13_template_text": lambda spark, sf_dir: extract_text(table(spark, sf_dir, "pages")),
 }
