@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 
 def monotone(rows: DataFrame, by: list[str], order: list[str], key: Column, out: str = "accepted") -> DataFrame:
     """Mark the rows whose key exceeds all keys before it: a heading opens a section only if its number goes up. The
@@ -97,3 +99,14 @@ def band_join(points: DataFrame, bands: DataFrame, by: list[str], x: str, lo: st
     p = points.withColumn("__cell", F.floor(F.col(x) / width))
     b = bands.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     return p.join(b, [*by, "__cell"]).filter(inside).drop("__cell")
+
+
+def numbered(rows: DataFrame, by: str, out: str = "ord") -> DataFrame:
+    """Rows numbered from 0 in the order of the column `by` (distinct values), over all rows and without one task for
+    all: ranges of `by` are sorted in tasks, and each range begins where the counts of those before it end."""
+    ranges = written(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = ranges.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a partition
+    return ranges.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + at).drop("__part", "__before", "__at")
