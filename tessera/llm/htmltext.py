@@ -53,8 +53,6 @@ LIMITS = frozenset("article aside body div footer form header html main nav sect
 _MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?<![\w-])(role|class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-#: White space of HTML, and the no-break space.
-_SPACE = re.compile(r"[\s\xa0]+")
 #: Where a run of text stands: nothing is known of it; something else than the article; a place named like an article; an
 #: article element. TAG: a start or an end of an element.
 PLAIN, OTHER, NAMED, ARTICLE, TAG = 0, 1, 2, 3, 4
@@ -71,6 +69,7 @@ class Piece(NamedTuple):
     block: bool
 
 
+@lru_cache(1 << 14)
 def _kind_of(tag: str, attributes: str) -> tuple[int, str]:
     """(what an element's tag and names say of its text, its name in paths)."""
     names = " ".join(sorted(f"{a.lower()}={(x or y or z).strip()}" for a, x, y, z in _NAMES.findall(attributes))) if attributes else ""
@@ -166,7 +165,8 @@ def token_of(piece: Piece) -> int:
 
 
 def tidy(text: str) -> str:
-    return _SPACE.sub(" ", text).strip(" ")
+    """White space (the no-break space too) turned into single blanks."""
+    return " ".join(text.split())
 
 
 def level_of(kinds: set[int]) -> int:
@@ -337,30 +337,20 @@ def main_text(page: str, plan: str | None) -> str:
     walk.begin()
     own = list(pieces(page))
     level = level_of({p.kind for p in own})
-    by_slots: list[str] = []
-    by_place: list[str] = []
-    block: list[tuple[str, bool, bool]] = []  # text, accepted by slot, linked
-
-    def flush():
-        slots = tidy("".join(t for t, slot, _ in block if slot or t == " "))
-        if slots:
-            by_slots.append(slots)
-        every = tidy("".join(t for t, _, _ in block))
-        links = sum(len(t) for t, _, linked in block if linked)
-        if every and (level != PLAIN or 2 * links <= sum(len(t) for t, _, _ in block)):
-            by_place.append(every)
-        block.clear()
-
+    blocks: list[list[tuple[str, bool, bool]]] = [[]]  # text, accepted by its slot, linked
     for p in own:
-        if p.block and block:
-            flush()
+        if p.block and blocks[-1]:
+            blocks.append([])
         in_class = plan is not None and p.kind in (TAG, PLAIN) and walk.step(token_of(p))
         if p.text == " ":
-            block.append((" ", False, False))
+            blocks[-1].append((" ", False, False))
         elif p.kind == level and p.text is not None:
-            block.append((p.text, not in_class and (level, *walk.at, p.kind) in accepted, p.linked))
-    flush()
-    return "\n".join(by_slots or by_place)
+            blocks[-1].append((p.text, not in_class and (level, *walk.at, p.kind) in accepted, p.linked))
+    by_slots = [tidy("".join(t for t, slot, _ in b if slot or t == " ")) for b in blocks] if accepted else []
+    if any(by_slots):
+        return "\n".join(filter(None, by_slots))
+    unlinked = [b for b in blocks if level != PLAIN or 2 * sum(len(t) for t, _, linked in b if linked) <= sum(len(t) for t, _, _ in b)]
+    return "\n".join(filter(None, (tidy("".join(t for t, _, _ in b)) for b in unlinked)))
 
 
 def _texts(batches):
