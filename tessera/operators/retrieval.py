@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +31,71 @@ def idf_of(n: Column, df: Column) -> Column:
     return F.ln(F.lit(1) + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, k1: float = 1.5, b: float = 0.75, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_key, doc_key, score (6 digits), rank: the k best documents of each query, of those pairs that `keep` leaves.
+class Asked(NamedTuple):
+    """Questions cut into words (query_key, term, qtf), with the columns of a question that a filter reads, and which of a document's."""
 
-    A query term counts as often as it occurs. Only postings of query terms leave the scan: lengths are sizes of the
-    word arrays, and where the queries' terms are few enough to be broadcast, words are met with them before anything is
-    shuffled; beyond that they are joined by shuffle.
-    """
-    stats = term_stats(docs, doc_key, "text")
-    asked = queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    sent = F.broadcast if few(asked) else lambda df: df  # what has no more rows than the queries have terms
-    total = stats.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+    terms: DataFrame
+    query_key: str
+    query_columns: list[str]
+    doc_columns: list[str]
+    where: Column | None
+
+
+def asked_terms(queries: DataFrame, query_key: str, query_columns: list[str] | None = None, doc_columns: list[str] | None = None, where: Column | None = None) -> Asked:
+    """Questions for a search. where: a condition on columns of a question (query_columns) and of a document (doc_columns), that decides within
+    the scoring which pairs count at all."""
+    columns = query_columns or []
+    words = queries.select(query_key, *columns, F.explode(tokens(F.col("text"))).alias("term"))
+    return Asked(words.groupBy(query_key, *columns, "term").agg(F.count(F.lit(1)).alias("qtf")), query_key, columns, doc_columns or [], where)
+
+
+def _sent(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables with no more rows than `df` are joined: broadcast if those are few."""
+    return F.broadcast if few(df) else lambda other: other
+
+
+def postings(docs: DataFrame, doc_key: str, words: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """doc_key, doc_len, columns, term, tf: how often each document has each of the wanted words (one column, term). Lengths are sizes of
+    the word arrays, and where the wanted words are few enough to be broadcast, words are met with them before anything is shuffled."""
+    stats = docs.select(doc_key, *(columns or []), tokens(F.col("text")).alias("terms"))
     # the outer form keeps the optimizer from testing each word array, and so making it, a second time
-    words = stats.select(doc_key, "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    tf = words.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy(doc_key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = stats.select(doc_key, F.size("terms").alias("doc_len"), *(columns or []), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
+    return each.join(_sent(words)(words), "term", "left_semi").groupBy(doc_key, "doc_len", *(columns or []), "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def totals_of(docs: DataFrame, doc_key: str) -> DataFrame:
+    """n, avgdl: documents, and their mean length in words."""
+    stats = term_stats(docs, doc_key, "text")
+    return stats.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+
+
+def _ranked(pairs: DataFrame, asked: Asked, doc_key: str, score: Column, k: int) -> DataFrame:
+    left = pairs if asked.where is None else pairs.filter(asked.where)
+    scored = left.groupBy(asked.query_key, doc_key).agg(score.alias("score")).filter("score > 0")
+    return top_k(scored, [asked.query_key], F.col("score"), [doc_key], k)
+
+
+def bm25_of(tf: DataFrame, asked: Asked, totals: DataFrame, doc_key: str, k: int, df: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best documents of each question from postings (all postings of its terms), totals (n, avgdl), and document frequencies (term,
+    df), which are counted where they are not given."""
+    sent = _sent(asked.terms)
+    known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df.join(sent(asked.terms.select("term").distinct()), "term", "left_semi")
     norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
     part = F.col("qtf") * idf_of(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = tf.join(sent(sent(asked).join(df, "term")), "term").crossJoin(F.broadcast(total)).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
-    scored = scored.filter("score > 0")
-    return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
+    pairs = tf.join(sent(sent(asked.terms).join(known, "term")), "term").crossJoin(F.broadcast(totals))  # totals: one row
+    return _ranked(pairs, asked, doc_key, F.round(F.sum(part), 6), k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, statistics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_key, doc_key, score (6 digits), rank: the k best documents of each query.
+
+    A query term counts as often as it occurs. Only postings of query terms leave the scan. statistics: (totals, df) as stored, so that nothing
+    is counted over all documents.
+    """
+    asked = asked_terms(queries, query_key)
+    tf = postings(docs, doc_key, asked.terms.select("term").distinct())
+    totals, df = statistics or (totals_of(docs, doc_key), None)
+    return bm25_of(tf, asked, totals, doc_key, k, df)
 
 
 def _packed(vectors: DataFrame, key: str, vector: str, per_block: int, n_rows: int) -> DataFrame:
@@ -93,21 +139,51 @@ def md5_mod(word: Column, modulus: int) -> Column:
     return rest
 
 
-def sparse_postings(docs: DataFrame, key: str, text: str, dims: int = 10_000, slots: DataFrame | None = None) -> DataFrame:
-    """key, slot, weight: words hashed into `dims` slots and counted, the default encoder that needs no model. slots: only
-    those slots, which are then dropped before the shuffle."""
-    rows = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("w")).filter("w IS NOT NULL").select(key, md5_mod(F.col("w"), dims).alias("slot"))
-    rows = rows if slots is None else rows.join(small(slots), "slot", "left_semi")
-    return rows.groupBy(key, "slot").agg(F.count(F.lit(1)).alias("weight"))
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """term, n: every word of the texts and how often it occurs; tasks count their own words first."""
+    return docs.select(F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots_of(asked: Asked, dims: int) -> DataFrame:
+    """query_key, query columns, slot, qw: questions as sparse vectors."""
+    return asked.terms.withColumn("slot", md5_mod(F.col("term"), dims)).groupBy(asked.query_key, *asked.query_columns, "slot").agg(F.sum("qtf").alias("qw"))
+
+
+def words_in_slots(words: DataFrame, slots: DataFrame, dims: int) -> DataFrame:
+    """term, slot of the words that fall into one of the slots. Each distinct word is hashed once."""
+    return words.select("term", md5_mod(F.col("term"), dims).alias("slot")).join(small(slots), "slot", "left_semi")
+
+
+def sparse_of(tf: DataFrame, asked: Asked, slots: DataFrame, wanted: DataFrame, doc_key: str, k: int) -> DataFrame:
+    """The k best documents of each question by the dot product over shared slots, from the postings of all words in those slots (wanted: term,
+    slot)."""
+    columns = asked.doc_columns
+    stored = tf.join(_sent(wanted)(wanted), "term").groupBy(doc_key, *columns, "slot").agg(F.sum("tf").alias("weight"))
+    pairs = stored.join(_sent(slots)(slots), "slot")
+    return _ranked(pairs, asked, doc_key, F.sum(F.col("weight") * F.col("qw")).cast("double"), k)
+
+
+def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, dims: int = 10_000) -> DataFrame:
+    """The k best documents of each query by words hashed into `dims` slots and counted, the default encoder that needs no
+    model; queries without words give no rows."""
+    asked = asked_terms(queries, query_key)
+    slots = written(slots_of(asked, dims), "slots")
+    wanted = written(words_in_slots(vocabulary(docs), slots.select("slot").distinct(), dims), "wanted")
+    return sparse_of(postings(docs, doc_key, wanted.select("term")), asked, slots, wanted, doc_key, k)
 
 
-def sparse_search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The k best documents of each query by the dot product over shared slots, of those pairs that `keep` leaves;
-    queries without words give no rows."""
-    asked = sparse_postings(queries, query_key, "text").withColumnRenamed("weight", "qw")
-    stored = sparse_postings(docs, doc_key, "text", slots=asked.select("slot").distinct())
-    scored = stored.join(small(asked), "slot").groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("qw")).cast("double").alias("score"))
-    return top_k(keep(scored) if keep else scored, [query_key], F.col("score"), [doc_key], k)
+def both_searches(docs: DataFrame, asked: Asked, doc_key: str, k: int, dims: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(sparse list, BM25 list) of the k best documents of each question. Texts are cut into words twice: for the vocabulary, which also holds the
+    mean length, and for the postings of wanted words, which are written once and read by both searches."""
+    columns = asked.doc_columns
+    slots = written(slots_of(asked, dims), "slots")
+    words = written(vocabulary(docs), "vocabulary")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    totals = n.crossJoin(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("length"))).select("n", (F.col("length") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    wanted = written(words_in_slots(words, slots.select("slot").distinct(), dims), "wanted")
+    tf = written(postings(docs, doc_key, wanted.select("term"), columns), "postings")  # a question's own words fall into its slots
+    own = tf.join(_sent(asked.terms)(asked.terms.select("term").distinct()), "term", "left_semi")
+    return sparse_of(tf, asked, slots, wanted, doc_key, k), bm25_of(own, asked, totals, doc_key, k)
 
 
 def documents_holding(docs: DataFrame, passages: DataFrame, doc_key: str, key: str) -> DataFrame:
@@ -121,7 +197,7 @@ def documents_holding(docs: DataFrame, passages: DataFrame, doc_key: str, key: s
 
     inner = F.slice(words("text"), 2, F.greatest(F.size(words("text")) - 2, F.lit(0)))
     marks = passages.select(key, F.explode(F.array_distinct(inner)).alias("w"))
-    held = docs.select(doc_key, F.explode(F.array_distinct(words("text"))).alias("w")).join(small(marks.select("w").distinct()), "w", "left_semi")
+    held = written(docs.select(doc_key, F.explode(F.array_distinct(words("text"))).alias("w")).join(small(marks.select("w").distinct()), "w", "left_semi"), "held")
     counts = held.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rarest = written(marks.join(counts, "w", "left").groupBy(key).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w")), "rarest")
     pairs = written(held.join(small(rarest), "w").select(doc_key, key), "pairs").join(passages.select(key, F.col("text").alias("passage")), key)

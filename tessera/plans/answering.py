@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators.lookup import final_ranks, named_sections
-from tessera.operators.retrieval import bm25, fuse, sparse_search
+from tessera.operators.retrieval import asked_terms, both_searches, fuse
 from tessera.operators.serving import refusal
 from tessera.sources.shared import written
 
@@ -45,11 +45,8 @@ def ask(questions: DataFrame, chunks: DataFrame, sections: DataFrame, current_ye
     docs = chunks.select("chunk_id", "text")
     years = plan.select("question_id", "tax_year")
     valid = chunks.select("chunk_id", "section_id", "tax_year_from", "tax_year_to")
-
-    def of_year(pairs: DataFrame) -> DataFrame:
-        return pairs.join(valid, "chunk_id").join(years, "question_id").filter(in_year(F.col("tax_year"))).select(*pairs.columns)
-
-    lists = [f(docs, questions, "chunk_id", "question_id", candidates, keep=of_year) for f in (sparse_search, bm25)]
+    asked = asked_terms(plan, "question_id", ["tax_year"], ["tax_year_from", "tax_year_to"], in_year(F.col("tax_year")))
+    lists = both_searches(chunks, asked, "chunk_id", candidates)
     found = fuse(lists, "question_id", "chunk_id", 2 * candidates)
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).filter(F.col("n") <= reranked)
     found = written(found, "found")  # decisions and sources begin here

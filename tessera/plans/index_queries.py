@@ -6,11 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.index_stats import Statistics, change_of, changed_rows, merged, statistics
 from tessera.operators.ordered import numbered
+from tessera.operators.retrieval import bm25, idf_of
 from tessera.operators.term_match import terms_in
 from tessera.operators.vector_index import choose_probes, filtered_knn, fit_centroids, index_vectors, recall_of
 from tessera.plans.fixtures import Made
 from tessera.plans.registering import Book
+from tessera.plans.retrieval_queries import ORACLE as RETRIEVAL
+from tessera.sources.shared import shared_folder
+from tessera.sources.snapshots import SnapshotTable
 from tessera.sources.tables import table
 
 book = Book()
@@ -68,3 +73,38 @@ def phrases_in_documents(spark: SparkSession, d: str) -> DataFrame:
     phrases = said.filter(F.col("phrase").rlike("^[a-z]+ [a-z]+$")).distinct()
     glossary = numbered(phrases, "phrase").select((F.col("ord") + 1).alias("ord"), F.array("phrase").alias("roman"), F.lit(None).cast("array<string>").alias("urdu"))
     return terms_in(table(spark, d, "documents"), "doc_id", glossary, 15)
+
+
+#: The documents as they were: some with other words, some that are gone now, and without those that are new.
+_BEFORE = Made("""(SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(coalesce(text, ''), ' words as they were') ELSE text END AS text FROM {documents} WHERE doc_id % 13 > 0)""")
+
+
+def _stored(spark: SparkSession, d: str) -> Statistics:
+    """Statistics of the snapshot before, changed to those of the documents as they are."""
+    before, after = _BEFORE.spark(spark, d), table(spark, d, "documents").select("doc_id", "text")
+    return merged(statistics(before), change_of(*changed_rows(before, after, "doc_id")))
+
+
+@book.query(RETRIEVAL["bm25_idf"].replace(", round(ln(", ", (SELECT count(*) FROM documents) AS n, round(ln("))
+def stored_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies and idf from statistics that were kept and changed, not counted again."""
+    found = _stored(spark, d)
+    return found.df.crossJoin(F.broadcast(found.totals)).select("term", "df", "n", F.round(idf_of(F.col("n"), F.col("df")), 6).alias("idf"))  # totals: one row
+
+
+@book.query(RETRIEVAL["bm25_topk"])
+def bm25_stored_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The five best documents of each benchmark item, by stored statistics."""
+    return bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 5, _stored(spark, d).for_search())
+
+
+@book.query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderkey % 50 = 7 AS changed FROM orders WHERE o_orderkey % 100 <> 3 UNION ALL SELECT -1 - o_orderkey, o_totalprice, true FROM orders WHERE o_orderkey % 200 = 9""")
+def bucketed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in buckets after a commit that changes, adds and deletes some."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(False).alias("changed"))
+    held = SnapshotTable(spark, shared_folder(spark, "orders"), "o_orderkey", 32)
+    held.create(orders)
+    some = orders.withColumn("changed", F.lit(True))
+    changes = some.filter("o_orderkey % 50 = 7").withColumn("o_totalprice", F.col("o_totalprice") + 1).unionByName(some.filter("o_orderkey % 200 = 9").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    held.upsert(changes, orders.filter("o_orderkey % 100 = 3"))
+    return held.read()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STOPWORDS, tokens
-from tessera.operators.retrieval import bm25, dense_knn, documents_holding, fuse, idf_of, means_with_total, ranking_metrics, sparse_search, term_stats
+from tessera.operators.retrieval import asked_terms, bm25, both_searches, dense_knn, documents_holding, fuse, idf_of, means_with_total, ranking_metrics, sparse_search, term_stats
 from tessera.sources.tables import table
 
 
@@ -40,8 +40,8 @@ def sparse_dot_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """BM25 and sparse lists of 30 documents fused to ten."""
-    lists = [_bm25(spark, d, 30), sparse_search(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 30)]
-    return fuse(lists, "item_id", "doc_id", 10)
+    sparse, words = both_searches(table(spark, d, "documents"), asked_terms(table(spark, d, "benchmark"), "item_id"), "doc_id", 30)
+    return fuse([words, sparse], "item_id", "doc_id", 10)
 
 
 def _gold(spark, d):
