@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.ordered_queries import ORACLE as ORDERED
 from tessera.plans.registering import Book
-from tessera.streaming.limits import daily_counts, event_stream, limited, run_once
+from tessera.streaming.limits import daily_counts, event_stream, run_once
+from tessera.streaming.state import limited, ordered_store
 
 book = Book()
 QUERIES, ORACLE = book.QUERIES, book.ORACLE
@@ -20,5 +21,6 @@ def stream_daily_window(spark: SparkSession, d: str) -> DataFrame:
 
 @book.query(ORDERED["stateful_rate_limiter"])
 def stream_rate_limiter(spark: SparkSession, d: str) -> DataFrame:
-    """The sliding limiter over the event stream."""
-    return run_once(limited(event_stream(spark, d), "user_id", "event_id", 2, 86_400), "limits")
+    """The sliding limiter over the event stream, as state with timers."""
+    with ordered_store(spark):
+        return run_once(limited(event_stream(spark, d), "user_id", "event_id", 2, 86_400), "limits")
