@@ -207,14 +207,20 @@ def documents_holding(docs: DataFrame, passages: DataFrame, doc_key: str, key: s
     return found.select(key, doc_key).unionByName(everywhere.select(key, doc_key))
 
 
+def fuse_rows(rows: DataFrame, query_key: str, doc_key: str, k: int, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of ranked rows (query_key, doc_key, list_idx, rank); ties go to the earlier list, then the
+    better rank in it."""
+    fused = rows.groupBy(query_key, doc_key).agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_idx", F.col("rank").alias("r"))).alias("first"))
+    return top_k(fused, [query_key], F.col("score"), ["first", doc_key], k).drop("first")
+
+
 def fuse(rankings: list[DataFrame], query_key: str, doc_key: str, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists; ties go to the earlier list, then the better rank in it."""
+    """Reciprocal-rank fusion of ranked lists, in the order given."""
     rows = None
     for i, r in enumerate(rankings):
         part = r.select(query_key, doc_key, F.lit(i).alias("list_idx"), "rank")
         rows = part if rows is None else rows.unionByName(part)
-    fused = rows.groupBy(query_key, doc_key).agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_idx", F.col("rank").alias("r"))).alias("first"))
-    return top_k(fused, [query_key], F.col("score"), ["first", doc_key], k).drop("first")
+    return fuse_rows(rows, query_key, doc_key, k, constant)
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, query_key: str, doc_key: str, k: int = 5, mrr: int = 10) -> DataFrame:

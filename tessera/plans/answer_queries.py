@@ -94,4 +94,62 @@ def ask_decisions(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM (SELECT question_id, chunk_id, score::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n, chunk_id) AS INTEGER) AS rank FROM r) WHERE rank <= 6""")
 def ask_sources(spark: SparkSession, d: str) -> DataFrame:
     """The six sources of each question: both searches within its year, fused, then reranked."""
-    return _asked(spark, d)[1]
+    return _asked(spark, d)[1].drop("via")
+
+
+# --- the same with named sections, definitions, glossary sections, rewrites and windows -------------------------------------------
+
+_HALF = "CAST(floor(length(text) / 2) AS INT)"
+#: Questions that ask for a term, name a section that is there or one that is not, and a year.
+FULL = Made("""SELECT item_id AS question_id, concat(CASE WHEN item_id % 4 = 2 THEN concat('what is notion ', item_id % 9, '? ') ELSE '' END, text, CASE WHEN item_id % 5 = 1 THEN concat(' section ', item_id % 60) WHEN item_id % 7 = 3 THEN ' section 998ZZ' ELSE '' END,
+    CASE WHEN item_id % 4 = 0 THEN '' ELSE concat(' in tax year ', 2001 + item_id % 25) END) AS text FROM {benchmark}""")
+REWRITES = Made(f"SELECT item_id AS question_id, n, CASE n WHEN 1 THEN substr(text, {_HALF} + 1) ELSE substr(text, 1, {_HALF}) END AS text FROM {{benchmark}} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) k WHERE item_id % 2 = 1 AND (n = 1 OR item_id % 3 = 1)")
+PARTS = Made("SELECT doc_id AS chunk_id, concat('L-s', CAST(floor(doc_id / 4) AS BIGINT)) AS section_id, text, CAST(2005 + doc_id % 15 AS INT) AS tax_year_from, CASE WHEN doc_id % 3 > 0 THEN CAST(2008 + doc_id % 15 AS INT) END AS tax_year_to FROM {documents}")
+SECTIONS = Made("SELECT DISTINCT 'section' AS kind, CAST(CAST(floor(doc_id / 4) AS BIGINT) AS STRING) AS number, concat('L-s', CAST(floor(doc_id / 4) AS BIGINT)) AS section_id FROM {documents}")
+#: A definition of each of nine terms, every other one of which only points to a section.
+DEFINED = Made("SELECT concat('notion ', doc_id % 9) AS term, concat(doc_id % 9, 'A') AS clause, min(doc_id) AS chunk_id, CASE WHEN doc_id % 9 % 2 = 0 THEN concat('L-s', doc_id % 9 + 20) END AS points_to FROM {documents} GROUP BY doc_id % 9")
+MEANT = Made("SELECT item_id AS question_id, ord, concat('L-s', item_id % 40 + ord * 3) AS section_id FROM {benchmark} CROSS JOIN (SELECT 0 AS ord UNION ALL SELECT 1) k WHERE item_id % 3 = 0")
+_WINDOW = 400
+_SHARE = "CASE WHEN len({ws}) = 0 THEN 0 ELSE round(len(list_filter({ws}, lambda x: contains(lower(p.text), x))) / len({ws}), 6) END"
+_LONG_WORDS = "list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), lambda x: length(x) > 4))"
+_IN_YEAR = "tax_year_from <= tax_year AND (tax_year_to IS NULL OR tax_year_to >= tax_year)"
+_FULL = f"""ph AS (SELECT question_id, 0 AS n, text FROM {FULL.duck()} UNION ALL SELECT question_id, n, text FROM {REWRITES.duck()}), q AS (SELECT question_id * 10 + n AS item_id, text FROM ph), {(_BM25 + ',' + _SPARSE).replace('FROM benchmark', 'FROM q')},
+    y AS (SELECT question_id, text, {_LANG} AS language, coalesce(try_cast(regexp_extract(text, 'tax year (20[0-9][0-9])$', 1) AS INTEGER), {_NOW}) AS tax_year FROM {FULL.duck()}), v AS (SELECT * FROM {PARTS.duck()}),
+    s0 AS (SELECT item_id AS a, doc_id AS c, score, item_id % 10 * 2 AS l FROM sp UNION ALL SELECT item_id, doc_id, score, item_id % 10 * 2 + 1 FROM bm WHERE score > 0),
+    s1 AS (SELECT y.question_id, c, l, row_number() OVER (PARTITION BY a, l ORDER BY score DESC, c) AS r FROM s0 JOIN y ON y.question_id = a // 10 JOIN v ON v.chunk_id = c WHERE {_IN_YEAR}),
+    s2 AS (SELECT question_id, c, round(sum(1 / (60 + r)), 9) AS score, min(l * 1000 + r) AS first FROM s1 WHERE r <= 30 GROUP BY question_id, c),
+    fo AS (SELECT question_id, c AS chunk_id, n FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, first, c) AS n FROM s2) WHERE n <= 15),
+    named AS (SELECT question_id, 'L-s' || question_id % 60 AS section_id, s.section_id IS NOT NULL AS there FROM y LEFT JOIN {SECTIONS.duck()} s ON s.section_id = 'L-s' || question_id % 60 WHERE question_id % 5 = 1 UNION ALL SELECT question_id, NULL, false FROM y WHERE question_id % 5 <> 1 AND question_id % 7 = 3),
+    p1 AS (SELECT question_id, chunk_id, k AS prior FROM (SELECT m.question_id, v.*, row_number() OVER (PARTITION BY m.question_id ORDER BY coalesce(fo.n, 1000000), v.chunk_id) AS k FROM named m JOIN v USING (section_id) LEFT JOIN fo ON fo.question_id = m.question_id AND fo.chunk_id = v.chunk_id) JOIN y USING (question_id) WHERE k <= 3 AND {_IN_YEAR}),
+    dq AS (SELECT y.question_id, tax_year, d.chunk_id, points_to FROM y JOIN {DEFINED.duck()} d ON d.term = 'notion ' || question_id % 9 WHERE question_id % 4 = 2),
+    p2 AS (SELECT question_id, chunk_id, 100000 AS prior FROM dq JOIN v USING (chunk_id) WHERE tax_year_from <= tax_year UNION ALL SELECT question_id, chunk_id, 101000 + k FROM (SELECT dq.question_id, tax_year, v.chunk_id, tax_year_from, row_number() OVER (PARTITION BY dq.question_id ORDER BY coalesce(fo.n, 1000000), v.chunk_id) AS k FROM dq JOIN v ON v.section_id = points_to LEFT JOIN fo ON fo.question_id = dq.question_id AND fo.chunk_id = v.chunk_id) WHERE k <= 3 AND tax_year_from <= tax_year),
+    pins AS (SELECT question_id, chunk_id, min(prior) AS prior FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY ALL), pool0 AS (SELECT question_id, chunk_id, 'lookup' AS via, prior FROM pins UNION ALL SELECT question_id, chunk_id, 'search', n FROM fo ANTI JOIN pins USING (question_id, chunk_id)),
+    meant AS (SELECT DISTINCT question_id, ord, section_id, chunk_id, tax_year_from, tax_year_to FROM {MEANT.duck()} JOIN v USING (section_id)),
+    add AS (SELECT DISTINCT question_id, chunk_id FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id, section_id ORDER BY chunk_id) AS k FROM meant JOIN y USING (question_id) ANTI JOIN pool0 USING (question_id, chunk_id) WHERE {_IN_YEAR}) WHERE k <= 3),
+    pool AS (SELECT * FROM pool0 UNION ALL SELECT question_id, chunk_id, 'search', 1048576 FROM add),
+    qw AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM ph), idf AS (SELECT w, ln((SELECT count(*) FROM documents) / count(*)) AS x FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS w FROM documents) GROUP BY w),
+    st AS (SELECT chunk_id, text, unnest(range({_WINDOW * 3 // 4}, length(text) - {_WINDOW // 4}, {_WINDOW * 3 // 4})) AS s FROM v WHERE length(text) > {_WINDOW} AND chunk_id IN (SELECT chunk_id FROM pool)),
+    wn AS (SELECT DISTINCT chunk_id, text, CASE WHEN strpos(substr(text, s + 1), ' ') > 0 THEN s + strpos(substr(text, s + 1), ' ') ELSE s END AS b FROM st), ww AS (SELECT chunk_id, b, unnest(list_distinct(regexp_extract_all(lower(substr(text, b + 1, {_WINDOW})), '[a-z]{{4,}}'))) AS w FROM wn),
+    sc AS (SELECT question_id, chunk_id, b, round(sum(x), 6) AS s FROM pool JOIN ww USING (chunk_id) JOIN qw USING (question_id, w) JOIN idf USING (w) GROUP BY ALL), bw AS (SELECT question_id, chunk_id, b FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY s DESC, b) = 1),
+    ps AS (SELECT question_id, chunk_id, text FROM pool JOIN v USING (chunk_id) UNION ALL SELECT question_id, chunk_id, substr(text, b + 1, {_WINDOW}) FROM bw JOIN v USING (chunk_id)), hw AS (SELECT question_id, n, {_LONG_WORDS.format(t='text')} AS ws FROM ph),
+    sh AS (SELECT p.question_id, p.chunk_id, max({_SHARE.format(ws='hw.ws')}) AS score FROM ps p JOIN hw USING (question_id) WHERE n < 2 OR EXISTS (SELECT 1 FROM meant m WHERE m.question_id = p.question_id AND m.chunk_id = p.chunk_id) GROUP BY ALL),
+    rk AS (SELECT pool.question_id, pool.chunk_id, via, coalesce(score, 0)::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY pool.question_id ORDER BY via = 'lookup' DESC, coalesce(score, 0) DESC, prior, pool.chunk_id) AS INTEGER) AS rank FROM pool LEFT JOIN sh USING (question_id, chunk_id))"""
+
+
+def _asked_in_full(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    made = {"rewrites": REWRITES, "definitions": DEFINED, "named": MEANT}
+    return ask(FULL.spark(spark, d), PARTS.spark(spark, d), SECTIONS.spark(spark, d), _NOW, _FIRST, _LAST, threshold=_LEAST, window=_WINDOW, policy="max", **{k: m.spark(spark, d) for k, m in made.items()})
+
+
+@book.query(f"""WITH {_FULL}, t AS (SELECT question_id, max(score) AS top, count(*) AS n FROM rk GROUP BY question_id)
+    SELECT question_id, language, tax_year, CASE WHEN tax_year < {_FIRST} OR tax_year > {_LAST} THEN 'TAX_YEAR_NOT_COVERED' WHEN question_id IN (SELECT question_id FROM named WHERE NOT there) AND question_id NOT IN (SELECT question_id FROM pins) THEN 'SECTION_NOT_FOUND'
+      WHEN coalesce(n, 0) = 0 OR (top < {_LEAST} AND question_id NOT IN (SELECT question_id FROM pins)) THEN 'NO_RELEVANT_SOURCES' END AS reason, top FROM y LEFT JOIN t USING (question_id)""")
+def full_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each question is answered, with pinned sections and definitions, rewrites, glossary sections and windows."""
+    return _asked_in_full(spark, d)[0]
+
+
+@book.query(f"WITH {_FULL} SELECT question_id, chunk_id, via, score, rank FROM rk WHERE rank <= 6")
+def full_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of each question, pinned ones first."""
+    return _asked_in_full(spark, d)[1]
