@@ -49,12 +49,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, weights: Sequence[float
     size is the UTF-8 bytes of the text (null: none) plus 16, text_crc32 that of the bytes (null: of none). Only
     narrow columns are shuffled. Repeated rows get a slot each; null doc_ids are one key and share a shard.
     """
-    narrow = stash(docs.select(
-        "doc_id",
-        (utf8_bytes(F.col("text")) + 16).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-    ), "shard-rows")
-    placed = assign_shards(narrow, "doc_id", n_shards, weights)
-    blocks = blocks_for(narrow.count(), n_shards, rows_per_block)
+    narrow = docs.select("doc_id", (utf8_bytes(F.col("text")) + 16).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    placed = stash(assign_shards(narrow, "doc_id", n_shards, weights), "shard-rows")  # scores are computed here, once
+    blocks = blocks_for(placed.count(), n_shards, rows_per_block)
     ranked = gapless_rank(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", blocks)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
