@@ -75,8 +75,9 @@ def plan_mix(
 
     The plan has one row a leaf: its supply, budget, full_epochs (each document that often), and the last place
     (cut_place, cut_id) that the next epoch's prefix still takes. A prefix ends before the first document that would
-    exceed the budget. The running sum goes over buckets of places first and then only inside the bucket where the
-    budget ends, so a leaf with a third of all rows is never in one task.
+    exceed the budget. Rows that repeat a doc_id have one place and are one unit, taken together or not at all, and so are
+    rows without doc_id, whose id is a value like others. Units are summed first; the running sum goes over buckets of places and then only inside
+    the bucket where the budget ends, so neither a leaf nor an id with a third of all rows is ever in one task.
     """
     names = list(levels)
     rows = docs.select("doc_id", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"__{n}") for n, c in levels.items()], tokens_of(F.col("text")).alias("n_tokens"))
@@ -98,12 +99,14 @@ def plan_mix(
     sums = placed.groupBy(*names, "bucket", "rest").agg(F.sum("n_tokens").alias("t")).withColumn("upto", F.sum("t").over(before))
     ends = sums.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest"))).groupBy(*names).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("base")), "bucket").alias("e")).select(*names, F.col("e.bucket").alias("bucket"), F.col("e.base").alias("base"))
     inside = Window.partitionBy(*names).orderBy("place", "doc_id").rowsBetween(*_UP)
-    edge = placed.join(F.broadcast(ends) if plan.count() <= 100_000 else ends, [*names, "bucket"]).withColumn("run", F.sum("n_tokens").over(inside) + F.col("base"))
+    last = placed.join(F.broadcast(ends) if plan.count() <= 100_000 else ends, [*names, "bucket"])
+    units = last.groupBy(*names, "place", "doc_id", "base", "rest").agg(F.sum("n_tokens").alias("n_tokens"))
+    edge = units.withColumn("run", F.sum("n_tokens").over(inside) + F.col("base"))
     cuts = edge.filter(F.col("run") <= F.col("rest")).groupBy(*names).agg(F.max(F.struct("place", "doc_id")).alias("cut"))
     ended = ends.select(*names, (F.col("bucket") * width).alias("start"))
     plan = plan.join(ended, names, "left").join(cuts, names, "left").select(
         *names, "supply", "n_docs", "budget", "full_epochs",
-        F.when(F.col("start").isNull(), F.lit(1 << 48)).otherwise(F.coalesce("cut.place", F.col("start") - 1)).alias("cut_place"), F.col("cut.doc_id").alias("cut_id"),
+        F.when(F.col("start").isNull(), F.lit(1 << 48)).otherwise(F.coalesce("cut.place", "start")).alias("cut_place"), F.col("cut.doc_id").alias("cut_id"), F.col("cut").isNotNull().alias("has_cut"),
     )
     return rows, stash(plan, "mix-cuts", LEAVES)
 
@@ -112,7 +115,8 @@ def epochs_of(rows: DataFrame, plan: DataFrame, names: list[str], max_epochs: in
     """Add `epochs`, how often each document is taken, from the leaf plan."""
     joined = rows.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, names)
     place = seeded_place(seed, F.col("full_epochs"), F.col("doc_id"))
-    inside = (place < F.col("cut_place")) | ((place == F.col("cut_place")) & (F.col("doc_id") <= F.col("cut_id")))
+    upto = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(False))  # no id comes before all others
+    inside = (place < F.col("cut_place")) | ((place == F.col("cut_place")) & F.col("has_cut") & upto)
     more = F.when(F.col("full_epochs") < max_epochs, F.coalesce(inside, F.lit(False)).cast("int")).otherwise(0)
     return joined.withColumn("epochs", F.when(F.col("budget") > 0, F.col("full_epochs") + more).otherwise(F.lit(0)).cast("int"))
 

@@ -27,8 +27,8 @@ def _mix(ratio: float, epochs: int, seed: int) -> str:
         ]
     return f"""WITH {', '.join(parts)},
         plan AS (SELECT l.*, budget, CASE WHEN supply > 0 THEN least({epochs}, floor(budget / supply)) ELSE 0 END AS full_epochs FROM leaf l JOIN b3 USING (domain, lang, source)),
-        r AS (SELECT d.*, budget, full_epochs, budget - full_epochs * supply AS rest, ('0x' || substr(md5('{seed}/' || CAST(full_epochs AS INTEGER) || '/' || doc_id), 1, 12))::BIGINT AS place FROM d JOIN plan USING (domain, lang, source)),
-        c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM r)
+        r AS (SELECT d.*, budget, full_epochs, budget - full_epochs * supply AS rest, ('0x' || substr(md5('{seed}/' || CAST(full_epochs AS INTEGER) || '/' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS place FROM d JOIN plan USING (domain, lang, source)),
+        c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id RANGE UNBOUNDED PRECEDING) AS run FROM r)
         SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, CAST(CASE WHEN budget > 0 THEN full_epochs + CASE WHEN full_epochs < {epochs} AND run <= rest THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS epochs FROM c"""
 
 

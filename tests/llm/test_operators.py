@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -806,3 +807,36 @@ def test_id_filter_lets_all_ids_pass(spark):
 @pytest.mark.parametrize("operator", [shard_documents, mix_report, near_duplicates, lambda d: pack_documents(d, registry.word_tokenizer()), lambda d: pseudonymize(d, b"k"), dedup_report, predict_languages, judge_quality, drop_repeats, drop_copies, mix_documents, drop_near_duplicates, filter_languages])
 def test_empty(empty, operator):
     assert operator(empty).count() == 0
+
+
+# --- 2 mixing: tied rows
+
+
+def taken_of(spark, rows, **options):
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "en", "src0") for i, n in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    return sorted(((r["doc_id"], r["n_tokens"], r["epochs"]) for r in mix_report(df, **options).collect()), key=str)
+
+
+def test_repeated_rows_keep_the_budget(spark):
+    """Rows of one doc_id, or without one, are a unit: together within the budget, or not at all."""
+    assert taken_of(spark, [(1, 10), (1, 10)], budget_ratio=0.5, max_epochs=1) == [(1, 10, 0)] * 2
+    assert taken_of(spark, [(1, 10), (1, 10)], budget_ratio=1.0, max_epochs=1) == [(1, 10, 1)] * 2
+    assert taken_of(spark, [(None, 10)] * 4, budget_ratio=0.5, max_epochs=1) == [(None, 10, 0)] * 4
+    assert taken_of(spark, [(None, 10)] * 4, budget_ratio=1.0, max_epochs=2) == [(None, 10, 1)] * 4
+
+
+@pytest.mark.parametrize("ratio", [0.2, 0.5, 0.7, 0.9, 1.3])
+def test_budgets_with_ties_against_brute_force(spark, ratio):
+    r = random.Random(9)
+    rows = [(r.choice([None, *range(25)]), r.randrange(1, 9)) for _ in range(60)]
+    total = sum(n for _, n in rows)
+    budget, full = total * min(ratio, 2), int(min(2, total * ratio // total))
+    rest = budget - full * total
+    place = {i: int(hashlib.md5(f"17/{full}/{'null' if i is None else i}".encode()).hexdigest()[:12], 16) for i, _ in rows}
+    more, used = set(), 0
+    for i in sorted(place, key=place.get):
+        used += sum(n for j, n in rows if j == i)
+        if used > rest:
+            break
+        more.add(i)
+    assert taken_of(spark, rows, budget_ratio=ratio, max_epochs=2) == sorted(((i, n, full + (i in more)) for i, n in rows), key=str)
