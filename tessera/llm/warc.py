@@ -54,7 +54,8 @@ def _write(base: str, roll_bytes: int):
         store, folder = fs.FileSystem.from_uri(base)
         store.create_dir(folder, recursive=True)
         held: list[bytes] = []
-        done: list[tuple[str, int, int]] = []
+        done: list[tuple[str, int, int, int]] = []
+        largest = 0
 
         def close():
             name = f"{folder}/part-{part:05d}-{len(done):05d}.warc.gz"
@@ -63,12 +64,14 @@ def _write(base: str, roll_bytes: int):
             with store.open_output_stream(draft) as f:
                 f.write(data)
             store.move(draft, name)
-            done.append((name, len(held), len(data)))
+            done.append((name, len(held), len(data), largest))
             held.clear()
 
         size = 0
         for page, url, html, n, digest, refers in arrow_rows(batches, "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"):
-            held.append(gzip_member(record(page, url.decode(), html, n, digest.decode(), refers)))
+            written = record(page, url.decode(), html, n, digest.decode(), refers)
+            largest = max(largest, len(written))
+            held.append(gzip_member(written))
             size += len(held[-1])
             if size >= roll_bytes:
                 close()
@@ -77,7 +80,7 @@ def _write(base: str, roll_bytes: int):
             close()
         if done:
             cols = list(zip(*done, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "records", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["archive", "records", "bytes", "largest"])
 
     return run
 
@@ -97,7 +100,8 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, base: str, least: int = 1000, roll_bytes: int = 8_000_000) -> DataFrame:
-    """Write a record per page to gzipped archives under `base`; returns archive, records, bytes of each file.
+    """Write a record per page to gzipped archives under `base`; returns archive, records, bytes of each file, and the
+    bytes of the largest record that the task had written by then.
 
     Null html is an empty payload, a null url an empty one. Repeated rows are written each.
     """
@@ -106,19 +110,19 @@ def write_warc(pages: DataFrame, base: str, least: int = 1000, roll_bytes: int =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), utf8_bytes(F.col("html")).alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
     joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
     ordered = joined.sortWithinPartitions("page_id", "payload_digest", "url").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
-    return stash(ordered.mapInArrow(_write(base, roll_bytes), "archive string, records long, bytes long"), "archives")
+    return stash(ordered.mapInArrow(_write(base, roll_bytes), "archive string, records long, bytes long, largest long"), "archives")
 
 
 # --- reading --------------------------------------------------------------------------------------------------------
 
 
-#: A member that inflates to more than this is not read on: its bytes are a gap.
+#: A member of an archive from elsewhere that inflates to more than this is not read on, where the reader is not told otherwise.
 MOST_INFLATED = 256_000_000
 
 
-def _member(data: memoryview, at: int, step: int = 65_536) -> tuple[bytes, int]:
+def _member(data: memoryview, at: int, most: int, step: int = 65_536) -> tuple[bytes, int]:
     """The gzip member that begins at `at`, and where it ends; ValueError if it is cut, fails its check or inflates to
-    over MOST_INFLATED bytes."""
+    over `most` bytes."""
     z = zlib.decompressobj(31)
     out, pos, size = [], at, 0
     try:
@@ -133,7 +137,7 @@ def _member(data: memoryview, at: int, step: int = 65_536) -> tuple[bytes, int]:
                 got = z.decompress(piece, 16 * step)
             out.append(got)
             size += len(got)
-            if size > MOST_INFLATED:
+            if size > most:
                 raise ValueError("member too large")
     except zlib.error as e:
         raise ValueError(f"bad member: {e}") from None
@@ -170,21 +174,23 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     return head | {"block": block}, end + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+def salvage(data: bytes, most_inflated: int | None = None) -> Iterator[tuple[str, int, int, object]]:
     """('record', begin, end, fields) and ('gap', begin, end, reason) that cover an archive from first to last byte.
 
     A gzipped archive is read member by member, a plain one record by record. After a failed check the reader looks
     for the next place where a member that holds a version line, or a version line whose record passes its checks,
     begins; what lies between is a gap. A member may hold several records; a damaged one inside it is a gap of the
-    whole member, its sound records are still returned.
+    whole member, its sound records are still returned. A member that inflates to over `most_inflated` bytes (MOST_INFLATED
+    where it is not given) is a gap.
     """
+    most = MOST_INFLATED if most_inflated is None else most_inflated
     view = memoryview(data)
     zipped = data[:2] == GZIP[:2] or not _VERSION.match(data) and GZIP in data and (not _VERSION.search(data) or data.find(GZIP) < _VERSION.search(data).start())
     at, bad, reason = 0, -1, ""
     while at < len(data):
         try:
             if zipped:
-                inner, end = _member(view, at)
+                inner, end = _member(view, at, most)
                 found = list(_inside(inner))
                 if not any(k == "record" for k, *_ in found):
                     raise ValueError(found[0][3] if found else "empty member")
@@ -241,7 +247,7 @@ def _http(block: bytes) -> tuple[bytes, bytes]:
     return (head, body) if mark and head.startswith(b"HTTP/") else (b"", block)
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, most_inflated: int | None):
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     types = [pa.int64() if f.endswith(" long") else pa.binary() if f.endswith(" binary") else pa.string() for f in _FIELDS.split(", ")]
 
@@ -262,7 +268,7 @@ def _read(with_payload: bool):
         for b in batches:
             for archive, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 held, size = [], 0
-                for found in salvage(content.as_py()):
+                for found in salvage(content.as_py(), most_inflated):
                     held.append(row(archive, *found))
                     size += len(held[-1][-1] or b"") + 200
                     if size > 4_000_000:
@@ -277,14 +283,16 @@ def _read(with_payload: bool):
     return run
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, most_inflated: int | None = None) -> DataFrame:
     """The records (kind `record`) and the quarantined byte gaps (kind `gap`, with a reason) of all archives in a folder.
 
     Archives are read through Spark's binaryFile source, each by one task, which limits one to 2 GB; records leave
-    the task as they are found. Gzip checks, lengths, block digests and payload digests are verified.
+    the task as they are found. Gzip checks, lengths, block digests and payload digests are verified. A member that inflates to
+    over `most_inflated` bytes, MOST_INFLATED if not given, is not read on but logged as a gap: a guard against archives made to
+    fill the memory, to be raised for records that are larger.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-    return files.mapInArrow(_read(with_payload), _FIELDS)
+    return files.mapInArrow(_read(with_payload, most_inflated), _FIELDS)
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -295,14 +303,15 @@ def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
     the others revisit it; smaller payloads are all responses. Rows that repeat the largest page_id with the payload
     are responses too. Null html is an empty payload, a null url an empty one; a row without page_id revisits a larger
     payload's page, and comes back without one. Repeated rows are recorded each. Other columns are not read. An empty
-    table gives an empty result.
+    table gives an empty result. A page of any size is read back: the reader is told of the largest record written.
     """
     spark = pages.sparkSession
     base = shared_path(spark, "warc")
     archives = write_warc(pages, base, least)
-    if not archives.head(1):
+    largest = archives.agg(F.max("largest")).first()[0]
+    if largest is None:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_warc(spark, base, with_payload=False).filter("kind = 'record'")
+    read = read_warc(spark, base, with_payload=False, most_inflated=largest).filter("kind = 'record'")
     number = r"urn:page:(-?\d+)"
     return read.select(
         F.expr("try_cast(regexp_extract(record_id, 'urn:page:(-?[0-9]+)', 1) AS long)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",

@@ -1,6 +1,7 @@
 import hashlib
 
 from tessera.llm.common import shared_path
+from tessera.llm import warc
 from tessera.llm.warc import archive_pages, gzip_member, read_warc, record, salvage
 
 
@@ -84,3 +85,17 @@ def test_damaged_files_are_quarantined(spark, tmp_path):
 def test_no_pages(spark):
     assert archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_pages_beyond_the_bound_come_back(spark, monkeypatch):
+    """The bound is for archives from elsewhere: what was written here is read whatever its size."""
+    monkeypatch.setattr(warc, "MOST_INFLATED", 10_000)
+    rows = [(1, "http://a/1", "x" * 300_000), (2, "http://a/2", "y" * 9_000), (3, "http://a/3", "z" * 50_000), (4, "http://a/4", "x" * 300_000)]
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (300_000, "revisit", 4), 2: (9_000, "response", None), 3: (50_000, "response", None), 4: (300_000, "response", None)}
+
+
+def test_bound_of_the_reader(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip_member(page(1, 300_000)) + gzip_member(page(2, 500)))
+    for bound, want in ((None, 0), (10_000, 1)):
+        assert read_warc(spark, f"file://{tmp_path}", most_inflated=bound).filter("kind = 'gap'").count() == want
