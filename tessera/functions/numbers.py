@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from functools import reduce
 
 import pandas as pd
@@ -73,7 +74,8 @@ def _grouped(whole: str) -> bool:
 
 
 def digit_numbers(text: str) -> set[float]:
-    """Numbers in digits, with grouping commas and decimals; a scale word right after one adds the scaled number too."""
+    """What stands in digits: commas that group, as in 12,500 or 3,75,000, are dropped, and a number before lakh, million
+    and the like counts both as it stands and times that scale. Digits that go on from a letter (v2) are none."""
     found: set[float] = set()
     for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*", text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
@@ -180,7 +182,7 @@ def calculate(text: str) -> float | None:
 
 
 def calculated(text: str) -> set[float]:
-    """The results of calculations that a text writes out rightly ("5% x 200,000 = Rs. 10,000"), to within 0.5."""
+    """What a text works out itself: the right side of each equation whose left side comes to it, half a rupee more or less."""
     found = set()
     for line in re.split(r"[;:]|[.]\s", re.sub(r"Rs[.]\s*", "", text)):
         left, equals, right = line.rpartition("=")
@@ -192,12 +194,23 @@ def calculated(text: str) -> set[float]:
     return found
 
 
+def far_from(values: set[float], known: set[float], apart: float = 1e-9) -> list[float]:
+    """The values, in order, that lie at least `apart` from every known one: each is looked up among its two neighbours."""
+    places = sorted(known)
+    out = []
+    for value in sorted(values):
+        at = bisect(places, value)
+        if all(abs(value - near) >= apart for near in places[max(0, at - 1) : at + 1]):
+            out.append(value)
+    return out
+
+
 def missing_numbers(answer: str, source: str, question: str, year: int | None) -> list[float]:
     """The quantities of an answer that neither its source nor the question has and that it does not work out; the
     question's own tax year is none."""
     own = re.sub(rf"(?i)\btax years?\s+{year}\b", "", answer or "") if year else answer or ""
-    have = numbers_in(source) | numbers_in(question) | calculated(own)
-    return sorted(v for v in numbers_in(own, skip_lone_one=True, legal=False) if not any(abs(v - h) < 1e-9 for h in have))
+    claimed = numbers_in(own, skip_lone_one=True, legal=False)
+    return far_from(claimed, numbers_in(source) | numbers_in(question) | calculated(own)) if claimed else []
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -226,4 +239,5 @@ def numbers_udf(text: Column) -> Column:
 
 
 def missing_numbers_udf(answer: Column, source: Column, question: Column, year: Column) -> Column:
-    return _missing(answer, source, question, year)
+    """An empty list where the answer has neither a digit nor a number word: such answers never reach Python."""
+    return F.when(may_have_numbers(answer), _missing(answer, source, question, year)).otherwise(F.array().cast("array<double>"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.phrases import token_line
 from tessera.functions.text import clean, estimate_tokens, heading_case, section_key
-from tessera.operators.chunking import PARAGRAPH_LINE, SECTION_LINE
+from tessera.operators.chunking import bracketed, opens_paragraph, section_number
 from tessera.operators.ordered import greedy_groups, monotone
 
 #: Lines of a law that one block of a scan holds.
@@ -71,14 +71,14 @@ def section_levels(lines: DataFrame, pages: DataFrame) -> DataFrame:
     A chapter, be it by a line or by the page header, ends part and division; a part ends the division. Bold centred short lines that follow a
     part or a division, until a section opens, are its titles. lines: law, page, ord, text, bold, centred; pages: law, page,
     header."""
-    number = F.regexp_extract(token_line(F.col("text")), SECTION_LINE, 1)
+    number = section_number(F.col("text"))
     candidate = F.col("bold") & ~F.col("centred") & (number != "")
     heads = monotone(lines.filter(candidate).withColumn("section", number), ["law"], ["ord"], section_key(F.col("section"))).filter("accepted").select("law", "ord", "section")
     first = lines.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
     placed = lines.join(chapter_pages(pages).join(first, ["law", "page"]), ["law", "page"], "left").join(heads, ["law", "ord"], "left")
     level = level_line(F.col("text"))
     rows = placed.withColumn("at", F.when((F.col("bold") & F.col("centred") & (F.length("text") < SHORT)) | level["level"].isin("chapter", "part"), level))
-    plain = ~F.col("text").rlike(r"^\s*$") & (number == "") & ~token_line(F.col("text")).rlike(PARAGRAPH_LINE)
+    plain = ~F.col("text").rlike(r"^\s*$") & (number == "") & ~opens_paragraph(F.col("text"))
     rows = rows.withColumn("title", F.when(F.col("bold") & F.col("centred") & (F.length("text") < SHORT) & plain & F.col("at").isNull(), heading_case(F.regexp_replace("text", r"^[\[\]\s]+|[\[\]\s]+$", ""))))
 
     def opened(*levels: str) -> Column:
@@ -120,7 +120,7 @@ def paragraphs_and_tables(lines: DataFrame, by: list[str]) -> DataFrame:
     ends in a hyphen before a small letter is joined without a blank. lines: by, ord, page, kind (text or table), text."""
     within = Window.partitionBy(*by).orderBy("ord")
     is_table, before = F.col("kind") == "table", F.lag("kind").over(within) == "table"
-    goes_on = F.when(is_table, before & (F.col("page") == F.lag("page").over(within) + 1)).otherwise(~before & ~token_line(F.col("text")).rlike(PARAGRAPH_LINE))
+    goes_on = F.when(is_table, before & (F.col("page") == F.lag("page").over(within) + 1)).otherwise(~before & ~opens_paragraph(F.col("text")))
     rows = lines.withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("para", F.sum("begins").over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("ord", "text")))
@@ -272,7 +272,7 @@ def schedule_units(lines: DataFrame, pages: DataFrame, prefix: str) -> DataFrame
     rows = lines.join(filled.join(first, ["law", "page"]), ["law", "page"])
     level = level_line(F.col("text"))
     opens = F.when(F.col("bold") & F.col("centred") & (level["level"] == "division"), F.struct("ord", level["number"].alias("number")))
-    number = F.regexp_extract(token_line(F.col("text")), r"^ (?:\[  )*\(  ([0-9]{1,3}[A-Z]{0,4})  \) ", 1)
+    number = bracketed(F.col("text"), "number")
     rows = rows.withColumn("clause", F.when((F.col("n") == 2) & F.col("bold") & ~F.col("centred") & (number != ""), number))
     rows = carried(rows.withColumn("named", opens), ["law"], "ord", {"block": F.when(F.col("fresh").isNotNull(), F.col("page_ord"))})
     heads = monotone(rows.filter("clause IS NOT NULL").select("law", "block", "ord", F.col("clause").alias("head")), ["law", "block"], ["ord"], section_key(F.col("head"))).filter("accepted").select("law", "ord", "head")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chunking
 from tessera.plans.answering import ask
 from tessera.plans.fixtures import Made
-from tessera.plans.registering import Book, duck_line, quoted
+from tessera.plans.registering import Book
 from tessera.plans.retrieval_queries import _BM25, _SPARSE
 from tessera.plans.summary_queries import _LANG
 from tessera.sources.tables import table
@@ -18,28 +18,27 @@ QUERIES, ORACLE = book.QUERIES, book.ORACLE
 
 #: Lines of a law for every conversation: a heading for each turn, some of which count down and so open nothing, a
 #: sub-section, a proviso in half of the laws, and a line that goes on.
-LINES = Made("""SELECT 'c' || conv_id AS law, turn * 10 + j AS ord, j = 0 AS bold, CAST(floor(turn / 3) AS INT) AS page,
+LINES = Made("""SELECT 'c' || conv_id AS law, turn * 10 + j AS ord, j, j = 0 AS bold, CASE WHEN j = 0 THEN (turn * 2 + 3 - CASE WHEN turn % 5 = 4 THEN 6 ELSE 0 END) || CASE WHEN turn % 3 = 2 THEN 'A' ELSE '' END END AS heading, CASE WHEN j = 1 THEN CAST(turn % 4 + 2 AS STRING) END AS sub, CAST(floor(turn / 3) AS INT) AS page,
     CASE j WHEN 0 THEN (turn * 2 + 3 - CASE WHEN turn % 5 = 4 THEN 6 ELSE 0 END) || CASE WHEN turn % 3 = 2 THEN 'A' ELSE '' END || '. Heading of ' || role || '.—(1) The ' || role || ' [ ] opens  turn ' || turn || '.'
       WHEN 1 THEN '(' || (turn % 4 + 2) || ') ' || text || '.' WHEN 2 THEN 'Provided that ' || text || '.' ELSE 'and further words of the ' || role || '.' END AS text
     FROM {conversations} CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE text IS NOT NULL AND (j <> 2 OR conv_id % 2 = 0)""")
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace({0}, '\\[[\\s#*%]*\\]', '', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 _LIMIT = 120
-_CHUNKS = f"""l AS (SELECT *, {duck_line('text')} AS t FROM {LINES.duck()}),
-    h AS (SELECT law, ord, regexp_extract(t, {quoted(chunking.SECTION_LINE)}, 1) AS num FROM l WHERE bold AND regexp_matches(t, {quoted(chunking.SECTION_LINE)})),
+_CHUNKS = f"""l AS (SELECT * FROM {LINES.duck()}), h AS (SELECT law, ord, heading AS num FROM l WHERE j = 0),
     k AS (SELECT *, lpad(regexp_extract(num, '^[0-9]+'), 6, '0') || regexp_extract(num, '[A-Z]*$') AS key FROM h),
     o AS (SELECT law, ord, num FROM (SELECT *, coalesce(key > max(key) OVER (PARTITION BY law ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS up FROM k) WHERE up),
     s AS (SELECT l.*, o.num AS opens, last_value(o.num IGNORE NULLS) OVER (PARTITION BY l.law ORDER BY l.ord) AS section FROM l LEFT JOIN o ON o.law = l.law AND o.ord = l.ord),
-    b AS (SELECT *, CASE WHEN opens IS NOT NULL OR regexp_matches(t, {quoted(chunking.PARAGRAPH_LINE)}) OR row_number() OVER (PARTITION BY law, section ORDER BY ord) = 1 THEN 1 ELSE 0 END AS begins FROM s WHERE section IS NOT NULL),
+    b AS (SELECT *, CASE WHEN opens IS NOT NULL OR j IN (1, 2) OR row_number() OVER (PARTITION BY law, section ORDER BY ord) = 1 THEN 1 ELSE 0 END AS begins FROM s WHERE section IS NOT NULL),
     n AS (SELECT *, sum(begins) OVER (PARTITION BY law, section ORDER BY ord) AS para FROM b),
-    p AS (SELECT * FROM (SELECT law, section, para, {_CLEAN.format("string_agg(text, ' ' ORDER BY ord)")} AS text, min(page) AS page, max(page) AS page_end FROM n GROUP BY ALL) WHERE text <> ''),
-    u AS (SELECT *, sum(CASE WHEN sub IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY law, section ORDER BY para) AS unit FROM (SELECT *, nullif(regexp_extract({duck_line('text')}, {quoted(chunking.SUBSECTION_LINE)}, 1), '') AS sub, ceil(length(text) / 4.0)::BIGINT AS t FROM p)),
+    p AS (SELECT * FROM (SELECT law, section, para, {_CLEAN.format("string_agg(text, ' ' ORDER BY ord)")} AS text, arg_min(coalesce(sub, ''), ord) AS first_sub, min(page) AS page, max(page) AS page_end FROM n GROUP BY ALL) WHERE text <> ''),
+    u AS (SELECT *, sum(CASE WHEN sub IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY law, section ORDER BY para) AS unit FROM (SELECT *, nullif(first_sub, '') AS sub, ceil(length(text) / 4.0)::BIGINT AS t FROM p)),
     a AS (SELECT *, unit || '-' || CASE WHEN sum(t) OVER (PARTITION BY law, section, unit) <= {_LIMIT} THEN 'all' ELSE para::VARCHAR END AS atom FROM u),
     g AS (SELECT law, section, atom, sum(t) AS t, row_number() OVER (PARTITION BY law, section ORDER BY min(para), atom) AS i FROM a GROUP BY law, section, atom),
     f AS (SELECT law, section, atom, i, 0 AS piece, t AS size FROM g WHERE i = 1
           UNION ALL SELECT g.law, g.section, g.atom, g.i, f.piece + CASE WHEN f.size > 0 AND f.size + g.t > {_LIMIT} THEN 1 ELSE 0 END, CASE WHEN f.size > 0 AND f.size + g.t > {_LIMIT} THEN g.t ELSE f.size + g.t END FROM f JOIN g ON g.law = f.law AND g.section = f.section AND g.i = f.i + 1),
-    c AS (SELECT law, section, piece, string_agg(text, chr(10) ORDER BY para) AS text, min(page) AS page, max(page_end) AS page_end, arg_min(coalesce(sub, ''), para) AS first_sub, list_filter(list(sub ORDER BY para), lambda x: x IS NOT NULL) AS subs FROM a JOIN f USING (law, section, atom) GROUP BY law, section, piece),
+    c AS (SELECT law, section, piece, string_agg(text, chr(10) ORDER BY para) AS text, min(page) AS page, max(page_end) AS page_end, arg_min(coalesce(sub, ''), para) AS begin_sub, list_filter(list(sub ORDER BY para), lambda x: x IS NOT NULL) AS subs FROM a JOIN f USING (law, section, atom) GROUP BY law, section, piece),
     d AS (SELECT *, count(*) OVER (PARTITION BY law, section) AS n, last_value(subs[len(subs)] IGNORE NULLS) OVER (PARTITION BY law, section ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM c),
-    e AS (SELECT *, CASE WHEN first_sub <> '' OR carried IS NULL THEN subs[1] ELSE carried END AS b, subs[len(subs)] AS e FROM d),
+    e AS (SELECT *, CASE WHEN begin_sub <> '' OR carried IS NULL THEN subs[1] ELSE carried END AS b, subs[len(subs)] AS e FROM d),
     chunks AS (SELECT e.law, e.section, e.law || '-s' || e.section || CASE WHEN n = 1 THEN '' ELSE '-' || (piece + 1) END AS chunk_id, regexp_extract(s.text, '^[0-9A-Z]+[.] (.*?)[.]—', 1) AS title,
       CASE WHEN len(subs) = 0 THEN '(' || carried || ')' WHEN b = e THEN '(' || b || ')' ELSE '(' || b || ')-(' || e || ')' END AS label, ceil(length(e.text) / 4.0)::BIGINT AS n_tokens, e.page, e.page_end, md5(e.text) AS text_md5 FROM e JOIN s ON s.law = e.law AND s.opens = e.section)"""
 
