@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.phrases import token_line
-from tessera.functions.text import clean, estimate_tokens, heading_case, section_key
+from tessera.functions.text import clean, heading_case, section_key
 from tessera.operators.chunking import bracketed, opens_paragraph, section_number
 from tessera.operators.ordered import greedy_groups, monotone
 
