@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sizes import small
+from tessera.sources.shared import written
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float], buckets: int = 4096) -> DataFrame:
+def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float], buckets: int = 128) -> DataFrame:
     """The value at place round(q (n-1)) of each group, halves rounded to even; nulls are left out.
 
-    Equal values are counted first, in each task. A group's range is cut into buckets of equal width, whose counts tell
-    where each place lies; only the values of the buckets that are hit are put in order, each bucket by itself.
+    Equal values are counted first, in each task. A group's distinct values are cut at approximate quantiles, so that every
+    bucket holds about as many of them, wherever an outlier lies; the buckets' counts tell where each place lies, and only the values of the
+    buckets that are hit are put in order, each bucket by itself.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(group).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.sum("n").alias("all"))
-    share = F.when(F.col("hi") > F.col("lo"), (F.col(value).cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    dealt = counts.join(small(ends), group).withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    counts = written(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), "counts")
+    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    ends = counts.groupBy(group).agg(F.percentile_approx(value, at, 10 * buckets).alias("bounds"), F.sum("n").alias("all"))
+    dealt = counts.join(small(ends), group).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
     sums = dealt.groupBy(group, "all", "bucket").agg(F.sum("n").alias("m"))
     upto = F.sum("m").over(Window.partitionBy(group).orderBy("bucket"))
     places = F.array(*[F.bround(F.lit(q) * (F.col("all") - 1)).cast("long") for q in qs.values()])
@@ -25,14 +27,14 @@ def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float],
     hit = hit.filter(F.exists("places", lambda p: (p >= F.col("before")) & (p < F.col("upto")))).select(group, "bucket", "before", "places")
     inside = F.sum("n").over(Window.partitionBy(group, "bucket").orderBy(value)) + F.col("before")
     placed = dealt.join(small(hit), [group, "bucket"]).withColumn("end", inside).withColumn("begin", F.col("end") - F.col("n"))
-    at = [F.max(F.when((F.get("places", F.lit(i)) >= F.col("begin")) & (F.get("places", F.lit(i)) < F.col("end")), F.col(value))).alias(name) for i, name in enumerate(qs)]
-    return placed.groupBy(group).agg(*at)
+    found = [F.max(F.when((F.get("places", F.lit(i)) >= F.col("begin")) & (F.get("places", F.lit(i)) < F.col("end")), F.col(value))).alias(name) for i, name in enumerate(qs)]
+    return placed.groupBy(group).agg(*found)
 
 
 def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
     """The value with the most weight in each group; of equal ones the smallest."""
     sums = rows.groupBy(*by, value).agg(F.sum(weight).alias("weight"))
-    return sums.groupBy(*by).agg(F.max_by(value, F.struct("weight", -F.col(value))).alias(value))
+    return sums.groupBy(*by).agg(F.min_by(value, F.struct((-F.col("weight")).alias("less"), value)).alias(value))
 
 
 def allocate(groups: DataFrame, group: str, size: str, total: int) -> DataFrame:

@@ -191,14 +191,11 @@ def verification_reasons(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'order', count(*) FROM (SELECT turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations) WHERE step <> 1""")
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
     """How many rows break each rule of a request log."""
-    c = table(spark, d, "conversations")
     step = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    bad = {"size": c.filter(~F.length("text").between(3, 1000)), "role": c.filter(~F.col("role").isin("user", "assistant")), "order": c.withColumn("step", step).filter("step <> 1")}
-    out = None
-    for rule, rows in bad.items():
-        part = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    c = table(spark, d, "conversations").select(F.length("text").alias("n"), "role", step.alias("step"))
+    bad = {"size": ~F.col("n").between(3, 1000), "role": ~F.col("role").isin("user", "assistant"), "order": F.col("step") != 1}
+    counts = c.agg(*[F.count(F.when(wrong, 1)).alias(rule) for rule, wrong in bad.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("n")) for rule in bad])).alias("r")).select("r.*")
 
 
 #: Which rules hold: by hand for the fixed questions, by its pattern for each customer's. A number that is one of the sections on withholding decides too.

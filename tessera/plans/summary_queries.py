@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ROMAN_URDU, estimate_tokens, language, normalized_question, tax_year_of
 from tessera.operators import aggregates as a
+from tessera.operators.ordered import numbered
 from tessera.operators.retrieval import means_with_total
 from tessera.operators.serving import cache_hits, last_votes
 from tessera.operators.sizes import small
 from tessera.plans.fixtures import Made
 from tessera.plans.registering import Book
+from tessera.sources.shared import written
 from tessera.sources.tables import last_by_key, table, upsert
 
 book = Book()
@@ -104,7 +106,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
     """One of each group, then the second of each, and so on."""
     n = table(spark, d, "nation").withColumn("rn", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    return n.select("n_nationkey", F.row_number().over(Window.orderBy("rn", "n_regionkey")).alias("place"))
+    return numbered(n.withColumn("at", F.struct("rn", "n_regionkey")), "at", "place").select("n_nationkey", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @book.query("SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -198,7 +200,8 @@ def tax_year_of_orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(tax_year_of(F.col("o_orderdate")).cast("long").alias("tax_year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-SNAPSHOTS = Made("""SELECT n_name AS law, 'v' || o_year AS version, o_year AS tax_year_from FROM (SELECT DISTINCT c_nationkey, CAST(year(o_orderdate) AS INT) AS o_year FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND c_nationkey < 4) JOIN {nation} ON n_nationkey = c_nationkey""")
+#: Versions of each nation's law: from two of three of the years that its customers order in.
+SNAPSHOTS = Made("""SELECT n_name AS law, concat('v', o_year) AS version, o_year AS tax_year_from FROM (SELECT DISTINCT c_nationkey, CAST(year(o_orderdate) AS INT) AS o_year FROM {orders} JOIN {customer} ON o_custkey = c_custkey) y JOIN {nation} ON n_nationkey = c_nationkey WHERE (c_nationkey + o_year) % 3 > 0""")
 _CLOSED = f"(SELECT law, version, tax_year_from, lead(tax_year_from) OVER (PARTITION BY law ORDER BY tax_year_from) - 1 AS tax_year_to FROM {SNAPSHOTS.duck()})"
 
 
@@ -213,16 +216,17 @@ def snapshot_close_out(spark: SparkSession, d: str) -> DataFrame:
     return _closed(spark, d)
 
 
-@book.query(f"""SELECT o_orderkey, law, version FROM orders JOIN {_CLOSED} s ON year(o_orderdate + INTERVAL 6 MONTH) >= tax_year_from AND (tax_year_to IS NULL OR year(o_orderdate + INTERVAL 6 MONTH) <= tax_year_to)""")
+@book.query(f"""SELECT o_orderkey, s.law, version FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN {_CLOSED} s ON s.law = n_name AND year(o_orderdate + INTERVAL 6 MONTH) >= tax_year_from AND (tax_year_to IS NULL OR year(o_orderdate + INTERVAL 6 MONTH) <= tax_year_to)""")
 def tax_year_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """The snapshots in force for each order. Years before a snapshot's last one are an equi-join on the year; the one
-    open snapshot of each law is met by all orders from its first year on."""
-    closed = _closed(spark, d)
-    orders = table(spark, d, "orders").select("o_orderkey", tax_year_of(F.col("o_orderdate")).alias("tax_year"))
-    ended = closed.filter("tax_year_to IS NOT NULL").withColumn("tax_year", F.explode(F.sequence("tax_year_from", "tax_year_to")))
-    still = closed.filter("tax_year_to IS NULL").select("law", "version", "tax_year_from")
-    found = orders.join(small(ended), "tax_year").select("o_orderkey", "law", "version")
-    return found.unionByName(orders.join(small(still), F.col("tax_year") >= F.col("tax_year_from")).select("o_orderkey", "law", "version"))
+    """The snapshot of its customer's law that is in force for each order. A snapshot is a row for each of its years, the open one up to the last year of any order, so
+    that the join is by law and year."""
+    closed = written(_closed(spark, d), "closed")
+    laws = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("law"))  # 25 nations
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", tax_year_of(F.col("o_orderdate")).alias("tax_year"))
+    last = orders.agg(F.max("tax_year").alias("last"))
+    each = closed.crossJoin(F.broadcast(last)).withColumn("to", F.coalesce("tax_year_to", "last")).filter(F.col("to") >= F.col("tax_year_from"))  # one row
+    years = each.select("law", "version", F.explode(F.sequence("tax_year_from", "to")).alias("tax_year"))
+    return orders.join(laws, "o_custkey").join(small(years), ["law", "tax_year"]).select("o_orderkey", "law", "version")
 
 
 @book.query("""SELECT p_partkey AS key, 'no line' AS problem FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'no part' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
