@@ -16,6 +16,14 @@ def body_spans(spans: DataFrame, page: str, y: str, separator: Column, junk: Col
     return rows.filter(F.col("__separator").isNull() | (F.col(y) < F.col("__separator") - 1)).drop("__separator")
 
 
+def body_lines(lines: DataFrame, top: float, bottom: float, least_size: float, junk_size: float) -> DataFrame:
+    """The lines of a page's body: without spans of `junk_size` or larger, without running headers and footers (of `least_size` or larger, above `top` or
+    below `bottom`), and without lines of only brackets and punctuation. lines: y, size, text."""
+    edge = ((F.col("y") < top) | (F.col("y") > bottom)) & (F.col("size") >= least_size)
+    empty = F.regexp_replace("text", r"[\[\].;,*\s]", "") == ""
+    return lines.filter((F.col("size") < junk_size) & ~edge & ~empty)
+
+
 def baselines(spans: DataFrame, page: str, y: str, x: str, text: str, tolerance: float = 3.0) -> DataFrame:
     """page, y, text: spans whose y lies within `tolerance` of the first span of their line, joined from left to right. A
     line is anchored at its first y, so a page that drifts does not run together."""
@@ -53,6 +61,20 @@ def split_tables(rows: DataFrame, table: str, order: str, text: str, limit: int)
     return each.groupBy(table, "header", F.col("x.piece").alias("piece")).agg(body.alias("body")).select(table, "piece", F.concat("header", F.lit("\n"), "body").alias("text"))
 
 
+def contents(entries: Column, most_ahead: int = 50) -> Column:
+    """The entries (number, title) of a table of contents in order of a text, up to the first whose title begins the schedules; each number goes up
+    from the last one accepted, by `most_ahead` at most, so that stray page numbers are passed over."""
+    none = F.array().cast("array<struct<number:int,title:string>>")
+    begins = F.array_position(F.transform(entries, lambda e: F.coalesce(F.lower(F.trim(e["title"])).rlike("^(?:the )?(?:[a-z]+ )?schedules?$"), F.lit(False))), True)
+    live = F.when(begins > 0, F.slice(entries, F.lit(1), (begins - 1).cast("int"))).otherwise(entries)
+
+    def step(acc: Column, e: Column) -> Column:
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["number"], F.lit(0))
+        return F.when((e["number"] > last) & (e["number"] <= last + most_ahead), F.concat(acc, F.array(F.struct(e["number"].alias("number"), e["title"].alias("title"))))).otherwise(acc)
+
+    return F.aggregate(live, none, step)
+
+
 def listed_numbers(numbers: Column, most_ahead: int = 50) -> Column:
     """The entries of a table of contents in order of a text: each number goes up from the last one accepted, by
     `most_ahead` at most, so that stray page numbers are passed over."""

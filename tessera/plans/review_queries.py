@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import estimate_tokens
+from tessera.functions.scope import filer_question
 from tessera.operators import layout, review
 from tessera.plans.fixtures import NUMBERED, Made
 from tessera.plans.registering import Book
@@ -182,7 +183,7 @@ def testset_violations(spark: SparkSession, d: str) -> DataFrame:
     rules = {
         "empty question": F.col("question") == "", "language": ~F.col("language").isin("en", "ur", "roman_ur"), "unknown section": F.size(F.array_except("gold", known)) > 0,
         "no reference": (F.col("reference") == "") & (F.col("grp") != "out_of_scope"), "tax year": ~F.col("tax_year").between(2003, 2035), "split": ~F.col("split").isin("dev", "test"),
-        "gold out of scope": (F.col("grp") == "out_of_scope") & (F.size("gold") > 0), "needs list check": F.exists("gold", lambda g: g.startswith("WHT")) | F.contains("question", F.lit("filer")),
+        "gold out of scope": (F.col("grp") == "out_of_scope") & (F.size("gold") > 0), "needs list check": F.exists("gold", lambda g: g.startswith("WHT")) | filer_question(F.col("question")),
     }
     broken = t.select("id", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("rule")).select("rule", "id")
     twice = t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate id").alias("rule"), "id")
