@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that were given out and are still there, by the application.
+_given: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, a local master (tests) uses the temporary folder; on a
     cluster that is an error, since a machine's own folder would lose tables."""
@@ -17,7 +21,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tessera-shared"
-    return f"{base.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -26,3 +32,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the folders that this application was given, through the file system that holds them, and tell how many: for use when the results
+    that were made from them are written or collected."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -227,3 +227,36 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"ask_id": "a", "id": "no number"}\n')
     with pytest.raises(Exception):
         read_json_lines(spark, f"file://{tmp_path}/bad.jsonl", schemas.FEEDBACK).collect()
+
+
+class _Cluster:
+    """A session on a cluster, as far as the shared folder asks."""
+
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "app"
+
+    class conf:
+        settings: dict = {}
+
+        @classmethod
+        def get(cls, key, default=None):
+            return cls.settings.get(key, default)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from tessera.sources.shared import shared_folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Cluster, "x")
+    monkeypatch.setitem(_Cluster.conf.settings, "spark.checkpoint.dir", "hdfs://shared/dir/")
+    assert shared_folder(_Cluster, "x").startswith("hdfs://shared/dir/tessera/x-")
+
+
+def test_sweep(spark):
+    import os
+
+    from tessera.sources.shared import sweep, written
+
+    rows = written(spark.range(3), "swept")
+    path = rows.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and sweep(spark) >= 1 and not os.path.exists(path) and sweep(spark) == 0
