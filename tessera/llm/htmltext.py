@@ -27,15 +27,15 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 #: Elements that stand within a line; all others begin and end a block.
 INLINE = frozenset("script style template noscript button input select option textarea object iframe svg math canvas audio video picture source map area a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold no article text.
-NO_TEXT = frozenset("head script style title noscript template iframe object embed applet canvas svg math audio video map nav header footer aside form button select option textarea input fieldset dialog menu noembed noframes xmp".split())
+NO_TEXT = frozenset("head script style title noscript template iframe object embed applet canvas svg math audio video map nav footer aside form button select option textarea input fieldset dialog menu noembed noframes xmp".split())
 #: Elements, and words of role, class and id, that hold the article.
 ARTICLE_TAGS = frozenset("article main".split())
-ARTICLE_NAMES = frozenset("article main content post entry story body text".split())
+ARTICLE_NAMES = frozenset("article main content post entry story".split())
 #: Words by which an article element is no article but one of many small ones beside it.
 NO_ARTICLE = frozenset("comment comments reply ad advert sponsored promo related teaser widget".split())
 #: Words of role, class and id that hold something else.
 OTHER_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices alert alerts notification popup modal overlay "
+    "ad ads adv adbox adslot adunit adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices alert alerts notification popup modal overlay "
     "nav navbar navigation navigational menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar copyright sidebar aside complementary widget widgets rail "
     "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations trending newsletter subscribe subscription signup login search form contentinfo banner hidden".split()
 )
@@ -56,6 +56,12 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Where a run of text stands: nothing is known of it; something else than the article; a place named like an article; an
 #: article element. TAG: a start or an end of an element.
 PLAIN, OTHER, NAMED, ARTICLE, TAG = 0, 1, 2, 3, 4
+#: What an element says that is a header, by its tag or its names: something else, but a part of an article that it stands in.
+HEADER = 5
+#: Places named like an article hold the article only if at least this share of a page's text that is not something else stands in them.
+NAMED_SHARE = 0.3
+_UNSEEN = re.compile(r"""aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+_QUOTED, _HIDDEN = re.compile(r""""[^"]*"|'[^']*'"""), re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
 
 
 class Piece(NamedTuple):
@@ -74,12 +80,17 @@ def _kind_of(tag: str, attributes: str) -> tuple[int, str]:
     """(what an element's tag and names say of its text, its name in paths)."""
     names = " ".join(sorted(f"{a.lower()}={(x or y or z).strip()}" for a, x, y, z in _NAMES.findall(attributes))) if attributes else ""
     full = f"{tag} {names}" if names else tag
-    if tag in NO_TEXT:
+    if tag == "header":
+        return HEADER, full
+    if tag in NO_TEXT or attributes and (_UNSEEN.search(attributes) or _HIDDEN.search(_QUOTED.sub("", attributes))):
         return OTHER, full
     words = {w.lower() for part in names.split() for w in _WORDS.findall(part.partition("=")[2] or part)} if names and tag not in ("html", "body") else set()
     if tag in ARTICLE_TAGS:
         return OTHER if words & NO_ARTICLE else ARTICLE, full
-    return OTHER if words & OTHER_NAMES else NAMED if words & ARTICLE_NAMES else PLAIN, full
+    other = words & OTHER_NAMES
+    if other:
+        return HEADER if other == {"header"} else OTHER, full
+    return NAMED if words & ARTICLE_NAMES else PLAIN, full
 
 
 def pieces(page: str) -> Iterator[Piece]:
@@ -138,8 +149,8 @@ def pieces(page: str) -> Iterator[Piece]:
         below = f"{path}>{name}"
         if len(below) > 400:  # a path of any depth keeps one size
             below = blake2b(below.encode(), digest_size=8).hexdigest()
-        # what is inside something else is so too; the header of an article is a part of it
-        now = kind if tag == "header" and kind == ARTICLE else OTHER if OTHER in (own, kind) else max(own, kind)
+        # what is inside something else is so too
+        now = kind if own == HEADER and kind == ARTICLE else OTHER if own in (OTHER, HEADER) or kind == OTHER else max(own, kind)
         yield Piece(below, TAG, False, " " if tag == "br" else None, tag not in INLINE)
         if tag in VOID or (m[3] or "").endswith("/") and tag not in INLINE and tag not in RAW and tag not in LIMITS:
             continue
@@ -169,9 +180,25 @@ def tidy(text: str) -> str:
     return " ".join(text.split())
 
 
-def level_of(kinds: set[int]) -> int:
-    """The best place that a page has text in."""
-    return max((k for k in kinds if k in (PLAIN, NAMED, ARTICLE)), default=PLAIN)
+def level_of(chars: dict[int, int]) -> int:
+    """The best place that a page has text in, from the characters in each: an article element, else places named like one if they hold
+    enough, else any place that is not something else."""
+    if chars.get(ARTICLE):
+        return ARTICLE
+    named, plain = chars.get(NAMED, 0), chars.get(PLAIN, 0)
+    return NAMED if named and named >= NAMED_SHARE * (named + plain) else PLAIN
+
+
+def counts_at(level: int, kind: int) -> bool:
+    """Whether text of a kind may be the article's on a page of a level."""
+    return kind == level or level == PLAIN and kind == NAMED
+
+
+def chars_of(texts: Iterator[tuple[int, int]]) -> dict[int, int]:
+    found: dict[int, int] = defaultdict(int)
+    for kind, size in texts:
+        found[kind] += size
+    return found
 
 
 # --- templates ------------------------------------------------------------------------------------------------------
@@ -316,7 +343,7 @@ def _slots(batches):
     for r in _skeleton_rows(batches):
         walk, _ = template(r["plan"])
         walk.begin()
-        level = level_of(set(r["kinds"]))
+        level = level_of(chars_of((k, abs(n)) for k, n in zip(r["kinds"], r["sizes"], strict=True)))
         for token, kind, size in zip(r["tokens"], r["kinds"], r["sizes"], strict=True):
             if kind in (TAG, PLAIN) and walk.step(token) or kind == TAG:
                 continue
@@ -336,7 +363,7 @@ def main_text(page: str, plan: str | None) -> str:
     walk, accepted = template(plan) if plan else (Walk([]), set())
     walk.begin()
     own = list(pieces(page))
-    level = level_of({p.kind for p in own})
+    level = level_of(chars_of((p.kind, len(p.text)) for p in own if p.text is not None and p.kind not in (TAG, OTHER)))
     blocks: list[list[tuple[str, bool, bool]]] = [[]]  # text, accepted by its slot, linked
     for p in own:
         if p.block and blocks[-1]:
@@ -344,7 +371,7 @@ def main_text(page: str, plan: str | None) -> str:
         in_class = plan is not None and p.kind in (TAG, PLAIN) and walk.step(token_of(p))
         if p.text == " ":
             blocks[-1].append((" ", False, False))
-        elif p.kind == level and p.text is not None:
+        elif p.text is not None and p.kind != TAG and counts_at(level, p.kind):
             blocks[-1].append((p.text, not in_class and (level, *walk.at, p.kind) in accepted, p.linked))
     by_slots = [tidy("".join(t for t, slot, _ in b if slot or t == " ")) for b in blocks] if accepted else []
     if any(by_slots):
@@ -415,7 +442,8 @@ def templates(skeletons: DataFrame, least_pages: int = LEAST_PAGES, share: float
     kept = stash(listed(classes.join(valid, ["host", "c"])), "valid-classes")
     slots = _joined(skeletons, kept.select("host", F.to_json(F.struct("classes")).alias("plan")), few, "inner").select("host", "plan", "tokens", "kinds", "sizes").mapInArrow(_slots, _SLOTS)
     slots = slots.groupBy("host", "level", "c", "gap", "kind").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    taken = slots.filter((F.col("kind") == F.col("level")) & ((F.col("kind") != PLAIN) | (F.col("linked") < LINKS * F.col("chars"))))
+    fits = (F.col("kind") == F.col("level")) | ((F.col("level") == PLAIN) & (F.col("kind") == NAMED))
+    taken = slots.filter(fits & ((F.col("level") != PLAIN) | (F.col("linked") < LINKS * F.col("chars"))))
     accepted = taken.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("level", "c", "gap", "kind"))).alias("slots"))
     return stash(kept.join(accepted, "host").select("host", F.to_json(F.struct("classes", "slots")).alias("plan")), "templates"), few
 

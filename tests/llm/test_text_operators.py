@@ -190,6 +190,9 @@ CASES = [
     ("<article><h1>A &amp; B</h1><p>one\n two<br>three<p>four <b>x</b><i>y</i></article>", "A & B\none two three\nfour xy"),
     ("<nav>n</nav><main><p>in <script>var x='</p>'</script>side</p><aside>no</aside><form>no</form></main><footer>f</footer>", "in side"),
     ('<div class="content"><p>yes</p><div class="cookie-notice">no</div><section id="comments"><article class="comment">no</article></section></div><div id="sidebar">no</div>', "yes"),
+    ('<article><div class="entry-header"><h1>h</h1></div><p>t</p><div class="share">no</div></article><header>no</header>', "h\nt"),
+    ('<div class="text-center">a headline</div><p>' + "long plain article " * 9 + '</p><span class="main-icon">x</span><div class="header">no</div>', "a headline\n" + ("long plain article " * 9).strip() + "\nx"),
+    ('<main><p>yes</p><div hidden>no</div><p style="display: none">no</p><i aria-hidden="true">no</i><p data-hidden="x" title="hidden gems">too</p></main>', "yes\ntoo"),
     ("<p>no end <b>of tags", "no end of tags"),
     ("plain &lt;text&gt; only", "plain <text> only"),
     ("<article>a<!-- no -->b<!-- no", "ab"),
@@ -249,3 +252,19 @@ def test_template_needs_pages(spark):
         return templates(df.mapInArrow(_skeletons, _SKELETON))[0].count()
 
     assert [hosts(LEAST_PAGES - 1), hosts(LEAST_PAGES)] == [0, 1]
+
+
+def test_the_shared_folder_is_asked_for():
+    from tessera.llm.common import shared_dir
+
+    class cluster:
+        class sparkContext:
+            master = "yarn"
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
