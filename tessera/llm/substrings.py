@@ -144,42 +144,62 @@ def extend(own: list[bytes], other: list[bytes], place: int, at: int, reach: int
         done = end + 1
 
 
-def repeated_words(words: list[bytes], parts: list[dict], least: int) -> np.ndarray:
-    """Which words of a text lie in a run of at least `least` words that a holder repeats.
+def mark_repeats(words: list[bytes], gone: np.ndarray, match: tuple, held: list[tuple[int, bytes]], least: int) -> None:
+    """Mark in `gone` the words of a text that lie in a run of at least `least` words that a holder repeats.
 
-    parts: for each match its place in the text, the holder and the place there, the number of places after it that
-    the run may begin at, and one of the holder's stretches around it, by number.
+    match: its place in the text, the holder and the place there, and the number of places after it that the run may begin at;
+    held: the holder's stretches around it, by number.
     """
-    gone = np.zeros(len(words), bool)
-    matches: dict[tuple, list[tuple[int, bytes]]] = {}
-    for m in parts:
-        matches.setdefault((m["place"], m["low"], m["low_mark"], m["low_place"], m["length"]), []).append((m["stretch"], m["words"]))
-    for (place, _, _, low_place, length), held in matches.items():
-        held.sort()
-        other = [w for _, piece in held for w in piece.split(b" ")]
-        for begin, end in extend(words, other, place, low_place - held[0][0] * STRETCH, length):
-            if end - begin >= least:
-                gone[begin:end] = True
-    return gone
+    place, _, _, low_place, length = match
+    other = [w for _, piece in held for w in piece.split(b" ")]
+    for begin, end in extend(words, other, place, low_place - held[0][0] * STRETCH, length):
+        if end - begin >= least:
+            gone[begin:end] = True
 
 
 _CUTS = "doc_id long, digest binary, n_removed long, kept_sha256 string"
 
 
 def _cut(least: int, with_text: bool):
+    """Rows in order: a text, then the stretches of its matches, match by match. A text and one match are in memory at a time,
+    however many holders a text is put together from."""
     fields = _CUTS + ", kept string" * with_text
 
     def run(batches):
         rows, size = [], 0
-        for doc, digest, parts, text in arrow_rows(batches, "doc_id", "digest", "parts", "text"):
-            words = text.split()
-            gone = repeated_words(words, parts, least)
+        doc = digest = match = None
+        words: list[bytes] = []
+        gone, held = np.zeros(0, bool), []
+
+        def matched():
+            if held:
+                mark_repeats(words, gone, match, held, least)
+                held.clear()
+
+        def cut() -> tuple:
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            rows.append((doc, digest, int(gone.sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if with_text else ()))
-            size += 100 + len(kept) * with_text
-            if size >= 1_000_000:
-                yield _batch(rows, fields)
-                rows, size = [], 0
+            return (doc, digest, int(gone.sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if with_text else ())
+
+        for kind, doc_id, own, text, place, low, low_mark, low_place, length, stretch, piece in arrow_rows(batches, "kind", "doc_id", "digest", "text", "place", "low", "low_mark", "low_place", "length", "stretch", "words"):
+            if kind == 0:
+                matched()
+                if digest is not None:
+                    rows.append(cut())
+                    size += 100 + len(rows[-1][-1]) * with_text
+                doc, digest, words = doc_id, own, text.split()
+                gone = np.zeros(len(words), bool)
+                if size >= 1_000_000:
+                    yield _batch(rows, fields)
+                    rows, size = [], 0
+                continue
+            now = (place, low, low_mark, low_place, length)
+            if now != match:
+                matched()
+                match = now
+            held.append((stretch, piece))
+        matched()
+        if digest is not None:
+            rows.append(cut())
         if rows:
             yield _batch(rows, fields)
 
@@ -188,7 +208,8 @@ def _cut(least: int, with_text: bool):
 
 def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts). documents: doc_id, digest, n_words, whole_sha256, first_id (least doc_id with the same text,
-    null for texts of fewer than `least` words). cuts: doc_id, digest, text and the matches (`parts`) of the first documents.
+    null for texts of fewer than `least` words). cuts: of the first documents with matches, in partitions and in order, a row (kind 0) with
+    digest and text, then rows (kind 1) with the holders' stretches, match by match.
 
     Seeds: each window's winnowed anchor; an anchor that only one document has is no seed. Each window that a shared
     seed anchors is looked up by the code of its words, which names the least document that holds it, the holder, and
@@ -219,7 +240,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, Data
     some = rows.filter(may_hold(marked.select("doc_id").distinct(), "doc_id")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     texts = stash(some.join(marked.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "mark", "digest", "seeds", "text"), "passages")
 
-    spots = texts.select("doc_id", "mark", "seeds", "text").mapInArrow(_windows_at_seeds(least), "window long, doc_id long, mark long, place int")
+    spots = stash(texts.select("doc_id", "mark", "seeds", "text").mapInArrow(_windows_at_seeds(least), "window long, doc_id long, mark long, place int"), "spots")
     holders = spots.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("mark", "doc_id").alias("low_mark"), F.min_by("place", "doc_id").alias("low_place"))
     holders = stash(holders.filter("low < high").drop("high"), "holders", 64 * n)
     hits = spots.join(holders, "window").filter("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "low", "low_mark", "low_place")).alias("hits"))
@@ -231,8 +252,11 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> tuple[DataFrame, Data
     wanted = asked.select(F.col("low").alias("doc_id"), F.col("low_mark").alias("mark"), "stretch").distinct().groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("stretch")).alias("wanted"))
     pieces = stash(texts.select("doc_id", "mark", "text").join(wanted, ["doc_id", "mark"]).mapInArrow(_cut_stretches, _STRETCHES), "stretches")
     held = asked.join(pieces.select(F.col("doc_id").alias("low"), F.col("mark").alias("low_mark"), "stretch", "words"), ["low", "low_mark", "stretch"])
-    found = held.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "low", "low_mark", "low_place", "length", "stretch", "words")).alias("parts"))
-    cuts = texts.select("doc_id", "mark", "digest", "text").join(found, ["doc_id", "mark"])
+    match = ["place", "low", "low_mark", "low_place", "length", "stretch"]
+    parts = held.select(F.lit(1).alias("kind"), "doc_id", "mark", *match, "words")
+    own_texts = texts.join(matches.select("doc_id", "mark").distinct(), ["doc_id", "mark"]).select(F.lit(0).alias("kind"), "doc_id", "mark", "digest", "text")
+    both = own_texts.unionByName(parts, allowMissingColumns=True).repartition("doc_id", "mark")
+    cuts = both.sortWithinPartitions("doc_id", "mark", "kind", *match)
     return known, cuts
 
 
@@ -247,7 +271,7 @@ def drop_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     known, cuts = repeated_passages(docs, least)
     run, fields = _cut(least, False)
-    cut = cuts.select("doc_id", "digest", "parts", "text").mapInArrow(run, fields)
+    cut = cuts.mapInArrow(run, fields)
     whole_copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     joined = known.join(cut, ["doc_id", "digest"], "left")
     return joined.select(
