@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,21 +15,37 @@ PROPERTY_TAX_URDU = ["پراپرٹی ٹیکس", "جائیداد ٹیکس"]
 DEALING = "sell* sale* sold* bech* bach* buy* bought* purchas* khareed* kharid* transfer* rent* kiray* withholding* 236*".split() + ["capital gain*", "advance tax*"]
 DEALING_URDU = "بیچ فروخت خرید منتقل کرای ایڈوانس".split()
 # Words for what is to come, and for a budget.
-COMING = "next upcoming coming new future agla agle aglay agley nay nae naye naey".split() + [f"{a} {b}" for a, b in product("ana ane anay aney aana aane aanay aaney".split(), "wala wale walay waley".split())]
+COMING = [
+    "next", "upcoming", "coming", "new", "future", "agla", "agle", "aglay", "agley", "nay", "nae", "naye", "naey",
+    "ana wala", "ana wale", "ana walay", "ana waley", "ane wala", "ane wale", "ane walay", "ane waley", "anay wala",
+    "anay wale", "anay walay", "anay waley", "aney wala", "aney wale", "aney walay", "aney waley", "aana wala",
+    "aana wale", "aana walay", "aana waley", "aane wala", "aane wale", "aane walay", "aane waley", "aanay wala",
+    "aanay wale", "aanay walay", "aanay waley", "aaney wala", "aaney wale", "aaney walay", "aaney waley",
+]
 COMING_URDU = ["اگلے", "آنے والے", "نئے"]
 BUDGET, BUDGET_URDU = ["budget"], ["بجٹ"]
 # Provinces and their revenue authorities; the short names count in capitals only.
 AUTHORITY_SHORT = ["SRB", "PRA", "KPRA", "BRA"]
-PROVINCES = ["sindh", "punjab", "khyber pakhtunkhwa", "balochistan"]
-AUTHORITY = [f"{p} revenue {x}" for p, x in product(PROVINCES, ("board", "authority"))]
-AUTHORITY_URDU = [f"{p} ریونیو {x}" for p, x in product(("سندھ", "پنجاب", "خیبر پختونخوا", "بلوچستان"), ("بورڈ", "اتھارٹی"))]
+AUTHORITY = [
+    "sindh revenue board", "sindh revenue authority", "punjab revenue board", "punjab revenue authority",
+    "khyber pakhtunkhwa revenue board", "khyber pakhtunkhwa revenue authority", "balochistan revenue board",
+    "balochistan revenue authority",
+]
+AUTHORITY_URDU = [
+    "سندھ ریونیو بورڈ", "سندھ ریونیو اتھارٹی", "پنجاب ریونیو بورڈ", "پنجاب ریونیو اتھارٹی",
+    "خیبر پختونخوا ریونیو بورڈ", "خیبر پختونخوا ریونیو اتھارٹی", "بلوچستان ریونیو بورڈ", "بلوچستان ریونیو اتھارٹی",
+]
 # Sales tax, services and provinces, and income tax.
 SALES_TAX, SALES_TAX_URDU = ["sales tax", "salestax"], ["سیلز ٹیکس"]
 SERVICES = "service services sindh punjab kp kpk khyber balochistan restaurant*".split()
 SERVICES_URDU = "خدمات سروس سندھ پنجاب خیبر بلوچستان ریسٹورنٹ".split()
 INCOME_TAX, INCOME_TAX_URDU = ["income tax", "incometax", "withholding", "wht", "151", "153"], ["انکم ٹیکس", "ود ہولڈنگ"]
 # Words for being on the list of active taxpayers.
-FILER = ["filer", "filers", "nonfiler", "nonfilers", "atl", "nonatl"] + [f"active {p}{x} list" for p, x in product(("taxpayer", "tax payer"), ("", "s", " ' s", "s '"))]
+FILER = [
+    "filer", "filers", "nonfiler", "nonfilers", "atl", "nonatl", "active taxpayer list", "active taxpayers list",
+    "active taxpayer ' s list", "active taxpayers ' list", "active tax payer list", "active tax payers list",
+    "active tax payer ' s list", "active tax payers ' list",
+]
 FILER_URDU = ["فائلر", "ایکٹو ٹیکس"]
 
 
