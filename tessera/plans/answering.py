@@ -30,7 +30,8 @@ def in_year(year: Column) -> Column:
 def keyword_score(question: Column, passage: Column) -> Column:
     """The default reranker: the share of the question's words of over four letters that the passage holds."""
     words = F.array_distinct(F.filter(F.split(F.lower(question), r"\s+"), lambda w: F.length(w) > 4))
-    held = F.size(F.filter(words, lambda w: F.contains(F.lower(passage), w)))
+    # the passage is put in small letters once, not for each word
+    held = F.get(F.transform(F.array(F.lower(passage)), lambda p: F.size(F.filter(words, lambda w: F.contains(p, w)))), F.lit(0))
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.round(held / F.size(words), 6))
 
 
