@@ -48,8 +48,10 @@ def evaluated_setups(spark: SparkSession, d: str) -> DataFrame:
     sparse, words = both_searches(docs, asked_terms(asks, "ask_id"), "doc_id", 30)
     named = [r.select(F.concat(F.lit(f"{n}-"), F.col("ask_id") % 10).alias("list"), F.expr("ask_id div 10").alias("item_id"), "doc_id", "rank") for n, r in (("sparse", sparse), ("bm25", words))]
     lists = written(named[0].unionByName(named[1]), "lists")
-    pairs = lists.select("item_id", "doc_id").distinct().join(asks.select("item_id", "v", F.col("text").alias("asked")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    each = pairs.select("item_id", "doc_id", "v", keyword_score(F.col("asked"), F.col("text")).alias("score")).groupBy("item_id", "doc_id").agg(F.max(F.when(F.col("v") == 0, F.col("score"))).alias("question"), F.max("score").alias("max"))
+    wordings = asks.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "text"))), lambda a: a["text"]).alias("asked"))  # three an item
+    pairs = lists.select("item_id", "doc_id").distinct().join(wordings, "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    scored = pairs.select("item_id", "doc_id", F.transform("asked", lambda q: keyword_score(q, F.col("text"))).alias("s"))
+    each = written(scored.select("item_id", "doc_id", F.get("s", F.lit(0)).alias("question"), F.array_max("s").alias("max")), "scores")
     scores = each.select("item_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in ("question", "max")])).alias("s")).select("s.kind", "item_id", "doc_id", "s.score")
     ranked = run_setups(SETUPS.spark(spark), lists, scores, "item_id", "doc_id")
     gold = written(documents_holding(docs, items.filter("item_id % 10 <> 9"), "doc_id", "item_id").join(docs.select("doc_id", "lang"), "doc_id"), "gold")
