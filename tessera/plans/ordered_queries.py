@@ -158,9 +158,7 @@ SEGMENTS = Made("""SELECT c_nationkey AS page, c_acctbal AS x FROM {customer}"""
 @book.query(f"""SELECT col, coalesce(max(x), h - 8) AS edge FROM {HEADS.duck()} c LEFT JOIN {SEGMENTS.duck()} s ON s.page = c.page AND s.x BETWEEN h - 40 AND h + 2 GROUP BY col, h""")
 def rightmost_edge_band(spark: SparkSession, d: str) -> DataFrame:
     """The right-most ruling segment near each column head, else a default."""
-    h, s = HEADS.spark(spark, d).alias("h"), SEGMENTS.spark(spark, d).alias("s")
-    near = (F.col("h.page") == F.col("s.page")) & F.col("x").between(F.col("h") - 40, F.col("h") + 2)
-    return h.join(s, near, "left").groupBy("col", "h").agg(F.max("x").alias("x")).select("col", F.coalesce("x", F.col("h") - 8).alias("edge"))
+    return o.last_within(HEADS.spark(spark, d), SEGMENTS.spark(spark, d), ["page"], "h", "x", 40.0, 2.0).groupBy("col", "h").agg(F.max("x").alias("x")).select("col", F.coalesce("x", F.col("h") - 8).alias("edge"))
 
 
 @book.query("""SELECT user_id, event_id, ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events""")

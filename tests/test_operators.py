@@ -1,6 +1,7 @@
 """Operators on inline rows: the facts that define them, ties, nulls and empty inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tessera.functions.numbers import calculate, numbers_in
 from tessera.operators import chunking
 from tessera.operators.aggregates import allocate, nearest_rank
 from tessera.operators.lookup import companions, final_ranks
-from tessera.operators.ordered import anchored_clusters, as_of, greedy_groups, monotone, number_chain
+from tessera.operators.ordered import anchored_clusters, as_of, greedy_groups, last_within, monotone, number_chain
 from tessera.operators.retrieval import bm25, dense_knn, fuse, means_with_total, ranking_metrics
 from tessera.operators.serving import daily_quota, sliding_limit
 from tessera.sources.tables import cached, last_by_key, read_glossary, upsert, write_snapshot
@@ -266,3 +267,13 @@ def test_companions_of_one_place_go_by_chunk(spark):
     parts = spark.createDataFrame([(q, 0, 1, c) for q in range(20) for c in ("d", "b", "c", "a")], "question_id int, priority int, ord int, chunk_id string").repartition(7)
     got = companions(parts, spark.createDataFrame([(0, "a")], "question_id int, chunk_id string")).collect()
     assert sorted((r["question_id"], r["rank"], r["chunk_id"]) for r in got) == [(q, i + 1, c) for q in range(20) for i, c in enumerate("bcd" if q == 0 else "abc")]
+
+
+def test_last_within_makes_no_pairs(spark):
+    r = random.Random(3)
+    points = [(g, i, r.randrange(-300, 300) / 4) for i in range(60) for g in (1, 2)] + [(1, 99, None), (None, 98, 5.0)]
+    values = [(r.choice([1, 2]), r.randrange(-400, 400) / 4) for _ in range(60)] + [(None, 5.0), (1, None)]
+    found = last_within(spark.createDataFrame(points, "g int, i int, h double"), spark.createDataFrame(values, "g int, x double"), ["g"], "h", "x", 4.0, 0.5)
+    near = {(g, i): max((x for k, x in values if k == g and g is not None and x is not None and h is not None and h - 4.0 <= x <= h + 0.5), default=None) for g, i, h in points}
+    assert {(x["g"], x["i"]): x["x"] for x in found.collect()} == near
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
