@@ -21,7 +21,7 @@ DIVISION = " division  (?:-  )?([ivxl]+[a-c]?)  (?:,  )?(?:of  )?part  (?:-  )?(
 
 class CardIndex(NamedTuple):
     """rules: rule, chunk_id; tables: name, chunk_id; cards: section, chunk_id (the first of a section); card_rules: chunk_id, ord, rule;
-    divisions: division, section; sections: chunk_id, section (what a source is about, where a card exists for it)."""
+    divisions: division, section; sections: chunk_id, section (what a source is about, where a card exists for it), distinct: pieces that share a chunk id count once."""
 
     rules: DataFrame
     tables: DataFrame
@@ -41,24 +41,20 @@ def rule_starts(pieces: DataFrame) -> DataFrame:
     """rule, chunk_id: where each rule of a schedule begins. A number, a point and a capital begin a rule only if the number follows the
     last rule found, so rules run 1, 2, 3 and so on.
 
-    The rule n begins at the first place of n behind that of n - 1: the places of each number are joined to the place before, a number
-    at a time, and rules are as few as a schedule can have (two digits)."""
+    The rule n begins at the first place of n behind that of n - 1. The places are written once and each rule is the least place of its number
+    behind the last rule, a distributed minimum; so no task holds a schedule, and the rounds are as few as it has rules (two digits, so 99 at most)."""
     line = token_line(F.col("text"))
     found = F.regexp_extract_all(line, F.lit(r" ([0-9]{1,2})  \.  (?:\[  )?[A-Z]"), F.lit(1))
-    places = pieces.select("ord", "chunk_id", F.posexplode(F.transform(found, lambda n: n.cast("int"))).alias("at", "n")).select("n", F.struct("ord", "at", "chunk_id").alias("place"))
-    lists = places.groupBy("n").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    # a number's places are pieces of one schedule; the fold over the numbers is a row of at most a hundred
-    chain = lists.agg(F.array_sort(F.collect_list(F.struct("n", "places"))).alias("all"))
-    kind = "struct<last:struct<ord:bigint,at:int,chunk_id:string>,found:array<struct<rule:int,chunk_id:string>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        later = F.filter(x["places"], lambda p: acc["last"].isNull() | (p > acc["last"]))
-        goes = (x["n"] == F.size(acc["found"]) + 1) & (F.size(later) > 0)
-        more = F.struct(F.get(later, F.lit(0)).alias("last"), F.concat(acc["found"], F.array(F.struct(x["n"].alias("rule"), F.get(later, F.lit(0))["chunk_id"].alias("chunk_id")))).alias("found")).cast(kind)
-        return F.when(goes, more).otherwise(acc)
-
-    start = F.struct(F.lit(None).alias("last"), F.array().alias("found")).cast(kind)
-    return chain.select(F.explode(F.aggregate("all", start, step, lambda acc: acc["found"])).alias("r")).select("r.rule", "r.chunk_id")
+    places = written(pieces.select("ord", "chunk_id", F.posexplode(F.transform(found, lambda n: n.cast("int"))).alias("at", "n")), "places")
+    place, last, rules = F.struct("ord", "at", "chunk_id"), None, []
+    while len(rules) < 99:
+        own = places.filter(F.col("n") == len(rules) + 1)
+        later = own if last is None else own.filter(place > F.struct(F.lit(last["ord"]).cast("long").alias("ord"), F.lit(last["at"]).alias("at"), F.lit(last["chunk_id"]).alias("chunk_id")))
+        last = later.agg(F.min(place).alias("p")).first()["p"]
+        if last is None:
+            break
+        rules.append((len(rules) + 1, last["chunk_id"]))
+    return pieces.sparkSession.createDataFrame(rules, "rule int, chunk_id string")
 
 
 def card_index(chunks: DataFrame, schedule: str, law: str, prefix: str) -> CardIndex:
@@ -76,7 +72,7 @@ def card_index(chunks: DataFrame, schedule: str, law: str, prefix: str) -> CardI
     own = F.regexp_extract("chunk_id", rf"^({prefix}-p[IVX]+-div[IVXA-Z]+)(?:-t?[0-9]+)?$", 1)
     by_division = chunks.filter((F.col("law_code") != law) | F.col("section").isNull() | F.col("schedule").isNotNull()).select("chunk_id", own.alias("division")).join(divisions, "division").select("chunk_id", "section")
     tables = pieces.filter(is_table).groupBy(F.col("suffix").alias("name")).agg(F.max_by("chunk_id", "ord").alias("chunk_id"))
-    parts = {"rules": rule_starts(pieces.filter(~is_table)), "tables": tables, "cards": first, "card_rules": card_rules(cards), "divisions": divisions, "sections": of_law.unionByName(by_division)}
+    parts = {"rules": rule_starts(pieces.filter(~is_table)), "tables": tables, "cards": first, "card_rules": card_rules(cards), "divisions": divisions, "sections": of_law.unionByName(by_division).distinct()}
     return CardIndex(**{name: written(rows, f"cards-{name}") for name, rows in parts.items()})
 
 
@@ -89,7 +85,8 @@ def card_companions(index: CardIndex, top: DataFrame, chunks: DataFrame, questio
     top: question_id, chunk_id, rank (distinct); chunks: chunk_id, law_code, section; questions: question_id, filer (boolean), named (section ids in
     order)."""
     filer = questions.select("question_id", F.coalesce("filer", F.lit(False)).alias("filer"))
-    held = top.join(small(chunks.filter(F.col("law_code") == CARDS).select("chunk_id", "section")), "chunk_id")
+    top = written(top, "top")  # this, the cards held and the cards added are each read several times
+    held = written(top.join(small(chunks.filter(F.col("law_code") == CARDS).select("chunk_id", "section")), "chunk_id"), "held-cards")
     first = top.filter(F.col("rank") <= best)
     about = first.join(small(index.sections), "chunk_id").groupBy("question_id", "section").agg(F.min("rank").alias("at"))
     about = about.join(held.select("question_id", "section").distinct(), ["question_id", "section"], "left_anti")
@@ -99,7 +96,7 @@ def card_companions(index: CardIndex, top: DataFrame, chunks: DataFrame, questio
     mark = f"{law_prefix}-s"
     named = questions.select("question_id", F.posexplode("named").alias("at", "sid")).filter(F.startswith("sid", F.lit(mark))).withColumn("section", F.element_at(F.split("sid", "-s"), -1))
     named = named.join(without, "question_id", "left_semi").join(small(index.cards), "section").groupBy("question_id").agg(F.min_by(F.struct("section", "chunk_id"), "at").alias("c")).select("question_id", "c.section", "c.chunk_id", F.lit(0).alias("at"))
-    cards = cards.unionByName(named).withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("at")))
+    cards = written(cards.unionByName(named).withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("at"))), "added-cards")
 
     def pointed(rows: DataFrame, hop: int, order: str) -> DataFrame:
         found = rows.join(small(index.card_rules), "chunk_id").join(filer, "question_id").filter(F.col("filer") | (F.col("rule") == 1))

@@ -74,3 +74,9 @@ def test_cards(spark):
         got.setdefault(r["question_id"], {})[r["rank"]] = r["chunk_id"]
     assert got == {1: {1: "card-236K", 2: "O-sch10-1", 3: "O-sch10-t1"}, 3: {1: "card-149", 2: "O-sch10-1", 3: "O-sch10-2"}, 4: {1: "O-sch10-1"}, 5: {1: "card-236K", 2: "O-sch10-1", 3: "O-sch10-t1"}}
     assert rule_starts(chunks.limit(0).withColumn("ord", F.col("ord").cast("long"))).collect() == []
+
+
+def test_pieces_that_share_a_chunk_id_are_one_source(spark):
+    rows = [("card-1", "W1", "WHT", "149", None, 0, "Division-X of Part-IV of the First Schedule")] + [("O-sch1-pIV-divX", "O-sch1", "ITO", None, "First", i, "") for i in range(1, 50)]
+    index = card_index(spark.createDataFrame(rows, CARD), "O-sch10", "ITO", "O-sch1")
+    assert [tuple(r) for r in index.sections.select("chunk_id", "section").collect()] == [("O-sch1-pIV-divX", "149")]
