@@ -1,17 +1,23 @@
-"""Terms in texts: one automaton of all spellings, one pass over a text."""
+"""Terms in texts: one automaton of all spellings, one pass over a text; very many plain phrases by a join."""
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spellings of one automaton. More are dealt into parts, each with an automaton and a pass of its own, so that what is broadcast and what a
-#: worker holds is bounded at any number of terms.
+from tessera.sources.shared import written
+
+#: Spellings of one automaton. Beyond them, terms whose spellings are all plain phrases are found by a join; the others are dealt into parts, each with
+#: an automaton and a pass of its own, so that what is broadcast and what a worker holds is bounded at any number of terms.
 SPELLINGS = 200_000
+#: Words of small Latin letters with a blank between, and how many of them a joined phrase has at most.
+PLAIN, PLAIN_WORDS = "^[a-z]+( [a-z]+)*$", 8
 #: Letters that may follow a spelling of at least so many characters.
 SUFFIX, LEAST = 3, 5
 #: Ranges of Arabic script: a spelling in it begins where no such letter stands before.
@@ -99,6 +105,62 @@ def _search(shared, most: int):
     return run
 
 
+def _marked(rows: DataFrame, n: int, bits_each: int = 12, most_bits: int = 1 << 28) -> bytes:
+    """A bit for the CRC of each spelling, at most `most_bits` in all (32 MB): what has no bit is no spelling, and need not be shuffled. A fuller
+    table lets more through to the exact join, which decides."""
+    size = min(most_bits, max(1 << 15, 1 << (n * bits_each).bit_length()))
+    at = F.crc32(F.col("spelling").cast("binary")) % size + 1  # buckets of Spark's bitmaps count from 1
+    table = bytearray(size // 8)
+    for r in rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+        table[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = r["bits"]
+    return bytes(table)
+
+
+def _phrases(widths: list[int], marked):
+    """For a batch of texts every run of so many plain words, whole and without up to SUFFIX letters of its end: key, spelling, begin, term. Each spelling
+    once a text, where it stands first."""
+    word = re.compile("[a-z]+")
+
+    def run(batches):
+        table, crc = marked.value, zlib.crc32
+        size = len(table) * 8
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for lo in range(0, len(texts), 256):
+                rows, spellings, begins, terms = [], [], [], []
+                for i, text in enumerate(texts[lo:lo + 256], lo):
+                    spans, first = [m.span() for m in word.finditer(text or "")], {}
+                    for at, (begin, _) in enumerate(spans):
+                        for n in range(1, widths[-1] + 1):
+                            if at + n > len(spans) or n > 1 and text[spans[at + n - 2][1]:spans[at + n - 1][0]] != " ":
+                                break
+                            if n in widths:
+                                start, end = spans[at + n - 1]
+                                term = text[begin:end]
+                                first.setdefault(term, (begin, term))
+                                for cut in range(1, min(SUFFIX, end - start - 1, end - begin - LEAST) + 1):
+                                    first.setdefault(term[:-cut], (begin, term))
+                    first = {k: v for k, v in first.items() if table[(h := crc(k.encode()) % size) >> 3] >> (h & 7) & 1}
+                    rows += [i] * len(first)
+                    spellings += first
+                    begins += [x[0] for x in first.values()]
+                    terms += [x[1] for x in first.values()]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), pa.array(spellings, pa.string()), pa.array(begins, pa.int32()), pa.array(terms, pa.string())], names=["key", "spelling", "begin", "term"])
+
+    return run
+
+
+def _by_join(asked: DataFrame, rows: DataFrame, widths: list[int], n: int) -> DataFrame:
+    """key, ord, term by an equi-join of the texts' phrases with plain spellings: a text is read once and each of its phrases meets the spellings equal
+    to it, so the work grows with the texts and not with texts times terms."""
+    kind = asked.schema["key"].dataType.simpleString()
+    marked = asked.sparkSession.sparkContext.broadcast(_marked(rows, n))
+    said = asked.mapInArrow(_phrases(widths, marked), f"key {kind}, spelling string, begin int, term string")
+    met = said.join(rows.select("ord", "place", "spelling").hint("shuffle_hash"), "spelling").select("key", "ord", "term", F.struct("begin", "place", F.length("term").alias("n")).alias("at"))
+    # dealt by text, as the ranks are: the rows of a text are then grouped and ranked without another shuffle
+    return met.repartition("key").groupBy("key", "ord").agg(F.min_by("term", "at").alias("term"))
+
+
 def terms_in(texts: DataFrame, key: str, terms: DataFrame, most: int) -> DataFrame:
     """key, ord, term, rank: for each text the rows of `terms` whose spelling it holds, longest first, `most` at
     most. terms: ord (distinct whole numbers), roman and urdu (lists of spellings; null or empty: none).
@@ -110,11 +172,19 @@ def terms_in(texts: DataFrame, key: str, terms: DataFrame, most: int) -> DataFra
 
     spark = texts.sparkSession
     rows = spelled("roman", False).unionByName(spelled("urdu", True)).filter("spelling <> ''")
-    parts = max(1, -(-rows.count() // SPELLINGS))
     asked = texts.select(F.col(key).alias("key"), F.lower("text").alias("text"))
     kind = asked.schema["key"].dataType.simpleString()
-    found = None
-    for part in range(parts):
+    found, n = None, rows.count()
+    if n > SPELLINGS:
+        width = F.size(F.split("spelling", " "))
+        rows = rows.withColumn("width", F.when(~F.col("arabic") & F.col("spelling").rlike(PLAIN) & (width <= PLAIN_WORDS), width))
+        rows = written(rows.join(rows.filter("width IS NULL").select("ord").distinct().withColumn("other", F.lit(True)), "ord", "left"), "spellings")
+        plain = rows.filter("other IS NULL")
+        if widths := sorted(r["width"] for r in plain.select("width").distinct().collect()):
+            found = _by_join(asked, plain, widths, n)
+        rows = rows.filter("other").select("ord", "place", "arabic", "spelling")
+        n = rows.count()
+    for part in range(parts := -(-n // SPELLINGS) if found is not None or n else 1):
         own = rows.filter(F.pmod(F.xxhash64("ord"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
         one = asked.mapInArrow(_search(shared, most), f"key {kind}, ord long, term string")

@@ -118,6 +118,23 @@ def test_terms_are_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_many_phrases_are_read_once(spark, monkeypatch):
+    monkeypatch.setattr(term_match, "SPELLINGS", 3)
+    r = random.Random(6)
+    terms = [(i, [f"{a} {b}"], None) for i, (a, b) in enumerate((a, b) for a in ("tax", "rate", "of") for b in ("due", "paid", "sal", "o"))] + [(50, ["ta", "tax due now"], None), (51, ["filer", "a.b"], None), (52, None, ["ٹیکس"])]
+    texts = [(i, " ".join(r.choice(["tax", "rate", "of", "duex", "due", "paids", "salary", "o", "now", "filers", "a.b", "Tax", "tax,", "ٹیکس"]) for _ in range(9))) for i in range(80)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    joined, passes, phrases, search = [], [], term_match._phrases, term_match._search
+    monkeypatch.setattr(term_match, "_phrases", lambda *a: joined.append(a) or phrases(*a))
+    monkeypatch.setattr(term_match, "_search", lambda *a: passes.append(a) or search(*a))
+    found = terms_in(df, "id", spark.createDataFrame(terms, "ord long, roman array<string>, urdu array<string>"), 5)
+    got = {}
+    for x in found.collect():
+        got.setdefault(x["id"], []).append((x["rank"], x["ord"], x["term"]))
+    assert {i: [x[1:] for x in sorted(g)] for i, g in got.items()} == {i: w[:5] for i, t in texts if (w := by_patterns(t, terms))}
+    assert len(joined) == 1 and len(passes) == 1  # one join of the plain phrases, one automaton of the three others
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), F.lit("y").alias("n")).repartition(7)
     got = numbered(df, "x").collect()
