@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.phrases import token_line
 from tessera.functions.text import clean, heading_case, section_key
-from tessera.operators.chunking import bracketed, opens_paragraph, section_number
+from tessera.operators.chunking import bracketed, first_tokens, opens_paragraph, section_number
 from tessera.operators.ordered import greedy_groups, monotone
+from tessera.operators.sizes import small
+from tessera.sources.shared import written
 
 #: Lines of a law that one block of a scan holds.
 BLOCK = 4096
@@ -21,32 +23,39 @@ SHORT = 80
 
 
 def carried(rows: DataFrame, by: list[str], order: str, columns: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """Each row with, for every name in `columns`, the last value of its expression that is not null, at or before the row.
+    """Each row with, for every name in `columns`, the last value of its expression that is not null, at or before the row. Rows
+    without a group or a place are left out.
 
-    An associative scan: blocks of `block` steps of the order (a whole number that grows) are scanned by themselves, their last
-    values, a row a block, are scanned over the group, and both meet. So a group with a third of all rows is never sorted in one task."""
-    cut = rows.select("*", *[c.alias(f"__{n}") for n, c in columns.items()]).withColumn("__of_scan", F.floor(F.col(order) / block))
+    An associative scan: blocks of `block` steps of the order (a whole number that grows) are scanned by themselves and written once; the values
+    that they end with, a row a block, are scanned over the group, and only blocks behind a group's first take values from it. So a group with a
+    third of all rows is never sorted in one task, and rows are shuffled once."""
     keys = [*by, "__of_scan"]
-    last = [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col(order))).alias(f"__l_{n}") for n in columns]
-    before = Window.partitionBy(*by).orderBy("__of_scan").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut.groupBy(*keys).agg(*last).select(*keys, *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in columns])
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(ends, keys)
-    return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.last(f"__{n}", ignorenulls=True).over(inside), F.col(f"__c_{n}")).alias(n) for n in columns])
+    inside, before = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*by).orderBy("__of_scan").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.dropna(subset=[*by, order]).select("*", *[c.alias(f"__{n}") for n, c in columns.items()], F.floor(F.col(order) / block).alias("__of_scan"))
+    scanned = cut.select(*rows.columns, "__of_scan", *[F.last(f"__{n}", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in columns], F.lead(F.lit(1)).over(inside).isNull().alias("__ends"))
+    scanned = written(scanned, "scanned")
+    ends = scanned.filter("__ends").select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"__c_{n}") for n in columns], F.row_number().over(Window.partitionBy(*by).orderBy("__of_scan")).alias("__nth")).filter(F.col("__nth") > 1)
+    joined = scanned.join(small(ends.drop("__nth")), keys, "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(n, f"__c_{n}").alias(n) for n in columns])
 
 
 # --- levels ---------------------------------------------------------------------------------------------------------
 
 
-def _words(text: Column) -> Column:
-    """Tokens of a line without brackets."""
-    return F.filter(F.split(F.trim(token_line(text)), " +"), lambda w: ~w.isin("[", "]", ""))
+def _words(text: Column, line: Column | None = None) -> Column:
+    """Tokens of a line without brackets. line: its token line, where that is at hand."""
+    return F.filter(F.split(F.trim(token_line(text) if line is None else line), " +"), lambda w: ~w.isin("[", "]", ""))
 
 
-def level_line(text: Column) -> Column:
+def _level_words(text: Column, line: Column | None = None) -> Column:
+    """The tokens that `level_line` reads."""
+    return F.filter(_words(text, line), lambda w: ~w.isin("-", "–"))
+
+
+def level_line(text: Column, words: Column | None = None) -> Column:
     """(level, number, rest) of a line that opens a level: its word, a dash or none, a roman numeral with letters, and, behind a division
     alone, its title. Null for other lines."""
-    words = F.filter(_words(text), lambda w: ~w.isin("-", "–"))
+    words = _level_words(text) if words is None else words
     word, number = F.lower(F.get(words, F.lit(0))), F.upper(F.get(words, F.lit(1)))
     letters = F.when(word == "division", F.lit("^[IVXL]+[A-Z]{0,2}$")).otherwise(F.lit("^[IVXL]+[A-Z]?$"))
     rest = F.trim(F.regexp_replace(F.regexp_extract(text, r"(?i)^[\[\s]*division\s+[a-z]+\b(.*)$", 1), r"^[\[\]\s]+|[\[\]\s]+$", ""))
@@ -54,12 +63,17 @@ def level_line(text: Column) -> Column:
     return F.when(opens, F.struct(word.alias("level"), number.alias("number"), F.when(word == "division", rest).otherwise("").alias("rest")))
 
 
+def _read(lines: DataFrame) -> DataFrame:
+    """Lines with `first`, their first tokens, and `words`, those that open a level: each line is cut into tokens once."""
+    return lines.withColumn("line", token_line(F.col("text"))).withColumn("first", first_tokens(F.col("text"), F.col("line"))).withColumn("words", _level_words(F.col("text"), F.col("line"))).drop("line")
+
+
 def chapter_pages(pages: DataFrame) -> DataFrame:
     """law, page, chapter, changes: the chapter that a page's running header names, or the one before goes on; `changes` where it is
     another than on the page before. pages: law, page, header."""
     number = _words(F.col("header"))
     named = F.when(F.lower(F.get(number, F.lit(0))) == "chapter", F.trim("header"))
-    rows = carried(pages, ["law"], "page", {"chapter": named})
+    rows = carried(pages.select("law", "page", named.alias("named")), ["law"], "page", {"chapter": F.col("named")})
     before = F.lag("chapter").over(Window.partitionBy("law").orderBy("page"))  # a row a page
     return rows.select("law", "page", "chapter", (F.col("chapter").isNotNull() & ~F.col("chapter").eqNullSafe(before)).alias("changes"))
 
@@ -71,15 +85,21 @@ def section_levels(lines: DataFrame, pages: DataFrame) -> DataFrame:
     A chapter, be it by a line or by the page header, ends part and division; a part ends the division. Bold centred short lines that follow a
     part or a division, until a section opens, are its titles. lines: law, page, ord, text, bold, centred; pages: law, page,
     header."""
-    number = section_number(F.col("text"))
-    candidate = F.col("bold") & ~F.col("centred") & (number != "")
-    heads = monotone(lines.filter(candidate).withColumn("section", number), ["law"], ["ord"], section_key(F.col("section"))).filter("accepted").select("law", "ord", "section")
-    first = lines.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
-    placed = lines.join(chapter_pages(pages).join(first, ["law", "page"]), ["law", "page"], "left").join(heads, ["law", "ord"], "left")
-    level = level_line(F.col("text"))
-    rows = placed.withColumn("at", F.when((F.col("bold") & F.col("centred") & (F.length("text") < SHORT)) | level["level"].isin("chapter", "part"), level))
-    plain = ~F.col("text").rlike(r"^\s*$") & (number == "") & ~opens_paragraph(F.col("text"))
-    rows = rows.withColumn("title", F.when(F.col("bold") & F.col("centred") & (F.length("text") < SHORT) & plain & F.col("at").isNull(), heading_case(F.regexp_replace("text", r"^[\[\]\s]+|[\[\]\s]+$", ""))))
+    bold, text = F.col("bold"), F.col("text")
+    short = bold & F.col("centred") & (F.length("text") < SHORT)
+    # texts are read once; only what they say goes on
+    read = _read(lines.select("law", "page", "ord", "text", short.alias("short"), (bold & ~F.col("centred")).alias("beside")))
+    said = read.withColumn("level", level_line(text, F.col("words"))).withColumn("number", section_number(text, F.col("first")))
+    said = said.withColumn("at", F.when(F.col("short") | F.col("level.level").isin("chapter", "part"), F.col("level")))
+    plain = F.col("short") & F.col("at").isNull() & (F.col("number") == "") & ~text.rlike(r"^\s*$") & ~opens_paragraph(text, F.col("first"))
+    said = said.select("law", "page", "ord", F.when(F.col("beside") & (F.col("number") != ""), F.col("number")).alias("number"), "at", F.when(plain, heading_case(F.regexp_replace("text", r"^[\[\]\s]+|[\[\]\s]+$", ""))).alias("title"))
+    said = written(said, "said")
+    heads = monotone(said.filter("number IS NOT NULL").select("law", "ord", F.col("number").alias("section")), ["law"], ["ord"], section_key(F.col("section"))).filter("accepted").select("law", "ord", "section")
+    first = said.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
+    turned = chapter_pages(pages).join(first, ["law", "page"])
+    # plain lines carry nothing but the change of a chapter by their page
+    events = said.join(turned, ["law", "page"], "left").filter("number IS NOT NULL OR at IS NOT NULL OR title IS NOT NULL OR changes")
+    rows = events.join(heads, ["law", "ord"], "left").drop("number")
 
     def opened(*levels: str) -> Column:
         return F.when(F.col("at.level").isin(*levels), F.struct("ord", "at.number", "at.rest"))

@@ -13,6 +13,17 @@ def lines(spark, *rows):
     return spark.createDataFrame([("L", page, i, text, bold, centred) for i, (page, text, bold, centred) in enumerate(rows)], LINE)
 
 
+def reads(result):
+    """How often a result's plan reads the rows that were given."""
+    return result._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_levels_read_lines_once(spark):
+    rows = lines(spark, (1, "PART V", True, True), (1, "147. Advance tax.—(1) Every", True, False))
+    assert reads(rows) == 1
+    assert reads(s.section_levels(rows, spark.createDataFrame([("L", 1, "CHAPTER X")], "law string, page int, header string"))) == 0
+
+
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_block_scan(spark, block):
     rows = spark.range(300).select((F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 11 == 3, F.col("id")).alias("v"), F.lit(1).alias("__v"))
