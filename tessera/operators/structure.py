@@ -264,10 +264,10 @@ def page_headers(lines: DataFrame, page: list[str], top: float, least_size: floa
 # --- schedules ------------------------------------------------------------------------------------------------------
 
 
-def schedule_of(header: Column) -> Column:
+def schedule_of(header: Column, words: Column | None = None) -> Column:
     """(name, n, part) of a page header that names a schedule: an ordinal word, "schedule", and maybe a part with a roman numeral; null
     for others, and for an ordinal that is not known."""
-    words = F.transform(_words(header), lambda w: F.lower(w))
+    words = F.transform(_words(header), lambda w: F.lower(w)) if words is None else words
     n = F.array_position(F.array(*map(F.lit, ORDINALS)), F.get(words, F.lit(0)))
     at = F.array_position(words, F.lit("part"))
     behind = F.filter(F.slice(words, F.when(at > 0, at + 1).otherwise(1), F.size(words)), lambda w: ~w.isin("-", "–"))
@@ -283,23 +283,26 @@ def schedule_units(lines: DataFrame, pages: DataFrame, prefix: str) -> DataFrame
     A part goes on over pages whose header names none; another schedule or part begins a unit, a bold centred division line too, and in the second
     schedule a bold line that begins with a clause number that goes up. pages: law, page, header; lines: law, page, ord, text, bold,
     centred."""
-    named = pages.withColumn("s", schedule_of(F.col("header"))).filter("s IS NOT NULL").select("law", "page", "s.name", "s.n", "s.part")
+    named = pages.withColumn("words", F.transform(_words(F.col("header")), lambda w: F.lower(w))).select("law", "page", schedule_of(F.col("header"), F.col("words")).alias("s"))
+    named = written(named, "named").filter("s IS NOT NULL").select("law", "page", "s.name", "s.n", "s.part")
     by_page = Window.partitionBy("law").orderBy("page")  # a row a page of schedules
     runs = named.withColumn("change", F.when(F.lag("n").over(by_page).eqNullSafe(F.col("n")), 0).otherwise(1)).withColumn("run", F.sum("change").over(by_page))
     filled = runs.withColumn("part", F.last("part", ignorenulls=True).over(Window.partitionBy("law", "run").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
     filled = filled.withColumn("fresh", F.when((F.col("change") == 1) | ~F.lag("part").over(by_page).eqNullSafe(F.col("part")), F.col("page"))).drop("change", "run")
-    first = lines.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
-    rows = lines.join(filled.join(first, ["law", "page"]), ["law", "page"])
-    level = level_line(F.col("text"))
-    opens = F.when(F.col("bold") & F.col("centred") & (level["level"] == "division"), F.struct("ord", level["number"].alias("number")))
-    number = bracketed(F.col("text"), "number")
-    rows = rows.withColumn("clause", F.when((F.col("n") == 2) & F.col("bold") & ~F.col("centred") & (number != ""), number))
-    rows = carried(rows.withColumn("named", opens), ["law"], "ord", {"block": F.when(F.col("fresh").isNotNull(), F.col("page_ord"))})
+    # texts are read once; only what they say goes on
+    number = bracketed(F.col("text"), "number", first=F.col("first"))
+    said = _read(lines.withColumn("text", F.when(F.col("bold"), F.col("text")))).select("law", "page", "ord", F.when(F.col("bold") & F.col("centred"), level_line(F.col("text"), F.col("words"))).alias("level"), F.when(F.col("bold") & ~F.col("centred"), F.nullif(number, F.lit(""))).alias("clause"))
+    said = written(said.select("law", "page", "ord", F.when(F.col("level.level") == "division", F.col("level.number")).alias("named"), "clause"), "said")
+    first = said.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
+    rows = said.join(filled.join(first, ["law", "page"]), ["law", "page"]).withColumn("clause", F.when(F.col("n") == 2, F.col("clause")))
+    rows = carried(rows, ["law"], "ord", {"block": F.when(F.col("fresh").isNotNull(), F.col("page_ord"))})
     heads = monotone(rows.filter("clause IS NOT NULL").select("law", "block", "ord", F.col("clause").alias("head")), ["law", "block"], ["ord"], section_key(F.col("head"))).filter("accepted").select("law", "ord", "head")
-    other = ~F.lag("named.number").over(Window.partitionBy("law", "block").orderBy("ord")).eqNullSafe(F.col("named.number"))
-    divisions = rows.filter("named IS NOT NULL").select("law", "ord", "named.number", other.alias("other")).filter("other").select("law", "ord", F.col("number").alias("begins"))
-    rows = rows.drop("clause", "named").join(heads, ["law", "ord"], "left").join(divisions, ["law", "ord"], "left")
-    rows = carried(rows, ["law"], "ord", {n: F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("value"))) for n, c in (("in_clause", "head"), ("in_division", "begins"))})
+    other = ~F.lag("named").over(Window.partitionBy("law", "block").orderBy("ord")).eqNullSafe(F.col("named"))
+    divisions = rows.filter("named IS NOT NULL").select("law", "ord", "named", other.alias("other")).filter("other").select("law", "ord", F.col("named").alias("begins"))
+    # what begins at a line comes right before the line in the scan
+    begins = heads.unionByName(divisions, allowMissingColumns=True).withColumn("place", F.col("ord") * 2)
+    rows = rows.select("law", "ord", "name", "n", "part", "block", F.lit(True).alias("line"), (F.col("ord") * 2 + 1).alias("place")).unionByName(begins, allowMissingColumns=True)
+    rows = carried(rows, ["law"], "place", {n: F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("value"))) for n, c in (("in_clause", "head"), ("in_division", "begins"))}, 2 * BLOCK).filter("line")
     rows = rows.withColumn("division", F.when(F.col("in_division.ord") >= F.col("block"), F.col("in_division.value")))
     begun = F.greatest("block", F.coalesce("in_division.ord", F.lit(-1)))
     rows = rows.withColumn("in_clause", F.when(F.col("in_clause.ord") >= begun, F.col("in_clause.value")))

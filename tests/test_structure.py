@@ -59,6 +59,11 @@ def test_tables_go_on(spark):
     ]
 
 
+def test_schedules_read_lines_once(spark):
+    rows = lines(spark, (0, "Division II", True, True), (0, "rates", False, False))
+    assert reads(s.schedule_units(rows, spark.createDataFrame([("L", 0, "First Schedule")], "law string, page int, header string"), "X")) == 0
+
+
 def test_grids(spark):
     long = "The following table holds the rates of tax for all of the persons that are named"
     cells = [["S.No", None, "Rate"], ["1", "", "1[5%]"], [None, None], [long], ["short"], ["S.No", "Rate"], ["2.5[x]", "a12[y]"], ["S.No", "Rate"], ["3", "7"], ["alone"]]
