@@ -206,9 +206,10 @@ def grid_tables(rows: DataFrame, grid: str, order: str, cells: str, long: int =
     lists = lists.withColumn("real", real)
     before = Window.partitionBy(grid).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     lists = lists.withColumn("n", F.coalesce(F.sum(F.col("real").cast("int")).over(before), F.lit(0)) + 1)
+    # a table is the last of its number, behind all that is its caption
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("real"), F.struct("at", F.array_join(F.flatten("rows"), " ").alias("t"))))), lambda c: c["t"]), " ")
-    captions = lists.groupBy(grid, "n").agg(F.nullif(words, F.lit("")).alias("caption"))
-    return lists.filter("real").join(captions, [grid, "n"]).select(grid, F.col("n").cast("int").alias("n"), "caption", "rows")
+    tables = lists.groupBy(grid, "n").agg(F.nullif(words, F.lit("")).alias("caption"), F.get(F.collect_list(F.when(F.col("real"), F.col("rows"))), F.lit(0)).alias("rows"))
+    return tables.filter("rows IS NOT NULL").select(grid, F.col("n").cast("int").alias("n"), "caption", "rows")
 
 
 # --- spans ----------------------------------------------------------------------------------------------------------

@@ -64,6 +64,11 @@ def test_schedules_read_lines_once(spark):
     assert reads(s.schedule_units(rows, spark.createDataFrame([("L", 0, "First Schedule")], "law string, page int, header string"), "X")) == 0
 
 
+def test_grids_read_rows_once(spark):
+    rows = spark.createDataFrame([("g", i, ["a", "b"]) for i in range(3)], "grid string, row long, cells array<string>")
+    assert reads(s.grid_tables(rows, "grid", "row", "cells")) == 1
+
+
 def test_grids(spark):
     long = "The following table holds the rates of tax for all of the persons that are named"
     cells = [["S.No", None, "Rate"], ["1", "", "1[5%]"], [None, None], [long], ["short"], ["S.No", "Rate"], ["2.5[x]", "a12[y]"], ["S.No", "Rate"], ["3", "7"], ["alone"]]
