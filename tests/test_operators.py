@@ -151,6 +151,11 @@ def test_coverage(lines, spark):
     assert {tuple(r) for r in chunking.coverage(chunking.chunk(lines), toc).collect()} == {("L", "3", "no chunk"), ("L", "2", "not listed")}
 
 
+def test_chunking_reads_lines_once(spark):
+    lines = spark.createDataFrame([("L", 1, "1. Title.—(1) Text", True, 1)], "law string, ord long, text string, bold boolean, page int")
+    assert chunking.chunk(lines)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "g.csv").write_text('roman,urdu,english,section_ids,search,notes\n"Filer | active filer",فائلر,filer,L-s1  L-s2,Yes,\n,,none,,,\n', encoding="utf-8")
     a, b = read_glossary(spark, f"file://{tmp_path}/g.csv").collect()
