@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.operators.sizes import small
 from tessera.sources.shared import written
@@ -59,16 +64,32 @@ def pair_set(text: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull() & p.rlike("[a-z]{4,}") & F.contains(p, F.lit(" "))))
 
 
+@F.pandas_udf(StructType([StructField("pairs", IntegerType()), StructField("words", IntegerType())]))
+def shared_counts(pairs: pd.Series, words: pd.Series, lowered: pd.Series) -> pd.DataFrame:
+    """How many of some pairs and of some words a text in small letters holds. The texts of a section come again for its next item."""
+    @lru_cache(maxsize=16)
+    def held(text: str | None) -> tuple[set, set]:
+        own = re.findall("[a-z]+", text or "")
+        return set(own), set(zip(own, own[1:]))
+
+    def count(p, w, text: str | None) -> tuple[int, int]:
+        words, follow = held(text)
+        return sum(tuple(x.split(" ")) in follow for x in p), sum(x in words for x in w)
+
+    return pd.DataFrame([count(*x) for x in zip(pairs, words, lowered, strict=True)], columns=["pairs", "words"])
+
+
 def gold_excerpts(items: DataFrame, chunks: DataFrame, item: str, budget: int) -> DataFrame:
     """item, chunk_id, place (from 1, in document order): the chunks of an item's gold sections that a judge reads.
 
     All of them if they fit the budget. Else they are ranked by the pairs of neighbouring words, then by the words, that they share with the item's text; the
     best chunk of every gold section is taken whatever its size, then in rank order each that still fits. items: item, text, gold (sections in order, distinct);
     chunks: section_id, ord, chunk_id, text, n_tokens. A section's chunks are few by nature, as is an item's list."""
-    wanted = items.select(item, "text", F.posexplode("gold").alias("g", "section_id")).select(item, F.col("text").alias("asked"), "g", "section_id")
-    rows = wanted.join(chunks, "section_id").withColumn("total", F.sum("n_tokens").over(Window.partitionBy(item)))
-    over = F.col("total") > budget
-    rows = rows.withColumn("pairs", F.when(over, F.size(F.array_intersect(pair_set(F.col("asked")), pair_set(F.col("text"))))).otherwise(0)).withColumn("words", F.when(over, F.size(F.array_intersect(word_set(F.col("asked")), word_set(F.col("text"))))).otherwise(0))
+    # a text meets the items of its section once, and only counts go on
+    wanted = items.select(item, pair_set(F.col("text")).alias("asked_pairs"), word_set(F.col("text")).alias("asked_words"), F.posexplode("gold").alias("g", "section_id"))
+    held = chunks.select("section_id", "ord", "chunk_id", "n_tokens", F.lower("text").alias("lowered"))
+    rows = wanted.join(held, "section_id").select(item, "g", "ord", "chunk_id", "n_tokens", shared_counts("asked_pairs", "asked_words", "lowered").alias("shared")).select("*", "shared.pairs", "shared.words").drop("shared")
+    rows = rows.withColumn("total", F.sum("n_tokens").over(Window.partitionBy(item)))
     ranked = rows.select(item, "g", "ord", "chunk_id", F.col("n_tokens").cast("long").alias("t"), "total", F.struct((-F.col("pairs")).alias("p"), (-F.col("words")).alias("w"), "g", "ord", "chunk_id").alias("at"))
     ranked = ranked.withColumn("best", F.row_number().over(Window.partitionBy(item, "g").orderBy("at")) == 1)
     used = F.sum(F.when(F.col("best"), F.col("t")).otherwise(0)).over(Window.partitionBy(item))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.cards import card_companions, card_index, rule_starts
-from tessera.operators.evaluation import gold_excerpts, graded_metrics, inherited_verdicts, run_setups, summary_by_group
+from tessera.operators.evaluation import gold_excerpts, graded_metrics, inherited_verdicts, run_setups, shared_counts, summary_by_group
 
 
 def test_setups_share_lists(spark):
@@ -80,3 +80,11 @@ def test_pieces_that_share_a_chunk_id_are_one_source(spark):
     rows = [("card-1", "W1", "WHT", "149", None, 0, "Division-X of Part-IV of the First Schedule")] + [("O-sch1-pIV-divX", "O-sch1", "ITO", None, "First", i, "") for i in range(1, 50)]
     index = card_index(spark.createDataFrame(rows, CARD), "O-sch10", "ITO", "O-sch1")
     assert [tuple(r) for r in index.sections.select("chunk_id", "section").collect()] == [("O-sch1-pIV-divX", "149")]
+
+
+def test_excerpts_count_shared_words_once(spark):
+    items = spark.createDataFrame([(1, "rates of tax", [1])], "item long, text string, gold array<long>")
+    chunks = spark.createDataFrame([(1, 1, "c", "the rates of tax of rates", 5)], "section_id long, ord long, chunk_id string, text string, n_tokens long")
+    counts = chunks.select(shared_counts(F.array(F.lit("rates of"), F.lit("tax rates")), F.array(F.lit("rates"), F.lit("rate")), "text").alias("s")).first()["s"]
+    assert tuple(counts) == (1, 1)
+    assert "array_intersect" not in gold_excerpts(items, chunks, "item", 1)._jdf.queryExecution().optimizedPlan().toString()
