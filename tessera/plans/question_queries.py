@@ -17,6 +17,7 @@ from tessera.plans.fixtures import NUMBERED, Fixture, Made
 from tessera.plans.registering import Book, duck_line, quoted
 from tessera.plans.retrieval_queries import _BM25
 from tessera.plans.summary_queries import _LANG
+from tessera.sources.shared import written
 from tessera.sources.tables import table
 
 book = Book()
@@ -463,7 +464,7 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """Documents, the candidate documents of every benchmark item, and the words of every item."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
-    return docs, bm25(docs, items, "doc_id", "item_id", _CANDIDATES).select("item_id", "doc_id"), items.select("item_id", F.explode(words).alias("w"))
+    return docs, written(bm25(docs, items, "doc_id", "item_id", _CANDIDATES).select("item_id", "doc_id"), "pairs"), items.select("item_id", F.explode(words).alias("w"))
 
 
 @book.query(f"""WITH {_BM25}, {_SHARED.format(k=_CANDIDATES, first=600, rest=200, step=600, size=800, long='true')},

@@ -158,6 +158,12 @@ def test_chunking_reads_lines_once(spark):
         assert result._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= most
 
 
+def test_pairs_of_items_are_found_once(spark):
+    from tessera.plans.question_queries import _asked
+
+    assert "MapInArrow" not in _asked(spark, "/root/testdata/sf0.001")[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "g.csv").write_text('roman,urdu,english,section_ids,search,notes\n"Filer | active filer",فائلر,filer,L-s1  L-s2,Yes,\n,,none,,,\n', encoding="utf-8")
     a, b = read_glossary(spark, f"file://{tmp_path}/g.csv").collect()
