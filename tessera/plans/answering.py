@@ -46,7 +46,7 @@ def best_windows(docs: DataFrame, pairs: DataFrame, words: DataFrame, size: int)
     hits = shared_words(long, "chunk_id", "text", pairs, words, "question_id", size).join(small(idf), "w")
     scores = hits.groupBy("question_id", "chunk_id", "begin").agg(F.round(F.sum("v"), 6).alias("score")).filter("score > 0")
     best = scores.groupBy("question_id", "chunk_id").agg(F.max_by("begin", F.struct("score", -F.col("begin"))).alias("begin"))
-    return best.join(docs.select("chunk_id", "text"), "chunk_id").select("question_id", "chunk_id", F.expr(f"substring(text, begin + 1, {size})").alias("text"))
+    return docs.select("chunk_id", "text").join(small(written(best, "windows")), "chunk_id").select("question_id", "chunk_id", F.expr(f"substring(text, begin + 1, {size})").alias("text"))
 
 
 def pinned_pieces(refs: DataFrame, valid: DataFrame, years: DataFrame, found: DataFrame, most_pieces: int) -> DataFrame:
@@ -112,7 +112,7 @@ def ask(
         added = more_pieces(pool.select("question_id", "chunk_id"), named.join(years, "question_id"), valid, most_sections, most_pieces).groupBy("question_id", "chunk_id").agg(F.lit(1 << 20).alias("prior"))
         pool = pool.unionByName(added.select("question_id", "chunk_id", F.lit("search").alias("via"), "prior"))
     pool = written(pool, "pool")
-    passages = pool.select("question_id", "chunk_id").join(docs, "chunk_id").select("question_id", "chunk_id", "text")
+    passages = docs.join(small(pool.select("question_id", "chunk_id")), "chunk_id").select("question_id", "chunk_id", "text")
     if window:
         words = phrases.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w")).distinct()
         passages = passages.unionByName(best_windows(docs, pool.select("question_id", "chunk_id"), words, window))
