@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,9 @@ def few(df: DataFrame, most_rows: int = FEW_ROWS) -> bool:
 def small(df: DataFrame, most_rows: int = FEW_ROWS) -> DataFrame:
     """The table with a broadcast hint if it has at most `most_rows` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if few(df, most_rows) else df
+
+
+def joined_as(df: DataFrame, most_rows: int = FEW_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """The hint for tables with no more rows than `df`: broadcast if those are few, else a shuffled join, even where files are so small that Spark would
+    collect the table in the driver by itself."""
+    return F.broadcast if few(df, most_rows) else lambda other: other.hint("merge")

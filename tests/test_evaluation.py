@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation, sizes
 from tessera.operators.cards import card_companions, card_index, rule_starts
 from tessera.operators.evaluation import gold_excerpts, graded_metrics, inherited_verdicts, run_setups, shared_counts, summary_by_group
+from tessera.sources.shared import written
 
 
 def test_setups_share_lists(spark):
@@ -55,6 +57,25 @@ def test_long_chains(spark):
     assert got.filter("ok AND second_opinion = 'agree'").count() == 200
 
 
+def test_circles_take_no_more_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(evaluation, "written", lambda df, label: made.append(label) or written(df, label))
+    rows = [("p", "q", True), ("q", "p", True), ("r", "q", True), ("x", "gone", True), ("y", "x", True)] + [(f"i{k}", f"i{k - 1}" if k % 4 else None, True) for k in range(1000)]
+    verdicts = spark.createDataFrame([(f"i{k}", True, [], "agree") for k in range(0, 1000, 4)], "id string, ok boolean, reasons array<string>, second_opinion string")
+    got = inherited_verdicts(spark.createDataFrame(rows, "id string, source_id string, language_ok boolean"), verdicts)
+    assert len(made) == 4  # the start, chains of one, of up to three, and a round that ends none
+    assert got.filter("ok AND second_opinion = 'agree'").count() == 1000
+    assert {r["id"] for r in got.filter("NOT ok").collect()} == {"p", "q", "r", "x", "y"}
+
+
+def test_many_items_are_not_sent_to_the_driver(spark, monkeypatch):
+    items = spark.createDataFrame([("a", None, True), ("b", "a", True)], "id string, source_id string, language_ok boolean")
+    verdicts = spark.createDataFrame([("a", True, [], "agree")], "id string, ok boolean, reasons array<string>, second_opinion string")
+    monkeypatch.setattr(sizes, "few", lambda df, most_rows=0: False)
+    plan = inherited_verdicts(items, verdicts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 CARD = "chunk_id string, section_id string, law_code string, section string, schedule string, ord int, text string"
 
 
