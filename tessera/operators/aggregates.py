@@ -14,11 +14,12 @@ def nearest_rank(rows: DataFrame, group: str, value: str, qs: dict[str, float],
 
     Equal values are counted first, in each task. A group's distinct values are cut at approximate quantiles, so that every
     bucket holds about as many of them, wherever an outlier lies; the buckets' counts tell where each place lies, and only the values of the
-    buckets that are hit are put in order, each bucket by itself.
+    buckets that are hit are put in order, each bucket by itself. The quantiles are written, since they depend on the order in which executors' parts
+    arrive: counted and looked up in buckets that were cut anew, a place would lie elsewhere.
     """
     counts = written(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), "counts")
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    ends = counts.groupBy(group).agg(F.percentile_approx(value, at, 10 * buckets).alias("bounds"), F.sum("n").alias("all"))
+    ends = written(counts.groupBy(group).agg(F.percentile_approx(value, at, 10 * buckets).alias("bounds"), F.sum("n").alias("all")), "ends")
     dealt = counts.join(small(ends), group).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
     sums = dealt.groupBy(group, "all", "bucket").agg(F.sum("n").alias("m"))
     upto = F.sum("m").over(Window.partitionBy(group).orderBy("bucket"))

@@ -111,6 +111,17 @@ def test_nearest_rank_rounds_to_even(spark):
     assert nearest_rank(rows, "g", "v", {"p50": 0.5}).first()["p50"] == 3.0  # place 2.5 is rounded to 2
 
 
+def test_nearest_rank_cuts_buckets_once(spark, monkeypatch):
+    import random
+
+    # quantiles that come out differently each time they are made, as they do where executors' parts arrive in another order
+    anew = F.udf(lambda most: sorted(random.SystemRandom().uniform(0, most) for _ in range(5)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda value, at, accuracy: anew(F.max(value)))
+    rows = spark.createDataFrame([("a", float(v)) for v in range(1, 2002)] + [("b", float(v)) for v in range(1, 1002)], "g string, v double")
+    got = {r["g"]: (r["p50"], r["p95"]) for r in nearest_rank(rows, "g", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"a": (1001.0, 1901.0), "b": (501.0, 951.0)}
+
+
 def test_final_ranks_have_a_floor(spark):
     c = spark.createDataFrame([(1, "a", "search", 1), (1, "b", "lookup", 2), (1, "c", "search", 3)], "question_id int, chunk_id string, via string, prior int")
     p = spark.createDataFrame([(1, "a", -3.0), (1, "c", 0.5)], "question_id int, chunk_id string, score double")
