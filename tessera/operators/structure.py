@@ -10,7 +10,7 @@ from tessera.functions.phrases import token_line
 from tessera.functions.text import clean, heading_case, section_key
 from tessera.operators.chunking import bracketed, first_tokens, opens_paragraph, section_number
 from tessera.operators.ordered import greedy_groups, monotone
-from tessera.operators.sizes import small
+from tessera.operators.sizes import joined_as
 from tessera.sources.shared import written
 
 #: Lines of a law that one block of a scan holds.
@@ -35,7 +35,7 @@ def carried(rows: DataFrame, by: list[str], order: str, columns: dict[str, Colum
     scanned = cut.select(*rows.columns, "__of_scan", *[F.last(f"__{n}", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in columns], F.lead(F.lit(1)).over(inside).isNull().alias("__ends"))
     scanned = written(scanned, "scanned")
     ends = scanned.filter("__ends").select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"__c_{n}") for n in columns], F.row_number().over(Window.partitionBy(*by).orderBy("__of_scan")).alias("__nth")).filter(F.col("__nth") > 1)
-    joined = scanned.join(small(ends.drop("__nth")), keys, "left")
+    joined = scanned.join(joined_as(ends)(ends.drop("__nth")), keys, "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(n, f"__c_{n}").alias(n) for n in columns])
 
 
@@ -94,12 +94,13 @@ def section_levels(lines: DataFrame, pages: DataFrame) -> DataFrame:
     plain = F.col("short") & F.col("at").isNull() & (F.col("number") == "") & ~text.rlike(r"^\s*$") & ~opens_paragraph(text, F.col("first"))
     said = said.select("law", "page", "ord", F.when(F.col("beside") & (F.col("number") != ""), F.col("number")).alias("number"), "at", F.when(plain, heading_case(F.regexp_replace("text", r"^[\[\]\s]+|[\[\]\s]+$", ""))).alias("title"))
     said = written(said, "said")
+    dealt = joined_as(said)  # heads, pages and titles are no more than lines, and are written so small that Spark would collect them in the driver
     heads = monotone(said.filter("number IS NOT NULL").select("law", "ord", F.col("number").alias("section")), ["law"], ["ord"], section_key(F.col("section"))).filter("accepted").select("law", "ord", "section")
     first = said.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
-    turned = chapter_pages(pages).join(first, ["law", "page"])
+    turned = chapter_pages(pages).join(dealt(first), ["law", "page"])
     # plain lines carry nothing but the change of a chapter by their page
-    events = said.join(turned, ["law", "page"], "left").filter("number IS NOT NULL OR at IS NOT NULL OR title IS NOT NULL OR changes")
-    rows = events.join(heads, ["law", "ord"], "left").drop("number")
+    events = said.join(dealt(turned), ["law", "page"], "left").filter("number IS NOT NULL OR at IS NOT NULL OR title IS NOT NULL OR changes")
+    rows = events.join(dealt(heads), ["law", "ord"], "left").drop("number")
 
     def opened(*levels: str) -> Column:
         return F.when(F.col("at.level").isin(*levels), F.struct("ord", "at.number", "at.rest"))
@@ -118,7 +119,7 @@ def section_levels(lines: DataFrame, pages: DataFrame) -> DataFrame:
     found = rows.filter("section IS NOT NULL").select("law", "ord", "section", "chapter", "in_part", "in_division")
     for name in ("part", "division"):
         own = titles.select("law", F.col("owner").alias(f"{name}_ord"), F.col("titles").alias(f"{name}_titles"))
-        found = found.withColumn(f"{name}_ord", F.col(f"in_{name}.ord")).join(own, ["law", f"{name}_ord"], "left")
+        found = found.withColumn(f"{name}_ord", F.col(f"in_{name}.ord")).join(dealt(own), ["law", f"{name}_ord"], "left")
 
     def label(word: str, name: str) -> Column:
         rest = F.when(F.col(f"in_{name}.rest") != "", F.array(heading_case(F.col(f"in_{name}.rest")))).otherwise(F.array().cast("array<string>"))
@@ -295,7 +296,8 @@ def schedule_units(lines: DataFrame, pages: DataFrame, prefix: str) -> DataFrame
     said = _read(lines.withColumn("text", F.when(F.col("bold"), F.col("text")))).select("law", "page", "ord", F.when(F.col("bold") & F.col("centred"), level_line(F.col("text"), F.col("words"))).alias("level"), F.when(F.col("bold") & ~F.col("centred"), F.nullif(number, F.lit(""))).alias("clause"))
     said = written(said.select("law", "page", "ord", F.when(F.col("level.level") == "division", F.col("level.number")).alias("named"), "clause"), "said")
     first = said.groupBy("law", "page").agg(F.min("ord").alias("page_ord"))
-    rows = said.join(filled.join(first, ["law", "page"]), ["law", "page"]).withColumn("clause", F.when(F.col("n") == 2, F.col("clause")))
+    dealt = joined_as(said)
+    rows = said.join(dealt(filled.join(dealt(first), ["law", "page"])), ["law", "page"]).withColumn("clause", F.when(F.col("n") == 2, F.col("clause")))
     rows = carried(rows, ["law"], "ord", {"block": F.when(F.col("fresh").isNotNull(), F.col("page_ord"))})
     heads = monotone(rows.filter("clause IS NOT NULL").select("law", "block", "ord", F.col("clause").alias("head")), ["law", "block"], ["ord"], section_key(F.col("head"))).filter("accepted").select("law", "ord", "head")
     other = ~F.lag("named").over(Window.partitionBy("law", "block").orderBy("ord")).eqNullSafe(F.col("named"))

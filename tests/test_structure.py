@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import sizes
 from tessera.operators import structure as s
 from tessera.operators.ordered import fill_down
 
@@ -48,6 +49,17 @@ def test_levels(spark):
     assert s.section_levels(rows.limit(0), pages).collect() == []
 
 
+def test_levels_of_many_lines_are_not_broadcast(spark, monkeypatch):
+    for name in ("small", "joined_as"):
+        monkeypatch.setattr(s, name, lambda df, f=getattr(sizes, name): f(df, -1), raising=False)  # no table counts as small
+    rows = lines(spark, (1, "PART V", True, True), (1, "OF TAX", True, True), (1, "147. Tax.—x", True, False), (2, "Division I", True, True), (2, "OF RATES", True, True), (2, "148. Rate.—x", True, False), (3, "149. Other.—x", True, False))
+    pages = spark.createDataFrame([("L", 1, "CHAPTER X"), ("L", 2, "and so on"), ("L", 3, "CHAPTER XI")], "law string, page int, header string")
+    found = s.section_levels(rows, pages)
+    got = sorted((r["section"], r["chapter"], r["part"]) for r in found.collect())
+    assert got == [("147", "CHAPTER X", "Part V: Of Tax"), ("148", "CHAPTER X", "Part V: Of Tax; Division I: Of Rates"), ("149", "CHAPTER XI", None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_go_on(spark):
     rows = spark.createDataFrame([
         ("L", 1, 1, "text", "The rates are as fol-"), ("L", 2, 1, "text", "lows"), ("L", 3, 1, "table", "| A |\n|---|\n| 1 |"), ("L", 4, 2, "table", "| A |\n|---|\n| 2 |"), ("L", 5, 3, "table", "| 3 |\n|---|\n| 4 |"), ("L", 6, 3, "table", "| A |\n|---|\n| 5 |"),
