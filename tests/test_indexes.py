@@ -135,6 +135,46 @@ def test_many_phrases_are_read_once(spark, monkeypatch):
     assert len(joined) == 1 and len(passes) == 1  # one join of the plain phrases, one automaton of the three others
 
 
+@pytest.mark.parametrize("decoys", [False, True])
+def test_texts_send_few_phrases(spark, monkeypatch, decoys):
+    monkeypatch.setattr(term_match, "SPELLINGS", 3)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(40)]
+    terms = [(i, [f"{a} {b}"], None) for i, (a, b) in enumerate((a, b) for a in words[:30] for b in words[:30])] + [(5000, [words[0], f"{words[1]} {words[2]}"], None), (5001, [words[3], f"{words[4]} {words[5]}"], None)]
+    texts = [(i, " ".join(r.choice(words[:32]) + r.choice(["", "", "s"]) for _ in range(120))) for i in range(30)] + [(None, f"{words[0]} {words[1]}"), (901, "")]
+    texts += [(i, " ".join(r.choice(words[:12]) for _ in range(120))) for i in range(5)]  # keys that repeat
+    texts += [(200 + i, " ".join(f"{words[30]}{c}xxxxxxxx {words[31]}{c}yyyyyyyy {words[i]} {words[i + 1]}" for c in "hijklmnopqrstuv")) for i in range(10)]
+    sent, rounds, phrases, marked = spark.sparkContext.accumulator(0), [], term_match._phrases, term_match._marked
+
+    def counted(*a):
+        run = phrases(*a)
+        rounds.append(a)
+
+        def inner(batches):
+            for b in run(batches):
+                sent.add(b.num_rows)
+                yield b
+
+        return inner
+
+    monkeypatch.setattr(term_match, "_phrases", counted)
+    if decoys:  # long phrases that are taken for spellings, so that texts have to be looked through again
+        more = spark.createDataFrame([(f"{words[30]}{c}xxxxxxxx {words[31]}{c}yyyyyyyy",) for c in "hijklmnopqrstuv"], "spelling string")
+        monkeypatch.setattr(term_match, "_marked", lambda rows, n: marked(rows.select("spelling").unionByName(more.limit(0 if rows.first()["several"] else 15)), n))
+    found = terms_in(spark.createDataFrame(texts, "id long, text string").repartition(3), "id", spark.createDataFrame(terms, "ord long, roman array<string>, urdu array<string>"), 5)
+    got, want = {}, {}
+    for x in found.collect():
+        got.setdefault(x["id"], []).append((x["rank"], x["ord"], x["term"]))
+    for key, text in texts:
+        for ord_, roman, _ in terms:
+            m = re.search(f"(?:^|[^a-z])({'|'.join(re.escape(x) + ('[a-z]{0,3}' if len(x) >= 5 else '') for x in roman)})(?:[^a-z]|$)", text)
+            if m:
+                want.setdefault(key, {})[ord_] = min(want.get(key, {}).get(ord_, (1 << 30, "")), (m.start(1), m[1]), key=lambda x: x[0])
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: sorted(((o, t) for o, (_, t) in v.items()), key=lambda x: (-len(x[1]), x[0]))[:5] for k, v in want.items()}
+    assert len(rounds) == 1 + decoys
+    assert decoys or sent.value < 2000  # 2899 where each phrase is sent
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), F.lit("y").alias("n")).repartition(7)
     got = numbered(df, "x").collect()
